@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing
+from plumbline.llm import mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
