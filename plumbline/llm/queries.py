@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing, quality_rules
+from plumbline.llm import licenses, mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_mix_sources": mixing.OP2_SQL,
 }
