@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import licenses, mixing, quality_rules, url_filter
+from plumbline.llm import licenses, mixing, near_dedup, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_minhash_dedup": near_dedup.op3_minhash_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_url_filter": url_filter.op10_url_filter,
 }
