@@ -7,9 +7,10 @@ the number of vectors, up to ``MAX_LISTS``.
 Searching: a query visits its nearest lists, as many as hold ``TARGET`` of the true neighbours among the fitted
 sample (on vectors without structure that is most of the lists; on clustered ones few). Each list is dealt out over as many salts as its size asks for, so one
 list with a third of all vectors is searched by many tasks; a query goes to each salt of its lists. In a task, tables
-of distances from the query's residual to the sub-centroids give each code's approximate distance; the best
-``RERANK`` of the task are measured exactly on the original vectors, and the best k of each task meet in a window.
-Equal vectors have equal codes, and ties are cut by the smaller vec_id throughout.
+of distances from the query's residual to the sub-centroids give each code's approximate distance. With each code
+goes its own error, so that distance less and plus error are bounds: all vectors of the task whose lower bound is
+within the k-th smallest upper bound are measured exactly on the original vectors, which loses none of the visited
+lists' true neighbours. The best k of each task meet in a window; ties go to the smaller vec_id.
 
 Defined cases: null, zero or otherwise unusable vectors (null, NaN or infinite components) take part neither as
 queries nor as candidates, nor do vectors of another length than the most common one (the shorter of equally common
@@ -36,7 +37,6 @@ CODES = 64
 TARGET = 0.99
 #: Sampled queries by which the number of visited lists is chosen.
 TRIALS = 200
-RERANK = 100
 #: Vectors of a list that one salt holds, about.
 SALT_ROWS = 2000
 
@@ -87,6 +87,13 @@ class Index:
         r = x - self.coarse[lists]
         return np.stack([((b**2).sum(1)[None, :] - 2 * r[:, p] @ b.T).argmin(1) for p, b in zip(self.parts, self.books, strict=True)], axis=1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distances of the vectors from what their codes stand for."""
+        r = x - self.coarse[lists]
+        for k, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
+            r[:, p] -= b[codes[:, k]]
+        return np.sqrt((r**2).sum(1))
+
     def tables(self, query: np.ndarray, of: int) -> np.ndarray:
         """Squared distances from the query's residual to each code, by sub-space."""
         r = query - self.coarse[of]
@@ -116,7 +123,7 @@ def fit(vectors: DataFrame, n: int, *, max_fit: int = MAX_FIT, max_lists: int =
     return Index(x, max(1, min(max_lists, round(math.sqrt(n) / 2))), sub_spaces, codes), x
 
 
-def search(vectors: DataFrame, is_query, *, k: int = 10, probes: int | None = None, rerank: int = RERANK, **how) -> DataFrame:
+def search(vectors: DataFrame, is_query, *, k: int = 10, probes: int | None = None, **how) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found to each row where ``is_query`` holds."""
     fine = usable(vectors)
     n = fine.count()
@@ -132,7 +139,8 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, probes: int | None = No
             if len(pdf):
                 x = np.stack(pdf["v"].to_list())
                 own = index.nearest(x, 1)[:, 0]
-                yield pdf.assign(l=own, code=[c.tobytes() for c in index.encode(x, own)])
+                codes = index.encode(x, own)
+                yield pdf.assign(l=own, code=[c.tobytes() for c in codes], error=index.errors(x, own, codes))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
@@ -141,7 +149,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, probes: int | None = No
                 near = index.nearest(np.stack(pdf["v"].to_list()), probes)
                 yield pdf.assign(lists=list(near))
 
-    indexed = fine.mapInPandas(assign, "vec_id long, v array<double>, l int, code binary")
+    indexed = fine.mapInPandas(assign, "vec_id long, v array<double>, l int, code binary, error double")
     sizes = indexed.groupBy("l").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))  # at most MAX_LISTS rows
     dealt = indexed.join(F.broadcast(sizes), "l").withColumn("s", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int")).drop("salts")
     asked = fine.filter(is_query).mapInPandas(visit, "vec_id long, v array<double>, lists array<int>")
@@ -154,17 +162,19 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, probes: int | None = No
         rows = rows.sort_values("vec_id", kind="stable")
         ids, x = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_list())
         codes = np.stack([np.frombuffer(c, np.uint8) for c in rows["code"]])
-        places, out = np.arange(codes.shape[1]), []
+        places, error, out = np.arange(codes.shape[1]), rows["error"].to_numpy() + 1e-9, []
         for q, v in zip(queries["vec_id"], queries["v"], strict=True):
             table_of = index.tables(np.asarray(v), int(key[0]))
-            near = table_of[places[None, :], codes].sum(1)
-            near[ids == q] = np.inf
-            take = np.argsort(near, kind="stable")[:rerank]
-            take = take[near[take] < np.inf]
+            near = np.sqrt(table_of[places[None, :], codes].sum(1))
+            others = ids != q
+            upper = np.sort((near + error)[others])
+            if not len(upper):
+                continue
+            take = np.flatnonzero(others & (near - error <= upper[min(k, len(upper)) - 1]))
             exact = np.sqrt(((x[take] - np.asarray(v)) ** 2).sum(1))
             best = np.lexsort((ids[take], exact))[:k]
             out.append(pd.DataFrame({"query_id": q, "vec_id": ids[take][best], "score": exact[best]}))
-        return pd.concat(out, ignore_index=True)
+        return pd.concat(out, ignore_index=True) if out else none
 
     found = asked.groupBy("l", "s").cogroup(dealt.groupBy("l", "s")).applyInPandas(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
