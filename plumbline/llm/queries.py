@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ann, licenses, mixing, near_dedup, pieces, pii, quality_rules, url_filter
+from plumbline.llm import (
+    ann,
+    licenses,
+    mixing,
+    near_dedup,
+    pieces,
+    pii,
+    quality_classifier,
+    quality_rules,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_minhash_dedup": near_dedup.op3_minhash_dedup,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_pii": pii.op5_pii,
     "op6_ann": ann.op6_ann,
     "op8_quality_rules": quality_rules.op8_quality_rules,
