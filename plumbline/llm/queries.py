@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm import (
     ann,
     licenses,
+    lm_scoring,
     mixing,
     near_dedup,
     pieces,
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_pii": pii.op5_pii,
     "op6_ann": ann.op6_ann,
+    "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_url_filter": url_filter.op10_url_filter,
