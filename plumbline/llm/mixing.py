@@ -79,8 +79,8 @@ def write_out(mixed: DataFrame) -> DataFrame:
     """The mix itself: a row for each whole copy taken, and one cut to the words left over."""
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
-    lead = r"(?s)\A([\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"
-    cut = F.call_function("regexp_substr", text_of(), F.concat(F.lit(lead), F.col("_rest").cast("string"), F.lit("}")))
+    words = F.regexp_extract_all(text_of(), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, 1, F.col("_rest").cast("int")), "")
     return (
         mixed.withColumn("_rest", rest)
         .withColumn("_copies", F.concat(F.array_repeat(F.lit(False), whole), F.when(F.col("_rest") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))))

@@ -27,6 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import table
 from plumbline.session import materialize
@@ -96,21 +97,34 @@ def _factors(bands: int, rows: int) -> np.ndarray:
     return _final(np.arange(1, bands * rows // 2 + 1, dtype=np.uint64) * _MIX[3]) | np.uint64(1)
 
 
+#: Sets that a task remembers to tell copies it has had.
+REMEMBERED = 200_000
+
+
 def sketch(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """doc_id, text, n (set size), fp (fingerprint; null for none) and bands, for each row."""
+    """Adds _n (set size), _fp (fingerprint; null for none), _bands, and _text: the text at a set's first place in a
+    task, null for later copies, so that copies of one text don't meet in a shuffle."""
     bands = n_bands(float(threshold))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, factors = Shingler(k), _factors(bands, ROWS)
+        seen: set[bytes] = set()
         for pdf in batches:
-            sets = [shingle(t) for t in pdf["text"]]
-            yield pdf.assign(
-                n=[len(s) for s in sets],
-                fp=[xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                bands=[bands_of(s, bands, ROWS, factors) if len(s) else None for s in sets],
-            )
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, text string, n long, fp binary, bands array<long>")
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            n, fps, keys, texts = [], [], [], []
+            for text in pdf["text"]:
+                s = shingle(text)
+                fp = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                n.append(len(s))
+                fps.append(fp)
+                keys.append(bands_of(s, bands, ROWS, factors) if len(s) else None)
+                texts.append(None if fp is None or fp in seen else text)
+                seen.add(fp)
+            yield pdf.assign(_n=n, _fp=fps, _bands=keys, _text=texts)
+
+    added = [T.StructField("_n", T.LongType()), T.StructField("_fp", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_text", T.StringType())]
+    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -147,40 +161,61 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction)
     return pairs.join(x, "a").join(y, "z").select("a", "z", "x", "y").mapInPandas(run, "a binary, z binary")
 
 
+def _links_within(group: list[tuple], k: Shingler, threshold: Fraction) -> list[tuple[bytes, bytes]]:
+    """Links between different labels among one block's members (b, i, j, blk, fp, n, label, bands, text)."""
+    b, across = group[0][0], group[0][1] != group[0][2]
+    bands = np.stack([g[7] for g in group])
+    place = int(np.argmax(bands[0] == b))
+    side, n = np.array([g[3] for g in group]), np.array([g[5] for g in group])
+    numbers: dict[bytes, int] = {}
+    code = np.array([numbers.setdefault(g[6], len(numbers)) for g in group])
+    if len(numbers) < 2:
+        return []
+    sets: dict[int, np.ndarray] = {}
+    found = []
+    for r in range(len(group) - 1):
+        fits = (code[r + 1 :] != code[r]) & (np.minimum(n[r + 1 :], n[r]) * threshold.denominator >= threshold.numerator * np.maximum(n[r + 1 :], n[r]))
+        if across:
+            fits &= side[r + 1 :] != side[r]
+        s = r + 1 + np.flatnonzero(fits)
+        s = s[~(bands[s, :place] == bands[r, :place]).any(axis=1)]  # the first bucket that they share is this one
+        for q in s:
+            if code[q] == code[r]:
+                continue
+            for t in (r, q):
+                if t not in sets:
+                    sets[t] = k(group[t][8])
+            if linked(sets[r], sets[q], threshold):
+                found.append((group[r][4], group[q][4]))
+                code[code == code[q]] = code[r]  # joined now: their other pairs don't matter
+    return found
+
+
 def _searched(members: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """Links between different labels in each bucket's blocks; members: b, i, j, blk, fp, label, bands, text."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shingle, b, across = Shingler(k), pdf["b"].iloc[0], pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        bands = np.stack(pdf["bands"].to_list())
-        place = int(np.argmax(bands[0] == b))
-        fps, side, n = pdf["fp"].to_list(), pdf["blk"].to_numpy(), pdf["n"].to_numpy()
-        code = pd.factorize(pdf["label"])[0]
-        sets: dict[int, np.ndarray] = {}
-        found = []
-        for r in range(len(fps)):
-            s = np.arange(r + 1, len(fps))
-            fits = (code[s] != code[r]) & (np.minimum(n[s], n[r]) * threshold.denominator >= threshold.numerator * np.maximum(n[s], n[r]))
-            s = s[fits & (side[s] != side[r])] if across else s[fits]
-            s = s[~(bands[s, :place] == bands[r, :place]).any(axis=1)]  # the first bucket that they share is this one
-            for q in s:
-                if code[q] == code[r]:
-                    continue
-                for t in (r, q):
-                    if t not in sets:
-                        sets[t] = shingle(pdf["text"].iloc[t])
-                if linked(sets[r], sets[q], threshold):
-                    found.append((fps[r], fps[q]))
-                    code[code == code[q]] = code[r]  # joined now: their other pairs don't matter
-        return pd.DataFrame(found, columns=["a", "z"])
-
-    return members.groupBy("b", "i", "j").applyInPandas(run, "a binary, z binary")
+    """Links found in all blocks. Blocks are dealt out whole and read one after the other, at most 2 * BLOCK rows at
+    a time, since most of them are far too small for a call each."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle, group = Shingler(k), []
+        for pdf in batches:
+            found = []
+            for row in zip(*(pdf[c].to_list() for c in pdf.columns), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    found += _links_within(group, shingle, threshold)
+                    group = []
+                group.append(row)
+            yield pd.DataFrame(found, columns=["a", "z"])
+        if group:
+            yield pd.DataFrame(_links_within(group, shingle, threshold), columns=["a", "z"])
 
-def link_components(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+    return members.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInPandas(run, "a binary, z binary")
+
+
+def _labelled(docs: DataFrame, k: int, threshold: Fraction, block: int) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows (without texts' copies), and fp, lead (smallest id) and label for each distinct set."""
     rows = materialize(sketch(docs, k, threshold), "sketch")
-    nodes = materialize(rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    some = rows.filter("_n > 0").select("doc_id", F.col("_n").alias("n"), F.col("_fp").alias("fp"), F.col("_bands").alias("bands"), "_text")
+    nodes = materialize(some.groupBy("fp").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     buckets = nodes.select("fp", "n", F.explode("bands").alias("b"))
     shared = buckets.groupBy("b").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("fp", "b").alias("draw"), F.col("fp").alias("fp"), F.col("n").alias("n"))).alias("hub")).filter("c > 1")
     shared = materialize(buckets.join(shared, "b").select("b", "c", "fp", "n", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
@@ -188,12 +223,12 @@ def link_components(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fracti
     pairs = shared.filter((F.col("fp") != F.col("hub")) & long_enough).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("z")).distinct()
     wanted = shared.select("fp").distinct()
     # One text a node: copies of a set share all its shingles, so any of their texts will do.
-    texts = materialize(rows.select("fp", "text").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "texts")
+    texts = some.filter("_text IS NOT NULL").select("fp", F.col("_text").alias("text")).join(wanted, "fp", "left_semi")
+    texts = materialize(texts.groupBy("fp").agg(F.first("text").alias("text")), "texts")
     first = materialize(_confirmed(pairs, texts, k, threshold), "links")
     labels = components(first)
 
-    labelled = shared.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")).select("b", "c", "fp", "n", "label")
-    labelled = materialize(labelled, "labelled")
+    labelled = materialize(shared.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")).select("b", "c", "fp", "n", "label"), "labelled")
     open_buckets = labelled.groupBy("b").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("b")
     blocks = F.ceil(F.col("c") / block).cast("int")
     members = (
@@ -207,18 +242,29 @@ def link_components(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fracti
     second = materialize(_searched(members, k, threshold), "links")
     if not second.isEmpty():
         labels = components(first.unionAll(second))
-    leads = nodes.select("fp", "lead").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    leads = leads.join(leads.groupBy("label").agg(F.min("lead").alias("least")), "label").select("fp", "least")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(leads, "fp", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def deduplicate(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """``docs`` with one row for each component, and one for each id."""
-    found = link_components(docs.select("doc_id", "text"), k=k, threshold=threshold).filter("kept").select("doc_id").distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return rows.drop("_bands", "_text"), nodes.select("fp", "lead").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
+def link_components(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+    rows, leads = _labelled(docs.select("doc_id", "text"), k, threshold, block)
+    least = leads.join(leads.groupBy("label").agg(F.min("lead").alias("least")), "label").select(F.col("fp").alias("_fp"), "least")
+    named = rows.select("doc_id", F.col("_n").alias("n_shingles"), "_fp").join(least, "_fp", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicate(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row for each component, that of the smallest id (null last); rows without words all stay."""
+    names = docs.columns
+    docs = docs.select(*[c for c in names if c not in ("_n", "_fp", "_bands", "_text")])
+    rows, leads = _labelled(docs, k, threshold, block)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("own"))
+    placed = rows.join(leads.select(F.col("fp").alias("_fp"), "label"), "_fp", "left").withColumn("_order", order)
+    best = placed.filter("label IS NOT NULL").groupBy("label").agg(F.min("_order").alias("_best"))
+    # Copies of the chosen row are equal in every column; one of them stays.
+    chosen = placed.join(best, "label").filter(F.col("_order").eqNullSafe(F.col("_best"))).dropDuplicates(["_order"])
+    return chosen.select(*docs.columns).unionByName(placed.filter("label IS NULL").select(*docs.columns))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def histograms(docs: DataFrame) -> DataFrame:
         .withColumn("_punct", _count(text, PUNCTUATION))
         .withColumn("_space", F.length(text) - F.col("word_chars"))
         .withColumn("_plain", plain)
-        .withColumn("_refs", F.try_element_at(refs, F.col("_lang")))
+        .withColumn("_refs", F.coalesce(F.try_element_at(refs, F.col("_lang")), F.array().cast("array<string>")))
     )
     seen = ["_upper", "_lower", "_digit", "_punct", "_space", "n_symbols"]
     rest = F.length(text) - sum((F.col(c) for c in seen[1:]), F.col(seen[0]))
@@ -171,6 +171,13 @@ def judge(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the verdict keeps. An explode of nothing drops the others: a filter would be pushed
+    down with a copy of the whole verdict, which is worked out once this way."""
+    judged = judge(docs).select(*docs.columns, "kept")
+    return judged.select(*docs.columns, F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_kept")).drop("_kept")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
