@@ -102,8 +102,8 @@ REMEMBERED = 200_000
 
 
 def sketch(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """Adds _n (set size), _fp (fingerprint; null for none), _bands, and _text: the text at a set's first place in a
-    task, null for later copies, so that copies of one text don't meet in a shuffle."""
+    """Adds _rid (a number for the row), _n (set size), _fp (fingerprint; null for none), _bands, and _first: whether
+    a set is new to the task, so that copies of one text needn't meet in a shuffle."""
     bands = n_bands(float(threshold))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,19 +112,19 @@ def sketch(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
         for pdf in batches:
             if len(seen) > REMEMBERED:
                 seen.clear()
-            n, fps, keys, texts = [], [], [], []
+            n, fps, keys, new = [], [], [], []
             for text in pdf["text"]:
                 s = shingle(text)
                 fp = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 n.append(len(s))
                 fps.append(fp)
                 keys.append(bands_of(s, bands, ROWS, factors) if len(s) else None)
-                texts.append(None if fp is None or fp in seen else text)
+                new.append(fp is not None and fp not in seen)
                 seen.add(fp)
-            yield pdf.assign(_n=n, _fp=fps, _bands=keys, _text=texts)
+            yield pdf.assign(_n=n, _fp=fps, _bands=keys, _first=new)
 
-    added = [T.StructField("_n", T.LongType()), T.StructField("_fp", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_text", T.StringType())]
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *added]))
+    added = [T.StructField("_n", T.LongType()), T.StructField("_fp", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_first", T.BooleanType())]
+    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *added])).withColumn("_rid", F.monotonically_increasing_id())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -212,9 +212,9 @@ def _searched(members: DataFrame, k: int, threshold: Fraction) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, k: int, threshold: Fraction, block: int) -> tuple[DataFrame, DataFrame]:
-    """The sketched rows (without texts' copies), and fp, lead (smallest id) and label for each distinct set."""
+    """The sketched rows, written once, and fp, lead (smallest id) and label for each distinct set."""
     rows = materialize(sketch(docs, k, threshold), "sketch")
-    some = rows.filter("_n > 0").select("doc_id", F.col("_n").alias("n"), F.col("_fp").alias("fp"), F.col("_bands").alias("bands"), "_text")
+    some = rows.filter("_n > 0").select("doc_id", F.col("_n").alias("n"), F.col("_fp").alias("fp"), F.col("_bands").alias("bands"), "_first", "text")
     nodes = materialize(some.groupBy("fp").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     buckets = nodes.select("fp", "n", F.explode("bands").alias("b"))
     shared = buckets.groupBy("b").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("fp", "b").alias("draw"), F.col("fp").alias("fp"), F.col("n").alias("n"))).alias("hub")).filter("c > 1")
@@ -223,7 +223,7 @@ def _labelled(docs: DataFrame, k: int, threshold: Fraction, block: int) -> tuple
     pairs = shared.filter((F.col("fp") != F.col("hub")) & long_enough).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("z")).distinct()
     wanted = shared.select("fp").distinct()
     # One text a node: copies of a set share all its shingles, so any of their texts will do.
-    texts = some.filter("_text IS NOT NULL").select("fp", F.col("_text").alias("text")).join(wanted, "fp", "left_semi")
+    texts = some.filter("_first").select("fp", "text").join(wanted, "fp", "left_semi")
     texts = materialize(texts.groupBy("fp").agg(F.first("text").alias("text")), "texts")
     first = materialize(_confirmed(pairs, texts, k, threshold), "links")
     labels = components(first)
@@ -242,7 +242,7 @@ def _labelled(docs: DataFrame, k: int, threshold: Fraction, block: int) -> tuple
     second = materialize(_searched(members, k, threshold), "links")
     if not second.isEmpty():
         labels = components(first.unionAll(second))
-    return rows.drop("_bands", "_text"), nodes.select("fp", "lead").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return rows.drop("_bands", "_first"), nodes.select("fp", "lead").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
 def link_components(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
@@ -256,15 +256,13 @@ def link_components(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fracti
 
 def deduplicate(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
     """``docs`` with one row for each component, that of the smallest id (null last); rows without words all stay."""
-    names = docs.columns
-    docs = docs.select(*[c for c in names if c not in ("_n", "_fp", "_bands", "_text")])
+    docs = docs.drop("_n", "_fp", "_bands", "_first", "_rid")
     rows, leads = _labelled(docs, k, threshold, block)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("own"))
-    placed = rows.join(leads.select(F.col("fp").alias("_fp"), "label"), "_fp", "left").withColumn("_order", order)
-    best = placed.filter("label IS NOT NULL").groupBy("label").agg(F.min("_order").alias("_best"))
-    # Copies of the chosen row are equal in every column; one of them stays.
-    chosen = placed.join(best, "label").filter(F.col("_order").eqNullSafe(F.col("_best"))).dropDuplicates(["_order"])
-    return chosen.select(*docs.columns).unionByName(placed.filter("label IS NULL").select(*docs.columns))
+    # The choice is made on ids alone; whole rows move once, to meet the chosen numbers.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_rid").alias("rid"))
+    placed = rows.filter("_n > 0").select("doc_id", "_rid", "_fp").join(leads.select(F.col("fp").alias("_fp"), "label"), "_fp")
+    best = placed.groupBy("label").agg(F.min(order).alias("best")).select(F.col("best.rid").alias("_rid"))
+    return rows.filter("_n > 0").join(best, "_rid", "left_semi").select(*docs.columns).unionByName(rows.filter("_n = 0").select(*docs.columns))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

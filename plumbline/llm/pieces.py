@@ -22,6 +22,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ BYTE_SCORE = -20 * 2**20
 #: Scores are kept in whole steps of this part of a nat.
 SCALE = 2**20
 #: Words whose ids a worker remembers at a time.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class Pieces:
@@ -47,10 +48,11 @@ class Pieces:
     def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: dict[int, int]):
         self.entries: dict[str, tuple[int, int] | None] = {p[:k]: None for _, p, _ in pieces for k in range(1, len(p))}
         self.entries |= {p: (i, round(s * SCALE)) for i, p, s in pieces}
-        self.text = {i: p.encode() for i, p, _ in pieces} | {i: bytes([b]) for b, i in byte_ids.items()}
+        own = {i: p.encode() for i, p, _ in pieces} | {i: bytes([b]) for b, i in byte_ids.items()}
+        self.text = [own.get(i, b"") for i in range(max(own, default=-1) + 1)]
         self.byte_ids = byte_ids
         #: Ids of words seen, kept by a worker from task to task.
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.longest = max((len(p) for _, p, _ in pieces), default=1)
         # No piece has a mark after another character; none has a line's end beside another character.
         inside = [p for _, p, _ in pieces if set(p) != {MARK}]
@@ -141,37 +143,48 @@ class StreamingEncoder:
         out.reverse()
         return out
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
+        """int32 ids of a text; a word's are kept as bytes, so that a text's are one join."""
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         marked = MARK + text.replace(" ", MARK)
         if self.splits is None:
-            return self.viterbi(marked)
+            return np.array(self.viterbi(marked), np.int32)
         known, out = self.known, []
         if len(known) > REMEMBERED:
             known.clear()
         for word in self.splits.findall(marked):
             ids = known.get(word)
             if ids is None:
-                ids = self.viterbi(word)
+                ids = np.array(self.viterbi(word), np.int32).tobytes()
                 if len(word) <= 64:
                     known[word] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return np.frombuffer(b"".join(out), np.int32)
 
 
-def decode_ids(ids: list[int], pieces: Pieces) -> str:
-    out = b"".join(map(pieces.text.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+def decode_ids(ids: np.ndarray | list[int], pieces: Pieces) -> str:
+    out = b"".join(map(pieces.text.__getitem__, np.asarray(ids, np.int32).tolist())).decode("utf-8", "replace").replace(MARK, " ")
     return out[1:]
 
 
+#: Rows that a worker encodes before it hands them on.
+BATCH = 1000
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for i in range(0, len(pdf), BATCH):
+            yield pdf.iloc[i : i + BATCH]
+
+
 def encode(docs: DataFrame, *, model: str = MODEL, col: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out``: array<int>. The vocabulary is read on the driver and broadcast; its size is the model file's."""
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = StreamingEncoder(shared.value)
-        for pdf in batches:
+        for pdf in _slices(batches):
             yield pdf.assign(**{out: [encoder.encode(t) for t in pdf[col]]})
 
     docs = docs.drop(out)
@@ -179,7 +192,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, col: str = "text", out: str =
 
 
 def decode(encoded: DataFrame, *, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds ``out``: the text of an array of ids; unknown ids raise."""
+    """Adds ``out``: the text of an array of ids; ids past the vocabulary raise, control pieces are empty."""
     shared = encoded.sparkSession.sparkContext.broadcast(Pieces.load(model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,16 +204,16 @@ def decode(encoded: DataFrame, *, model: str = MODEL, ids: str = "ids", out: str
 
 
 def encode_checked(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
-    """Adds n_ids, ids, ids_sha256 and round_trip (decoding gives the text back) in one pass."""
+    """Adds n_ids, ids, ids_sha256 (over little-endian int32) and round_trip (decoding gives the text back) in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = shared.value
         encoder = StreamingEncoder(pieces)
-        for pdf in batches:
+        for pdf in _slices(batches):
             ids = [encoder.encode(t) for t in pdf["text"]]
             back = [decode_ids(x, pieces) == (t or "").replace(MARK, " ") for x, t in zip(ids, pdf["text"], strict=True)]
-            yield pdf.assign(n_ids=list(map(len, ids)), ids=ids, ids_sha256=[hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids], round_trip=back)
+            yield pdf.assign(n_ids=list(map(len, ids)), ids=ids, ids_sha256=[hashlib.sha256(x.tobytes()).hexdigest() for x in ids], round_trip=back)
 
     docs = docs.drop("n_ids", "ids", "ids_sha256", "round_trip")
     new = [T.StructField("n_ids", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
