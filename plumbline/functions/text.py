@@ -19,7 +19,8 @@ UNIT = (
     r"volts?|v|watts?|w|amps?|a|[kmg]?hz|[kmgt]b|c|f)$"
 )
 # What separates the parts of an identifier, and quotes around an answer.
-SEPARATORS = r"[\s\-._·‐-―]+"
+SPACES = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = r"[\s\-._·‐-―" + SPACES + "]+"
 QUOTES = "`'\"“”‘’ "
 
 

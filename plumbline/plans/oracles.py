@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from plumbline.functions.paths import IGNORED, SUFFIXES
-from plumbline.functions.text import FILE_STOPWORDS, STOPWORDS
+from plumbline.functions.text import FILE_STOPWORDS, SEPARATORS, STOPWORDS
 
 
 def _list(words: list[str]) -> str:
@@ -21,7 +21,7 @@ FILE_TOKENS = (
     "CASE WHEN regexp_matches(w, '[-_.]') AND len(list_filter(regexp_split_to_array(w, '[-_.]'), lambda p: NOT regexp_full_match(p, '[0-9]+'))) > 0 "
     "THEN [regexp_replace(w, '[-_.]', '', 'g')] ELSE [] END)))"
 )
-GRADED = r"upper(replace(regexp_replace({0}, '[\s\-._·‐-―]+', '', 'g'), 'ß', 'SS'))"
+GRADED = "upper(replace(regexp_replace({0}, '" + SEPARATORS + "', '', 'g'), 'ß', 'SS'))"
 IDENTIFIERS = "list_distinct(list_filter(list_transform(list_filter(regexp_extract_all({0}, '[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*'), lambda t: regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[0-9]')), lambda t: " + GRADED.format("t") + "), lambda t: length(t) >= 4))"
 UNIT = r"(?i)^([+-]?[0-9]+(?:[.,][0-9]+)*)\s*(?:°\s*[cf]?|%|degrees?(?:\s*(?:c|f|celsius|fahrenheit))?|celsius|fahrenheit|milliseconds?|seconds?|secs?|ms|s|volts?|v|watts?|w|amps?|a|[kmg]?hz|[kmgt]b|c|f)$"
 STRIP = "coalesce(nullif(regexp_extract(trim({0}), '" + UNIT + "', 1), ''), trim({0}))"
