@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import paths as P
 from plumbline.functions import text as X
-from plumbline.operators import chunking, corpus, evaluation, retrieval, verification
+from plumbline.operators import chunking, corpus, evaluation, grounding, retrieval, verification
 from plumbline.plans.oracles import ORACLES
 from plumbline.session import shared_dir
 
@@ -345,6 +345,39 @@ def conflicts(spark, sf_dir):
     return verification.find_conflicts(_mentions(spark, sf_dir)).select("query_id", "source_a", "value_a", "source_b", "value_b", "claim_text")
 
 
+def _stock(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts by brand and stock lists that know them by part number only, as files; and every fiftieth part's name."""
+    numbered = lambda p: F.concat(F.lit(p), F.col("p_partkey").cast("string"))
+    parts = table(spark, sf_dir, "part").withColumns({"pn": numbered("PN-"), "slot": numbered("slot")})
+    brand = F.concat(F.lit("parts/"), F.lower("p_brand"), F.lit("_r"), (F.col("p_partkey") % 2 + 1).cast("string"), F.lit(".csv"))
+    named = parts.select((F.col("p_partkey") * 2).alias("chunk_id"), F.concat_ws(" ", "p_name", "p_type", "slot", "pn").alias("text"), brand.alias("path"))
+    held = parts.select((F.col("p_partkey") * 2 + 1).alias("chunk_id"), F.concat_ws(" ", "pn", F.lit("retail price"), F.col("p_retailprice").cast("decimal(20,2)").cast("string")).alias("text"), F.concat(F.lit("stock/"), (F.col("p_partkey") % 97).cast("string"), F.lit(".txt")).alias("path"))
+    chunks = named.unionByName(held).withColumn("superseded", F.contains(F.col("path"), F.lit("_r1.")))
+    asked = parts.filter(F.col("p_partkey") % 50 == 0).select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("what is the retail price of "), F.col("p_name"), F.lit(" in "), F.col("slot")).alias("text"))
+    return chunks, asked, parts
+
+
+@query
+def identifier_expand(spark, sf_dir):
+    chunks, asked, _ = _stock(spark, sf_dir)
+    return grounding.expand_with_identifiers(chunks, asked, corpus.identifier_files(chunks))
+
+
+@query
+def verify_and_cite(spark, sf_dir):
+    """Replies with the right price, a wrong one or none, citing the stock list and the brand's file."""
+    chunks, asked, parts = _stock(spark, sf_dir)
+    idents = corpus.identifier_files(chunks)
+    hits = grounding.expand_with_identifiers(chunks, asked, idents).join(chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "rank", "path", "text")
+    price = F.col("p_retailprice").cast("decimal(20,2)").cast("string")
+    answer = F.when(F.col("p_partkey") % 150 == 0, F.lit("0.01")).when(F.col("p_partkey") % 200 == 0, F.lit("")).otherwise(price)
+    stock = F.concat(F.lit("/app/corpus/stock/"), (F.col("p_partkey") % 97).cast("string"), F.lit(".txt"))
+    replies = parts.filter(F.col("p_partkey") % 50 == 0).select(F.col("p_partkey").alias("query_id"), answer.alias("answer"), F.array(stock, F.concat(F.lit("parts/"), "p_brand", F.lit("_r"), (F.col("p_partkey") % 2 + 1).cast("string"), F.lit(".csv"))).alias("sources"))
+    files = chunks.groupBy("path", "superseded").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    found = grounding.verify_and_cite(replies, asked, hits, files, idents.select("ident", F.explode("files").alias("path")))
+    return found.withColumn("citations", F.array_join("citations", ","))
+
+
 def _cases(spark, sf_dir) -> DataFrame:
     """Labelled documents as cases: good ones expect their text's terms, others an abstention."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

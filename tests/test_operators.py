@@ -156,3 +156,29 @@ def test_file_search_caps_files_and_demotes_superseded(spark):
     rows = [(k, "fan motor", "a.txt", False) for k in range(5)] + [(9, "fan motor motor", "old.txt", True)]
     found = retrieval.file_search(spark.createDataFrame(rows, "chunk_id long, text string, path string, superseded boolean"), spark.createDataFrame([(1, "motor fans")], "query_id long, text string"), X.file_tokens)
     assert [r["chunk_id"] for r in found.orderBy("rank").collect()] == [0, 1, 2, 9]
+
+
+def test_answers_are_grounded_in_exact_files(spark):
+    from plumbline.operators import grounding
+
+    files_ = spark.createDataFrame(
+        [("spec_r2.txt", "Pump P-100X limit is 94 C in summer mode", False), ("spec_r1.txt", "Pump P-100X limit is 94 C in summer mode", True), ("log.txt", "ticket OPS-77 concerns pump P-100X", False), ("far.txt", "nothing", False)],
+        "path string, text string, superseded boolean",
+    )
+    questions = spark.createDataFrame([(q, "what is the pump limit for the summer ticket") for q in range(1, 6)], "query_id long, text string")
+    hits = questions.select("query_id").crossJoin(spark.createDataFrame([(1, "spec_r1.txt"), (2, "spec_r2.txt"), (3, "log.txt")], "rank int, path string")).join(files_.select("path", "text"), "path")
+    replies = spark.createDataFrame([(1, "94 C", ["spec_r1.txt", "SPEC_R2.txt", "log.txt", "far.txt"]), (2, "12", ["log.txt"]), (3, "", []), (4, "94", []), (5, "94", ["spec_r1.txt"])], "query_id long, answer string, sources array<string>")
+    idents = corpus.identifier_files(files_).select("ident", F.explode("files").alias("path"))
+    got = {r["query_id"]: r for r in grounding.verify_and_cite(replies, questions, hits, files_, idents).collect()}
+    assert got[1]["citations"] == ["spec_r2.txt", "log.txt"] and got[1]["answer"] == "94" and got[1]["confidence"] == pytest.approx(0.9)
+    assert got[2]["reason"].startswith("answer not found") and got[3]["reason"] == "empty answer"
+    assert got[4]["citations"] == ["spec_r1.txt"] and got[5]["confidence"] == pytest.approx(0.7)
+
+
+def test_second_hop_finds_the_file_behind_an_identifier(spark):
+    from plumbline.operators import grounding
+
+    chunks = spark.createDataFrame([(1, "pump failure was filed as OPS-1847", "log.txt", False), (2, "OPS-1847 value 42", "table.csv", False), (3, "unrelated words", "x.txt", False)], "chunk_id long, text string, path string, superseded boolean")
+    idents = corpus.identifier_files(chunks.select("path", "text"))
+    got = grounding.expand_with_identifiers(chunks, spark.createDataFrame([(1, "pump failure"), (2, "zebra")], "query_id long, text string"), idents).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["hop"]) for r in got] == [(1, 1), (2, 2)]
