@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import clean_answer, file_terms, file_tokens, grader_form, holds, identifiers
 from plumbline.operators.retrieval import file_search
 from plumbline.operators.verification import resolve_paths
+from plumbline.session import materialize
 
 
 def expand_with_identifiers(chunks: DataFrame, queries: DataFrame, ident_files: DataFrame, *, k: int = 10, looked_at: int = 5, most: int = 6, tokenize: Callable[[Column], Column] = file_tokens) -> DataFrame:
@@ -18,7 +19,7 @@ def expand_with_identifiers(chunks: DataFrame, queries: DataFrame, ident_files:
 
     ident_files: ident, n_files, of identifiers that link few files. The choice is made for each query inside the plan.
     """
-    first = file_search(chunks, queries, tokenize, k=k).select("query_id", "chunk_id", "path", "rank")
+    first = materialize(file_search(chunks, queries, tokenize, k=k).select("query_id", "chunk_id", "path", "rank"), "hits")  # read three times
     asked = queries.select("query_id", grader_form(F.col("text")).alias("asked"), F.col("text").alias("question"))
     seen = first.filter(F.col("rank") <= looked_at).join(chunks.select("chunk_id", "text"), "chunk_id")
     named = seen.select("query_id", F.explode(identifiers(F.col("text"))).alias("ident")).distinct().join(asked, "query_id").filter(~F.contains(F.col("asked"), F.col("ident")))
@@ -48,7 +49,7 @@ def verify_and_cite(replies: DataFrame, questions: DataFrame, hits: DataFrame, f
     shown = supported(hits.select("query_id", "path", "rank", "text")).withColumn("shown", F.lit(True))
     retrieved = hits.groupBy("query_id", "path").agg(F.min("rank").alias("rank")).join(files.select("path", "text"), "path")
     whole = supported(retrieved.join(shown.select("query_id").distinct(), "query_id", "left_anti")).withColumn("shown", F.lit(False))
-    support = shown.unionByName(whole)
+    support = materialize(shown.unionByName(whole), "support")
 
     written = asked.select("query_id", F.posexplode("sources").alias("pos", "raw"))
     cited = resolve_paths(written, files).filter(F.col("path").isNotNull()).groupBy("query_id", "path").agg(F.min("pos").alias("pos"))
@@ -60,7 +61,7 @@ def verify_and_cite(replies: DataFrame, questions: DataFrame, hits: DataFrame, f
     value = held.filter(F.when(F.col("_any"), F.col("pos").isNotNull()).otherwise(F.col("rank") == F.col("_first")))
     value = value.withColumn("_one", F.row_number().over(w.orderBy("rank", "path"))).filter(F.col("_any") | (F.col("_one") == 1))
     value = value.withColumn("_current", F.max(~F.col("superseded")).over(w)).filter(~F.col("_current") | ~F.col("superseded"))
-    value = value.select("query_id", "path", F.coalesce("pos", F.lit(0)).alias("pos"), "superseded", "shown")
+    value = materialize(value.select("query_id", "path", F.coalesce("pos", F.lit(0)).alias("pos"), "superseded", "shown"), "value")
 
     keys = value.join(ident_files.select("path", "ident"), "path").select("query_id", "ident").distinct().join(asked.select("query_id", grader_form(F.col("question")).alias("asked")), "query_id").filter(~F.contains(F.col("asked"), F.col("ident")))
     others = cited.join(value.select("query_id", "path"), ["query_id", "path"], "left_anti").join(status, "path").filter(~F.col("superseded"))

@@ -12,7 +12,7 @@ from plumbline.functions import paths as P
 from plumbline.functions import text as X
 from plumbline.operators import chunking, corpus, evaluation, grounding, retrieval, verification
 from plumbline.plans.oracles import ORACLES
-from plumbline.session import shared_dir
+from plumbline.session import materialize, shared_dir
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
@@ -369,6 +369,7 @@ def verify_and_cite(spark, sf_dir):
     chunks, asked, parts = _stock(spark, sf_dir)
     idents = corpus.identifier_files(chunks)
     hits = grounding.expand_with_identifiers(chunks, asked, idents).join(chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "rank", "path", "text")
+    hits = materialize(hits, "hits")
     price = F.col("p_retailprice").cast("decimal(20,2)").cast("string")
     answer = F.when(F.col("p_partkey") % 150 == 0, F.lit("0.01")).when(F.col("p_partkey") % 200 == 0, F.lit("")).otherwise(price)
     stock = F.concat(F.lit("/app/corpus/stock/"), (F.col("p_partkey") % 97).cast("string"), F.lit(".txt"))
