@@ -5,9 +5,9 @@ Counting: words of all training rows are counted in tasks and summed in a shuffl
 one in ``HEAD`` of all tokens, so at most ``HEAD`` of them) are broadcast, the others are joined by word, which no
 word can skew since each has less than that share. Subword counts follow from the word counts.
 
-Training: a first model is fitted on ``WARM`` training texts (a documented bound); then every task improves it on its
-share of 1 in ``SHARE`` of all training texts, and the weights are averaged in two steps of grouping, so that what
-is learnt from grows with the input and no task or driver gathers all models.
+Training: a first model is fitted on ``WARM`` whole training texts, as a start only; then every task improves it on
+its whole share of all training texts, and the weights are averaged in two steps of grouping, so that every training
+text is learnt from and no task or driver gathers all models.
 
 Defined cases: a null or empty text has the end token alone; a null id counts as the empty string for the split; rows
 that repeat id and text get the same scores, each its own row; with no training text, N and V are 0 and the base is
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,6 @@ PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 END = b""
 HEAD = 50_000
 WARM = 300
-SHARE = 64
 #: Frequent ids that are a class, or an input symbol, of their own; classes and symbols that the others share.
 OWN_CLASSES, SHARED_CLASSES = 48, 16
 OWN_SYMBOLS, SHARED_SYMBOLS = 4096, 256
@@ -44,8 +43,9 @@ RATE = 0.01
 #: Words whose ids a worker remembers at a time, and types that a task counts before it hands them on.
 REMEMBERED = 200_000
 AVERAGE_GROUPS = 256
-#: Rows that a worker scores before it hands them on.
+#: Rows that a worker scores before it hands them on, and ids of whole texts that it learns from or scores at a time.
 BATCH = 500
+GROUP_IDS = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -154,6 +154,19 @@ def fit_classes(counts: DataFrame, subwords: Subwords) -> Classes:
     return Classes(out)
 
 
+def grouped(sequences: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """All sequences, whole, in groups of some hundred thousand ids, so that many or long texts stay small in memory."""
+    group, size = [], 0
+    for s in sequences:
+        group.append(s)
+        size += len(s)
+        if size > GROUP_IDS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def fit_attention(train: DataFrame, n_train: int, subwords: Subwords, classes: Classes) -> dict[str, np.ndarray]:
     """The averaged model; empty training data leave the fresh one."""
     spark = train.sparkSession
@@ -162,7 +175,7 @@ def fit_attention(train: DataFrame, n_train: int, subwords: Subwords, classes: C
     warm = by_hash.filter(F.pmod("h", F.lit(2**31)) * n_train <= F.lit(2 * WARM * 2**31)).orderBy("h", "doc_id", "text").limit(WARM).select("text").collect()
     if not warm:
         return model
-    sym, cls, _, lengths = classes.inputs([subwords.sequence(words_of(r["text"])[:4000]) for r in warm])
+    sym, cls, _, lengths = classes.inputs([subwords.sequence(words_of(r["text"])) for r in warm])
     model, _ = attention.train(model, sym, cls, lengths, rate=RATE, epochs=2)
     shared = spark.sparkContext.broadcast((subwords, classes, model))
     chunks = 16
@@ -170,12 +183,11 @@ def fit_attention(train: DataFrame, n_train: int, subwords: Subwords, classes: C
     def improve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sub, known, own = shared.value
         weight, tag = 0, 0
-        for pdf in batches:
-            if len(pdf):
-                s, c, _, n = known.inputs([sub.sequence(words_of(t)) for t in pdf["text"]])
-                own, _ = attention.train(own, s, c, n, rate=RATE / 4)
-                weight += len(s)
-                tag = tag or xxhash.xxh3_64_intdigest(s.tobytes()) % AVERAGE_GROUPS
+        for group in grouped(sub.sequence(words_of(t)) for pdf in batches for t in pdf["text"]):
+            s, c, _, n = known.inputs(group)
+            own, _ = attention.train(own, s, c, n, rate=RATE / 4)
+            weight += len(s)
+            tag = tag or xxhash.xxh3_64_intdigest(s.tobytes()) % AVERAGE_GROUPS
         if weight:
             parts = np.array_split(attention.flat(own).astype(np.float64) * weight, chunks)
             yield pd.DataFrame({"part": range(chunks), "g": tag, "w": float(weight), "x": [q.tobytes() for q in parts]})
@@ -185,7 +197,7 @@ def fit_attention(train: DataFrame, n_train: int, subwords: Subwords, classes: C
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "g": -1, "w": pdf["w"].sum(), "x": [total.tobytes()]})
 
     schema = "part long, g long, w double, x binary"
-    sums = by_hash.filter(F.pmod("h", F.lit(SHARE)) == 0).select("text").mapInPandas(improve, schema).groupBy("part", "g").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
+    sums = train.select("text").mapInPandas(improve, schema).groupBy("part", "g").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
     rows = sorted(sums.collect(), key=lambda r: r["part"])  # as many rows as chunks, one model's size
     return attention.unflat(np.concatenate([np.frombuffer(r["x"]) / r["w"] for r in rows]), model) if rows else model
 
@@ -223,16 +235,11 @@ def score(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
                         seen += k
                 sequences.append(sub.sequence(words))
                 out.append((xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "replace")) - 2**63, len(words) + 1, seen, float(base), tail, times))
-            # Whole texts, in groups of some hundred thousand ids, so that a batch of long texts stays small in memory.
-            scores, group, size = [], [], 0
-            for k, s in enumerate(sequences):
-                group.append(s)
-                size += len(s)
-                if size > 100_000 or k == len(sequences) - 1:
-                    sym, cls, ids, lengths = known.inputs(group)
-                    log = attention.score(weights, sym, cls, lengths) + known.inside[ids]
-                    scores += (np.add.reduceat(log.astype(np.float64), np.cumsum(lengths) - lengths) / np.log(10)).tolist()
-                    group, size = [], 0
+            scores = []
+            for group in grouped(sequences):
+                sym, cls, ids, lengths = known.inputs(group)
+                log = attention.score(weights, sym, cls, lengths) + known.inside[ids]
+                scores += (np.add.reduceat(log.astype(np.float64), np.cumsum(lengths) - lengths) / np.log(10)).tolist()
             part = pd.DataFrame(out, columns=["h", "n_tokens", "seen", "base", "tail", "times"])
             yield part.assign(doc_id=pdf["doc_id"].to_numpy(), held_out=pdf["held_out"].to_numpy(), score=scores)[["doc_id", "h", "held_out", "n_tokens", "seen", "base", "score", "tail", "times"]]
 

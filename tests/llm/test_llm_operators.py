@@ -255,3 +255,21 @@ def test_url_rules_and_odd_urls(spark):
     assert [(got[k]["host"], got[k]["path"], got[k]["rule"]) for k in range(6)] == [("", "", None), ("", "", None), ("", "", None), ("a.org", "/es/", "org/"), ("b.example.org", "/es/1", "example.org/es/"), ("example.org", "/en/12", "example.org/en/1")]
     assert got[5]["verdict"] == "block" and got[3]["verdict"] == "allow" and {r["verdict"] for r in got.values()} == {"allow", "block"}
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_attention_learns_from_every_training_text_whole(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "WARM", 2)
+    lengths, train = [], attention.train
+    monkeypatch.setattr(attention, "train", lambda p, s, c, n, **k: lengths.append(n.tolist()) or train(p, s, c, n, **k))
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["red", "green", "blue", "grey"]) for _ in range(n)) for n in [4100] * 5]
+    docs = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    subwords = lm_scoring.Subwords.load(lm_scoring.VOCABULARY)
+    classes = lm_scoring.fit_classes(lm_scoring.count_words(docs(texts)), subwords)
+    fit = lambda rows: attention.flat(lm_scoring.fit_attention(docs(rows).coalesce(1), 4, subwords, classes))
+    whole = fit(texts)
+    warm = lengths[0]  # the driver's own fit
+    assert len(warm) == 2 and min(warm) > 4100
+    for k in range(len(texts)):
+        changed = [t + " red red blue" if i == k else t for i, t in enumerate(texts)]
+        assert not np.array_equal(fit(changed), whole), k
