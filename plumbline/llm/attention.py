@@ -10,9 +10,9 @@ from __future__ import annotations
 import numpy as np
 
 WIDTH = 16
-HIDDEN = 16
-WINDOW = 16
-OVERLAP = 4
+HIDDEN = 32
+WINDOW = 32
+OVERLAP = 8
 SHAPES = {"wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "wo": (WIDTH, WIDTH), "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, WIDTH), "b2": (WIDTH,)}
 
 

@@ -273,3 +273,17 @@ def test_attention_learns_from_every_training_text_whole(spark, monkeypatch):
     for k in range(len(texts)):
         changed = [t + " red red blue" if i == k else t for i, t in enumerate(texts)]
         assert not np.array_equal(fit(changed), whole), k
+
+
+def test_a_score_reads_the_ids_before_it_as_far_as_a_whole_window():
+    rng = np.random.default_rng(3)
+    p = attention.start(50, lm_scoring.OWN_CLASSES + lm_scoring.SHARED_CLASSES, np.full(128, 1 / 128))
+    sym, cls = rng.integers(0, 50, 100), rng.integers(0, 128, 100)
+    score = lambda s: attention.score(p, s, cls, np.array([100]))
+    for at, first in ((31, 0), (32, 24), (55, 24), (56, 48)):  # windows of 32 that overlap by 8
+        for k in (first - 1, first):
+            other = sym.copy()
+            other[k] = (sym[k] + 1) % 50
+            if k >= 0:
+                assert (score(other)[at] != score(sym)[at]) == (k == first), (at, k)
+    assert p["w1"].shape == (attention.WIDTH, 32)
