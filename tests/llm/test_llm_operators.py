@@ -287,3 +287,29 @@ def test_a_score_reads_the_ids_before_it_as_far_as_a_whole_window():
             if k >= 0:
                 assert (score(other)[at] != score(sym)[at]) == (k == first), (at, k)
     assert p["w1"].shape == (attention.WIDTH, 32)
+
+
+def test_pii_proposes_and_redacts_secrets_and_mails_of_any_length(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    made = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    long, plain = made(200, letters + "0123456789"), made(40, letters)
+    local, domain = made(90, letters), made(70, letters) + ".org"
+    mails = [f"{local}@{domain}", f"{local}[at]{domain}", f"{local} (at) {domain}", "a.b@c.example.org"]
+    text = f"token: {long} and secret: {plain}; write {mails[0]} or {mails[1]} or {mails[2]} or {mails[3]}"
+    found = {(k, text[s:e]) for k, s, e in pii.candidates(text)}
+    assert {(4, long), (4, plain), *((0, m) for m in mails)} <= found
+    rows = [(9000, text)]
+    for k in range(1500):
+        n = rng.choice([20, 40, 80, 120, 200, 260])
+        of = rng.choice([letters, letters + "0123456789"])
+        rows.append((k, f"{rng.choice(['token: ', 'secret: ', 'see ', 'in ', 'of '])}{made(n, of)} is here"))
+    out = {r["doc_id"]: r["text"] for r in pii.redact(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert long not in out[9000] and plain not in out[9000]
+    hidden = [i for i, t in rows[1:] if out[i] != t]
+    assert {i for i, t in rows[1:] if t.startswith(("token", "secret"))} == set(hidden)
+
+
+def test_pii_candidates_take_time_in_proportion_to_the_text():
+    for unit in ("x", "@", "[at]", "a[at]", "a@b", "a (at) "):
+        assert len(pii.candidates(unit * 20_000)) <= 60_000
