@@ -33,6 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op1_license_scan": licenses.op1_license_scan,
     "op2_mix_sources": mixing.OP2_SQL,
 }

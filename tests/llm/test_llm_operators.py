@@ -313,3 +313,42 @@ def test_pii_proposes_and_redacts_secrets_and_mails_of_any_length(spark):
 def test_pii_candidates_take_time_in_proportion_to_the_text():
     for unit in ("x", "@", "[at]", "a[at]", "a@b", "a (at) "):
         assert len(pii.candidates(unit * 20_000)) <= 60_000
+
+
+def test_only_sql_is_registered_as_sql():
+    from plumbline.llm import queries
+
+    assert all(isinstance(sql, str) for sql in queries.ORACLES.values())
+
+
+def test_license_scan_equals_a_search_of_every_place(spark):
+    rng = random.Random(21)
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    phrases, templates = list(licenses.PHRASES.values()), [t for t, _ in licenses.TEMPLATES.values()]
+    texts = [None, "", "É cc by"]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 12)):
+            words = rng.choice([rng.choice(phrases), rng.choice(templates), "cc cc by by", "general public", "all of the rights", "İ 4 0 license"]).split()
+            if rng.random() < 0.3:
+                words[rng.randrange(len(words))] = rng.choice(["cc", "license", "odd"])
+            parts.append(rng.choice([" ", "-", "\n"]).join(w.upper() if rng.random() < 0.3 else w for w in words))
+        texts.append(rng.choice([" ", ". "]).join(parts))
+    words = [re.findall(licenses.LICENSE_WORD, (t or "").translate(lower)) for t in texts]
+    df = Counter(w for ws in words for w in set(ws))
+    index = licenses.build_index(df, len(texts), licenses.TEMPLATES, licenses.PHRASES)
+
+    def brute(ws):
+        places = [(i, k) for k, p in licenses.PHRASES.items() for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]
+        labels = {k for _, k in places}
+        for t in (t for t in index if not t["base"]):
+            at = lambda s: ws[s] if 0 <= s < len(ws) else None
+            for s in range(-60, len(ws)):
+                if all(at(s + place + j) == w for key, place in t["keys"] for j, w in enumerate(key)) and sum(at(s + i) == w for w, i in t["rare"]) >= licenses.MIN_SHARE * len(t["rare"]):
+                    labels.add(t["label"])
+        return len(ws), len(places), min(places, default=[None])[0], max(places, default=[None])[0], ",".join(sorted({k for _, k in places})), ",".join(sorted(labels))
+
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")) == brute(words[r["doc_id"]]), r["doc_id"]
+    assert len(got) == len(texts)
