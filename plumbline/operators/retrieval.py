@@ -54,11 +54,23 @@ def top_k(scored: DataFrame, k: int, order: list[Column] | None = None, out: str
     return scored.withColumn(out, F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).filter(F.col(out) <= k)
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 512, salts: int = 16) -> DataFrame:
+#: Vectors of a block, about; and the least number of blocks.
+BLOCK_VECTORS = 8192
+LEAST_SALTS = 16
+
+
+def salts_of(n: int) -> int:
+    """Blocks of vectors for n vectors, so that a block is as large at any size."""
+    return max(LEAST_SALTS, -(-n // BLOCK_VECTORS))
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 512, n_vectors: int | None = None) -> DataFrame:
     """query_id, chunk_id, score (cosine, > 0), rank: exact, in blocks of queries against blocks of vectors.
 
     Both have id and v (array<double>); a block pair is one matrix product, of which only the best k a query leave.
+    n_vectors: number of vectors, at least, where it is known without working them out.
     """
+    salts = salts_of(vectors.count() if n_vectors is None else n_vectors)
     blocks = max(1, -(-queries.count() // block))
     q = queries.select("query_id", F.col("v").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
     x = vectors.select("chunk_id", F.col("v").alias("xv"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
@@ -112,7 +124,7 @@ def reciprocal_rank_fusion(lexical: DataFrame, dense: DataFrame, k: int = 60) ->
 def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     """The best k of fused lexical and dense rankings, each over-fetched twice."""
     lexical = top_k(bm25(chunks, queries), 2 * k)
-    dense = dense_top_k(trigram_vectors(chunks, "chunk_id"), trigram_vectors(queries, "query_id"), 2 * k)
+    dense = dense_top_k(trigram_vectors(chunks, "chunk_id"), trigram_vectors(queries, "query_id"), 2 * k, n_vectors=chunks.count())
     return reciprocal_rank_fusion(lexical, dense).filter(F.col("fused_rank") <= k).withColumn("fused_score", F.round("fused_score", 6))
 
 

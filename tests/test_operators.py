@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import math
+import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,20 @@ def test_second_hop_finds_the_file_behind_an_identifier(spark):
     idents = corpus.identifier_files(chunks.select("path", "text"))
     got = grounding.expand_with_identifiers(chunks, spark.createDataFrame([(1, "pump failure"), (2, "zebra")], "query_id long, text string"), idents).orderBy("rank").collect()
     assert [(r["chunk_id"], r["hop"]) for r in got] == [(1, 1), (2, 2)]
+
+
+def test_dense_blocks_hold_as_many_vectors_at_any_size(spark, monkeypatch):
+    assert all(n / retrieval.salts_of(n) <= retrieval.BLOCK_VECTORS for n in (0, 1, 10**5, 10**6, 10**9))
+    monkeypatch.setattr(retrieval, "BLOCK_VECTORS", 10)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8))
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "chunk_id long, v array<double>")
+    q = v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = retrieval.dense_top_k(v, q, 5)
+    assert re.search(r"pmod\(xxhash64\(chunk_id[^)]*\), cast\(40 as bigint\)\)", found._jdf.queryExecution().analyzed().toString())
+    unit = x / np.sqrt((x**2).sum(1, keepdims=True))
+    want = {k: [n for n in np.lexsort((np.arange(400), -(unit @ unit[k]).round(9)))[:5] if unit[n] @ unit[k] > 0] for k in range(0, 400, 50)}
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got == want
