@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,11 +60,29 @@ def row_segments(rows: DataFrame, prefix: str) -> DataFrame:
 
 
 def folder_fingerprints(files: DataFrame) -> DataFrame:
-    """folder and sha1 over ``path:size`` lines in walk order. By folder, so that no task gathers all files."""
+    """folder and sha1 over ``path:size`` lines in walk order. By folder, so that no task reads all files; a folder's
+    lines are sorted by Spark and hashed as they come, so that none has to hold them."""
     folder = F.regexp_extract("path", r"^([^/]*)/", 1)
     line = F.concat("path", F.lit(":"), F.coalesce(F.col("size"), F.lit(-1)).cast("string"), F.lit("\n"))
-    kept = files.filter(walked(F.col("path"))).select(folder.alias("folder"), F.struct(walk_key(F.col("path")).alias("k"), line.alias("line")).alias("x"))
-    return kept.groupBy("folder").agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "").cast("binary")).alias("fingerprint"), F.count("*").alias("n_files"))
+    kept = files.filter(walked(F.col("path"))).select(folder.alias("folder"), walk_key(F.col("path")).alias("k"), line.alias("line"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, digest, n = None, hashlib.sha1(), 0
+        for pdf in batches:
+            done = []
+            for own, text in zip(pdf["folder"], pdf["line"], strict=True):
+                if own != name:
+                    if n:
+                        done.append((name, digest.hexdigest(), n))
+                    name, digest, n = own, hashlib.sha1(), 0
+                digest.update(text.encode("utf-8", "replace"))
+                n += 1
+            yield pd.DataFrame(done, columns=["folder", "fingerprint", "n_files"])
+        if n:
+            yield pd.DataFrame([(name, digest.hexdigest(), n)], columns=["folder", "fingerprint", "n_files"])
+
+    ordered = kept.repartition("folder").sortWithinPartitions("folder", "k", "line").select("folder", "line")
+    return ordered.mapInPandas(run, "folder string, fingerprint string, n_files long")
 
 
 def reuse_transcripts(images: DataFrame, previous: DataFrame) -> DataFrame:

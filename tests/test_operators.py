@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zipfile
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.functions.paths import walk_key
 from plumbline.operators import chunking, corpus, evaluation, retrieval, verification
 from plumbline.sources import files
 
@@ -201,3 +203,16 @@ def test_dense_blocks_hold_as_many_vectors_at_any_size(spark, monkeypatch):
     for r in found.orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["chunk_id"])
     assert got == want
+
+
+def test_fingerprints_hash_sorted_lines_without_gathering_them(spark):
+    rows = [(f"h{k % 3}/d{k % 7}/é{k}.txt", k * 11 if k % 5 else None) for k in range(500)] + [("one/x.txt", 3)]
+    found = corpus.folder_fingerprints(spark.createDataFrame(rows, "path string, size long"))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    keyed = spark.createDataFrame(rows, "path string, size long").select("path", "size", walk_key(F.col("path")).alias("k")).orderBy("k").collect()
+    want: dict = {}
+    for r in keyed:
+        want.setdefault(r["path"].split("/")[0], []).append(f"{r['path']}:{-1 if r['size'] is None else r['size']}\n")
+    got = {r["folder"]: (r["fingerprint"], r["n_files"]) for r in found.collect()}
+    assert got == {k: (hashlib.sha1("".join(v).encode()).hexdigest(), len(v)) for k, v in want.items()}
+    assert corpus.folder_fingerprints(spark.createDataFrame([], "path string, size long")).count() == 0
