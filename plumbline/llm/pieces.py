@@ -5,14 +5,18 @@ rank by Zipf's law (the file's own scores are ranks). The encoder reads characte
 bounded by the longest piece, the best score of each boundary. Where all surviving paths run through one boundary,
 the ids up to it are committed and the window is emptied. Such boundaries lie at least at each start of a word,
 since no piece holds a word mark after another character; between two of them the result depends on the characters
-alone, so it is remembered for words seen before. A character that no piece covers becomes its UTF-8 bytes' ids.
+alone. So the stretches between commits that a slice of texts has and that were not seen before are solved together,
+one step of the Viterbi recursion for all of them at a time, and remembered; stretches longer than ``TOGETHER``
+characters go through the streaming encoder one by one. A character that no piece covers becomes its UTF-8 bytes' ids.
 
 A space becomes a word mark and one mark is put in front; decoding takes both back, so that decode(encode(text)) is
-the text, byte for byte, except that word marks in the text itself come back as spaces.
+the text, byte for byte, except that word marks in the text itself come back as spaces. No piece and no byte sequence
+reaches over a commit, so a text goes round if each of its stretches does, which is checked once a stretch.
 
-Defined cases: a null or empty text has no ids and decodes to the empty text; rows are encoded one by one, so
-repeated ids and rows don't matter; an empty table gives no rows; other columns pass through, clashing names are
-replaced.
+Defined cases: a null or empty text has no ids and decodes to the empty text; a very long text, or a very long run
+without a word's start, is encoded whole in a bounded window; of equal sums the path whose last piece is longest wins;
+rows are encoded one by one, so repeated ids and rows don't matter; an empty table gives no rows; other columns pass
+through, clashing names are replaced.
 """
 
 from __future__ import annotations
@@ -20,15 +24,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import table
+from plumbline.llm.common import add_columns, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -37,7 +41,15 @@ BYTE_SCORE = -20 * 2**20
 #: Scores are kept in whole steps of this part of a nat.
 SCALE = 2**20
 #: Words whose ids a worker remembers at a time.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Longest stretch that is solved together with others; widths to which stretches are filled up for that.
+TOGETHER = 64
+WIDTHS = (6, 8, 10, 12, 16, 24, TOGETHER)
+#: Stretches that are solved at a time (what a cache holds), and the score of what no piece reaches.
+GROUP, NONE = 1024, -(2**50)
+#: Slots of the table of pieces, as a power of two, and the base and factor of its hashes.
+SLOT_BITS = 18
+BASE, FACTOR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Pieces:
@@ -51,8 +63,9 @@ class Pieces:
         own = {i: p.encode() for i, p, _ in pieces} | {i: bytes([b]) for b, i in byte_ids.items()}
         self.text = [own.get(i, b"") for i in range(max(own, default=-1) + 1)]
         self.byte_ids = byte_ids
-        #: Ids of words seen, kept by a worker from task to task.
-        self.known: dict[str, bytes] = {}
+        #: What the pieces are: a worker's memory belongs to it.
+        self.key = hashlib.sha256(repr((pieces, sorted(byte_ids.items()))).encode("utf-8", "replace")).hexdigest()
+        self.table = PieceTable(self.entries)
         self.longest = max((len(p) for _, p, _ in pieces), default=1)
         # No piece has a mark after another character; none has a line's end beside another character.
         inside = [p for _, p, _ in pieces if set(p) != {MARK}]
@@ -77,14 +90,119 @@ class Pieces:
         return cls(pieces, byte_ids)
 
 
+class PieceTable:
+    """Pieces by a 64-bit hash of their characters, in one array of slots: id, score and length at once for many
+    substrings. A false match would show in the round trip of its stretch, which is then solved by itself."""
+
+    def __init__(self, entries: dict[str, tuple[int, int] | None]):
+        found = [(p, *e) for p, e in entries.items() if e is not None]
+        mask = 2**SLOT_BITS - 1
+        # One slot more, for what isn't found.
+        self.keys, self.ids, self.scores = np.zeros(2**SLOT_BITS, np.uint64), np.zeros(2**SLOT_BITS + 1, np.int32), np.full(2**SLOT_BITS + 1, NONE)
+        self.chars = np.zeros((max((i for _, i, _ in found), default=0) + 1, max((len(p) for p, _, _ in found), default=1)), np.uint32)
+        for p, i, _ in found:
+            self.chars[i, : len(p)] = list(map(ord, p))
+        if found:
+            prefixes = self.hashes(self.chars[[i for _, i, _ in found]])
+            keys = prefixes[np.arange(len(found)), [len(p) for p, _, _ in found]]
+            for slot, key, (_, i, score) in zip(self.slots(keys).tolist(), keys, found, strict=True):
+                while self.keys[slot]:
+                    slot = (slot + 1) & mask
+                self.keys[slot], self.ids[slot], self.scores[slot] = key, i, score
+
+    @staticmethod
+    def hashes(chars: np.ndarray) -> np.ndarray:
+        """Hashes of all prefixes, the empty one first."""
+        out = np.zeros((len(chars), chars.shape[1] + 1), np.uint64)
+        for j in range(chars.shape[1]):
+            out[:, j + 1] = out[:, j] * BASE + chars[:, j] + np.uint64(1)
+        return out
+
+    @staticmethod
+    def slots(keys: np.ndarray) -> np.ndarray:
+        return ((keys * FACTOR) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the last one."""
+        slot = self.slots(keys)
+        held = self.keys[slot]
+        missed = held != keys
+        other = np.nonzero(missed & (held != 0))
+        slot[missed] = -1
+        if len(other[0]):
+            wanted = keys[other]
+            at = self.slots(wanted)
+            while len(wanted):
+                at = (at + 1) & (2**SLOT_BITS - 1)
+                held = self.keys[at]
+                hit = held == wanted
+                slot[tuple(x[hit] for x in other)] = at[hit]
+                going = ~hit & (held != 0)
+                other, wanted, at = tuple(x[going] for x in other), wanted[going], at[going]
+        return slot
+
+
+#: A worker's ids of stretches seen, and those that don't go round; kept from task to task, for one vocabulary at a time.
+_SEEN: dict[str, tuple[dict[str, bytes], set[str]]] = {}
+
+
 class StreamingEncoder:
     """Viterbi over a window of boundaries, committing ids where all surviving paths meet."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.known = pieces, pieces.known
+        self.pieces = pieces
+        if pieces.key not in _SEEN:
+            _SEEN.clear()
+            _SEEN[pieces.key] = ({}, set())
+        self.known, self.broken = _SEEN[pieces.key]
         cut = "\n" if pieces.lines else ""
         self.splits = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + ("|\n+" if cut else "")) if pieces.words else None
 
+    def together(self, words: list[str]) -> list[bytes | None]:
+        """int32 ids of stretches of at most TOGETHER characters; None where one has a character without a piece, or
+        where its pieces don't give it back."""
+        lookup, longest, out = self.pieces.table, self.pieces.longest, [None] * len(words)
+        lengths = np.array(list(map(len, words)))
+        bands = [(np.flatnonzero((lengths > low) & (lengths <= width)), width) for low, width in zip((0, *WIDTHS), WIDTHS, strict=False)]
+        for own, width in ((band[i : i + GROUP], width) for band, width in bands for i in range(0, len(band), GROUP)):
+            n = lengths[own]
+            chars = np.frombuffer("".join([words[i].ljust(width, "\0") for i in own]).encode("utf-32-le"), np.uint32).reshape(len(own), width)
+            prefix = lookup.hashes(chars)
+            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(longest, BASE)]))
+            best = np.full((len(own), width + 1), NONE)
+            best[:, 0] = 0
+            last, ids = np.zeros((len(own), width + 1), np.int16), np.zeros((len(own), width + 1), np.int32)
+            rows = np.arange(len(own))
+            for end in range(1, width + 1):
+                first = max(0, end - longest)  # the longest piece first, which wins ties
+                slot = lookup.find(prefix[:, end, None] - prefix[:, first:end] * power[end - np.arange(first, end)])
+                sums = best[:, first:end] + lookup.scores[slot]
+                pick = sums.argmax(1)
+                best[:, end], last[:, end], ids[:, end] = sums[rows, pick], end - first - pick, lookup.ids[slot[rows, pick]]
+            fine = best[rows, n] > NONE // 2
+            at, parts = np.where(fine, n, 0), []
+            while (going := np.flatnonzero(at)).size:
+                end, length = at[going], last[going, at[going]]
+                own_ids = ids[going, end]
+                # The piece's characters against the stretch's own: a hash alone is no proof.
+                spots = (end - length)[:, None] + np.arange(longest)
+                same = (chars[going[:, None], np.minimum(spots, width - 1)] == lookup.chars[own_ids]) | (np.arange(longest) >= length[:, None])
+                fine[going] &= same.all(1)
+                column = np.full(len(own), -1, np.int32)
+                column[going] = own_ids
+                parts.append(column)
+                at[going] -= length
+            if parts:
+                found = np.array(parts[::-1], np.int32).T
+                used = found >= 0
+                ends = np.cumsum(used.sum(1)) * 4
+                flat, begin = found[used].tobytes(), 0
+                for i, end, ok in zip(own.tolist(), ends.tolist(), fine.tolist(), strict=True):
+                    if ok:
+                        out[i] = flat[begin:end]
+                    begin = end
+        return out
+
     def viterbi(self, chars: str) -> list[int]:
         """Ids of ``chars``. Of equal sums the path whose last piece is longest wins."""
         get, byte_ids, longest = self.pieces.entries.get, self.pieces.byte_ids, self.pieces.longest
@@ -143,24 +261,39 @@ class StreamingEncoder:
         out.reverse()
         return out
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """int32 ids of a text; a word's are kept as bytes, so that a text's are one join."""
-        if not text:
-            return np.zeros(0, np.int32)
-        marked = MARK + text.replace(" ", MARK)
-        if self.splits is None:
-            return np.array(self.viterbi(marked), np.int32)
-        known, out = self.known, []
-        if len(known) > REMEMBERED:
-            known.clear()
-        for word in self.splits.findall(marked):
-            ids = known.get(word)
+    def learn(self, stretches: Iterable[str]) -> None:
+        """Remembers the ids of stretches, and which of them don't go round."""
+        words = list(stretches)
+        short = [w for w in words if len(w) <= TOGETHER]
+        solved = dict(zip(short, self.together(short), strict=True))
+        for w in words:
+            ids = solved.get(w)
             if ids is None:
-                ids = np.array(self.viterbi(word), np.int32).tobytes()
-                if len(word) <= 64:
-                    known[word] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+                ids = np.array(self.viterbi(w), np.int32).tobytes()
+                if b"".join(map(self.pieces.text.__getitem__, np.frombuffer(ids, np.int32).tolist())).decode("utf-8", "replace") != w:
+                    self.broken.add(w)
+            self.known[w] = ids
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
+        """int32 ids of each text as bytes, and whether they decode to it."""
+        split = self.splits.findall if self.splits is not None else lambda t: [t]
+        words = [split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.broken.clear()
+        new = set().union(*words) - self.known.keys()
+        self.learn(new)
+        get = self.known.__getitem__
+        out = [(b"".join(map(get, w)), not self.broken or self.broken.isdisjoint(w)) for w in words]
+        for w in new:
+            if len(w) > TOGETHER:  # too large to keep
+                del self.known[w]
+                self.broken.discard(w)
+        return out
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """int32 ids of a text."""
+        return np.frombuffer(self.encode_all([text])[0][0], np.int32)
 
 
 def decode_ids(ids: np.ndarray | list[int], pieces: Pieces) -> str:
@@ -172,52 +305,48 @@ def decode_ids(ids: np.ndarray | list[int], pieces: Pieces) -> str:
 BATCH = 1000
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for i in range(0, len(pdf), BATCH):
-            yield pdf.iloc[i : i + BATCH]
+def _lists(ids: list[bytes]) -> pa.Array:
+    """Arrays of ids, laid end to end."""
+    ends = np.cumsum([0, *map(len, ids)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
-def encode(docs: DataFrame, *, model: str = MODEL, col: str = "text", out: str = "ids") -> DataFrame:
-    """Adds ``out``: array<int>. The vocabulary is read on the driver and broadcast; its size is the model file's."""
+def _encoded(docs: DataFrame, fields: dict, columns, model: str, col: str) -> DataFrame:
+    """``columns`` makes the new ones from pairs of ids and whether they go round. The vocabulary is read on the driver
+    and broadcast; its size is the model file's."""
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def worker():
         encoder = StreamingEncoder(shared.value)
-        for pdf in _slices(batches):
-            yield pdf.assign(**{out: [encoder.encode(t) for t in pdf[col]]})
+        return lambda part: columns(encoder.encode_all(part.column(col).to_pylist()))
 
-    docs = docs.drop(out)
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return add_columns(docs, fields, worker, BATCH)
 
 
-def decode(encoded: DataFrame, *, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds ``out``: the text of an array of ids; ids past the vocabulary raise, control pieces are empty."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Pieces.load(model))
+IDS = (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(**{out: [decode_ids([] if x is None else list(x), shared.value) for x in pdf[ids]]})
 
-    encoded = encoded.drop(out)
-    return encoded.mapInPandas(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())]))
+def encode(docs: DataFrame, *, model: str = MODEL, col: str = "text", out: str = "ids") -> DataFrame:
+    """Adds ``out``: array<int>."""
+    return _encoded(docs, {out: IDS}, lambda found: [_lists([ids for ids, _ in found])], model, col)
 
 
 def encode_checked(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
     """Adds n_ids, ids, ids_sha256 (over little-endian int32) and round_trip (decoding gives the text back) in one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
+    fields = {"n_ids": (T.LongType(), pa.int64()), "ids": IDS, "ids_sha256": (T.StringType(), pa.string()), "round_trip": (T.BooleanType(), pa.bool_())}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = shared.value
-        encoder = StreamingEncoder(pieces)
-        for pdf in _slices(batches):
-            ids = [encoder.encode(t) for t in pdf["text"]]
-            back = [decode_ids(x, pieces) == (t or "").replace(MARK, " ") for x, t in zip(ids, pdf["text"], strict=True)]
-            yield pdf.assign(n_ids=list(map(len, ids)), ids=ids, ids_sha256=[hashlib.sha256(x.tobytes()).hexdigest() for x in ids], round_trip=back)
-
-    docs = docs.drop("n_ids", "ids", "ids_sha256", "round_trip")
-    new = [T.StructField("n_ids", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *new]))
+    def columns(found: list[tuple[bytes, bool]]) -> list:
+        ids = [x for x, _ in found]
+        return [[len(x) // 4 for x in ids], _lists(ids), [hashlib.sha256(x).hexdigest() for x in ids], [ok for _, ok in found]]
+
+    return _encoded(docs, fields, columns, model, "text")
+
+
+def decode(encoded: DataFrame, *, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Adds ``out``: the text of an array of ids; ids past the vocabulary raise, control pieces are empty."""
+    shared = encoded.sparkSession.sparkContext.broadcast(Pieces.load(model))
+    worker = lambda: lambda part: [[decode_ids(x or [], shared.value) for x in part.column(ids).to_pylist()]]
+    return add_columns(encoded, {out: (T.StringType(), pa.string())}, worker)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
