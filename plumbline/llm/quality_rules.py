@@ -1,16 +1,18 @@
 """Quality rules: base counts, and divergence from language references. Built-in expressions only.
 
-A row is judged by itself, except for the references, which are means over all documents of a language and are at
-most one short row for each of the languages in ``COMMON_WORDS`` plus one for all others together.
+A row is judged by itself, except for the references, which are means over all documents of a language that pass the
+base, at most one short row for each of the languages in ``COMMON_WORDS`` plus one for all others together. Counts and
+histograms are written once, in one pass over the texts; references and verdicts are read from them.
 
 The verdict: a document's character classes and its language's common words are histograms; the Jensen-Shannon
 distance (base 2, square root of the divergence) to the language's reference must stay under a threshold. A
-histogram counts only from a least number of words on, below which chance alone moves it; a document whose language
-has too few references to trust is judged by the pooled character classes only.
+histogram counts only from a least number of words on, below which chance alone moves it. A language's class reference
+leans on that of all languages by the weight of ``PRIOR`` documents, so that a rare language has a steady one.
 
 Defined cases: a null text has no words and fails the base; a null or unknown language is judged by the pooled
-reference; with no reference at all (an empty or tiny table) only the base decides; rows are judged one by one, so
-repeated ids and rows don't matter; other columns pass through, clashing names are replaced.
+reference; with no reference at all (an empty table, or none long enough) only the base decides; a very long text is
+counted whole, in one row; rows are judged one by one, so repeated ids and rows count as often as they stand and get
+the same verdict; equal distances tie without effect; other columns pass through, clashing names are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import WORD, table, text_of
+from plumbline.session import materialize
 
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?()[]\"'-_/"
@@ -28,8 +31,10 @@ WINDOW = 5
 #: Words from which on a histogram is compared.
 MIN_FOR_CLASSES = 50
 MIN_FOR_WORDS = 80
-#: Documents from which on a language's mean is a reference.
-MIN_REFERENCES = 30
+#: Documents of all languages that stand in a language's class reference beside its own.
+PRIOR = 30
+#: White space among characters.
+BLANKS = " \t\n\x0b\x0c\r"
 MAX_CLASS_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.28
 
@@ -65,56 +70,41 @@ def _covered(windows: Column) -> Column:
     return F.when(n > F.size(F.array_distinct(windows)), covered).otherwise(F.lit(0))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+def measure(docs: DataFrame) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the histograms _lang, _classes
+    and _common (counts)."""
     text = text_of()
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    out = lambda c, pattern: F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+    refs = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    at = lambda i, j: F.get("_hashes", i + j)
+    seen = ["_upper", "_lower", "_digit", "_punct", "_space", "n_symbols"]
     return (
-        docs.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+        # Most characters are small letters: the other classes are counted in what is left without them.
+        docs.withColumn("_rest", F.regexp_replace(text, r"\p{Ll}+", ""))
+        .withColumn("_words", F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
         .withColumn("_lines", lines)
         .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"))
-        .withColumn("n_symbols", _count(text, SYMBOLS).cast("long"))
+        .withColumn("_space", _count(F.col("_rest"), BLANKS))
+        .withColumn("word_chars", (F.length(text) - F.col("_space")).cast("long"))
+        .withColumn("n_symbols", _count(F.col("_rest"), SYMBOLS).cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-        .withColumn(
-            "_windows",
-            F.when(
-                F.size("_words") >= WINDOW,
-                F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("_hashes"), i + j) for j in range(WINDOW)])),
-            ).otherwise(F.array().cast("array<bigint>")),
-        )
+        .withColumn("_windows", F.slice(F.transform("_hashes", lambda h, i: F.xxhash64(h, *[at(i, j) for j in range(1, WINDOW)])), F.lit(1), F.greatest(F.lit(0), F.size("_hashes") - (WINDOW - 1))))
         .withColumn("n_repeat_words", _covered(F.col("_windows")).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-        .drop("_lines", "_hashes", "_windows")
-    )
-
-
-def histograms(docs: DataFrame) -> DataFrame:
-    """Adds _lang, _classes and _common (counts); needs _words and n_symbols."""
-    text = text_of()
-    out = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-    known = sorted({w for words in COMMON_WORDS.values() for w in words})
-    refs = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    plain = F.filter(F.transform("_words", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))), lambda w: w.isin(known))
-    counted = (
-        docs.withColumn("_lang", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit(POOLED)))
-        .withColumn("_upper", out(r"\p{Lu}+"))
-        .withColumn("_lower", out(r"\p{Ll}+"))
-        .withColumn("_digit", out(r"\p{Nd}+"))
-        .withColumn("_punct", _count(text, PUNCTUATION))
-        .withColumn("_space", F.length(text) - F.col("word_chars"))
-        .withColumn("_plain", plain)
+        .withColumn("_lang", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit(POOLED)))
+        .withColumn("_upper", out(F.col("_rest"), r"\p{Lu}+"))
+        .withColumn("_lower", F.length(text) - F.length("_rest"))
+        .withColumn("_digit", out(F.col("_rest"), r"\p{Nd}+"))
+        .withColumn("_punct", _count(F.col("_rest"), PUNCTUATION))
+        .withColumn("_classes", F.array(*[F.col(c).cast("double") for c in seen], (F.length(text) - sum((F.col(c) for c in seen[1:]), F.col(seen[0]))).cast("double")))
+        # Small words without closing punctuation; a language's common ones are counted by taking each away.
+        .withColumn("_plain", F.split(F.lower(F.concat(text, F.lit(" "))), r"[.,;:!?]*[\x20\x09-\x0D]+"))
         .withColumn("_refs", F.coalesce(F.try_element_at(refs, F.col("_lang")), F.array().cast("array<string>")))
-    )
-    seen = ["_upper", "_lower", "_digit", "_punct", "_space", "n_symbols"]
-    rest = F.length(text) - sum((F.col(c) for c in seen[1:]), F.col(seen[0]))
-    hits = F.transform("_refs", lambda r: F.size(F.filter("_plain", lambda w: w == r)).cast("double"))
-    return (
-        counted.withColumn("_classes", F.array(*[F.col(c).cast("double") for c in seen], rest.cast("double")))
-        .withColumn("_hits", hits)
+        .withColumn("_hits", F.transform("_refs", lambda r: (F.size("_plain") - F.size(F.array_remove("_plain", r))).cast("double")))
         .withColumn("_common", F.concat("_hits", F.array(F.col("n_words") - F.aggregate("_hits", F.lit(0.0), lambda a, x: a + x))))
-        .drop(*seen[:-1], "_plain", "_refs", "_hits", "_words")
+        .drop("_rest", "_words", "_lines", "_hashes", "_windows", "_plain", "_refs", "_hits", *seen[:-1])
     )
 
 
@@ -123,12 +113,13 @@ def _shares(counts: Column) -> Column:
     return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, total), F.lit(0.0)))
 
 
-def references(counted: DataFrame) -> dict[str, tuple[list[float] | None, list[float] | None]]:
-    """By language, and pooled: the mean shares of classes and of common words. A row or two for each language."""
+def references(measured: DataFrame) -> dict[str, tuple[list[float] | None, list[float] | None]]:
+    """By language, and pooled: the mean shares of classes and of common words among documents that pass the base. A
+    row for each language comes back."""
     width = 7
     words = max(map(len, COMMON_WORDS.values())) + 1
     shares = (
-        counted.filter(F.col("n_words") >= MIN_FOR_CLASSES)
+        measured.filter((F.col("n_words") >= MIN_FOR_CLASSES) & ~F.col("base_failed"))
         .withColumn("_c", _shares(F.col("_classes")))
         .withColumn("_w", F.when(F.col("n_words") >= MIN_FOR_WORDS, _shares(F.col("_common"))))
     )
@@ -136,10 +127,13 @@ def references(counted: DataFrame) -> dict[str, tuple[list[float] | None, list[f
         F.count("*").alias("n"), F.count("_w").alias("m"),
         F.array(*[F.sum(F.get("_c", i)) for i in range(width)]).alias("c"), F.array(*[F.sum(F.get("_w", i)) for i in range(words)]).alias("w"),
     ).collect()
-    refs = {r["_lang"]: ([x / r["n"] for x in r["c"]] if r["n"] >= MIN_REFERENCES else None, [(x or 0.0) / r["m"] for x in r["w"]] if r["m"] >= MIN_REFERENCES and r["_lang"] != POOLED else None) for r in rows}
+    if not rows:
+        return {POOLED: (None, None)}
     n = sum(r["n"] for r in rows)
-    pooled = [sum(r["c"][i] for r in sorted(rows, key=lambda r: r["_lang"])) / n for i in range(width)] if n >= MIN_REFERENCES else None
-    return {k: (c or pooled, w) for k, (c, w) in refs.items()} | {POOLED: (pooled, None)}
+    pooled = [sum(r["c"][i] for r in sorted(rows, key=lambda r: r["_lang"])) / n for i in range(width)]
+    leaning = lambda r: [(x + PRIOR * p) / (r["n"] + PRIOR) for x, p in zip(r["c"], pooled, strict=True)]
+    refs = {r["_lang"]: (leaning(r), [(x or 0.0) / r["m"] for x in r["w"]] if r["m"] and r["_lang"] != POOLED else None) for r in rows}
+    return refs | {POOLED: (pooled, None)}
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -154,16 +148,17 @@ def _literal(refs: dict, k: int) -> Column:
     return F.try_element_at(F.create_map(*rows), F.col("_lang")) if rows else F.lit(None).cast("array<double>")
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Adds the base counts, class_distance, word_distance (null where not compared) and kept."""
+def judge(docs: DataFrame, *, text: bool = True) -> DataFrame:
+    """Adds the base counts, class_distance, word_distance (null where not compared) and kept. Without ``text`` that
+    column is left out, and not written."""
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
-    light = docs.select("text", "lang").withColumns({"_words": F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0)), "n_symbols": _count(text_of(), SYMBOLS), "word_chars": F.length(F.translate(text_of(), " \t\n\x0b\x0c\r", ""))})
-    refs = references(histograms(light.withColumn("n_words", F.size("_words"))))
-    judged = histograms(base_counts(docs))
+    measured = measure(docs)
+    measured = materialize(measured if text else measured.drop("text"), "measured")
+    refs = references(measured)
     # A language without a reference of its own falls back to the pooled one.
     lang = F.when(F.col("_lang").isin(*refs), F.col("_lang")).otherwise(F.lit(POOLED))
     return (
-        judged.withColumn("_lang", lang)
+        measured.withColumn("_lang", lang)
         .withColumn("class_distance", F.when(F.col("n_words") >= MIN_FOR_CLASSES, js_distance(_shares(F.col("_classes")), _literal(refs, 0))))
         .withColumn("word_distance", F.when(F.col("n_words") >= MIN_FOR_WORDS, js_distance(_shares(F.col("_common")), _literal(refs, 1))))
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= MAX_WORD_DISTANCE))
@@ -172,12 +167,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the verdict keeps. An explode of nothing drops the others: a filter would be pushed
-    down with a copy of the whole verdict, which is worked out once this way."""
-    judged = judge(docs).select(*docs.columns, "kept")
-    return judged.select(*docs.columns, F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_kept")).drop("_kept")
+    """The rows of ``docs`` that the verdict keeps."""
+    return judge(docs).filter("kept").select(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return judge(docs, text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
