@@ -4,16 +4,24 @@ Sketch: a document's set of word shingles is hashed to 64 bits; under each permu
 maximum are kept, so half the permutations fill a signature. Groups of ``ROWS`` minima (or maxima) are bands; the
 number of bands is chosen so that a pair at the threshold misses all of them with probability under ``MISS``.
 
-Equal sets fall together first (a 128-bit fingerprint), so exact copies are one node. In each bucket every member is
-compared with one member drawn for that bucket (linear in the bucket), and the links found are joined to components.
-Only buckets that then still hold two components are searched in full, in blocks of at most ``BLOCK`` members a side:
-each pair in the first bucket that it shares, none left out, and only links leave the task. So all links between
-different texts that share a bucket count, and no step emits all pairs of a group.
-
-Defined cases: a null text, or one without words, has no set, size 0, and is linked with nothing; a null id takes
-part, is never the smallest, and stands for its component only where there is no other id; rows that repeat an id
-are members each for itself; an empty table gives no rows; other columns pass through ``deduplicate``, clashing names
-are replaced.
+Equal sets fall together first (a 128-bit fingerprint), so exact copies are one node. Nodes have one order, by hash,
+and the first of a bucket is its hub. Links are sought in three steps, each over what the one before left open:
+
+1. every node against one hub, the first in order of all its buckets' hubs: at most one pair a node, so a group of m
+   near copies gives at most m pairs;
+2. in buckets whose members are then still in different components, members against their bucket's hub where their
+   components differ;
+3. in buckets that still hold two components, all pairs of different components, in blocks of at most ``BLOCK``
+   members a side: each pair in the first bucket that it shares, none left out, and only links leave the task.
+
+So all links between different texts that share a bucket count, and no step emits all pairs of a group. A bucket that
+holds many rows is joined with its hub, one row, which adaptive execution splits where a task would grow large.
+
+Defined cases: a null text, or one without words, has no set, size 0, and is linked with nothing; a very long text
+is one set, whole, hashed in slices; a null id takes part, is never the smallest, and stands for its component only
+where there is no other id; rows that repeat an id are members each for itself; texts of equal sets tie and the
+smallest id is kept; an empty table gives no rows; other columns pass through ``deduplicate``, clashing names are
+replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +32,13 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import table
+from plumbline.llm.common import add_columns, table
 from plumbline.session import materialize
 
 ROWS = 5
@@ -62,7 +71,7 @@ class Shingler:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
-        a = np.fromiter((known[w] for w in words), np.uint64, len(words))
+        a = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n, k = len(a), min(self.k, len(a))
         if not n:
             return a
@@ -81,11 +90,13 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> bool:
 
 
 def bands_of(hashes: np.ndarray, bands: int, rows: int, factors: np.ndarray) -> np.ndarray:
-    """The bands' 64-bit keys; the band's number is mixed in."""
+    """The bands' 64-bit keys; the band's number is mixed in. A permutation is a product with an odd factor, whose
+    leading bits, which decide, depend on all bits of the (already mixed) hash."""
     low, high = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(factors), np.uint64)
     for i in range(0, len(hashes), 2048):
-        v = _final(hashes[i : i + 2048][None, :] * factors[:, None])
-        low, high = np.minimum(low, v.min(1)), np.maximum(high, v.max(1))
+        v = factors[:, None] * hashes[None, i : i + 2048]
+        np.minimum(low, v.min(1), out=low)
+        np.maximum(high, v.max(1), out=high)
     signature = np.concatenate([low, high]).reshape(bands, rows)
     key = np.arange(1, bands + 1, dtype=np.uint64)
     for j in range(rows):
@@ -106,14 +117,15 @@ def sketch(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     a set is new to the task, so that copies of one text needn't meet in a shuffle."""
     bands = n_bands(float(threshold))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def worker():
         shingle, factors = Shingler(k), _factors(bands, ROWS)
         seen: set[bytes] = set()
-        for pdf in batches:
+
+        def step(part: pa.RecordBatch) -> list:
             if len(seen) > REMEMBERED:
                 seen.clear()
             n, fps, keys, new = [], [], [], []
-            for text in pdf["text"]:
+            for text in part.column("text").to_pylist():
                 s = shingle(text)
                 fp = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 n.append(len(s))
@@ -121,10 +133,15 @@ def sketch(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
                 keys.append(bands_of(s, bands, ROWS, factors) if len(s) else None)
                 new.append(fp is not None and fp not in seen)
                 seen.add(fp)
-            yield pdf.assign(_n=n, _fp=fps, _bands=keys, _first=new)
+            return [n, fps, keys, new]
 
-    added = [T.StructField("_n", T.LongType()), T.StructField("_fp", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_first", T.BooleanType())]
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *added])).withColumn("_rid", F.monotonically_increasing_id())
+        return step
+
+    fields = {
+        "_n": (T.LongType(), pa.int64()), "_fp": (T.BinaryType(), pa.binary()),
+        "_bands": (T.ArrayType(T.LongType()), pa.list_(pa.int64())), "_first": (T.BooleanType(), pa.bool_()),
+    }
+    return add_columns(docs, fields, worker).withColumn("_rid", F.monotonically_increasing_id())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -211,44 +228,70 @@ def _searched(members: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     return members.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInPandas(run, "a binary, z binary")
 
 
+def _long_enough(a: str, z: str, threshold: Fraction) -> Column:
+    """Sets of sizes a and z can reach the threshold at all."""
+    return F.least(a, z) * threshold.denominator >= F.greatest(a, z) * threshold.numerator
+
+
+def _with_hub(rows: DataFrame) -> DataFrame:
+    """``rows`` (b, fp, n, ...) with hub and hub_n: the first node of each bucket by hash. The hubs are written first,
+    one row a bucket, so that adaptive execution can split a large bucket's side of the join."""
+    first = F.min(F.struct(F.xxhash64("fp").alias("draw"), "fp", "n")).alias("hub")
+    hubs = materialize(rows.groupBy("b").agg(first, F.count("*").alias("c")).filter("c > 1").select("b", "c", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    return rows.join(hubs, "b")
+
+
+def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (b, fp, n, hub, hub_n, c) of buckets that hold two components, with their label."""
+    labelled = materialize(members.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
+    mixed = materialize(labelled.groupBy("b").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("b"), "open")
+    return labelled.join(mixed, "b", "left_semi")
+
+
 def _labelled(docs: DataFrame, k: int, threshold: Fraction, block: int) -> tuple[DataFrame, DataFrame]:
     """The sketched rows, written once, and fp, lead (smallest id) and label for each distinct set."""
     rows = materialize(sketch(docs, k, threshold), "sketch")
     some = rows.filter("_n > 0").select("doc_id", F.col("_n").alias("n"), F.col("_fp").alias("fp"), F.col("_bands").alias("bands"), "_first", "text")
     nodes = materialize(some.groupBy("fp").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    buckets = nodes.select("fp", "n", F.explode("bands").alias("b"))
-    shared = buckets.groupBy("b").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("fp", "b").alias("draw"), F.col("fp").alias("fp"), F.col("n").alias("n"))).alias("hub")).filter("c > 1")
-    shared = materialize(buckets.join(shared, "b").select("b", "c", "fp", "n", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
-    long_enough = F.least("n", "hub_n") * threshold.denominator >= F.greatest("n", "hub_n") * threshold.numerator
-    pairs = shared.filter((F.col("fp") != F.col("hub")) & long_enough).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("z")).distinct()
+    shared = materialize(_with_hub(nodes.select("fp", "n", F.explode("bands").alias("b"))), "shared")
     wanted = shared.select("fp").distinct()
     # One text a node: copies of a set share all its shingles, so any of their texts will do.
     texts = some.filter("_first").select("fp", "text").join(wanted, "fp", "left_semi")
     texts = materialize(texts.groupBy("fp").agg(F.first("text").alias("text")), "texts")
-    first = materialize(_confirmed(pairs, texts, k, threshold), "links")
-    labels = components(first)
 
-    labelled = materialize(shared.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")).select("b", "c", "fp", "n", "label"), "labelled")
-    open_buckets = labelled.groupBy("b").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("b")
+    to_hub = shared.filter((F.col("fp") != F.col("hub")) & _long_enough("n", "hub_n", threshold))
+    one = to_hub.groupBy("fp").agg(F.min(F.struct(F.xxhash64("hub").alias("draw"), "hub")).alias("best")).select(F.col("fp").alias("a"), F.col("best.hub").alias("z"))
+    links = materialize(_confirmed(one, texts, k, threshold), "links")
+    labels = components(links)
+
+    left = materialize(_still_open(shared, labels), "left")
+    of_hub = left.filter("fp = hub").select("b", F.col("label").alias("hub_label"))
+    apart = left.filter((F.col("fp") != F.col("hub")) & _long_enough("n", "hub_n", threshold)).join(of_hub, "b").filter("label != hub_label")
+    more = materialize(_confirmed(apart.select(F.col("fp").alias("a"), F.col("hub").alias("z")).distinct().join(one, ["a", "z"], "left_anti"), texts, k, threshold), "links")
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        labels = components(links)
+        left = materialize(_still_open(left.drop("label"), labels), "left")
+
     blocks = F.ceil(F.col("c") / block).cast("int")
     members = (
-        labelled.join(open_buckets, "b", "left_semi")
-        .join(nodes.select("fp", "bands"), "fp")
+        left.join(nodes.select("fp", "bands"), "fp")
         .join(texts, "fp")
         .withColumn("blk", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("b", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "fp", "n", "label", "bands", "text")
     )
-    second = materialize(_searched(members, k, threshold), "links")
-    if not second.isEmpty():
-        labels = components(first.unionAll(second))
+    rest = materialize(_searched(members, k, threshold), "links")
+    if not rest.isEmpty():
+        labels = components(links.unionAll(rest))
     return rows.drop("_bands", "_first"), nodes.select("fp", "lead").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
 def link_components(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
     rows, leads = _labelled(docs.select("doc_id", "text"), k, threshold, block)
-    least = leads.join(leads.groupBy("label").agg(F.min("lead").alias("least")), "label").select(F.col("fp").alias("_fp"), "least")
+    # One row a set, written before it meets the rows, so that a set with many copies can be split there.
+    least = materialize(leads.join(leads.groupBy("label").agg(F.min("lead").alias("least")), "label").select(F.col("fp").alias("_fp"), "least"), "least")
     named = rows.select("doc_id", F.col("_n").alias("n_shingles"), "_fp").join(least, "_fp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -258,10 +301,11 @@ def deduplicate(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fraction(4
     """``docs`` with one row for each component, that of the smallest id (null last); rows without words all stay."""
     docs = docs.drop("_n", "_fp", "_bands", "_first", "_rid")
     rows, leads = _labelled(docs, k, threshold, block)
-    # The choice is made on ids alone; whole rows move once, to meet the chosen numbers.
+    # The choice is made on ids alone, first within each set, so that copies are combined before they are shuffled;
+    # whole rows move once, to meet the chosen numbers.
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_rid").alias("rid"))
-    placed = rows.filter("_n > 0").select("doc_id", "_rid", "_fp").join(leads.select(F.col("fp").alias("_fp"), "label"), "_fp")
-    best = placed.groupBy("label").agg(F.min(order).alias("best")).select(F.col("best.rid").alias("_rid"))
+    in_set = rows.filter("_n > 0").groupBy("_fp").agg(F.min(order).alias("best"))
+    best = in_set.join(leads.select(F.col("fp").alias("_fp"), "label"), "_fp").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("_rid"))
     return rows.filter("_n > 0").join(best, "_rid", "left_semi").select(*docs.columns).unionByName(rows.filter("_n = 0").select(*docs.columns))
 
 
