@@ -1,8 +1,10 @@
 """A small causal self-attention model in numpy: one head, one hidden layer, classes of ids as output.
 
-Ids are read through an embedding of input symbols and predicted in two steps: the model gives the class, and the
-class's own counts give the id. Sequences are cut into windows that overlap; each position is scored once, in the
-first window that holds it with at least ``OVERLAP`` positions before it (or all there are).
+Ids are read through an embedding of input symbols and predicted in two steps: the model gives the class, and counts
+give the id in its class. The class's logits start from fixed offsets, the log shares of classes after the symbol
+before (``offsets``, symbols by classes), so that what is learnt here is what the wider context adds to the pair.
+Sequences are cut into windows that overlap; each position is scored once, in the first window that holds it with at
+least ``OVERLAP`` positions before it (or all there are).
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ OVERLAP = 8
 SHAPES = {"wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "wo": (WIDTH, WIDTH), "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, WIDTH), "b2": (WIDTH,)}
 
 
-def start(symbols: int, classes: int, priors: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    """Fresh weights; the output's offsets are the classes' log shares."""
+def start(symbols: int, classes: int, seed: int = 7) -> dict[str, np.ndarray]:
+    """Fresh weights."""
     rng = np.random.default_rng(seed)
     p = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) == 2 else np.zeros(s)) for k, s in SHAPES.items()}
-    p |= {"e": rng.normal(0, 0.5, (symbols, WIDTH)), "p": rng.normal(0, 0.1, (WINDOW, WIDTH)), "wc": rng.normal(0, 0.1, (WIDTH, classes)), "bc": np.log(priors)}
+    p |= {"e": rng.normal(0, 0.5, (symbols, WIDTH)), "p": rng.normal(0, 0.1, (WINDOW, WIDTH)), "wc": rng.normal(0, 0.01, (WIDTH, classes)), "bc": np.zeros(classes)}
     return {k: v.astype(np.float32) for k, v in sorted(p.items())}
 
 
@@ -36,14 +38,15 @@ def unflat(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(lengths: np.ndarray, overlap: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For sequences laid end to end: positions (n, WINDOW), which of them are scored, and each window's sequence."""
-    step = WINDOW - OVERLAP
+    overlap = OVERLAP if overlap is None else overlap
+    step = WINDOW - overlap
     n = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // step)), 0)
     of = np.repeat(np.arange(len(lengths)), n)
     k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     at = (k * step)[:, None] + np.arange(WINDOW)[None, :]
-    scored = (at < lengths[of][:, None]) & ((k == 0)[:, None] | (np.arange(WINDOW) >= OVERLAP)[None, :])
+    scored = (at < lengths[of][:, None]) & ((k == 0)[:, None] | (np.arange(WINDOW) >= overlap)[None, :])
     begin = (np.cumsum(lengths) - lengths)[of][:, None]
     return np.minimum(begin + at, (begin + lengths[of][:, None]) - 1), scored, of
 
@@ -73,17 +76,18 @@ def forward(p: dict[str, np.ndarray], sym: np.ndarray) -> dict[str, np.ndarray]:
     return {"x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "u": u, "g": h + _times(u, p["w2"]) + p["b2"]}
 
 
-def log_class(p: dict[str, np.ndarray], g: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Natural log probability of each row's class; g: (n, WIDTH)."""
+def log_class(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, g: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Natural log probability of each row's class; g: (n, WIDTH), sym: the symbols before."""
     z = g @ p["wc"]
     z += p["bc"]
-    np.clip(z, -60, 60, out=z)
+    z += offsets[sym]
+    np.clip(z, -80, 60, out=z)
     own = z[np.arange(len(z)), cls]
     np.exp(z, out=z)
     return own - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
-def score(p: dict[str, np.ndarray], sym: np.ndarray, cls: np.ndarray, lengths: np.ndarray, block: int = 256) -> np.ndarray:
+def score(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, cls: np.ndarray, lengths: np.ndarray, block: int = 256) -> np.ndarray:
     """Log probability of the class at each position of sequences laid end to end."""
     at, scored, _ = windows(lengths)
     out = np.zeros(int(lengths.sum()), np.float32)
@@ -93,63 +97,77 @@ def score(p: dict[str, np.ndarray], sym: np.ndarray, cls: np.ndarray, lengths: n
         spots = rows[take]
         for j in range(0, len(spots), 768):  # what a core's cache holds
             part = spots[j : j + 768]
-            out[part] = log_class(p, g[j : j + 768], cls[part])
+            out[part] = log_class(p, offsets, sym[part], g[j : j + 768], cls[part])
     return out
 
 
-def gradients(p: dict[str, np.ndarray], sym: np.ndarray, cls: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def gradients(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, cls: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the scored positions and its gradients; sym, cls, scored: (n, WINDOW)."""
     f, d = forward(p, sym), {}
     g, y = f["g"][scored], cls[scored]
-    z = g @ p["wc"] + p["bc"]
-    z -= z.max(-1, keepdims=True)
-    e = np.exp(z)
-    s = e.sum(-1, keepdims=True)
+    z = g @ p["wc"]
+    z += p["bc"]
+    z += offsets[sym[scored]]
+    np.clip(z, -80, 60, out=z)
     rows = np.arange(len(y))
-    loss = float((np.log(s[:, 0]) - z[rows, y]).mean())
-    dz = e / s
-    dz[rows, y] -= 1
-    dz /= len(y)
-    d["wc"], d["bc"] = g.T @ dz, dz.sum(0)
+    own = z[rows, y]
+    np.exp(z, out=z)
+    s = z @ np.ones(z.shape[1], z.dtype)
+    loss = float((np.log(s) - own).mean())
+    z /= s[:, None]
+    z[rows, y] -= 1
+    z /= len(y)
+    d["wc"], d["bc"] = g.T @ z, z.sum(0)
     dg = np.zeros_like(f["g"])
-    dg[scored] = dz @ p["wc"].T
+    dg[scored] = z @ p["wc"].T
     two = lambda m: m.reshape(-1, m.shape[-1])
     d["w2"], d["b2"] = two(f["u"]).T @ two(dg), two(dg).sum(0)
-    du = (dg @ p["w2"].T) * (f["u"] > 0)
+    du = _times(dg, p["w2"].T) * (f["u"] > 0)
     d["w1"], d["b1"] = two(f["h"]).T @ two(du), two(du).sum(0)
-    dh = dg + du @ p["w1"].T
+    dh = dg + _times(du, p["w1"].T)
     d["wo"] = two(f["c"]).T @ two(dh)
-    dc = dh @ p["wo"].T
+    dc = _times(dh, p["wo"].T)
     da, dv = dc @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dc
     ds = f["a"] * (da - (da * f["a"]).sum(-1, keepdims=True)) * np.float32(1 / np.sqrt(WIDTH))
     dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
     for k, grad in (("wq", dq), ("wk", dk), ("wv", dv)):
         d[k] = two(f["x"]).T @ two(grad)
-    dx = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
+    dx = dh + _times(dq, p["wq"].T) + _times(dk, p["wk"].T) + _times(dv, p["wv"].T)
     d["p"] = dx.sum(0)
-    d["e"] = np.zeros_like(p["e"])
-    np.add.at(d["e"], sym.ravel(), two(dx))
+    # Rows of one symbol are added up as runs of the sorted symbols; "e" is sparse: symbols and their rows.
+    order = np.argsort(sym, axis=None, kind="stable")
+    held = sym.ravel()[order]
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    d["e"] = (held[first], np.add.reduceat(two(dx)[order], first, axis=0))
     return loss, d
 
 
-def train(p: dict[str, np.ndarray], sym: np.ndarray, cls: np.ndarray, lengths: np.ndarray, *, rate: float, epochs: int = 1, batch: int = 64, seed: int = 7) -> tuple[dict[str, np.ndarray], float]:
-    """Adam over shuffled windows; the weights and the last epoch's mean loss."""
-    at, scored, _ = windows(lengths)
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    rng, t, losses = np.random.default_rng(seed), 0, [0.0]
-    total = epochs * -(-len(at) // batch)
-    for _ in range(epochs):
-        losses = []
-        order = rng.permutation(len(at))
-        for i in range(0, len(at), batch):
-            own = order[i : i + batch]
-            loss, d = gradients(p, sym[at[own]], cls[at[own]], scored[own])
+class Trainer:
+    """Adam over shuffled windows; the state stays from one group of sequences to the next. Moments of a symbol's
+    embedding move only where the symbol occurs."""
+
+    def __init__(self, p: dict[str, np.ndarray], offsets: np.ndarray, *, rate: float, batch: int = 64, seed: int = 7):
+        self.p, self.offsets, self.rate, self.batch = {k: v.copy() for k, v in p.items()}, offsets, rate, batch
+        self.m, self.v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+        self.rng, self.t, self.seen = np.random.default_rng(seed), 0, 0
+
+    def fit(self, sym: np.ndarray, cls: np.ndarray, lengths: np.ndarray) -> float:
+        """One pass over sequences laid end to end, in windows side by side; the mean loss."""
+        at, scored, _ = windows(lengths, 0)
+        order, losses = self.rng.permutation(len(at)), []
+        for i in range(0, len(at), self.batch):
+            own = order[i : i + self.batch]
+            loss, d = gradients(self.p, self.offsets, sym[at[own]], cls[at[own]], scored[own])
             losses.append(loss)
-            t += 1
-            now = rate * min(1.0, t / 50) * (1 - 0.9 * t / (total + 1))
+            self.t += 1
+            now = np.float32(self.rate * min(1.0, self.t / 50) / np.sqrt(1 + self.t / 400))
+            one, two = np.float32(1 - 0.9**self.t), np.float32(1 - 0.99**self.t)
             for k, g in d.items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                p[k] -= (now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    return p, float(np.mean(losses)) if losses else 0.0
+                spot, g = g if k == "e" else (slice(None), g)
+                m, v = self.m[k][spot], self.v[k][spot]
+                m += np.float32(0.1) * (g - m)
+                v += np.float32(0.01) * (g * g - v)
+                self.m[k][spot], self.v[k][spot] = m, v
+                self.p[k][spot] -= now * (m / one) / (np.sqrt(v / two) + np.float32(1e-8))
+        self.seen += int(lengths.sum())
+        return float(np.mean(losses)) if losses else 0.0

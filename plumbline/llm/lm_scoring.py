@@ -3,15 +3,19 @@ ids.
 
 Counting: words of all training rows are counted in tasks and summed in a shuffle; the frequent ones (each at least
 one in ``HEAD`` of all tokens, so at most ``HEAD`` of them) are broadcast, the others are joined by word, which no
-word can skew since each has less than that share. Subword counts follow from the word counts.
-
-Training: a first model is fitted on ``WARM`` whole training texts, as a start only; then every task improves it on
-its whole share of all training texts, and the weights are averaged in two steps of grouping, so that every training
-text is learnt from and no task or driver gathers all models.
-
-Defined cases: a null or empty text has the end token alone; a null id counts as the empty string for the split; rows
-that repeat id and text get the same scores, each its own row; with no training text, N and V are 0 and the base is
-the add-0.1 estimate of the end token alone; an empty table gives no rows; other columns are ignored.
+word can skew since each has less than that share. Subword counts follow from the word counts. Pairs of neighbouring
+ids are counted over all training texts as well; the attention model starts from the classes that follow a symbol, and
+an id's share of its class comes from the pairs that are at least one in ``PAIRS`` of all, and from the id alone.
+
+Training: all training texts, whole, are dealt by the hash of their text into shards of about ``SHARD_WORDS`` words;
+every shard starts from one model, fitted on ``WARM`` texts, and improves it on each of its texts, in the order of
+their hashes. The shards' weights are averaged in two steps of grouping, in the shards' order. So every training text
+is learnt from, no task or driver gathers all models, and neither shards nor sums depend on how tasks are laid out.
+
+Defined cases: a null or empty text has the end token alone; a very long text is learnt from and scored whole, in
+slices of ``GROUP_IDS`` ids; a null id counts as the empty string for the split; rows that repeat id and text get the
+same scores, each its own row; with no training text, N and V are 0, the base is the add-0.1 estimate of the end token
+alone and the model knows no id; an empty table gives no rows; other columns are ignored, clashing names too.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm import attention
-from plumbline.llm.common import table
+from plumbline.llm.common import add_columns, table
 from plumbline.session import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -40,9 +46,14 @@ WARM = 300
 OWN_CLASSES, SHARED_CLASSES = 96, 32
 OWN_SYMBOLS, SHARED_SYMBOLS = 4096, 256
 RATE = 0.01
+#: Pairs of ids that are kept, at most, and what is taken from each count for pairs not seen.
+PAIRS, DISCOUNT = 1_000_000, 0.75
+#: Words of a shard, about.
+SHARD_WORDS = 500_000
 #: Words whose ids a worker remembers at a time, and types that a task counts before it hands them on.
 REMEMBERED = 200_000
-AVERAGE_GROUPS = 256
+#: Shards whose weights meet in the first step of averaging, and parts into which weights are cut.
+TOGETHER, CHUNKS = 256, 16
 #: Rows that a worker scores before it hands them on, and ids of whole texts that it learns from or scores at a time.
 BATCH = 500
 GROUP_IDS = 100_000
@@ -107,7 +118,7 @@ class Subwords:
 
 
 class Classes:
-    """Symbols, classes and in-class log probabilities of ids, from id counts over all training texts."""
+    """Symbols, classes and in-class shares of ids, from counts of ids and pairs over all training texts."""
 
     def __init__(self, counts: np.ndarray):
         order = np.argsort(-counts, kind="stable")
@@ -121,8 +132,38 @@ class Classes:
         mass = np.cumsum(counts[rest] + 0.1)
         self.cls[rest] = OWN_CLASSES + np.minimum((mass / mass[-1] * SHARED_CLASSES).astype(int), SHARED_CLASSES - 1) if len(rest) else 0
         total = np.bincount(self.cls, counts + 0.1, OWN_CLASSES + SHARED_CLASSES)
-        self.inside = np.log((counts + 0.1) / total[self.cls]).astype(np.float32)
+        self.share = ((counts + 0.1) / total[self.cls]).astype(np.float32)
         self.priors = np.maximum(total / total.sum(), 1e-9)
+        cells = (self.begin + 1, len(self.priors))
+        self.pairs, self.taken = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        self.n, self.left = np.zeros(cells, np.float32), np.zeros(cells, np.float32)
+        self.offsets = np.broadcast_to(np.log(self.priors / self.priors.sum()), cells).astype(np.float32)
+
+    def key(self, sym: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return sym.astype(np.int64) * len(self.cls) + ids
+
+    def learn_pairs(self, pairs: np.ndarray, counts: np.ndarray, cells: np.ndarray, n: np.ndarray, types: np.ndarray, held: np.ndarray) -> None:
+        """Frequent pairs (sorted keys) with their counts; by cell (symbol, class) all counts, types, and what the
+        frequent pairs hold after the discount. What is left of a cell goes to its ids by their own shares."""
+        self.pairs, self.taken = pairs, np.maximum(counts - DISCOUNT, 0).astype(np.float32)
+        kinds = np.zeros_like(self.n)
+        spot = np.divmod(cells, self.n.shape[1])
+        self.n[spot], kinds[spot], self.left[spot] = n, types, n - held
+        total, kinds, prior = self.n.sum(1, keepdims=True), (kinds > 0).sum(1, keepdims=True), self.priors / self.priors.sum()
+        mixed = (np.maximum(self.n - DISCOUNT, 0) + DISCOUNT * kinds * prior) / np.maximum(total, 1)
+        self.offsets = np.log(np.where(total > 0, np.maximum(mixed, 1e-12), prior)).astype(np.float32)
+
+    def inside(self, sym: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Log share of each id in its class, after the symbol before it."""
+        own = self.share[ids]
+        if len(self.pairs):
+            key = self.key(sym, ids)
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            taken = np.where(self.pairs[at] == key, self.taken[at], 0)
+            cell = (sym, self.cls[ids])
+            n = self.n[cell]
+            own = np.where(n > 0, (taken + self.left[cell] * own) / np.maximum(n, 1), own)
+        return np.log(np.maximum(own, 1e-30))
 
     def inputs(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbols before each id, classes, ids, lengths; sequences laid end to end."""
@@ -167,62 +208,119 @@ def grouped(sequences: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
         yield group
 
 
-def fit_attention(train: DataFrame, n_train: int, subwords: Subwords, classes: Classes) -> dict[str, np.ndarray]:
+def fit_pairs(train: DataFrame, subwords: Subwords, classes: Classes) -> None:
+    """Counts pairs of a symbol and the id after it over all training texts. What comes back is bounded: the frequent
+    pairs, and one row for each symbol and class."""
+    shared = train.sparkSession.sparkContext.broadcast((subwords, classes))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sub, known = shared.value
+        for group in grouped(sub.sequence(words_of(t)) for pdf in batches for t in pdf["text"]):
+            sym, _, ids, _ = known.inputs(group)
+            keys, n = np.unique(known.key(sym, ids), return_counts=True)
+            yield pd.DataFrame({"k": keys, "c": known.cls[keys % len(known.cls)], "n": n})
+
+    counts = materialize(train.select("text").mapInPandas(run, "k long, c int, n long").groupBy("k", "c").agg(F.sum("n").alias("n")), "pairs")
+    total = counts.agg(F.sum("n")).head()[0]
+    if total is None:
+        return
+    frequent = F.col("n") * PAIRS >= total
+    kept = counts.filter(frequent).select("k", "n").toPandas().sort_values("k")  # at most PAIRS rows
+    cell = (F.floor(F.col("k") / len(classes.cls)) * len(classes.priors) + F.col("c")).cast("long")
+    held = F.sum(F.when(frequent, F.greatest(F.col("n") - DISCOUNT, F.lit(0.0))).otherwise(0.0))
+    cells = counts.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("types"), held.alias("held")).toPandas().sort_values("cell")
+    classes.learn_pairs(kept["k"].to_numpy(), kept["n"].to_numpy(), cells["cell"].to_numpy(), cells["n"].to_numpy(), cells["types"].to_numpy(), cells["held"].to_numpy())
+
+
+def fit_attention(train: DataFrame, n_words: int, subwords: Subwords, classes: Classes) -> dict[str, np.ndarray]:
     """The averaged model; empty training data leave the fresh one."""
     spark = train.sparkSession
-    model = attention.start(classes.begin + 1, len(classes.priors), classes.priors)
-    by_hash = train.withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit("fit")))
-    warm = by_hash.filter(F.pmod("h", F.lit(2**31)) * n_train <= F.lit(2 * WARM * 2**31)).orderBy("h", "doc_id", "text").limit(WARM).select("text").collect()
+    model = attention.start(classes.begin + 1, len(classes.priors))
+    shards = max(1, round(n_words / SHARD_WORDS))
+    dealt = train.select("text", F.xxhash64(F.coalesce("text", F.lit("")), F.lit("fit")).alias("h")).withColumn("shard", F.pmod("h", F.lit(shards)))
+    warm = dealt.orderBy("h", "text").limit(WARM).select("text").collect()
     if not warm:
         return model
-    sym, cls, _, lengths = classes.inputs([subwords.sequence(words_of(r["text"])) for r in warm])
-    model, _ = attention.train(model, sym, cls, lengths, rate=RATE, epochs=2)
-    shared = spark.sparkContext.broadcast((subwords, classes, model))
-    chunks = 16
+    own = attention.Trainer(model, classes.offsets, rate=RATE)
+    for group in grouped(subwords.sequence(words_of(r["text"])) for r in warm):
+        sym, cls, _, lengths = classes.inputs(group)
+        own.fit(sym, cls, lengths)
+    shared = spark.sparkContext.broadcast((subwords, classes, own.p))
 
     def improve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sub, known, own = shared.value
-        weight, tag = 0, 0
-        for group in grouped(sub.sequence(words_of(t)) for pdf in batches for t in pdf["text"]):
-            s, c, _, n = known.inputs(group)
-            own, _ = attention.train(own, s, c, n, rate=RATE / 4)
-            weight += len(s)
-            tag = tag or xxhash.xxh3_64_intdigest(s.tobytes()) % AVERAGE_GROUPS
-        if weight:
-            parts = np.array_split(attention.flat(own).astype(np.float64) * weight, chunks)
-            yield pd.DataFrame({"part": range(chunks), "g": tag, "w": float(weight), "x": [q.tobytes() for q in parts]})
+        sub, known, begun = shared.value
+        trainer, at, held, size = None, None, [], 0
+
+        def learn() -> None:
+            nonlocal held, size
+            if held:
+                s, c, _, n = known.inputs(held)
+                trainer.fit(s, c, n)
+            held, size = [], 0
+
+        def done() -> pd.DataFrame:
+            learn()
+            parts = np.array_split(attention.flat(trainer.p).astype(np.float64) * trainer.seen, CHUNKS)
+            return pd.DataFrame({"part": range(CHUNKS), "shard": at, "w": float(trainer.seen), "x": [q.tobytes() for q in parts]})
+
+        for pdf in batches:
+            for shard, text in zip(pdf["shard"].to_list(), pdf["text"], strict=True):
+                if shard != at:
+                    if trainer is not None:
+                        yield done()
+                    trainer, at = attention.Trainer(begun, known.offsets, rate=RATE / 2), shard
+                held.append(sub.sequence(words_of(text)))
+                size += len(held[-1])
+                if size > GROUP_IDS:
+                    learn()
+        if trainer is not None:
+            yield done()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b) for b in pdf["x"])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "g": -1, "w": pdf["w"].sum(), "x": [total.tobytes()]})
+        total = 0.0
+        for x in pdf.sort_values("shard")["x"]:
+            total = total + np.frombuffer(x)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "shard": pdf["shard"].min(), "w": pdf["w"].sum(), "x": [total.tobytes()]})
 
-    schema = "part long, g long, w double, x binary"
-    sums = train.select("text").mapInPandas(improve, schema).groupBy("part", "g").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
-    rows = sorted(sums.collect(), key=lambda r: r["part"])  # as many rows as chunks, one model's size
-    return attention.unflat(np.concatenate([np.frombuffer(r["x"]) / r["w"] for r in rows]), model) if rows else model
+    schema = "part long, shard long, w double, x binary"
+    models = dealt.repartition(max(shards, spark.sparkContext.defaultParallelism) if shards > 1 else 1, "shard").sortWithinPartitions("shard", "h", "text").select("shard", "text").mapInPandas(improve, schema)
+    some = models.withColumn("g", F.floor(F.col("shard") / TOGETHER)).groupBy("part", "g").applyInPandas(add, schema)
+    rows = sorted(some.groupBy("part").applyInPandas(add, schema).collect(), key=lambda r: r["part"])  # one model's size
+    return attention.unflat(np.concatenate([np.frombuffer(r["x"]) / r["w"] for r in rows]), model)
 
 
-def score(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
-    train = docs.filter(~F.col("held_out")).select("doc_id", "text")
+def base_scores(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """The training rows of ``docs`` (with held_out), the word counts over them, N and V."""
+    train = docs.filter(~F.col("held_out")).select("text")
     counts = materialize(count_words(train), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
+    return train, counts, n, v
+
+
+def score(docs: DataFrame, *, vocabulary: str = VOCABULARY, attended: bool = True) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs (doc_id, text).
+    Not ``attended``: the word counts alone, score is 0."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
+    train, counts, n, v = base_scores(docs)
     below = n + 0.1 * (v + 1)
     head = {bytes(r["word"]): r["c"] for r in counts.filter(F.col("c") * HEAD >= n).collect()}  # at most HEAD rows
-    subwords = Subwords.load(vocabulary)
-    classes = fit_classes(counts, subwords)
-    model = fit_attention(train, head.get(END, 0), subwords, classes)
-    shared = spark.sparkContext.broadcast((head, subwords, classes, model))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent, sub, known, weights = shared.value
+    model = None
+    if attended:
+        subwords = Subwords.load(vocabulary)
+        classes = fit_classes(counts, subwords)
+        fit_pairs(train, subwords, classes)
+        model = (subwords, classes, fit_attention(train, n, subwords, classes))
+    shared = spark.sparkContext.broadcast((head, model))
+
+    def worker():
+        frequent, fitted = shared.value
         logs = {w: np.log10((c + 0.1) / below) for w, c in frequent.items()}
         rare_end = np.log10(0.1 / below)
-        for pdf in (b.iloc[i : i + BATCH] for b in batches for i in range(0, len(b), BATCH)):
+
+        def step(part: pa.RecordBatch) -> list:
             out, sequences = [], []
-            for text in pdf["text"]:
+            for text in part.column("text").to_pylist():
                 words = words_of(text)
                 base, seen, tail, times = logs.get(END, rare_end), int(END in logs), [], []
                 for w, k in Counter(words).items():
@@ -233,17 +331,24 @@ def score(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
                     else:
                         base += k * one
                         seen += k
-                sequences.append(sub.sequence(words))
+                if fitted:
+                    sequences.append(fitted[0].sequence(words))
                 out.append((xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "replace")) - 2**63, len(words) + 1, seen, float(base), tail, times))
-            scores = []
+            scores = [] if fitted else [0.0] * len(out)
             for group in grouped(sequences):
+                sub, known, weights = fitted
                 sym, cls, ids, lengths = known.inputs(group)
-                log = attention.score(weights, sym, cls, lengths) + known.inside[ids]
+                log = attention.score(weights, known.offsets, sym, cls, lengths) + known.inside(sym, ids)
                 scores += (np.add.reduceat(log.astype(np.float64), np.cumsum(lengths) - lengths) / np.log(10)).tolist()
-            part = pd.DataFrame(out, columns=["h", "n_tokens", "seen", "base", "tail", "times"])
-            yield part.assign(doc_id=pdf["doc_id"].to_numpy(), held_out=pdf["held_out"].to_numpy(), score=scores)[["doc_id", "h", "held_out", "n_tokens", "seen", "base", "score", "tail", "times"]]
+            return [*(list(c) for c in zip(*out, strict=True)), scores]
+
+        return step
 
-    scored = docs.mapInPandas(run, "doc_id long, h long, held_out boolean, n_tokens long, seen long, base double, score double, tail array<binary>, times array<long>")
+    fields = {
+        "h": (T.LongType(), pa.int64()), "n_tokens": (T.LongType(), pa.int64()), "seen": (T.LongType(), pa.int64()), "base": (T.DoubleType(), pa.float64()),
+        "tail": (T.ArrayType(T.BinaryType()), pa.list_(pa.binary())), "times": (T.ArrayType(T.LongType()), pa.list_(pa.int64())), "score": (T.DoubleType(), pa.float64()),
+    }
+    scored = add_columns(docs, fields, worker, BATCH).drop("text")
     scored = materialize(scored, "scored")
     rare = scored.select("doc_id", "h", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("doc_id", "h", F.col("t.tail").alias("word"), F.col("t.times").alias("k"))
     known = rare.join(counts.filter(F.col("c") * HEAD < n), "word", "left").groupBy("doc_id", "h").agg(

@@ -160,18 +160,21 @@ def test_ann_ties_go_to_the_smaller_id(spark):
 
 
 def test_attention_gradients_are_right():
-    p = {k: v.astype(np.float64) for k, v in attention.start(12, 5, np.full(5, 0.2)).items()}
+    p = {k: v.astype(np.float64) for k, v in attention.start(12, 5).items()}
     rng = np.random.default_rng(0)
     sym, cls = rng.integers(0, 12, (3, attention.WINDOW)), rng.integers(0, 5, (3, attention.WINDOW))
-    scored = rng.random(sym.shape) > 0.3
-    _, d = attention.gradients(p, sym, cls, scored)
+    scored, offsets = rng.random(sym.shape) > 0.3, rng.normal(size=(12, 5))
+    _, d = attention.gradients(p, offsets, sym, cls, scored)
+    symbols, rows = d["e"]
+    d["e"] = np.zeros_like(p["e"])
+    d["e"][symbols] = rows
     for k in p:
         at = tuple(rng.integers(0, n) for n in p[k].shape)
         q = {n: v.copy() for n, v in p.items()}
         q[k][at] += 1e-5
-        up = attention.gradients(q, sym, cls, scored)[0]
+        up = attention.gradients(q, offsets, sym, cls, scored)[0]
         q[k][at] -= 2e-5
-        assert d[k][at] == pytest.approx((up - attention.gradients(q, sym, cls, scored)[0]) / 2e-5, abs=1e-5)
+        assert d[k][at] == pytest.approx((up - attention.gradients(q, offsets, sym, cls, scored)[0]) / 2e-5, abs=1e-5)
 
 
 def test_windows_score_each_position_once():
@@ -259,27 +262,53 @@ def test_url_rules_and_odd_urls(spark):
 
 def test_attention_learns_from_every_training_text_whole(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "WARM", 2)
-    lengths, train = [], attention.train
-    monkeypatch.setattr(attention, "train", lambda p, s, c, n, **k: lengths.append(n.tolist()) or train(p, s, c, n, **k))
+    lengths, fit_ = [], attention.Trainer.fit
+    monkeypatch.setattr(attention.Trainer, "fit", lambda self, s, c, n: lengths.append(n.tolist()) or fit_(self, s, c, n))
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["red", "green", "blue", "grey"]) for _ in range(n)) for n in [4100] * 5]
     docs = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     subwords = lm_scoring.Subwords.load(lm_scoring.VOCABULARY)
     classes = lm_scoring.fit_classes(lm_scoring.count_words(docs(texts)), subwords)
-    fit = lambda rows: attention.flat(lm_scoring.fit_attention(docs(rows).coalesce(1), 4, subwords, classes))
+    fit = lambda rows, parts=1: attention.flat(lm_scoring.fit_attention(docs(rows).repartition(parts), 20_000, subwords, classes))
     whole = fit(texts)
     warm = lengths[0]  # the driver's own fit
     assert len(warm) == 2 and min(warm) > 4100
+    assert np.array_equal(fit(texts, 4), whole)  # however the rows lie
     for k in range(len(texts)):
         changed = [t + " red red blue" if i == k else t for i, t in enumerate(texts)]
         assert not np.array_equal(fit(changed), whole), k
 
 
+def test_shares_of_ids_and_classes_add_up_to_one(spark):
+    texts = ["the red fox", "the red hen and the red fox", "a hen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    subwords = lm_scoring.Subwords.load(lm_scoring.VOCABULARY)
+    classes = lm_scoring.fit_classes(lm_scoring.count_words(docs), subwords)
+    lm_scoring.fit_pairs(docs, subwords, classes)
+    ids = np.arange(len(classes.cls))
+    seen = classes.symbol[subwords.sequence([b"the"])[0]]
+    for symbol in (int(seen), classes.begin, 5000 % classes.begin):
+        p = np.exp(classes.inside(np.full(len(ids), symbol), ids) + classes.offsets[symbol][classes.cls])
+        assert p.sum() == pytest.approx(1, abs=2e-3)
+    after_the = np.exp(classes.inside(np.full(len(ids), seen), ids) + classes.offsets[seen][classes.cls])
+    assert ids[np.argmax(after_the)] == subwords.sequence([b"red"])[0]
+
+
+def test_the_model_beats_word_counts_on_texts_that_it_has_not_seen(spark):
+    """Invented words of a few syllables: counts know few of them, the model knows how they are built."""
+    rng = random.Random(8)
+    syllables = "th on er ing ed st an re le ti nd or at en es of ea sh ou ha".split()
+    word = lambda: rng.choice(["the", "of", "and"]) if rng.random() < 0.4 else "".join(rng.choice(syllables) for _ in range(rng.randint(2, 5)))
+    docs = spark.createDataFrame([(k, " ".join(word() for _ in range(150))) for k in range(400)], "doc_id long, text string")
+    held = lm_scoring.score(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.count("*")).head()
+    assert held[2] > 10 and held[0] > held[1]
+
+
 def test_a_score_reads_the_ids_before_it_as_far_as_a_whole_window():
     rng = np.random.default_rng(3)
-    p = attention.start(50, lm_scoring.OWN_CLASSES + lm_scoring.SHARED_CLASSES, np.full(128, 1 / 128))
-    sym, cls = rng.integers(0, 50, 100), rng.integers(0, 128, 100)
-    score = lambda s: attention.score(p, s, cls, np.array([100]))
+    p = attention.start(50, lm_scoring.OWN_CLASSES + lm_scoring.SHARED_CLASSES)
+    sym, cls, offsets = rng.integers(0, 50, 100), rng.integers(0, 128, 100), np.full((50, 128), -np.log(128), np.float32)
+    score = lambda s: attention.score(p, offsets, s, cls, np.array([100]))
     for at, first in ((31, 0), (32, 24), (55, 24), (56, 48)):  # windows of 32 that overlap by 8
         for k in (first - 1, first):
             other = sym.copy()
