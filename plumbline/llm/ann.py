@@ -6,16 +6,19 @@ the number of vectors, up to ``MAX_LISTS``.
 
 Searching: a query visits its nearest lists, as many as hold ``TARGET`` of the true neighbours among the fitted
 sample (on vectors without structure that is most of the lists; on clustered ones few). Each list is dealt out over as many salts as its size asks for, so one
-list with a third of all vectors is searched by many tasks; a query goes to each salt of its lists. In a task, tables
+list with a third of all vectors is searched by many tasks; a query goes to each salt of its lists, and a list that
+many queries visit is dealt once for each block of about ``QUERY_ROWS`` of them, so that a task holds a bounded number
+of both. Queries that find fewer than k this way visit all lists. In a task, tables
 of distances from the query's residual to the sub-centroids give each code's approximate distance. With each code
 goes its own error, so that distance less and plus error are bounds: all vectors of the task whose lower bound is
 within the k-th smallest upper bound are measured exactly on the original vectors, which loses none of the visited
 lists' true neighbours. The best k of each task meet in a window; ties go to the smaller vec_id.
 
-Defined cases: null, zero or otherwise unusable vectors (null, NaN or infinite components) take part neither as
+Defined cases: rows with a null vec_id, and null, zero or otherwise unusable vectors (null, NaN or infinite components) take part neither as
 queries nor as candidates, nor do vectors of another length than the most common one (the shorter of equally common
 ones); rows that repeat a vec_id are candidates each for itself, except to a query with that id; an empty table
-gives no rows; other columns are ignored.
+gives no rows; a query finds fewer than k only where there are fewer candidates; other columns are ignored, clashing
+names too (there are no texts here).
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
+from plumbline.session import materialize
 
 MAX_FIT = 20_000
 MAX_LISTS = 4096
@@ -39,6 +43,8 @@ TARGET = 0.99
 TRIALS = 200
 #: Vectors of a list that one salt holds, about.
 SALT_ROWS = 2000
+#: Queries of a block, about.
+QUERY_ROWS = 2000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -46,7 +52,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(
-        F.col("v").isNotNull() & ~F.coalesce(F.exists("v", bad), F.lit(True)) & F.exists("v", lambda x: x != 0)
+        F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(F.exists("v", bad), F.lit(True)) & F.exists("v", lambda x: x != 0)
     )
     lengths = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return fine.filter(F.size("v") == (lengths[0]["n"] if lengths else 0))
@@ -142,18 +148,8 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, probes: int | None = No
                 codes = index.encode(x, own)
                 yield pdf.assign(l=own, code=[c.tobytes() for c in codes], error=index.errors(x, own, codes))
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        for pdf in batches:
-            if len(pdf):
-                near = index.nearest(np.stack(pdf["v"].to_list()), probes)
-                yield pdf.assign(lists=list(near))
-
-    indexed = fine.mapInPandas(assign, "vec_id long, v array<double>, l int, code binary, error double")
+    indexed = materialize(fine.mapInPandas(assign, "vec_id long, v array<double>, l int, code binary, error double"), "indexed")
     sizes = indexed.groupBy("l").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))  # at most MAX_LISTS rows
-    dealt = indexed.join(F.broadcast(sizes), "l").withColumn("s", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int")).drop("salts")
-    asked = fine.filter(is_query).mapInPandas(visit, "vec_id long, v array<double>, lists array<int>")
-    asked = asked.select("vec_id", "v", F.explode("lists").alias("l")).join(F.broadcast(sizes), "l").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def scan(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         index, none = shared.value, pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -176,9 +172,33 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, probes: int | None = No
             out.append(pd.DataFrame({"query_id": q, "vec_id": ids[take][best], "score": exact[best]}))
         return pd.concat(out, ignore_index=True) if out else none
 
-    found = asked.groupBy("l", "s").cogroup(dealt.groupBy("l", "s")).applyInPandas(scan, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def visited(asked: DataFrame, lists: int) -> DataFrame:
+        """The best k of each query (vec_id, v) in its nearest lists, written once."""
+
+        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = shared.value
+            for pdf in batches:
+                if len(pdf):
+                    yield pdf.assign(lists=list(index.nearest(np.stack(pdf["v"].to_list()), lists)))
+
+        sent = materialize(asked.mapInPandas(visit, "vec_id long, v array<double>, lists array<int>").select("vec_id", "v", F.explode("lists").alias("l")), "asked")
+        plan = sent.groupBy("l").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks")).join(sizes, "l")  # at most MAX_LISTS rows
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        part = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+        queries = sent.join(F.broadcast(plan), "l").withColumn("b", part("blocks")).withColumn("s", spread("salts")).select("l", "s", "b", "vec_id", "v")
+        rows = indexed.join(F.broadcast(plan), "l").withColumn("s", part("salts")).withColumn("b", spread("blocks")).select("l", "s", "b", "vec_id", "v", "code", "error")
+        found = queries.groupBy("l", "s", "b").cogroup(rows.groupBy("l", "s", "b")).applyInPandas(scan, "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return materialize(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
+
+    asked = fine.filter(is_query)
+    best = visited(asked, probes)
+    if probes < len(fitted.coarse):
+        full = best.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+        short = asked.join(full, "vec_id", "left_anti")
+        if not short.isEmpty():
+            best = best.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(visited(short, len(fitted.coarse)))
+    return best
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
