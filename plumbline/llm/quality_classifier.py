@@ -7,7 +7,8 @@ not 2 modulo 4, and at most ``MAX_COUNTED`` of them for the ratios and ``MAX_TRA
 first (documented bounds, which also bound what is broadcast and collected). A fifth of the latter calibrates the
 margin to a probability. Neither labels nor lang, source or id enter a score; every row is scored on its whole text.
 
-Defined cases: a null or empty text has no indicators and is scored by the bias alone; labels that are null, other
+Defined cases: a null or empty text has no indicators and is scored by the bias alone; a very long text is hashed
+whole, in one array; equal hashes of labelled rows are ordered by id; labels that are null, other
 than 0 and 1, or contradict each other for one id are left out; with labels of one kind only all scores are that
 kind's share; a null id counts as the empty string; rows are scored one by one, so repeated ids and rows don't
 matter; an empty table gives no rows; other columns are ignored.
@@ -20,10 +21,12 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import table
+from plumbline.llm.common import add_columns, table
 
 BITS = 18
 ORDERS = (1, 2, 3, 4)
@@ -184,13 +187,12 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     model = fit(docs, labels, **how)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def worker():
         known, of = shared.value, Indicators()
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": [known if isinstance(known, float) else known.score(of(t)) for t in pdf["text"]]})
+        return lambda part: [[known if isinstance(known, float) else known.score(of(t)) for t in part.column("text").to_pylist()]]
 
-    scored = docs.select("doc_id", "text", (remainder() == 2).alias("held_out")).mapInPandas(run, "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    scored = add_columns(docs.select("doc_id", "text", (remainder() == 2).alias("held_out")), {"score": (T.DoubleType(), pa.float64())}, worker)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
