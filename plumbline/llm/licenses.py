@@ -167,3 +167,20 @@ def scan(docs: DataFrame, *, templates: dict | None = None, phrases: dict | None
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op1, whose places SQL can find as well."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+PLACES_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (
+  SELECT *, list_filter(range(len(w)), lambda i: w[i + 1:i + 2] = ['cc', 'by']) AS c, list_filter(range(len(w)), lambda i: w[i + 1:i + 3] = ['general', 'public', 'license']) AS g,
+    list_filter(range(len(w)), lambda i: w[i + 1:i + 3] = ['all', 'rights', 'reserved']) AS r FROM w)
+SELECT doc_id, len(w) AS n_words, len(c) + len(g) + len(r) AS n_base, list_min(list_concat(c, g, r)) AS first_word, list_max(list_concat(c, g, r)) AS last_word,
+  concat_ws(',', CASE WHEN len(c) > 0 THEN 'cc-by' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(r) > 0 THEN 'reserved' END) AS base_labels
+FROM p
+"""

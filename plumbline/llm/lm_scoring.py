@@ -371,3 +371,29 @@ def score(docs: DataFrame, *, vocabulary: str = VOCABULARY, attended: bool = Tru
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def word_count_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op7, which SQL can work out as well."""
+    found = score(table(spark, sf_dir, "documents").select("doc_id", "text"), attended=False)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a short ASCII text, bit by bit."""
+    bits = "list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(c, ascii(ch)))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: ch), lambda c, ch: {bits}, 4294967295), 4294967295)"
+
+
+COUNT_SCORES_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN doc_id IS NULL THEN 0 ELSE {_crc32_sql("CAST(doc_id AS VARCHAR)")} END % 10 = 0 AS held_out,
+    list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ['']) AS w
+  FROM documents),
+tok AS (SELECT doc_id, held_out, unnest(w) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM tok WHERE NOT held_out GROUP BY word),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens,
+  round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 5) AS base_score
+FROM tok LEFT JOIN c USING (word) CROSS JOIN n GROUP BY doc_id, held_out
+"""

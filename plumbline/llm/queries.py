@@ -30,8 +30,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_url_filter": url_filter.op10_url_filter,
+    # What SQL can say of the operators above: their base columns, from the same code.
+    "license_places": licenses.license_places,
+    "pii_base": pii.pii_base,
+    "word_count_scores": lm_scoring.word_count_scores,
+    "quality_counts": quality_rules.quality_counts,
+    "url_rules": url_filter.url_rules,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "license_places": licenses.PLACES_SQL,
+    "pii_base": pii.BASE_SQL,
+    "word_count_scores": lm_scoring.COUNT_SCORES_SQL,
+    "quality_counts": quality_rules.COUNTS_SQL,
+    "url_rules": url_filter.RULES_SQL,
 }
