@@ -14,7 +14,8 @@ SUFFIXES = {
     "image": ["png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp", "gif"],
     "text": ["txt", "log", "md", "rst", "py", "json", "yaml", "yml", "ini", "cfg", "toml", "xml", "html", "htm", "tsv", "sql", "js", "ts", "sh", "conf"],
 }
-# Folders that a walk leaves out; words that withdraw a document, in names and in texts.
+# Folders that a walk leaves out; words that withdraw a document, in names and in texts; how names give
+# a revision.
 IGNORED = ["__pycache__", ".git", ".svn", ".hg", "node_modules", ".ipynb_checkpoints"]
 STATUS = r"[_\-. ]*(withdrawn|superseded|obsolete|deprecated|draft|archived?|old)"
 STATUS_STRICT = r"(?:^|[_\-. ]+)(withdrawn|superseded|obsolete|deprecated|draft|archived?|old)(?=$|[_\-. ])"
@@ -52,10 +53,10 @@ def name_withdrawn(path: Column, strict: bool = False) -> Column:
 
 
 def revision_key(token: Column) -> Column:
-    """Letters' places summed, then the digit groups: newer keys are larger arrays."""
+    """Letters' places summed, then the digit groups, of up to 38 digits: newer keys are larger arrays."""
     letters = F.split(F.regexp_replace(F.lower(token), "[^a-z]", ""), "")
     value = F.aggregate(F.filter(letters, lambda c: c != ""), F.lit(0), lambda s, c: s + F.ascii(c) - 96)
-    return F.concat(F.array(value), F.transform(F.regexp_extract_all(token, F.lit("[0-9]+"), F.lit(0)), lambda d: d.cast("int")))
+    return F.concat(F.array(value.cast("decimal(38,0)")), F.transform(F.regexp_extract_all(token, F.lit("[0-9]+"), F.lit(0)), lambda d: d.cast("decimal(38,0)")))
 
 
 def family_and_revision(path: Column) -> tuple[Column, Column]:
@@ -64,7 +65,7 @@ def family_and_revision(path: Column) -> tuple[Column, Column]:
     token = F.regexp_extract(bare, f"(?i){REVISION}", 1)
     name = F.regexp_replace(F.lower(F.regexp_replace(bare, f"(?i){REVISION}", "")), r"^[_\-. ]+|[_\-. ]+$", "")
     folder = F.regexp_extract(path, r"^(.*/)[^/]*$", 1)
-    return F.concat(folder, name), F.when(token == "", F.array(F.lit(0))).otherwise(revision_key(token))
+    return F.concat(folder, name), F.when(token == "", F.array(F.lit(0).cast("decimal(38,0)"))).otherwise(revision_key(token))
 
 
 def walk_key(path: Column) -> Column:

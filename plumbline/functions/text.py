@@ -10,7 +10,10 @@ STOPWORDS = (
     "a an the is are was were be been being of in on at to for and or but if then this that these those it its as by "
     "with from into up down not no do does did can may must will shall has have had"
 ).split()
-FILE_STOPWORDS = [w for w in STOPWORDS if w not in ("being", "up", "down")] + "what which who whom whose when where why how".split()
+FILE_STOPWORDS = (
+    "a an the is are was were be been of in on at to for and or but if then this that these those it its as by with from "
+    "into not no do does did can may must will shall has have had what which who whom whose when where why how"
+).split()
 
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z(])"
 # Units that may follow a lone number.
@@ -20,6 +23,7 @@ UNIT = (
 )
 # What separates the parts of an identifier, and quotes around an answer.
 SPACES = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = r"\s" + SPACES
 SEPARATORS = r"[\s\-._·‐-―" + SPACES + "]+"
 QUOTES = "`'\"“”‘’ "
 
@@ -39,9 +43,14 @@ def n_pieces(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
+
+
 def sentences(text: Column) -> Column:
     """Text split after a sentence's end that a capital or parenthesis follows; blank ones dropped."""
-    return F.filter(F.transform(F.split(F.trim(text), SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(strip(text), SENTENCE_END), strip), lambda s: s != "")
 
 
 def stem(token: Column) -> Column:
@@ -83,13 +92,14 @@ def identifiers(text: Column, least: int = 4, most: int = 20_000) -> Column:
 
 def strip_unit(answer: Column) -> Column:
     """The number of a lone number with a unit; anything else trimmed."""
-    bare = F.trim(answer)
+    bare = strip(answer)
     return F.coalesce(F.nullif(F.regexp_extract(bare, UNIT, 1), F.lit("")), bare)
 
 
 def clean_answer(raw: Column) -> Column:
-    """First line without wrapping quotes, closing punctuation, a leading label, or a unit."""
-    line = F.trim(F.regexp_extract(F.trim(raw), r"^([^\n\r]*)", 1))
+    """First line without wrapping quotes, closing punctuation, a leading label, or a unit. Quotes and punctuation
+    nest, and white space goes only with one of them: what is taken off an end is a run of both."""
+    line = strip(F.regexp_extract(strip(raw), r"^([^\n\r]*)", 1))
     bare = F.regexp_replace(line, f"^[{QUOTES}]+|[{QUOTES}.;,]+$", "")
     return strip_unit(F.regexp_replace(bare, r"(?i)^(?:answer|value)\s*[:=]\s*", ""))
 

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADING = r"^(#{1,6})\s+(.*)$"
+#: A line of number signs alone takes the next line that isn't blank as its heading.
+BARE = r"(?m)^(#{1,6})[^\S\n]*\n\s*(\S.*)$"
 
 
 def split_sections(docs: DataFrame) -> DataFrame:
     """doc_id, section_no, heading, body: markdown sections in order; empty bodies dropped, text before the first
     heading has an empty one, and a text without headings is one section as it stands."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", BARE, "$1 $2"), "\n")).alias("pos", "line"))
     flagged = lines.withColumn("head", F.col("line").rlike(HEADING).cast("int"))
     numbered = flagged.withColumn("no", F.sum("head").over(Window.partitionBy("doc_id").orderBy("pos")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
@@ -55,7 +57,7 @@ def chunk_documents(sections: DataFrame, target: int = 180, overlap: int = 30) -
     return parts.withColumn("position", place).select(F.format_string("%s::%04d", F.col("doc_id").cast("string"), "position").alias("chunk_id"), "doc_id", "section", "position", "text")
 
 
-def pack_lines(text: str, locator: str, target: int) -> list[tuple[str, str]]:
+def pack_lines(text: str, locator: str | None, target: int) -> list[tuple[str, str]]:
     """(locator, text) of groups of lines up to ``target`` pieces, each with the last piece of the one before."""
     pieces: list[tuple[int, str, int]] = []
     for number, line in enumerate((x for x in text.split("\n") if x.strip()), 1):
@@ -74,7 +76,8 @@ def pack_lines(text: str, locator: str, target: int) -> list[tuple[str, str]]:
         held, fresh = [*held, piece], True
     if held and fresh:
         groups.append(held)
-    name = lambda g: f"{locator} lines {g[0][0]}-{g[-1][0]}" if len(groups) > 1 else locator
+    locator = locator or ""
+    name = lambda g: f"{locator} lines {g[0][0]}-{g[-1][0]}".strip() if len(groups) > 1 else locator
     return [(name(g), "\n".join(p[1] for p in g)) for g in groups]
 
 

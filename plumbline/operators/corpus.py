@@ -24,11 +24,12 @@ def with_revisions(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def mark_superseded(files: DataFrame) -> DataFrame:
-    """Adds superseded_by and superseded: the newest current member of the family replaces withdrawn and older ones."""
+    """Adds superseded_by and superseded: the newest current member of the family replaces withdrawn and older
+    ones; files that are not indexed neither replace nor are replaced."""
     current = files.filter(F.col("indexed") & ~F.col("withdrawn"))
     newest = current.withColumn("_n", F.row_number().over(Window.partitionBy("family").orderBy(F.col("revision").desc(), walk_key(F.col("path"))))).filter("_n = 1")
     newest = newest.select("family", F.col("path").alias("_newest"), F.col("revision").alias("_revision"))
-    older = (F.col("path") != F.col("_newest")) & (F.col("withdrawn") | (F.col("revision") < F.col("_revision")))
+    older = F.col("indexed") & (F.col("path") != F.col("_newest")) & (F.col("withdrawn") | (F.col("revision") < F.col("_revision")))
     out = files.join(newest, "family", "left").withColumn("superseded_by", F.when(older, F.col("_newest")))
     return out.withColumn("superseded", F.col("withdrawn") | F.col("superseded_by").isNotNull()).drop("_newest", "_revision")
 

@@ -47,17 +47,23 @@ def claim_status(covered: DataFrame, requires_context: Column | None = None) ->
     return covered.withColumn("status", status)
 
 
-def answer_gate(claims: DataFrame, most_unsupported: float = 0.20) -> DataFrame:
-    """One row a query (query_id, claim_pos, text, status): shares, whether it abstains, and the answer."""
+def answer_gate(claims: DataFrame, most_unsupported: float = 0.20, queries: DataFrame | None = None) -> DataFrame:
+    """One row a query (query_id, claim_pos, text, status): shares, whether it abstains, and the answer. ``queries``
+    (query_id) that have no claim get a row too, and abstain."""
     trusted = F.col("status").isin("supported", "ungrounded")
     ratio = F.count_if(F.col("status").isin("unsupported", "uncited")) / F.count("*")
     told = F.array_sort(F.collect_list(F.when(trusted, F.struct("claim_pos", "text"))))
-    return (
+    gated = (
         claims.groupBy("query_id")
         .agg(F.count("*").alias("n_claims"), F.round(ratio, 4).alias("unsupported_ratio"), (ratio > most_unsupported).alias("abstained"), F.round(1 - ratio, 4).alias("faithfulness"), F.round(F.count_if(F.col("status") == "supported") / F.count("*"), 4).alias("grounded_ratio"), told.alias("_told"))
         .withColumn("answer", F.when(F.col("abstained"), F.lit("")).otherwise(F.array_join(F.transform("_told", lambda x: x["text"]), " ")))
         .drop("_told")
     )
+    if queries is None:
+        return gated
+    # Without claims nothing is unsupported, but nothing can be told either.
+    none = {"n_claims": 0, "unsupported_ratio": 1.0, "abstained": True, "faithfulness": 1.0, "grounded_ratio": 0.0, "answer": ""}
+    return queries.select("query_id").distinct().join(gated, "query_id", "left").fillna(none)
 
 
 def number_mentions(texts: DataFrame) -> DataFrame:
@@ -85,8 +91,10 @@ def find_conflicts(mentions: DataFrame, least_shared: int = 2) -> DataFrame:
 
 
 def resolve_paths(cited: DataFrame, files: DataFrame) -> DataFrame:
-    """Real paths for written ones (query_id, raw): exact, else without case, else by a unique name."""
-    bare = F.regexp_replace(F.replace(F.regexp_replace(F.trim("raw"), "^[`'\" ]+|[`'\" ]+$", ""), F.lit("\\"), F.lit("/")), r"^(?:/?app/)?(?:corpus/)?(?:\./)?", "")
+    """Real paths for written ones (query_id, raw): exact, else without case, else by a unique name. Percent escapes are
+    decoded first (a plus is no space); a path with broken ones stays as it is."""
+    plain = F.coalesce(F.try_url_decode(F.replace("raw", F.lit("+"), F.lit("%2B"))), F.col("raw"))
+    bare = F.regexp_replace(F.replace(F.regexp_replace(F.trim(plain), "^[`'\" ]+|[`'\" ]+$", ""), F.lit("\\"), F.lit("/")), r"^(?:/?app/)?(?:corpus/)?(?:\./)?", "")
     asked = cited.withColumn("_c", F.regexp_replace(bare, "^/+", ""))
     name = lambda c: F.lower(F.regexp_extract(c, r"([^/]*)$", 1))
     exact = files.select(F.col("path").alias("_c"), F.col("path").alias("_exact")).distinct()

@@ -108,7 +108,7 @@ def strip_unit(spark, sf_dir):
 @query
 def clean_answer(spark, sf_dir):
     n = F.col("p_partkey") % 4
-    raw = F.when(n == 0, F.concat(F.lit('"Answer: '), "p_size", F.lit(' V". '))).when(n == 1, F.concat(F.lit("value = '"), "p_name", F.lit("'"))).when(n == 2, F.concat("p_brand", F.lit(".;\nmore"))).otherwise(F.concat(F.lit(" `"), "p_size", F.lit("%`")))
+    raw = F.when(F.col("p_partkey") % 12 == 5, F.concat(F.lit("\n\t"), "p_size", F.lit(" V\n"))).when(n == 0, F.concat(F.lit('"Answer: '), "p_size", F.lit(' V". '))).when(n == 1, F.concat(F.lit("value = '"), "p_name", F.lit("'"))).when(n == 2, F.concat("p_brand", F.lit(".;\nmore"))).otherwise(F.concat(F.lit(" `"), "p_size", F.lit("%`")))
     return table(spark, sf_dir, "part").select("p_partkey", X.clean_answer(raw).alias("answer"))
 
 
@@ -132,7 +132,7 @@ def _files(spark, sf_dir) -> DataFrame:
     p = F.col("page_id")
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
     tail = F.when(p % 7 == 0, F.lit("_WITHDRAWN")).otherwise(F.lit(""))
-    rev = F.when(p % 3 == 0, F.concat(F.lit("_rev_"), F.element_at(F.array(*map(F.lit, "abcde")), (p % 5 + 1).cast("int")))).otherwise(F.concat(F.lit("_r"), (p % 5).cast("string")))
+    rev = F.when(p % 17 == 0, F.concat(F.lit("_r20250101"), F.lpad(p.cast("string"), 8, "0"))).when(p % 3 == 0, F.concat(F.lit("_rev_"), F.element_at(F.array(*map(F.lit, "abcde")), (p % 5 + 1).cast("int")))).otherwise(F.concat(F.lit("_r"), (p % 5).cast("string")))
     suffix = F.element_at(F.array(*map(F.lit, [".pdf", ".docx", ".txt"])), (p % 3 + 1).cast("int"))
     path = F.concat(host, F.lit("/spec_"), (p % 40).cast("string"), F.when(p % 11 == 0, F.lit("")).otherwise(rev), tail, suffix)
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), (p % 13 != 0).alias("indexed"))
@@ -146,8 +146,8 @@ def family_revision(spark, sf_dir):
 
 @query
 def superseded(spark, sf_dir):
-    files = _files(spark, sf_dir).dropDuplicates(["path"]).drop("page_id", "indexed").withColumn("indexed", F.crc32(F.col("path").cast("binary")) >= 0)
-    return corpus.mark_superseded(corpus.with_revisions(files)).select("path", "superseded_by", "superseded")
+    files = _files(spark, sf_dir).groupBy("path").agg(F.max("indexed").alias("indexed"))
+    return corpus.mark_superseded(corpus.with_revisions(files)).select("path", "indexed", "superseded_by", "superseded")
 
 
 @query
@@ -177,7 +177,9 @@ def withdrawn_flag(spark, sf_dir):
 def row_segments(spark, sf_dir):
     out = None
     for name, key in (("part", "p_partkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey")):
-        rows = table(spark, sf_dir, name).drop("p_retailprice", "c_acctbal", "s_acctbal")
+        rows = table(spark, sf_dir, name)
+        money = [c for c in rows.columns if c in ("p_retailprice", "c_acctbal", "s_acctbal")]
+        rows = rows.withColumns({c: F.col(c).cast("decimal(18,2)") for c in money})
         part = corpus.row_segments(rows, name).select(F.concat(F.lit(f"{name}:"), F.col(key).cast("string")).alias("row_key"), "segment")
         out = part if out is None else out.unionByName(part)
     return out
@@ -194,14 +196,14 @@ def identifier_files_cap12(spark, sf_dir):
 def resolve_paths(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("p"))
     n = F.col("page_id") % 5
-    raw = F.when(n == 0, F.concat(F.lit("/app/corpus/"), "p")).when(n == 1, F.upper("p")).when(n == 2, F.concat(F.lit("`"), "p", F.lit("`"))).when(n == 3, F.regexp_extract("p", "([^/]*)$", 1)).otherwise(F.concat(F.lit("missing/"), "p", F.lit(".x")))
+    raw = F.when(F.col("page_id") % 15 == 10, F.replace("p", F.lit("/"), F.lit("%2F"))).when(n == 0, F.concat(F.lit("/app/corpus/"), "p")).when(n == 1, F.upper("p")).when(n == 2, F.concat(F.lit("`"), "p", F.lit("`"))).when(n == 3, F.regexp_extract("p", "([^/]*)$", 1)).otherwise(F.concat(F.lit("missing/"), "p", F.lit(".x")))
     return verification.resolve_paths(pages.select(F.col("page_id").alias("query_id"), raw.alias("raw")), pages.select(F.col("p").alias("path")).distinct())
 
 
 @query
 def transcript_reuse(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.substring("html", 1, 40).alias("text"))
-    return corpus.reuse_transcripts(pages, pages.filter(F.col("path").cast("long") % 2 == 0).withColumn("text", F.when(F.col("path").cast("long") % 4 == 0, F.upper("text")).otherwise(F.lit(" "))))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))
+    return corpus.reuse_transcripts(pages, pages.filter(F.col("path").cast("long") % 2 == 0).withColumn("text", F.when(F.col("path").cast("long") % 4 == 0, F.concat(F.lit("seen before: "), "text")).otherwise(F.lit(" "))))
 
 
 # ---------------------------------------------------------------- chunks
@@ -380,12 +382,14 @@ def verify_and_cite(spark, sf_dir):
 
 
 def _cases(spark, sf_dir) -> DataFrame:
-    """Labelled documents as cases: good ones expect their text's terms, others an abstention."""
+    """Labelled documents as cases: good ones expect their text's terms, others an abstention; the answer is the text
+    without every so many of its words."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    words = F.split("text", r"\s+")
+    some = F.filter(F.split("text", r"\s+"), lambda w, i: (i + F.col("doc_id")) % 3 != 0)
+    few = F.filter(F.split("text", r"\s+"), lambda w, i: (i + F.col("doc_id")) % 3 == 0)
     return docs.join(labels, "doc_id").select(
         "doc_id", F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("prompt_version"),
-        F.array_join(F.slice(words, 1, 12), " ").alias("expected_answer"), F.array_join(F.slice(words, (F.col("doc_id") % 6 + 1).cast("int"), F.lit(12)), " ").alias("answer"),
+        F.col("text").alias("expected_answer"), F.array_join(F.when(F.col("doc_id") % 2 == 0, some).otherwise(few), " ").alias("answer"),
         (F.col("quality") == 0).alias("expects_abstain"), ((F.col("doc_id") % 5 == 0) | (F.col("toxic") == 1)).alias("abstained"),
         (F.col("doc_id") % 10 / 10).alias("faithfulness"), (F.col("doc_id") % 4 / 4).alias("grounded_ratio"), (F.col("n_chars") % 100).cast("double").alias("latency_ms"), F.col("n_chars").alias("tokens"),
     )

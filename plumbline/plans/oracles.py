@@ -13,7 +13,7 @@ def _list(words: list[str]) -> str:
 TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 TERMS = f"list_distinct(list_filter({TOKENS}, lambda t: length(t) > 1 AND t NOT IN ({_list(STOPWORDS)})))"
 # RE2 has no lookaround: a mark between the two anchors, which never overlap, does instead.
-SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(trim({0}), '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')), lambda s: s <> '')"
 STEM = "CASE WHEN regexp_full_match({0}, '[a-z]{{3,}}s') AND NOT {0} LIKE '%ss' THEN {0}[:-2] ELSE {0} END"
 FILE_TOKENS = (
     "flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+(?:[-_.][a-z0-9]+)*'), lambda w: list_concat("
@@ -32,7 +32,7 @@ QUOTES = "`''\"“”‘’ "
 
 FILES = f"""files AS (
   SELECT page_id, page_id % 13 <> 0 AS indexed, {HOST} || '/spec_' || (page_id % 40)
-    || CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 3 = 0 THEN '_rev_' || (['a','b','c','d','e'])[page_id % 5 + 1] ELSE '_r' || (page_id % 5) END
+    || CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 17 = 0 THEN '_r20250101' || lpad(CAST(page_id AS VARCHAR), 8, '0') WHEN page_id % 3 = 0 THEN '_rev_' || (['a','b','c','d','e'])[page_id % 5 + 1] ELSE '_r' || (page_id % 5) END
     || CASE WHEN page_id % 7 = 0 THEN '_WITHDRAWN' ELSE '' END || (['.pdf','.docx','.txt'])[page_id % 3 + 1] AS path
   FROM pages)"""
 STATUS = r"(?i)[_\-. ]*(withdrawn|superseded|obsolete|deprecated|draft|archived?|old)"
@@ -45,9 +45,9 @@ revised AS (
     regexp_extract(bare, '{REVISION}', 1) AS token, regexp_matches(stem, '{STATUS}') AS withdrawn
   FROM bares),
 keyed AS (
-  SELECT *, CASE WHEN token = '' THEN [0] ELSE list_concat(
-      [CAST(coalesce(list_sum(list_transform(list_filter(string_split(regexp_replace(lower(token), '[^a-z]', '', 'g'), ''), lambda c: c <> ''), lambda c: ascii(c) - 96)), 0) AS INTEGER)],
-      list_transform(regexp_extract_all(token, '[0-9]+'), lambda d: CAST(d AS INTEGER))) END AS revision
+  SELECT *, CASE WHEN token = '' THEN [0::HUGEINT] ELSE list_concat(
+      [CAST(coalesce(list_sum(list_transform(list_filter(string_split(regexp_replace(lower(token), '[^a-z]', '', 'g'), ''), lambda c: c <> ''), lambda c: ascii(c) - 96)), 0) AS HUGEINT)],
+      list_transform(regexp_extract_all(token, '[0-9]+'), lambda d: CAST(d AS HUGEINT))) END AS revision
   FROM revised)"""
 MARKDOWN = r"md AS (SELECT doc_id, regexp_replace(text, '\n(The?|In|Of|[DEL][ae]s?) ', chr(10) || chr(10) || '## \1 heading' || chr(10), 'g') AS text FROM documents)"
 
@@ -119,7 +119,7 @@ mentions AS (
 CASES = f"""
 cases AS (
   SELECT doc_id, 'v' || (doc_id % 3) AS prompt_version, quality = 0 AS expects_abstain, doc_id % 5 = 0 OR toxic = 1 AS abstained,
-    {TERMS.format("list_aggregate(w[1:12], 'string_agg', ' ')")} AS e, {TERMS.format("list_aggregate(w[doc_id % 6 + 1:doc_id % 6 + 12], 'string_agg', ' ')")} AS a,
+    {TERMS.format("text")} AS e, {TERMS.format("coalesce(list_aggregate(list_filter(w, lambda x, i: ((i - 1 + doc_id) % 3 = 0) = (doc_id % 2 = 1)), 'string_agg', ' '), '')")} AS a,
     (doc_id % 10) / 10 AS faithfulness, (doc_id % 4) / 4 AS grounded_ratio, (n_chars % 100)::DOUBLE AS latency_ms, n_chars AS tokens
   FROM (SELECT *, regexp_split_to_array(text, '\\s+') AS w FROM documents) JOIN labels USING (doc_id)),
 decided AS (
@@ -132,7 +132,9 @@ def _kind() -> str:
 
 
 def _row(table: str, key: str, cells: list[str]) -> str:
-    shown = ", ".join(f"CASE WHEN coalesce(trim(CAST({c} AS VARCHAR)), '') <> '' THEN '{c}: ' || trim(CAST({c} AS VARCHAR)) END" for c in cells)
+    kind = lambda c: "DECIMAL(18, 2)) AS VARCHAR" if c in ("p_retailprice", "s_acctbal", "c_acctbal") else "VARCHAR"
+    text = lambda c: f"CAST(CAST({c} AS {kind(c)})" if kind(c) != "VARCHAR" else f"CAST({c} AS VARCHAR)"
+    shown = ", ".join(f"CASE WHEN coalesce(trim({text(c)}), '') <> '' THEN '{c}: ' || trim({text(c)}) END" for c in cells)
     return f"SELECT '{table}:' || {key} AS row_key, concat_ws(' | ', '{table}', {shown}) AS segment FROM {table}"
 
 
@@ -146,29 +148,31 @@ ORACLES: dict[str, str] = {
     "normalized_contains": f"SELECT page_id, {GRADED.format(HOST)} <> '' AND contains({GRADED.format('html')}, {GRADED.format(HOST)}) AS holds_host, {GRADED.format(HOST)} <> '' AND contains({GRADED.format('url')}, {GRADED.format(HOST)}) AS holds_in_url FROM pages",
     "identifier_extract": f"SELECT doc_id, len(i) AS n_identifiers, md5(coalesce(list_aggregate(list_sort(i), 'string_agg', ','), '')) AS identifiers_md5 FROM (SELECT doc_id, {IDENTIFIERS.format('text')} AS i FROM documents)",
     "strip_unit": f"SELECT p_partkey, {STRIP.format('r')} AS bare FROM (SELECT p_partkey, p_size || (['', ' V', '%', ' ms', ' seconds', 'kHz', ' GB', ' boxes', '-B2', ' degrees C'])[p_partkey % 10 + 1] AS r FROM part)",
+    # The second line of a raw answer never counts; white space of every kind is taken off by a class of its own.
     "clean_answer": f"""SELECT p_partkey, {STRIP.format("regexp_replace(regexp_replace(line, '^[" + QUOTES + "]+|[" + QUOTES + ".;,]+$', '', 'g'), '(?i)^(?:answer|value)\\s*[:=]\\s*', '')")} AS answer FROM (
-  SELECT p_partkey, trim(regexp_extract(trim(CASE p_partkey % 4 WHEN 0 THEN '"Answer: ' || p_size || ' V". ' WHEN 1 THEN 'value = ''' || p_name || '''' WHEN 2 THEN p_brand || '.;' || chr(10) || 'more' ELSE ' `' || p_size || '%`' END), '^([^\\n\\r]*)', 1)) AS line FROM part)""",
+  SELECT p_partkey, rtrim(string_split(ltrim(raw, chr(10) || chr(9) || ' '), chr(10))[1], chr(9) || ' ') AS line FROM (
+    SELECT p_partkey, CASE WHEN p_partkey % 12 = 5 THEN chr(10) || chr(9) || p_size || ' V' || chr(10) WHEN p_partkey % 4 = 0 THEN '"Answer: ' || p_size || ' V". ' WHEN p_partkey % 4 = 1 THEN 'value = ''' || p_name || '''' WHEN p_partkey % 4 = 2 THEN p_brand || '.;' || chr(10) || 'more' ELSE ' `' || p_size || '%`' END AS raw FROM part))""",
     "citation_labels": "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id AS VARCHAR) WHEN turn % 2 = 0 THEN role || ' §' || turn ELSE role END AS label FROM conversations",
     "reply_parse": "SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 7 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 3 <> 0 AND event_id % 7 = 0 OR props IS NULL AS unparseable FROM events",
     "family_revision": f"WITH {FILES}, {REVISED} SELECT page_id, path, family, list_aggregate(list_transform(revision, lambda x: CAST(x AS VARCHAR)), 'string_agg', '.') AS revision, withdrawn FROM keyed",
-    "superseded": f"""WITH {FILES.replace("SELECT page_id, page_id % 13 <> 0 AS indexed,", "SELECT DISTINCT")}, {REVISED},
-newest AS (SELECT family, path AS newest, revision AS r FROM keyed WHERE NOT withdrawn QUALIFY row_number() OVER (PARTITION BY family ORDER BY revision DESC, {WALK_KEY.format('path')}) = 1)
-SELECT path, CASE WHEN path <> newest AND (withdrawn OR revision < r) THEN newest END AS superseded_by, withdrawn OR coalesce(path <> newest AND (withdrawn OR revision < r), false) AS superseded FROM keyed LEFT JOIN newest USING (family)""",
+    "superseded": f"""WITH {FILES.replace("SELECT page_id, page_id % 13 <> 0 AS indexed,", "SELECT max(page_id % 13 <> 0) AS indexed,").replace("FROM pages)", "FROM pages GROUP BY path)")}, {REVISED},
+newest AS (SELECT family, path AS newest, revision AS r FROM keyed WHERE indexed AND NOT withdrawn QUALIFY row_number() OVER (PARTITION BY family ORDER BY revision DESC, {WALK_KEY.format('path')}) = 1)
+SELECT path, indexed, CASE WHEN indexed AND path <> newest AND (withdrawn OR revision < r) THEN newest END AS superseded_by, withdrawn OR coalesce(indexed AND path <> newest AND (withdrawn OR revision < r), false) AS superseded FROM keyed LEFT JOIN newest USING (family)""",
     "walk_order": f"SELECT page_id, {WALK_KEY.format('p')} AS walk_key, len(list_intersect(string_split(p, '/'), [{_list(IGNORED)}])) = 0 AS walked FROM (SELECT page_id, {NO_SCHEME} AS p FROM pages)",
     "folder_fingerprints": f"SELECT regexp_extract(path, '^([^/]*)/', 1) AS folder, sha1(string_agg(path || ':' || size || chr(10), '' ORDER BY {WALK_KEY.format('path')})) AS fingerprint, count(*) AS n_files FROM (SELECT {NO_SCHEME} AS path, max(length(html)) AS size FROM pages GROUP BY 1) WHERE len(list_intersect(string_split(path, '/'), [{_list(IGNORED)}])) = 0 GROUP BY 1",
     "detect_kind": f"SELECT page_id, CASE {_kind()} WHEN html LIKE '\\%PDF-%' ESCAPE '\\' THEN 'pdf' END AS kind FROM (SELECT page_id, html, regexp_replace(url, '[?#].*$', '') AS bare FROM pages)",
     "withdrawn_flag": r"SELECT doc_id, regexp_matches(substring(CASE WHEN doc_id % 5 = 0 THEN 'Do not use! ' ELSE '' END || text, 1, 2000), '(?i)\b(withdrawn|superseded|obsolete|do not use)\b') AS withdrawn FROM documents",
-    "row_segments": " UNION ALL ".join([_row("part", "p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]), _row("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey"]), _row("customer", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])]),
+    "row_segments": " UNION ALL ".join([_row("part", "p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]), _row("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]), _row("customer", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])]),
     "identifier_files_cap12": f"""SELECT ident, string_agg(path, ',' ORDER BY path) AS files, count(*) AS n_files FROM (
   SELECT DISTINCT path, unnest({IDENTIFIERS.format('text')}) AS ident FROM (
     SELECT 'cust/' || (o_custkey % 500) || '.csv' AS path, 'ORD-' || o_orderkey || ' CLK-' || (o_custkey % 300) || '-Q ' || (o_orderkey % 9) || ' KEY-' || (o_orderkey % 50) AS text FROM orders)) GROUP BY ident HAVING count(*) <= 12""",
     "resolve_paths": f"""WITH p AS (SELECT page_id, {NO_SCHEME} AS p FROM pages), files AS (SELECT DISTINCT p AS path FROM p),
-a AS (SELECT page_id AS query_id, CASE page_id % 5 WHEN 0 THEN '/app/corpus/' || p WHEN 1 THEN upper(p) WHEN 2 THEN '`' || p || '`' WHEN 3 THEN regexp_extract(p, '([^/]*)$', 1) ELSE 'missing/' || p || '.x' END AS raw FROM p),
-c AS (SELECT *, regexp_replace(regexp_replace(replace(regexp_replace(trim(raw), '^[`''" ]+|[`''" ]+$', '', 'g'), '\\', '/'), '^(?:/?app/)?(?:corpus/)?(?:\\./)?', ''), '^/+', '') AS cand FROM a),
+a AS (SELECT page_id AS query_id, CASE WHEN page_id % 15 = 10 THEN replace(p, '/', '%2F') WHEN page_id % 5 = 0 THEN '/app/corpus/' || p WHEN page_id % 5 = 1 THEN upper(p) WHEN page_id % 5 = 2 THEN '`' || p || '`' WHEN page_id % 5 = 3 THEN regexp_extract(p, '([^/]*)$', 1) ELSE 'missing/' || p || '.x' END AS raw FROM p),
+c AS (SELECT *, regexp_replace(regexp_replace(replace(regexp_replace(trim(replace(raw, '%2F', '/')), '^[`''" ]+|[`''" ]+$', '', 'g'), '\\', '/'), '^(?:/?app/)?(?:corpus/)?(?:\\./)?', ''), '^/+', '') AS cand FROM a),
 lowered AS (SELECT lower(path) AS low, max(path) AS path FROM files GROUP BY 1),
 named AS (SELECT lower(regexp_extract(path, '([^/]*)$', 1)) AS name, min(path) AS path FROM files GROUP BY 1 HAVING count(*) = 1)
 SELECT query_id, raw, coalesce(f.path, l.path, n.path) AS path FROM c LEFT JOIN files f ON f.path = cand LEFT JOIN lowered l ON l.low = lower(cand) LEFT JOIN named n ON n.name = lower(regexp_extract(cand, '([^/]*)$', 1))""",
-    "transcript_reuse": "SELECT CAST(page_id AS VARCHAR) AS path, CASE WHEN page_id % 4 = 0 AND trim(substring(html, 1, 40)) <> '' THEN upper(substring(html, 1, 40)) ELSE substring(html, 1, 40) END AS text, page_id % 4 = 0 AND trim(substring(html, 1, 40)) <> '' AS reused FROM pages",
+    "transcript_reuse": "SELECT CAST(page_id AS VARCHAR) AS path, CASE WHEN page_id % 4 = 0 AND trim(html) <> '' THEN 'seen before: ' || html ELSE html END AS text, page_id % 4 = 0 AND trim(html) <> '' AS reused FROM pages",
     "section_split": rf"""WITH {MARKDOWN},
 l AS (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM md)),
 f AS (SELECT doc_id, i, ls[i + 1] AS line, regexp_matches(ls[i + 1], '^(#{{1,6}})\s+(.*)$') AS head FROM l),

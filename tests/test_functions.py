@@ -28,10 +28,14 @@ def test_strip_unit(spark, raw, bare):
     assert one(spark, X.strip_unit(F.col("t")), t=raw) == bare
 
 
-@pytest.mark.parametrize(("raw", "bare"), [('"Answer: 94 C".', "94"), ("`blue`.\nwhy", "blue"), ("value = 'x y';", "x y"), ("", "")])
+@pytest.mark.parametrize(("raw", "bare"), [('"Answer: 94 C".', "94"), ("`blue`.\nwhy", "blue"), ("value = x y;", "x y"), ("", ""), ("\n94 V", "94"), ("\t 'a b'. \r\n", "a b"), ("\u00a07 ms\n", "7"), ("  \n ", "")])
 def test_clean_answer(spark, raw, bare):
-    got = one(spark, X.clean_answer(F.col("t")), t=raw)
-    assert got.strip("'\"") == bare
+    assert one(spark, X.clean_answer(F.col("t")), t=raw) == bare
+
+
+@pytest.mark.parametrize(("raw", "want"), [("One. Two.\n", ["One.", "Two."]), ("\t\nA b? (C) d.", ["A b?", "(C) d."]), (" \n", []), ("v. small", ["v. small"])])
+def test_sentences_lose_white_space_of_every_kind(spark, raw, want):
+    assert one(spark, X.sentences(F.col("t")), t=raw) == want
 
 
 def test_file_tokens_join_identifiers_but_not_numbers(spark):
@@ -53,7 +57,7 @@ def test_cosine_of_odd_vectors_is_zero(spark):
         assert one(spark, X.cosine(F.col("a"), F.col("b")), a=a, b=b) == pytest.approx(want)
 
 
-@pytest.mark.parametrize(("path", "family", "revision"), [("s/tq_r1_WITHDRAWN.pdf", "s/tq", [0, 1]), ("s/tq_rev_b2.docx", "s/tq", [2, 2]), ("plain.txt", "plain", [0]), ("a/b/x v1.md", "a/b/x", [0, 1])])
+@pytest.mark.parametrize(("path", "family", "revision"), [("s/tq_r1_WITHDRAWN.pdf", "s/tq", [0, 1]), ("s/tq_rev_b2.docx", "s/tq", [2, 2]), ("plain.txt", "plain", [0]), ("a/b/x v1.md", "a/b/x", [0, 1]), ("x_r20250101123000.pdf", "x", [0, 20250101123000])])
 def test_family_and_revision(spark, path, family, revision):
     fam, rev = P.family_and_revision(F.col("t"))
     got = one(spark, F.struct(fam.alias("f"), rev.alias("r")), t=path)

@@ -74,6 +74,14 @@ def test_answer_gate_withholds_above_a_fifth(spark):
     assert got[2]["abstained"] and got[2]["answer"] == ""
 
 
+def test_questions_without_claims_abstain(spark):
+    claims = spark.createDataFrame([(1, 0, "c", "supported")], "query_id long, claim_pos long, text string, status string")
+    asked = spark.createDataFrame([(1,), (2,), (2,)], "query_id long")
+    got = {r["query_id"]: r for r in verification.answer_gate(claims, queries=asked).collect()}
+    assert got[1]["answer"] == "c" and not got[1]["abstained"]
+    assert (got[2]["abstained"], got[2]["n_claims"], got[2]["unsupported_ratio"], got[2]["answer"]) == (True, 0, 1.0, "")
+
+
 def test_conflicts_need_other_sources_values_and_shared_words(spark):
     texts = spark.createDataFrame([(1, 1, "guide", "Each player draws 60 cards before play."), (1, 2, "errata", "Each player draws 80 cards before play."), (1, 3, "guide", "Each player draws 70 cards before play."), (2, 4, "other", "Each player draws 90 cards before play.")], "query_id long, place long, source string, text string")
     mentions = verification.number_mentions(texts).withColumn("ord", F.col("place") * 1000 + F.col("pos"))
@@ -88,6 +96,12 @@ def test_supersession_keeps_the_newest_current_member(spark):
     assert got == {"a/x_r1.pdf": "a/x_r2.docx", "a/x_r2.docx": None, "a/x_r3_WITHDRAWN.pdf": "a/x_r2.docx", "a/y.pdf": None, "a/x_r9.pdf": None}
 
 
+def test_files_that_are_not_indexed_are_not_superseded(spark):
+    rows = [("a/x_r1.pdf", False), ("a/x_r2.pdf", True), ("a/x_r3.pdf", False)]
+    done = corpus.mark_superseded(corpus.with_revisions(spark.createDataFrame(rows, "path string, indexed boolean")))
+    assert {r["path"]: r["superseded_by"] for r in done.collect()} == {"a/x_r1.pdf": None, "a/x_r2.pdf": None, "a/x_r3.pdf": None}
+
+
 def test_identifiers_in_too_many_files_are_left_out(spark):
     rows = [(f"f{k}", f"COMMON-1 OWN-{k:03d}") for k in range(13)]
     got = {r["ident"] for r in corpus.identifier_files(spark.createDataFrame(rows, "path string, text string")).collect()}
@@ -108,6 +122,16 @@ def test_lines_are_packed_with_one_piece_of_overlap():
     assert chunking.pack_lines("\n \n", "x", 4) == []
 
 
+def test_a_bare_heading_takes_the_next_line(spark):
+    docs = spark.createDataFrame([(1, "#\n\nTitle\nbody\n##\nNext\nmore")], "doc_id long, text string")
+    got = [(r["heading"], r["body"]) for r in chunking.split_sections(docs).orderBy("section_no").collect()]
+    assert got == [("Title", "body"), ("Next", "more")]
+
+
+def test_a_null_locator_is_left_out():
+    assert chunking.pack_lines("a b\nc d\ne f", None, 4) == [("lines 1-2", "a b\nc d"), ("lines 2-3", "c d\ne f")]
+
+
 def test_sections_keep_the_preamble_and_drop_empty_ones(spark):
     docs = spark.createDataFrame([(1, "intro\n# One\nbody\n## Empty\n\n# Two\nmore"), (2, "plain")], "doc_id long, text string")
     got = [(r["doc_id"], r["heading"], r["body"]) for r in chunking.split_sections(docs).orderBy("doc_id", "section_no").collect()]
@@ -132,8 +156,8 @@ def test_report_defaults_for_nobody_answered(spark):
 
 def test_paths_resolve_exactly_then_loosely(spark):
     real = spark.createDataFrame([("d/A.txt",), ("d/b.txt",), ("e/b.txt",)], "path string")
-    cited = spark.createDataFrame([(1, "/app/corpus/d/A.txt"), (2, "D/a.TXT"), (3, "`x/a.txt`"), (4, "b.txt"), (5, "d\\b.txt")], "query_id long, raw string")
-    assert {r["query_id"]: r["path"] for r in verification.resolve_paths(cited, real).collect()} == {1: "d/A.txt", 2: "d/A.txt", 3: "d/A.txt", 4: None, 5: "d/b.txt"}
+    cited = spark.createDataFrame([(1, "/app/corpus/d/A.txt"), (2, "D/a.TXT"), (3, "`x/a.txt`"), (4, "b.txt"), (5, "d\\b.txt"), (6, "d%2Fb.txt"), (7, "100%/a+b")], "query_id long, raw string")
+    assert {r["query_id"]: r["path"] for r in verification.resolve_paths(cited, real).collect()} == {1: "d/A.txt", 2: "d/A.txt", 3: "d/A.txt", 4: None, 5: "d/b.txt", 6: "d/b.txt", 7: None}
 
 
 def test_a_folder_of_files_is_parsed_without_raising(spark, tmp_path):
