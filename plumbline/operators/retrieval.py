@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,53 +66,88 @@ def salts_of(n: int) -> int:
     return max(LEAST_SALTS, -(-n // BLOCK_VECTORS))
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 512, n_vectors: int | None = None) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 2048, n_vectors: int | None = None) -> DataFrame:
     """query_id, chunk_id, score (cosine, > 0), rank: exact, in blocks of queries against blocks of vectors.
 
     Both have id and v (array<double>); a block pair is one matrix product, of which only the best k a query leave.
+    One block of queries is broadcast, and vectors stream past it in batches, without a shuffle. More queries are dealt
+    into blocks that meet blocks of vectors, whose number follows that of the vectors.
     n_vectors: number of vectors, at least, where it is known without working them out.
     """
+    asked = queries.limit(block + 1).count()
+    spark = vectors.sparkSession
+
+    def best(ids: np.ndarray, m: np.ndarray, names: np.ndarray, a: np.ndarray) -> list[pd.DataFrame]:
+        unit = lambda x: x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)
+        scores, out = unit(a) @ unit(m).T, []
+        for query, row in zip(names, scores, strict=True):
+            take = np.flatnonzero(row > 0)
+            if len(take) > 4 * k:  # the order is only worked out among the best by value, ties included
+                take = take[row[take] >= np.partition(row[take], len(take) - k)[len(take) - k] - 2e-9]
+            take = take[np.lexsort((ids[take], -row[take].round(9)))[:k]]
+            out.append(pd.DataFrame({"query_id": query, "chunk_id": ids[take], "score": row[take]}))
+        return out
+
+    if asked <= block:
+        held = queries.select("query_id", "v").toPandas()  # at most a block
+        shared = spark.sparkContext.broadcast((held["query_id"].to_numpy(), np.stack(held["v"].to_list()) if len(held) else None))
+
+        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, a = shared.value
+            for pdf in batches:
+                for i in range(0, len(pdf) if a is not None else 0, BLOCK_VECTORS):
+                    part = pdf.iloc[i : i + BLOCK_VECTORS]
+                    yield pd.concat(best(part["chunk_id"].to_numpy(), np.stack(part["xv"].to_list()), names, a), ignore_index=True)
+
+        found = vectors.select("chunk_id", F.col("v").alias("xv")).mapInPandas(stream, "query_id long, chunk_id long, score double")
+        return top_k(found, k)
     salts = salts_of(vectors.count() if n_vectors is None else n_vectors)
     blocks = max(1, -(-queries.count() // block))
     q = queries.select("query_id", F.col("v").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
     x = vectors.select("chunk_id", F.col("v").alias("xv"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        unit = lambda m: m / np.maximum(np.sqrt((m**2).sum(1, keepdims=True)), 1e-300)
-        ids, out = right["chunk_id"].to_numpy(), []
-        a, m = unit(np.stack(left["qv"].to_list())), unit(np.stack(right["xv"].to_list()))
-        for query, row in zip(left["query_id"], a @ m.T, strict=True):
-            take = np.lexsort((ids, -row.round(9)))[:k]
-            take = take[row[take] > 0]
-            out.append(pd.DataFrame({"query_id": query, "chunk_id": ids[take], "score": row[take]}))
-        return pd.concat(out, ignore_index=True)
+        return pd.concat(best(right["chunk_id"].to_numpy(), np.stack(right["xv"].to_list()), left["query_id"].to_numpy(), np.stack(left["qv"].to_list())), ignore_index=True)
 
-    found = q.groupBy("qb", "s").cogroup(x.groupBy("qb", "s")).applyInPandas(best, "query_id long, chunk_id long, score double")
+    found = q.groupBy("qb", "s").cogroup(x.groupBy("qb", "s")).applyInPandas(pair, "query_id long, chunk_id long, score double")
     return top_k(found, k)
 
 
-def trigram_vectors(rows: DataFrame, key: str, dim: int = 256) -> DataFrame:
-    """Signed trigram hashing on md5: key, v (array<double>, unit length). Counts are combined before the shuffle."""
-    # One pass of a lookahead gives the grams; substrings would be found from the text's start each time.
-    found = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("(?s)(?=(.{1,3}))"), F.lit(1)), F.lit(1), F.greatest(F.lit(1), F.length("text") - 2))
-    grams = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
-    digest = F.md5(F.col("g").cast("binary"))
-    bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    cells = rows.select(key, F.explode(grams).alias("g")).select(key, bucket.alias("b"), sign.alias("s")).groupBy(key, "b").agg(F.sum("s").cast("double").alias("x"))
-    packed = cells.groupBy(key).agg(F.collect_list("b").alias("b"), F.collect_list("x").alias("x"))  # at most dim cells a row
+#: Grams whose buckets a worker remembers at a time.
+REMEMBERED_GRAMS = 500_000
+
 
-    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = np.zeros((len(pdf), dim))
-            for row, b, x in zip(rows, pdf["b"], pdf["x"], strict=True):
-                row[np.asarray(b, int)] = x
-            rows /= np.maximum(np.sqrt((rows**2).sum(1, keepdims=True)), 1e-300)
-            yield pd.DataFrame({key: pdf[key], "v": list(rows)})
+def _bucket(gram: str, dim: int, kind: str) -> int:
+    """A gram's bucket, and past ``dim`` that of a negative sign: the digest's first four bytes and the fifth's parity."""
+    raw = gram.encode("utf-8", "surrogatepass")
+    digest = hashlib.blake2b(raw, digest_size=8).digest() if kind == "blake2b" else hashlib.md5(raw).digest()
+    return int.from_bytes(digest[:4], "big") % dim + dim * (digest[4] % 2)
 
-    return packed.mapInPandas(dense, f"{key} long, v array<double>")
+
+def trigram_vectors(rows: DataFrame, key: str, dim: int = 256, kind: str = "blake2b") -> DataFrame:
+    """Signed hashing of character trigrams: key (long), v (array<double>, unit length). A text shorter than three is
+    one gram. Row by row, without a shuffle; ``kind`` md5 instead of blake2b is what SQL can work out as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            out = np.zeros((batch.num_rows, dim))
+            for row, text in zip(out, batch.column("low").to_pylist(), strict=True):
+                grams = [text[i : i + 3] for i in range(max(1, len(text) - 2))]
+                if len(known) > REMEMBERED_GRAMS:
+                    known.clear()
+                for g in set(grams).difference(known):
+                    known[g] = _bucket(g, dim, kind)
+                counts = np.bincount(np.fromiter(map(known.__getitem__, grams), np.int64, len(grams)), minlength=2 * dim)
+                row += counts[:dim] - counts[dim:]
+            out /= np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-300)
+            ends = pa.array(np.arange(0, out.size + 1, dim), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], names=[key, "v"])
+
+    small = rows.select(F.col(key).cast("long").alias(key), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    return small.mapInArrow(run, f"{key} long, v array<double>")
 
 
 def reciprocal_rank_fusion(lexical: DataFrame, dense: DataFrame, k: int = 60) -> DataFrame:
@@ -121,10 +158,10 @@ def reciprocal_rank_fusion(lexical: DataFrame, dense: DataFrame, k: int = 60) ->
     return both.withColumn("fused_score", part("lexical_rank") + part("dense_rank")).withColumn("fused_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 8, kind: str = "blake2b") -> DataFrame:
     """The best k of fused lexical and dense rankings, each over-fetched twice."""
     lexical = top_k(bm25(chunks, queries), 2 * k)
-    dense = dense_top_k(trigram_vectors(chunks, "chunk_id"), trigram_vectors(queries, "query_id"), 2 * k, n_vectors=chunks.count())
+    dense = dense_top_k(trigram_vectors(chunks, "chunk_id", kind=kind), trigram_vectors(queries, "query_id", kind=kind), 2 * k, n_vectors=chunks.count())
     return reciprocal_rank_fusion(lexical, dense).filter(F.col("fused_rank") <= k).withColumn("fused_score", F.round("fused_score", 6))
 
 
@@ -146,7 +183,12 @@ def file_search(chunks: DataFrame, queries: DataFrame, tokenize: Callable[[Colum
     """File-corpus search: chunks have path and superseded; over-fetch 6 k, demote superseded, cap each file."""
     named = chunks.withColumn("text", F.concat_ws("\n", "path", "text"))
     raw = top_k(bm25(named, queries, k1=1.4, tokenize=tokenize), 6 * k, out="raw_rank")
-    scored = raw.join(chunks.select("chunk_id", "path", "superseded"), "chunk_id").withColumn("score", F.when(F.col("superseded"), F.col("score") * penalty).otherwise(F.col("score")))
+    return capped(raw.join(chunks.select("chunk_id", "path", "superseded"), "chunk_id"), k, per_file, penalty)
+
+
+def capped(raw: DataFrame, k: int, per_file: int, penalty: float) -> DataFrame:
+    """The best k of ranked chunks (score, raw_rank, path, superseded): superseded ones demoted, few a file."""
+    scored = raw.withColumn("score", F.when(F.col("superseded"), F.col("score") * penalty).otherwise(F.col("score")))
     order = [F.round("score", 9).desc(), F.col("raw_rank")]
-    capped = scored.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "path").orderBy(*order))).filter(F.col("_n") <= per_file).drop("_n")
-    return top_k(capped, k, order)
+    few = scored.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "path").orderBy(*order))).filter(F.col("_n") <= per_file).drop("_n")
+    return top_k(few, k, order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import paths as P
 from plumbline.functions import text as X
-from plumbline.operators import chunking, corpus, evaluation, grounding, retrieval, verification
+from plumbline.operators import chunking, corpus, evaluation, grounding, index, retrieval, verification
 from plumbline.plans.oracles import ORACLES
 from plumbline.session import materialize, shared_dir
 
@@ -247,16 +248,25 @@ def corpus_stats(spark, sf_dir):
     return stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
+def kept_index(spark: SparkSession, sf_dir: str, kind: str = "plain") -> index.EvidenceIndex:
+    """The documents' index, in the shared folder: built once, used again while the table's files are the same."""
+    at = f"{sf_dir}/documents.parquet"
+    root = f"{shared_dir(spark)}/kept-{kind}-{hashlib.md5(at.encode()).hexdigest()[:12]}"
+    if kind == "plain":
+        return index.load_or_build(spark, root, index.fingerprint_of(spark, at), lambda _: chunks_of(spark, sf_dir))
+    named = lambda _: chunks_of(spark, sf_dir).select("chunk_id", "text", F.col("source").alias("path"), F.col("source").isin("src0", "src3", "src7").alias("superseded"))
+    return index.load_or_build(spark, root, index.fingerprint_of(spark, at), named, tokenize=X.file_tokens, with_path=True)
+
+
 @query
 def bm25_batch(spark, sf_dir):
-    found = retrieval.top_k(retrieval.bm25(chunks_of(spark, sf_dir), questions(spark, sf_dir)), 10)
+    found = kept_index(spark, sf_dir).search(questions(spark, sf_dir), 10)
     return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query
 def contract_search(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir).select("chunk_id", "text", F.col("source").alias("path"), F.col("source").isin("src0", "src3", "src7").alias("superseded"))
-    found = retrieval.file_search(chunks, questions(spark, sf_dir), X.file_tokens)
+    found = kept_index(spark, sf_dir, "files").files(questions(spark, sf_dir))
     return found.select("query_id", "rank", "chunk_id", "path", F.round("score", 6).alias("score"))
 
 
@@ -269,30 +279,45 @@ def dense_topk(spark, sf_dir):
 
 @query
 def hash_embed_md5(spark, sf_dir):
-    v = retrieval.trigram_vectors(questions(spark, sf_dir), "query_id")
+    v = retrieval.trigram_vectors(questions(spark, sf_dir), "query_id", kind="md5")
     return v.select("query_id", F.posexplode("v").alias("bucket", "value")).filter("value != 0").select("query_id", "bucket", F.round("value", 6).alias("value"))
 
 
 @query
 def hybrid_search(spark, sf_dir):
-    found = retrieval.hybrid_search(chunks_of(spark, sf_dir), few_questions(spark, sf_dir))
+    found = kept_index(spark, sf_dir).hybrid(few_questions(spark, sf_dir))
     return found.select("query_id", "fused_rank", "chunk_id", "lexical_rank", "dense_rank", "fused_score")
 
 
 @query
 def rerank_select(spark, sf_dir):
     chunks, asked = chunks_of(spark, sf_dir), few_questions(spark, sf_dir)
-    found = retrieval.hybrid_search(chunks, asked).join(chunks.select("chunk_id", "text"), "chunk_id").join(asked.withColumnRenamed("text", "query_text"), "query_id")
+    found = kept_index(spark, sf_dir).hybrid(asked).join(chunks.select("chunk_id", "text"), "chunk_id").join(asked.withColumnRenamed("text", "query_text"), "query_id")
     return retrieval.rerank_select(retrieval.jaccard_rerank(found)).select("query_id", "final_rank", "chunk_id", "rerank_score")
 
 
 @query
 def index_roundtrip(spark, sf_dir):
-    """BM25 tables written, read back and counted: postings, terms and tokens of the stored index."""
-    at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    retrieval.term_frequencies(chunks_of(spark, sf_dir)).write.parquet(f"{at}/postings")
-    stored = spark.read.parquet(f"{at}/postings")
-    return stored.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """The whole index (chunks, postings with lengths, terms, manifest) built anew, read back and counted."""
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.save(chunks_of(spark, sf_dir), root, index.fingerprint_of(spark, f"{sf_dir}/documents.parquet"))
+    return index.load(spark, root).table("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query
+def index_summary(spark, sf_dir):
+    return kept_index(spark, sf_dir, "files").summary()
+
+
+@query
+def ingest_replaces(spark, sf_dir):
+    """Documents ingested, and every seventh once more with another text: postings of the replaced texts are gone."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text")
+    index.ingest(spark, root, docs)
+    again = docs.filter(F.col("document_id") % 7 == 0).withColumn("text", F.concat(F.lit("replaced "), F.regexp_replace("text", "[aeiou]", "")))
+    found = index.ingest(spark, root, again)
+    return found.table("terms").select("term", "df")
 
 
 # ---------------------------------------------------------------- verification and evaluation

@@ -200,6 +200,8 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) D
 kept AS (SELECT * FROM (SELECT *, max(fused_score >= 0.02) OVER (PARTITION BY query_id) AS any_ok FROM jac) WHERE fused_score >= 0.02 OR NOT any_ok)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS final_rank, chunk_id, rerank_score FROM kept QUALIFY final_rank <= 4""",
     "index_roundtrip": f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term",
+    "index_summary": "SELECT count(DISTINCT source) AS files, count(DISTINCT CASE WHEN regexp_matches(text, '\\S') THEN source END) AS indexed, count(*) AS chunks FROM documents",
+    "ingest_replaces": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS.format("CASE WHEN doc_id % 7 = 0 THEN 'replaced ' || regexp_replace(text, '[aeiou]', '', 'g') ELSE text END")}) AS term FROM documents) GROUP BY 1",
     "claim_coverage": f"WITH {CLAIMS} SELECT claim_id, n_cited, n_resolved, coverage_score, supported, best_chunk_id, status FROM stated",
     "supporting_quote": f"""WITH {CLAIMS},
 cand AS (SELECT claim_id, best_chunk_id, best_text, text, ss, CASE WHEN len(ss) > 0 THEN unnest(range(len(ss))) END AS i FROM (SELECT *, {SENTENCES.format("best_text")} AS ss FROM stated WHERE best_chunk_id IS NOT NULL))

@@ -219,7 +219,7 @@ def test_dense_blocks_hold_as_many_vectors_at_any_size(spark, monkeypatch):
     x = rng.normal(size=(400, 8))
     v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "chunk_id long, v array<double>")
     q = v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
-    found = retrieval.dense_top_k(v, q, 5)
+    found = retrieval.dense_top_k(v, q, 5, block=4)
     assert re.search(r"pmod\(xxhash64\(chunk_id[^)]*\), cast\(40 as bigint\)\)", found._jdf.queryExecution().analyzed().toString())
     unit = x / np.sqrt((x**2).sum(1, keepdims=True))
     want = {k: [n for n in np.lexsort((np.arange(400), -(unit @ unit[k]).round(9)))[:5] if unit[n] @ unit[k] > 0] for k in range(0, 400, 50)}
@@ -227,6 +227,9 @@ def test_dense_blocks_hold_as_many_vectors_at_any_size(spark, monkeypatch):
     for r in found.orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["chunk_id"])
     assert got == want
+    streamed = retrieval.dense_top_k(v, q, 5)
+    assert "Exchange hashpartitioning(s" not in streamed._jdf.queryExecution().toString()
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in streamed.collect()) == sorted((q_, n + 1, c) for q_, own in want.items() for n, c in enumerate(own))
 
 
 def test_fingerprints_hash_sorted_lines_without_gathering_them(spark):
@@ -240,3 +243,51 @@ def test_fingerprints_hash_sorted_lines_without_gathering_them(spark):
     got = {r["folder"]: (r["fingerprint"], r["n_files"]) for r in found.collect()}
     assert got == {k: (hashlib.sha1("".join(v).encode()).hexdigest(), len(v)) for k, v in want.items()}
     assert corpus.folder_fingerprints(spark.createDataFrame([], "path string, size long")).count() == 0
+
+
+def test_an_index_is_kept_reused_and_mended(spark, tmp_path):
+    import shutil
+
+    from plumbline.operators import index
+
+    root = str(tmp_path / "ix")
+    with pytest.raises(index.IndexUnusable):
+        index.load(spark, root)
+    docs = spark.createDataFrame([(1, "a.txt", "the red fox"), (2, "b.txt", "a fox sleeps sleeps"), (3, "c.txt", "")], "chunk_id long, path string, text string")
+    asked = spark.createDataFrame([(1, "fox sleeps"), (2, "zebra")], "query_id long, text string")
+    want = {(r["query_id"], r["chunk_id"]): r["score"] for r in retrieval.bm25(docs, asked).collect()}
+    scores = lambda ix: {(r["query_id"], r["chunk_id"]): r["score"] for r in ix.bm25(asked).collect()}
+    built = []
+    make = lambda old: built.append(old) or docs
+    first = index.load_or_build(spark, root, "f1", make)
+    assert scores(first) == pytest.approx(want) and built == [None]
+    assert index.load_or_build(spark, root, "f1", make).folder == first.folder and len(built) == 1  # same fingerprint
+    shutil.rmtree(f"{first.folder}/postings")
+    assert scores(index.load(spark, root)) == pytest.approx(want)  # missing postings are built again
+    for part in (tmp_path / "ix").glob("v-*/terms/*.parquet"):
+        part.write_bytes(b"garbage")
+    assert scores(index.load(spark, root)) == pytest.approx(want)  # so are damaged ones
+    spark.createDataFrame([(9, "z")], "chunk_id long, term string").select("term", "chunk_id", F.lit(1).cast("long").alias("tf"), F.lit(1).cast("long").alias("dl")).write.mode("overwrite").parquet(f"{first.folder}/postings")
+    assert scores(index.load(spark, root)) == pytest.approx(want)  # and those out of step
+    other = index.load_or_build(spark, root, "f2", make)
+    assert other.folder != first.folder and built[1].fingerprint == "f1"  # the old index is there to take from
+    assert tuple(other.summary().head()) == (3, 2, 3)
+    assert [r["text"] for r in other.get([2]).collect()] == ["a fox sleeps sleeps"]
+    newer = spark.createDataFrame([(2, "b.txt", "a zebra")], "chunk_id long, path string, text string")
+    assert set(scores(index.ingest(spark, root, newer, key="path"))) == {(1, 1), (2, 2)}  # b.txt is replaced
+    assert index.save(docs.limit(0), str(tmp_path / "none"), "x").search(asked).count() == 0
+
+
+def test_trigram_vectors_of_short_and_null_texts(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, ""), (3, None), (4, "ABCD"), (2**60 + 1, "abcd")], "query_id long, text string")
+    got = {r["query_id"]: r["v"] for r in retrieval.trigram_vectors(rows, "query_id").collect()}
+
+    def want(grams):
+        v = np.zeros(256)
+        for g in grams:
+            d = hashlib.blake2b(g.encode(), digest_size=8).digest()
+            v[int.from_bytes(d[:4], "big") % 256] += 1 if d[4] % 2 == 0 else -1
+        return v / np.sqrt((v**2).sum())
+
+    for key, grams in ((1, ["ab"]), (2, [""]), (3, [""]), (4, ["abc", "bcd"]), (2**60 + 1, ["abc", "bcd"])):
+        assert got[key] == pytest.approx(want(grams)), key
