@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import content_terms, grader_form
@@ -58,3 +58,85 @@ def nearest_rank(values: DataFrame, shares: list[float], cells: int = 4096) -> D
 def cost_usd(tokens: Column, per_hour: float = 1.99, per_second: float = 900.0) -> Column:
     """What generating the tokens costs at an hourly rate and a throughput; 0 where there is no throughput."""
     return tokens / per_second * (per_hour / 3600.0) if per_second > 0 else F.lit(0.0)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """number (from 1) and line of a question file, without blank lines; such a file is small and read as one text."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).select((F.col("n") + 1).alias("number"), "line").filter(F.col("line").rlike(r"\S"))
+
+
+def load_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """Cases (id, query, expected_answer, expects_abstain) of a JSONL file; ValueError with the line's number for a line
+    that is no case, and for a file without any."""
+    parsed = _lines(spark, path).withColumn("c", F.from_json("line", "id string, query string, expected_answer string, expects_abstain boolean"))
+    bad = parsed.filter(F.col("c").isNull() | F.col("c.id").isNull() | F.col("c.query").isNull()).agg(F.min("number")).head()[0]
+    if bad is not None:
+        raise ValueError(f"{path}:{bad} is not a usable case")
+    if parsed.isEmpty():
+        raise ValueError(f"{path} holds no cases")
+    return parsed.select("c.id", "c.query", "c.expected_answer", F.coalesce("c.expects_abstain", F.lit(False)).alias("expects_abstain"))
+
+
+def load_questions(spark: SparkSession, path: str) -> DataFrame:
+    """question, answer and citations of a JSON array, an object with ``questions``, or JSON lines; either name of each."""
+    row = "question string, query string, answer string, expected_answer string, citations array<string>, expected_citations array<string>"
+    rows = "array<struct<question:string,query:string,answer:string,expected_answer:string,citations:array<string>,expected_citations:array<string>>>"
+    whole = spark.read.text(path, wholetext=True).select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("v"))
+    listed = whole.filter(F.startswith("v", F.lit("["))).select(F.explode(F.from_json("v", rows)).alias("r"))
+    inside = whole.filter(F.startswith("v", F.lit("{")) & F.get_json_object("v", "$.questions").isNotNull())
+    inside = inside.select(F.explode(F.from_json(F.get_json_object("v", "$.questions"), rows)).alias("r"))
+    single = whole.filter(~F.startswith("v", F.lit("[")) & F.get_json_object("v", "$.questions").isNull()).select(F.explode(F.split("v", r"\r?\n")).alias("line")).filter(F.col("line").rlike(r"\S")).select(F.from_json("line", row).alias("r"))
+    none = F.array().cast("array<string>")
+    return listed.unionByName(inside).unionByName(single).select(
+        F.coalesce(F.nullif("r.question", F.lit("")), "r.query", F.lit("")).alias("question"), F.coalesce("r.answer", "r.expected_answer", F.lit("")).alias("answer"), F.coalesce("r.citations", "r.expected_citations", none).alias("citations")
+    )
+
+
+def bench_summary(requests: DataFrame, wall_seconds: float) -> DataFrame:
+    """One row over requests (latency_ms, ok, tokens): nearest-rank percentiles and mean of what went well, throughput,
+    tokens a second, error rate and the cost of a thousand questions."""
+    fine = requests.filter("ok")
+    p = nearest_rank(fine.select(F.lit("all").alias("key"), F.col("latency_ms").alias("value")), [0.5, 0.95, 0.99])
+    ranks = p.agg(*[F.round(F.max(F.when(F.col("share") == s, F.col("value"))), 2).alias(f"p{round(100 * s)}_ms") for s in (0.5, 0.95, 0.99)])
+    n, tokens = F.count_if("ok"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("tokens"))), F.lit(0))
+    row = requests.agg(
+        F.count("*").alias("requests"), F.round(F.avg(F.when(F.col("ok"), F.col("latency_ms"))), 2).alias("mean_ms"), F.round(n / F.lit(wall_seconds), 3).alias("throughput_req_s"), tokens.alias("total_tokens"),
+        F.round(tokens / F.lit(wall_seconds), 2).alias("tokens_per_s"), F.round(F.count_if(~F.col("ok")) / F.count("*"), 4).alias("error_rate"),
+        F.round(1000 * cost_usd(F.lit(1.0), per_second=1.0) * F.lit(wall_seconds) / F.greatest(n, F.lit(1)), 4).alias("cost_per_1k_queries_usd"),
+    )
+    return row.join(F.broadcast(ranks))  # one row each
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """prompt_version and its row of the ablation table in markdown."""
+    percent = lambda c: F.concat(F.round(100 * F.col(c), 1).cast("string"), F.lit("%"))
+    cells = ["prompt_version", F.col("n_cases").cast("string"), *map(percent, ("accuracy", "mean_faithfulness", "mean_grounded_ratio", "abstention_recall", "abstention_precision")), F.concat(F.round("mean_latency_ms", 1).cast("string"), F.lit(" ms")), F.format_number("total_tokens", 0)]
+    return report.select("prompt_version", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def render_markdown(report: DataFrame) -> str:
+    """The table of a report, which has one row a prompt version."""
+    names = ["prompt version", "cases", "accuracy", "faithfulness", "grounded", "abstain recall", "abstain precision", "mean latency", "tokens"]
+    rows = [r["line"] for r in report_lines(report).orderBy("prompt_version").collect()]
+    return "\n".join(["| " + " | ".join(names) + " |", "|---|" + "---:|" * 8, *rows]) + "\n"
+
+
+def run_suite(cases: DataFrame, versions: list[str], hits: DataFrame, replies: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Outcomes of all cases (query_id, text, expected_answer, expects_abstain) under each prompt version, scored.
+
+    hits: query_id; replies: prompt_version, query_id, raw, latency_ms, tokens; chunks: chunk_id, text. A version
+    without context is asked without hits. The result is what ``ablation_report`` takes.
+    """
+    from plumbline.operators import answering
+
+    out = None
+    for version in versions:  # a handful of ways to ask, each one plan
+        own = replies.filter(F.col("prompt_version") == version)
+        told = answering.service_outcomes(cases, hits, own, chunks, version=version)
+        joined = cases.join(told, "query_id").join(own.select("query_id", "latency_ms", "tokens"), "query_id", "left").withColumns({
+            "prompt_version": F.lit(version), "abstained": F.col("outcome") != answering.ANSWERED, "faithfulness": F.coalesce("faithfulness", F.lit(1.0)), "grounded_ratio": F.coalesce("grounded_ratio", F.lit(0.0)),
+            "latency_ms": F.coalesce("latency_ms", F.lit(0.0)), "tokens": F.coalesce("tokens", F.lit(0)),
+        })
+        out = joined if out is None else out.unionByName(joined)
+    return score_cases(out)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import paths as P
 from plumbline.functions import text as X
-from plumbline.operators import chunking, corpus, evaluation, grounding, index, retrieval, verification
+from plumbline.operators import answering, chunking, corpus, evaluation, grounding, index, retrieval, verification
 from plumbline.plans.oracles import ORACLES
 from plumbline.session import materialize, shared_dir
 
@@ -458,6 +458,63 @@ def outcome_counters(spark, sf_dir):
     return claims.groupBy("status").agg(F.count("*").alias("n_claims"))
 
 
+@query
+def service_context(spark, sf_dir):
+    hits = kept_index(spark, sf_dir).search(questions(spark, sf_dir), 3).join(chunks_of(spark, sf_dir), "chunk_id").withColumnRenamed("source", "label")
+    return answering.format_context(hits).select("query_id", F.length("context").cast("long").alias("n_chars"), _md5(F.col("context")).alias("context_md5"))
+
+
+@query
+def file_prompts(spark, sf_dir):
+    kept, asked = kept_index(spark, sf_dir, "files"), questions(spark, sf_dir)
+    hits = kept.files(asked).select("query_id", "rank", "chunk_id", "path").join(kept.chunks.select("chunk_id", "text"), "chunk_id").withColumn("locator", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("doc "), F.col("chunk_id").cast("string"))))
+    files = kept.chunks.select("path", "superseded").distinct().withColumn("superseded_by", F.when(F.col("path") == "src3", F.lit("src4")))
+    return answering.file_prompts(asked, hits, files).select("query_id", F.length("prompt").cast("long").alias("n_chars"), _md5(F.col("prompt")).alias("prompt_md5"))
+
+
+@query
+def reply_extract(spark, sf_dir):
+    """Replies with thoughts, chatter, fences, broken objects before the right one, or none."""
+    n, e = F.col("event_id"), F.col("props")
+    raw = F.when(n % 5 == 0, F.concat(F.lit("<think>{\"k\": 0}</think>\nSure: "), e, F.lit(" done"))).when(n % 5 == 1, F.concat(F.lit("see {x} first\n```json\n"), e, F.lit("\n``` and {\"k\": 1}"))).when(n % 5 == 2, F.concat(F.lit("{broken "), e)).when(n % 5 == 3, F.lit("no object")).otherwise(e)
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(answering.json_object(raw), "$.k").cast("long").alias("k"))
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    """A question a conversation, with a reply that holds the assistant's claims, declines, isn't JSON, or comes though
+    nothing was retrieved."""
+    claims, chunks = _claims(spark, sf_dir)
+    asked = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id")).distinct()
+    listed = claims.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("claim_pos", "text", "cited"))), lambda x: F.struct(x["text"].alias("text"), x["cited"].alias("cited_chunk_ids"))).alias("claims"))
+    q = F.col("query_id")
+    whole = asked.join(listed, "query_id", "left").withColumn("json", F.to_json(F.struct(F.coalesce("claims", F.array().cast("array<struct<text:string,cited_chunk_ids:array<string>>>")).alias("claims"), (q % 7 == 2).alias("abstained"), F.when(q % 14 == 2, "not in the text").alias("abstain_reason"))))
+    raw = F.when(q % 11 == 3, F.lit("I can't say.")).when(q % 5 == 1, F.concat(F.lit("```json\n"), "json", F.lit("\n```"))).otherwise(F.col("json"))
+    return answering.service_outcomes(asked, asked.filter(q % 13 != 5), whole.select("query_id", raw.alias("raw")), chunks)
+
+
+@query
+def answer_outcomes(spark, sf_dir):
+    found = _answers(spark, sf_dir)
+    reason = F.when(F.col("outcome") == answering.DECLINED, F.col("warning"))
+    return found.select("query_id", "outcome", "n_claims", "unsupported_ratio", "faithfulness", "grounded_ratio", _md5(F.col("answer")).alias("answer_md5"), reason.alias("said"))
+
+
+@query
+def outcome_counts(spark, sf_dir):
+    return answering.outcome_counts(_answers(spark, sf_dir))
+
+
+@query
+def bench_summary(spark, sf_dir):
+    events = table(spark, sf_dir, "events").filter("value IS NOT NULL").select(F.col("value").alias("latency_ms"), (F.col("event_id") % 20 != 0).alias("ok"), (F.col("event_id") % 300).alias("tokens"))
+    return evaluation.bench_summary(events, 50.0)
+
+
+@query
+def report_lines(spark, sf_dir):
+    return evaluation.report_lines(evaluation.ablation_report(evaluation.score_cases(_cases(spark, sf_dir))))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval with reranking over the documents."""
     return QUERIES["rerank_select"](spark, sf_dir)

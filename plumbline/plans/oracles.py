@@ -138,7 +138,47 @@ def _row(table: str, key: str, cells: list[str]) -> str:
     return f"SELECT '{table}:' || {key} AS row_key, concat_ws(' | ', '{table}', {shown}) AS segment FROM {table}"
 
 
+ANSWERS = f"""{CLAIMS},
+asked AS (SELECT DISTINCT conv_id AS query_id FROM conversations),
+per AS (SELECT query_id, count(*) AS n, count(*) FILTER (status IN ('unsupported', 'uncited')) / count(*) AS r, count(*) FILTER (status = 'supported') / count(*) AS gr, coalesce(string_agg(text, ' ' ORDER BY turn, pos) FILTER (status = 'supported'), '') AS a FROM stated GROUP BY query_id),
+early AS (
+  SELECT query_id, n, r, gr, a, CASE WHEN query_id % 13 = 5 THEN 'no_retrieval_results' WHEN query_id % 11 = 3 THEN 'unparseable_generation' WHEN query_id % 7 = 2 THEN 'model_abstained' END AS e FROM asked LEFT JOIN per USING (query_id)),
+outcomes AS (SELECT *, coalesce(e, CASE WHEN n IS NULL OR r > 0.2 THEN 'unsupported_ratio_exceeded' ELSE 'answered' END) AS outcome FROM early)"""
+CONTRACT = f"""{_bm25(FILE_TOKENS, "source || chr(10) || text", 1.4)},
+raw AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM scored QUALIFY r <= 60),
+adj AS (SELECT query_id, chunk_id, source AS path, r, CASE WHEN source IN ('src0', 'src3', 'src7') THEN score * 0.4 ELSE score END AS score FROM raw JOIN documents ON doc_id = chunk_id),
+cap AS (SELECT * FROM adj QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY round(score, 9) DESC, r) <= 3),
+hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, r) AS rank, chunk_id, path FROM cap QUALIFY rank <= 10)"""
+
 ORACLES: dict[str, str] = {
+    "service_context": f"""WITH {_bm25(TOKENS, 'text', 1.5)},
+top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 3),
+c AS (SELECT query_id, string_agg('[' || chunk_id || '] (' || source || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN documents ON doc_id = chunk_id GROUP BY query_id)
+SELECT query_id, length(context) AS n_chars, md5(context) AS context_md5 FROM c""",
+    "file_prompts": f"""WITH {CONTRACT},
+f AS (SELECT query_id, path, min(rank) AS first, string_agg('--' || CASE WHEN chunk_id % 2 = 0 THEN ' (doc ' || chunk_id || ')' ELSE '' END || chr(10) || text, chr(10) ORDER BY rank) AS parts FROM hits JOIN documents ON doc_id = chunk_id GROUP BY ALL),
+b AS (SELECT query_id, string_agg('[FILE ' || path || ' | ' || CASE WHEN path = 'src3' THEN 'superseded by src4' WHEN path IN ('src0', 'src7') THEN 'superseded' ELSE 'current' END || ']' || chr(10) || parts, chr(10) || chr(10) ORDER BY first) AS blocks FROM f GROUP BY query_id),
+p AS (SELECT query_id, 'Question: ' || text || chr(10) || chr(10) || 'Excerpts:' || chr(10) || chr(10) || blocks AS prompt FROM b JOIN benchmark ON item_id = query_id)
+SELECT query_id, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM p""",
+    "reply_extract": "SELECT event_id, CASE WHEN event_id % 5 = 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events",
+    "answer_outcomes": f"""WITH {ANSWERS}
+SELECT query_id, outcome, CASE WHEN e IS NULL THEN coalesce(n, 0) ELSE 0 END AS n_claims, CASE WHEN e IS NULL THEN round(coalesce(r, 1), 4) END AS unsupported_ratio, CASE WHEN e IS NULL THEN round(coalesce(1 - r, 1), 4) END AS faithfulness,
+  CASE WHEN e IS NULL THEN round(coalesce(gr, 0), 4) END AS grounded_ratio, md5(CASE WHEN outcome = 'answered' THEN a ELSE '' END) AS answer_md5,
+  CASE WHEN outcome = 'model_abstained' THEN CASE WHEN query_id % 14 = 2 THEN 'not in the text' ELSE 'the model declined' END END AS said FROM outcomes""",
+    "outcome_counts": f"""WITH {ANSWERS}
+SELECT 'queries' AS counter, CASE WHEN outcome = 'answered' THEN outcome ELSE 'abstained' END AS label, count(*) AS n FROM outcomes GROUP BY ALL
+UNION ALL SELECT 'abstentions', outcome, count(*) FROM outcomes WHERE outcome <> 'answered' GROUP BY ALL""",
+    "bench_summary": """WITH e AS (SELECT value, event_id % 20 <> 0 AS ok, event_id % 300 AS t FROM events WHERE value IS NOT NULL),
+r AS (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM e WHERE ok),
+p AS (SELECT round(max(value) FILTER (i = round_even(0.5::DOUBLE * (n - 1), 0) + 1), 2) AS p50_ms, round(max(value) FILTER (i = round_even(0.95::DOUBLE * (n - 1), 0) + 1), 2) AS p95_ms, round(max(value) FILTER (i = round_even(0.99::DOUBLE * (n - 1), 0) + 1), 2) AS p99_ms FROM r)
+SELECT (SELECT count(*) FROM e) AS requests, p50_ms, p95_ms, p99_ms, round((SELECT avg(value) FROM e WHERE ok), 2) AS mean_ms, round((SELECT count(*) FROM e WHERE ok) / 50.0::DOUBLE, 3) AS throughput_req_s,
+  CAST((SELECT sum(t) FROM e WHERE ok) AS BIGINT) AS total_tokens, round((SELECT sum(t) FROM e WHERE ok) / 50.0::DOUBLE, 2) AS tokens_per_s, round((SELECT count(*) FROM e WHERE NOT ok)::DOUBLE / (SELECT count(*) FROM e), 4) AS error_rate,
+  round(1000 * (1.99::DOUBLE / 3600) * 50.0::DOUBLE / (SELECT count(*) FROM e WHERE ok), 4) AS cost_per_1k_queries_usd FROM p""",
+    "report_lines": f"""WITH {CASES}, m AS (SELECT prompt_version, count(*) AS n, round(count(*) FILTER (correct) / count(*), 4) AS a, round(coalesce(avg(faithfulness) FILTER (NOT abstained), 1), 4) AS f, round(coalesce(avg(grounded_ratio) FILTER (NOT abstained), 0), 4) AS g,
+  round(coalesce(count(*) FILTER (abstained AND expects_abstain) / nullif(count(*) FILTER (expects_abstain), 0), 1), 4) AS ar, round(coalesce(count(*) FILTER (abstained AND expects_abstain) / nullif(count(*) FILTER (abstained), 0), 1), 4) AS ap,
+  round(avg(latency_ms), 2) AS l, CAST(sum(tokens) AS BIGINT) AS t FROM decided GROUP BY prompt_version)
+SELECT prompt_version, '| ' || concat_ws(' | ', prompt_version, n, round(100 * a, 1) || '%', round(100 * f, 1) || '%', round(100 * g, 1) || '%', round(100 * ar, 1) || '%', round(100 * ap, 1) || '%', round(l, 1) || ' ms', format('{{:,}}', t)) || ' |' AS line FROM m""",
+
     "tokenize_counts": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(coalesce(list_aggregate(t, 'string_agg', ' '), '')) AS tokens_md5 FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)",
     "content_terms": f"SELECT doc_id, len(t) AS n_terms, md5(coalesce(list_aggregate(list_sort(t), 'string_agg', ' '), '')) AS terms_md5 FROM (SELECT doc_id, {TERMS.format('text')} AS t FROM documents)",
     "sentence_split": f"SELECT doc_id, len(s) AS n_sentences, md5(coalesce(list_aggregate(s, 'string_agg', '|'), '')) AS sentences_md5 FROM (SELECT doc_id, {SENTENCES.format('text')} AS s FROM documents)",

@@ -291,3 +291,80 @@ def test_trigram_vectors_of_short_and_null_texts(spark):
 
     for key, grams in ((1, ["ab"]), (2, [""]), (3, [""]), (4, ["abc", "bcd"]), (2**60 + 1, ["abc", "bcd"])):
         assert got[key] == pytest.approx(want(grams)), key
+
+
+def test_the_first_object_of_a_reply():
+    from plumbline.operators.answering import first_object
+
+    assert first_object('<think>{"a": 0}</think> {"a": {"b": "}"}} {"c": 1}') == '{"a": {"b": "}"}}'
+    assert first_object('{oops} then\n```json\n{"a": 1}\n```') == '{"a": 1}'
+    assert first_object("none") is None and first_object(None) is None and first_object("{" * 3000) is None
+
+
+def test_outcomes_name_each_reason_and_an_empty_corpus_raises(spark):
+    from plumbline.operators import answering
+
+    chunks = spark.createDataFrame([("a", "Pumps heat water slowly.")], "chunk_id string, text string")
+    asked = spark.createDataFrame([(k,) for k in range(1, 7)], "query_id long")
+    claim = lambda text, cited: f'{{"claims": [{{"text": "{text}", "cited_chunk_ids": {cited}}}], "abstained": false, "abstain_reason": null}}'
+    raw = {1: claim("Pumps heat water", '["a"]'), 2: "no json", 3: '{"claims": [], "abstained": true, "abstain_reason": "not there"}', 4: claim("Engines paint walls", '["a"]'), 5: claim("Pumps heat water", '["a"]')}
+    replies = spark.createDataFrame(list(raw.items()), "query_id long, raw string")
+    told = answering.service_outcomes(asked, asked.filter("query_id <> 5"), replies, chunks)
+    got = {r["query_id"]: r for r in told.collect()}
+    assert {k: r["outcome"] for k, r in got.items()} == {1: "answered", 2: "unparseable_generation", 3: "model_abstained", 4: "unsupported_ratio_exceeded", 5: "no_retrieval_results", 6: "unparseable_generation"}
+    assert got[1]["answer"] == "Pumps heat water" and got[3]["warning"] == "not there" and got[4]["answer"] == ""
+    assert {(r["counter"], r["label"]): r["n"] for r in answering.outcome_counts(told).collect()}[("queries", "abstained")] == 5
+    free = answering.service_outcomes(asked, asked.limit(0), replies, chunks.limit(0), version="no-retrieval")
+    assert {r["query_id"]: r["outcome"] for r in free.collect()}[4] == "answered"  # without context nothing is checked
+    with pytest.raises(answering.EmptyCorpus):
+        answering.service_outcomes(asked, asked, replies, chunks.limit(0))
+    with pytest.raises(KeyError):
+        answering.prompt_of("other")
+
+
+def test_file_answers_are_all_or_nothing_and_written_whole(spark, tmp_path):
+    from plumbline.operators import answering
+
+    files_ = spark.createDataFrame([("a.txt", "pump limit is 94 C here", False)], "path string, text string, superseded boolean")
+    asked = spark.createDataFrame([(k, "what is the pump limit") for k in range(1, 6)], "query_id long, text string")
+    hits = spark.createDataFrame([(k, 1, "a.txt", "pump limit is 94 C here") for k in (1, 2, 3, 4)], "query_id long, rank int, path string, text string")
+    ok = 'Well: {"reasoning": "r", "answerable": true, "answer": "94 C", "sources": ["A.txt"]}'
+    replies = spark.createDataFrame([(1, ok), (2, "?"), (3, ok.replace("true", "false")), (4, ok.replace("94 C", "12")), (5, ok)], "query_id long, raw string")
+    idents = spark.createDataFrame([], "ident string, path string")
+    told = answering.file_outcomes(asked, hits, replies, files_, idents)
+    got = {r["query_id"]: r for r in told.collect()}
+    assert (got[1]["answer"], got[1]["citations"], got[1]["confidence"]) == ("94", ["a.txt"], 0.9)
+    assert [got[k]["reason"] for k in (2, 3, 5)] == ["no usable reply", "not answerable", "nothing retrieved"]
+    assert all((got[k]["answer"], got[k]["citations"], got[k]["confidence"]) == ("", [], 0.0) for k in (2, 3, 4, 5))
+    odd = told.withColumn("query_id", F.concat(F.lit("q/"), F.col("query_id").cast("string")))
+    answering.write_outputs(odd, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "name=q_1_output")).head()["citations"] == ["a.txt"]
+
+
+def test_question_files_and_suites(spark, tmp_path):
+    from plumbline.operators import answering
+
+    good = tmp_path / "g.jsonl"
+    good.write_text('{"id": "a", "query": "q1", "expected_answer": "pumps heat water"}\n\n{"id": "b", "query": "q2", "expects_abstain": true}\n')
+    cases = evaluation.load_dataset(spark, str(good))
+    assert [tuple(r) for r in cases.orderBy("id").collect()] == [("a", "q1", "pumps heat water", False), ("b", "q2", None, True)]
+    (tmp_path / "bad.jsonl").write_text('{"id": "a", "query": "q"}\n\nnope\n')
+    with pytest.raises(ValueError, match=":3 "):
+        evaluation.load_dataset(spark, str(tmp_path / "bad.jsonl"))
+    (tmp_path / "none.jsonl").write_text("\n")
+    with pytest.raises(ValueError, match="no cases"):
+        evaluation.load_dataset(spark, str(tmp_path / "none.jsonl"))
+    one = '{"query": "q", "expected_answer": "x", "citations": ["f"]}'
+    for text in (f"[{one}]", one + "\n" + one, f'{{"questions": [{one}]}}'):
+        (tmp_path / "q.json").write_text(text)
+        assert {tuple(map(str, r)) for r in evaluation.load_questions(spark, str(tmp_path / "q.json")).collect()} == {("q", "x", "['f']")}
+
+    asked = cases.select(F.when(F.col("id") == "a", 1).otherwise(2).cast("long").alias("query_id"), F.col("query").alias("text"), "expected_answer", "expects_abstain")
+    chunks = spark.createDataFrame([("c", "Pumps heat water slowly.")], "chunk_id string, text string")
+    yes, no = '{"claims": [{"text": "Pumps heat water", "cited_chunk_ids": ["c"]}], "abstained": false}', '{"claims": [], "abstained": true}'
+    replies = spark.createDataFrame([("cited", 1, yes, 5.0, 7), ("cited", 2, no, 5.0, 7), ("no-retrieval", 1, no, 1.0, 3), ("no-retrieval", 2, yes, 1.0, 3)], "prompt_version string, query_id long, raw string, latency_ms double, tokens long")
+    report = evaluation.ablation_report(evaluation.run_suite(asked, ["cited", "no-retrieval"], asked, replies, chunks))
+    assert {r["prompt_version"]: r["accuracy"] for r in report.collect()} == {"cited": 1.0, "no-retrieval": 0.0}
+    text = evaluation.render_markdown(report)
+    assert text.count("\n") == 4 and "| cited | 2 | 100.0% |" in text
+    assert answering.prompt_of().version == "cited"
