@@ -376,3 +376,13 @@ def test_license_scan_equals_a_search_of_every_place(spark):
     for r in got:
         assert tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")) == brute(words[r["doc_id"]]), r["doc_id"]
     assert len(got) == len(texts)
+
+
+def test_cleaning_in_one_pass_equals_finding_and_redacting(spark):
+    rows = [(k, f"no {k} token = \"{hashlib.md5(str(k).encode()).hexdigest()}\" or a{k}@b.org, +1 (555) 010-{k:04d} 4111111111111111") for k in range(60)] + [(None, None), (2**60 + 1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    selector = pii.fit(docs)
+    two = {tuple(r) for r in pii.redact(pii.find(docs, selector)).collect()}
+    one = {tuple(r) for r in pii.clean(docs, selector).collect()}
+    assert one == two and (None, None) in one and (2**60 + 1, "") in one
+    assert all("<EMAIL>" in t and "@" not in t for i, t in one if t)
