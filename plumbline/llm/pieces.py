@@ -207,11 +207,12 @@ class StreamingEncoder:
         """Ids of ``chars``. Of equal sums the path whose last piece is longest wins."""
         get, byte_ids, longest = self.pieces.entries.get, self.pieces.byte_ids, self.pieces.longest
         n, ids, step = len(chars), [], 4 * self.pieces.longest
+        limit = step  # doubled where paths stay apart, so that looking for their meeting stays in proportion
         base, far = 0, 0  # the last commit; the farthest boundary that any piece has reached
         best: list = [0]
         back: list = [None]
         for start in range(n):
-            if start - base >= step:
+            if start - base >= limit:
                 # Paths of all boundaries that pieces still start from or end at, walked back until they meet.
                 live = {start, *(k for k in range(start, far + 1) if back[k - base])}
                 while len(live) > 1:
@@ -222,6 +223,7 @@ class StreamingEncoder:
                 if meet > base:
                     ids += self._path(back, base, meet)
                     best, back, base = best[meet - base :], back[meet - base :], meet
+                limit = max(step, 2 * (start - base))
             here = best[start - base]
             for end in range(start + 1, min(start + longest, n) + 1):
                 found = get(chars[start:end], 0)
