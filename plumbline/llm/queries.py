@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
     ann,
+    centroids,
+    hard_negatives,
     licenses,
     lm_scoring,
     mixing,
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     # What SQL can say of the operators above: their base columns, from the same code.
     "license_places": licenses.license_places,
     "pii_base": pii.pii_base,
@@ -40,6 +44,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op11_centroids": centroids.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
     "license_places": licenses.PLACES_SQL,
     "pii_base": pii.BASE_SQL,
     "word_count_scores": lm_scoring.COUNT_SCORES_SQL,
