@@ -18,6 +18,7 @@ from plumbline.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    secrets,
     url_filter,
 )
 
@@ -34,12 +35,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_centroids": centroids.op11_centroids,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_secrets": secrets.op13_secrets,
     # What SQL can say of the operators above: their base columns, from the same code.
     "license_places": licenses.license_places,
     "pii_base": pii.pii_base,
     "word_count_scores": lm_scoring.word_count_scores,
     "quality_counts": quality_rules.quality_counts,
     "url_rules": url_filter.url_rules,
+    "secret_places": secrets.secret_places,
 }
 
 ORACLES: dict[str, str] = {
@@ -51,4 +54,5 @@ ORACLES: dict[str, str] = {
     "word_count_scores": lm_scoring.COUNT_SCORES_SQL,
     "quality_counts": quality_rules.COUNTS_SQL,
     "url_rules": url_filter.RULES_SQL,
+    "secret_places": secrets.PLACES_SQL,
 }
