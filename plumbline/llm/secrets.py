@@ -142,7 +142,7 @@ def fit(docs: DataFrame) -> Models:
         counts[r["secret"]][r["pair"]] += r["n"]
     row = lambda c: [sum(c[i * SIZE : (i + 1) * SIZE]) for i in range(SIZE)]
     ordinary, random, a, b = counts[0], counts[1], row(counts[0]), row(counts[1])
-    ratios = [math.log(random[i] / b[i // SIZE]) - math.log(ordinary[i] / a[i // SIZE]) for i in range(SIZE * SIZE)]
+    ratios = [round(math.log(random[i] / b[i // SIZE]) - math.log(ordinary[i] / a[i // SIZE]), 6) for i in range(SIZE * SIZE)]
     return Models(ratios, math.log(n[0] / n[1]) + math.log(PRECISION / (1 - PRECISION)))
 
 
@@ -162,7 +162,8 @@ def find(docs: DataFrame, models: Models | None = None) -> DataFrame:
     """Adds rule_spans and spans: arrays of struct<kind, start, end, score> by start and kind; a rule's score is null."""
     models = models or fit(docs)
     kept = docs.drop("rule_spans", "spans")
-    out = ruled(kept)
+    # The given columns go along in one, so that none clashes with what is worked out here.
+    out = ruled(kept.select(F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("_row"), "text"))
     numbered = lambda c, k: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), F.lit(None).cast("double").alias("score")))
     named = F.array(*map(F.lit, [*KINDS, MARKOV]))
     told = lambda c: F.transform(F.array_sort(c), lambda x: F.struct(F.get(named, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"))).cast(f"array<{_SPAN}>")
@@ -175,7 +176,7 @@ def find(docs: DataFrame, models: Models | None = None) -> DataFrame:
         out = located(out, "_runs", RUN, F.exists("_scores", lambda x: x >= models.least))
         likely = F.filter(F.zip_with("_runs", "_scores", lambda r, x: F.struct(r["start"].alias("start"), F.lit(len(KINDS)).alias("k"), r["end"].alias("end"), x.alias("score"))), lambda x: x["start"].isNotNull() & (x["score"] >= models.least))
         out = out.withColumn("_likely", likely).withColumn("_all", F.concat("_base", _free(F.col("_likely"), F.col("_spans"))))
-    return out.select(*kept.columns, told(F.col("_base")).alias("rule_spans"), told(F.col("_all")).alias("spans"))
+    return out.select("_row.*", told(F.col("_base")).alias("rule_spans"), told(F.col("_all")).alias("spans"))
 
 
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
