@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import reply
@@ -116,14 +116,15 @@ def json_object(raw: Column) -> Column:
     return F.pandas_udf(_objects, "string")(raw)
 
 
-def service_outcomes(questions: DataFrame, hits: DataFrame, replies: DataFrame, chunks: DataFrame, *, version: str | None = None, most_unsupported: float = 0.20) -> DataFrame:
+def service_outcomes(questions: DataFrame, hits: DataFrame, replies: DataFrame, chunks: DataFrame, *, version: str | None = None, most_unsupported: float = 0.20, empty: bool | None = None) -> DataFrame:
     """query_id, outcome, answer, n_claims, unsupported_ratio, faithfulness, grounded_ratio and warning.
 
     A question without hits, with a reply that is no JSON object, that declines, or whose claims fail too often, has
-    no answer and says why. hits: query_id (at least a row for each question with results); chunks: chunk_id, text.
+    no answer and says why. hits: query_id (at least a row for each question with results); chunks: chunk_id, text, of which those that
+    claims name will do if ``empty`` says whether there are any at all.
     """
     prompt = prompt_of(version)
-    if prompt.requires_context and chunks.isEmpty():
+    if prompt.requires_context and (chunks.isEmpty() if empty is None else empty):
         raise EmptyCorpus("no chunks to ask questions of")
     parsed = questions.select("query_id").distinct().join(replies.select("query_id", reply(F.col("raw"), CLAIMS_REPLY).alias("r")), "query_id", "left")
     if prompt.requires_context:
@@ -166,7 +167,7 @@ def to_output(found: DataFrame) -> DataFrame:
     })
 
 
-def file_outcomes(questions: DataFrame, hits: DataFrame, replies: DataFrame, files: DataFrame, ident_files: DataFrame) -> DataFrame:
+def file_outcomes(questions: DataFrame, hits: DataFrame, replies: DataFrame, files: DataFrame, ident_files: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """query_id, answer, citations, confidence and reason for every question: without hits, without a usable reply, or
     with one that says it can't be answered, an empty refusal; else what holds in the files it cites."""
     parsed = replies.select("query_id", F.from_json(json_object(F.col("raw")), FILE_REPLY).alias("r"))
@@ -175,7 +176,7 @@ def file_outcomes(questions: DataFrame, hits: DataFrame, replies: DataFrame, fil
     early = F.when(F.col("_found").isNull(), "nothing retrieved").when(F.col("r").isNull(), "no usable reply").when(~F.coalesce("r.answerable", F.lit(False)) | blank, "not answerable")
     asked = materialize(asked.withColumn("early", early), "asked")
     usable = asked.filter("early IS NULL").select("query_id", F.col("r.answer").alias("answer"), F.coalesce("r.sources", F.array().cast("array<string>")).alias("sources"))
-    verified = to_output(grounding.verify_and_cite(usable, questions, hits, files, ident_files))
+    verified = to_output(grounding.verify_and_cite(usable, questions, hits, files, ident_files, texts))
     refused = asked.filter("early IS NOT NULL").select("query_id", F.lit("").alias("answer"), F.array().cast("array<string>").alias("citations"), F.lit(0.0).alias("confidence"), F.col("early").alias("reason"))
     return verified.unionByName(refused)
 
@@ -187,7 +188,13 @@ def output_name(query_id: Column) -> Column:
 
 
 def write_outputs(outputs: DataFrame, folder: str) -> None:
-    """One JSON file a question, below ``name=<id>_output``; written by Spark's commit, so never half of one."""
-    named = outputs.select(output_name(F.col("query_id")).alias("name"), "answer", "citations", "confidence")
-    named.repartition("name").write.mode("overwrite").partitionBy("name").json(folder)
-
+    """One JSON file a question, below ``name=<id>_output``; written by Spark's commit, so never half of one. Questions
+    that are answered again are replaced, others' answers stay. Of ids of one batch that look the same in a path, the
+    one that needs no change, else the first, keeps the name, and the others' get their hash."""
+    raw = F.coalesce(F.col("query_id").cast("string"), F.lit(""))
+    named = outputs.withColumns({"_id": raw, "name": output_name(F.col("query_id"))})
+    changed = F.concat("_id", F.lit("_output")) != F.col("name")
+    first = F.dense_rank().over(Window.partitionBy("name").orderBy(changed, "_id")) == 1
+    told = F.when(first, F.col("name")).otherwise(F.concat(F.regexp_replace("name", "_output$", ""), F.lit("-"), F.substring(F.md5(F.col("_id").cast("binary")), 1, 8), F.lit("_output")))
+    named = named.withColumn("_told", told).select(F.col("_told").alias("name"), "answer", "citations", "confidence")
+    named.repartition("name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").json(folder)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from plumbline.arrow import add_columns
 
 HEADING = r"^(#{1,6})\s+(.*)$"
 #: A line of number signs alone takes the next line that isn't blank as its heading.
@@ -46,15 +48,12 @@ def pack_paragraphs(body: str, target: int, overlap: int) -> list[str]:
 
 def chunk_documents(sections: DataFrame, target: int = 180, overlap: int = 30) -> DataFrame:
     """chunk_id (document and running place), doc_id, section, position, text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(parts=[pack_paragraphs(b, target, overlap) for b in pdf["body"]])[["doc_id", "section_no", "heading", "parts"]]
-
-    packed = sections.select("doc_id", "section_no", "heading", "body").mapInPandas(run, "doc_id long, section_no long, heading string, parts array<string>")
-    parts = packed.select("doc_id", "section_no", F.col("heading").alias("section"), F.posexplode("parts").alias("_p", "text"))
+    rows = sections.select("doc_id", "section_no", "heading", F.coalesce("body", F.lit("")).alias("body"))
+    parts = {"parts": (T.ArrayType(T.StringType()), pa.list_(pa.string()))}
+    packed = add_columns(rows, parts, lambda: lambda part: [[pack_paragraphs(b, target, overlap) for b in part.column("body").to_pylist()]])
+    listed = packed.select("doc_id", "section_no", F.col("heading").alias("section"), F.posexplode("parts").alias("_p", "text"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "_p")) - 1
-    return parts.withColumn("position", place).select(F.format_string("%s::%04d", F.col("doc_id").cast("string"), "position").alias("chunk_id"), "doc_id", "section", "position", "text")
+    return listed.withColumn("position", place).select(F.format_string("%s::%04d", F.col("doc_id").cast("string"), "position").alias("chunk_id"), "doc_id", "section", "position", "text")
 
 
 def pack_lines(text: str, locator: str | None, target: int) -> list[tuple[str, str]]:
@@ -82,12 +81,13 @@ def pack_lines(text: str, locator: str | None, target: int) -> list[tuple[str, s
 
 
 def chunk_lines(segments: DataFrame, target: int = 170) -> DataFrame:
-    """doc_id, piece_no, locator, text for segments (doc_id, locator, text)."""
+    """piece_no, locator and text of the pieces of segments (locator, text), beside all other columns."""
+    others = [c for c in segments.columns if c not in ("locator", "text")]
+    parts = {"parts": (T.ArrayType(T.StructType([T.StructField("locator", T.StringType()), T.StructField("text", T.StringType())])), pa.list_(pa.struct([("locator", pa.string()), ("text", pa.string())])))}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            packed = [pack_lines(t or "", loc, target) for t, loc in zip(pdf["text"], pdf["locator"], strict=True)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "parts": [[{"locator": a, "text": b} for a, b in p] for p in packed]})
+    def step(part: pa.RecordBatch) -> list:
+        texts, locators = part.column("text").to_pylist(), part.column("locator").to_pylist()
+        return [[[{"locator": a, "text": b} for a, b in pack_lines(t or "", loc, target)] for t, loc in zip(texts, locators, strict=True)]]
 
-    packed = segments.select("doc_id", "locator", "text").mapInPandas(run, "doc_id long, parts array<struct<locator:string,text:string>>")
-    return packed.select("doc_id", F.posexplode("parts").alias("piece_no", "p")).select("doc_id", "piece_no", "p.locator", "p.text")
+    packed = add_columns(segments, parts, lambda: step)
+    return packed.select(*others, F.posexplode("parts").alias("piece_no", "p")).select(*others, "piece_no", "p.locator", "p.text")

@@ -32,11 +32,12 @@ def expand_with_identifiers(chunks: DataFrame, queries: DataFrame, ident_files:
     return both.withColumn("rank", place).filter(F.col("rank") <= k + 6)
 
 
-def verify_and_cite(replies: DataFrame, questions: DataFrame, hits: DataFrame, files: DataFrame, ident_files: DataFrame) -> DataFrame:
+def verify_and_cite(replies: DataFrame, questions: DataFrame, hits: DataFrame, files: DataFrame, ident_files: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """query_id, answer, citations, confidence and reason for each reply (query_id, answer, sources array<string>).
 
     questions: query_id, text. hits: query_id, rank, path, text of the excerpts shown. files: path, text, superseded,
-    all of them indexed. ident_files: ident, path (a row for each file).
+    all of them indexed. ident_files: ident, path (a row for each file). texts: path and text of the files that hits
+    are of; then files need no text, and no other file's is read.
     """
     asked = replies.select("query_id", clean_answer(F.coalesce("answer", F.lit(""))).alias("answer"), "sources").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
     asked = asked.withColumn("terms", file_terms(F.col("question"))).withColumn("need", F.when(F.size("terms") <= 3, 1).otherwise(2))
@@ -47,7 +48,7 @@ def verify_and_cite(replies: DataFrame, questions: DataFrame, hits: DataFrame, f
         return texts.join(valued, "query_id").filter(fits).groupBy("query_id", "path").agg(F.min("rank").alias("rank"))
 
     shown = supported(hits.select("query_id", "path", "rank", "text")).withColumn("shown", F.lit(True))
-    retrieved = hits.groupBy("query_id", "path").agg(F.min("rank").alias("rank")).join(files.select("path", "text"), "path")
+    retrieved = hits.groupBy("query_id", "path").agg(F.min("rank").alias("rank")).join((files if texts is None else texts).select("path", "text"), "path")
     whole = supported(retrieved.join(shown.select("query_id").distinct(), "query_id", "left_anti")).withColumn("shown", F.lit(False))
     support = materialize(shown.unionByName(whole), "support")
 

@@ -1,85 +1,288 @@
-"""A search index that is kept: tables in a folder that Spark reads and writes, searched without the texts.
-
-Tables, each under a version's own folder: ``chunks`` (all columns given), ``postings`` (term, chunk_id, tf, dl; sorted
-by term, so that a search reads the row groups of its terms), ``terms`` (term, df) and, on demand, ``vectors``. A row of
-``manifest`` is added last and names the version: a reader sees the version before or the new one, never half of one.
+"""A search index that is kept: segments in a folder that Spark reads and writes, searched without the texts.
+
+A segment is what one ``save`` or ``ingest`` brought, and isn't written again:
+
+``chunks``    all columns given, in folders by the hash of chunk_id, so that some chunks' texts are read without the rest
+``postings``  a row for each term and block of chunks, with all its chunks and the largest tf and least dl among them;
+              in folders by ranges of terms, so that a search reads the ranges of its terms
+``terms``     term, df, rows of postings, and the first and last of their folders; df is negative for what a segment
+              takes out of older ones
+``dead``      chunks of older segments that were replaced
+``idents``    ident, path and chunk_id of identifiers, where files are indexed
+``docs``      the files that the chunks are of, if they are given
+``vectors-``  hashed vectors, made on demand
+
+A version is a small file that names its segments and sums over them. It is put in place whole, under the next number, by
+one writer only: a reader keeps the version that it has loaded, whatever is ingested, mended or compacted meanwhile, and
+a writer that comes second starts over from the newer one.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
-from plumbline.functions.text import tokens
+from plumbline.functions.text import grader_form, identifiers, tokens
 from plumbline.operators.retrieval import capped, dense_top_k, reciprocal_rank_fusion, top_k, trigram_vectors
+from plumbline.session import materialize, put_new, remove
 
 #: Of the tables' layout; indexes of another one are not read.
-VERSION = 1
-MANIFEST = "seq long, version int, fingerprint string, folder string, n_chunks long, n_postings long, n_terms long, avgdl double"
-#: Terms of a batch of questions up to which they are sent to the postings' tasks instead of shuffled to them.
-MOST_BROADCAST = 100_000
+VERSION = 2
+_SEGMENT = "number int, folder string, n_chunks long, n_tokens long, n_postings long, n_terms long, n_dead long, n_docs long, buckets int, schema string, docs_schema string"
+COMMIT = f"seq long, layout int, fingerprint string, tokenizer string, with_path boolean, n_chunks long, n_tokens long, batches map<string,long>, segments array<struct<{_SEGMENT.replace(' ', ':').replace(',:', ',')}>>"
+
+#: Chunks of a block of postings, of a folder of chunks, and of a folder of postings, about.
+BLOCK_CHUNKS, BUCKET_CHUNKS, PART_CHUNKS = 128, 8192, 20_000
+#: Terms of a batch of questions up to which only the folders of their ranges are read; more are in most of them.
+MOST_TERMS = 10_000
+#: Rows of postings above which a search works out bounds first; and the blocks whose scores it begins with.
+PRUNE_ABOVE, FIRST_BLOCKS = 200_000, 16
+#: Segments of a version, from which an ingest makes one of them all.
+MOST_SEGMENTS = 8
+#: Times that a writer starts over after another one's commit.
+TRIES = 5
 
 
 class IndexUnusable(ValueError):
-    """There is no index in the folder, or one of another layout."""
+    """There is no index in the folder, or one of another layout or other terms."""
+
+
+class IndexBusy(RuntimeError):
+    """Other writers were faster, each time."""
+
+
+def _schema(name: str, chunks: str) -> T.StructType | str:
+    """Of a segment's table; told, not read from its files, since there may be none."""
+    own = T.StructType.fromJson(json.loads(chunks))
+    if name == "chunks":
+        return T.StructType([*own.fields, T.StructField("_bucket", T.IntegerType())])
+    kind = own["chunk_id"].dataType.simpleString()
+    return {
+        "postings": f"term string, block int, n long, tf_max int, dl_min int, tf_sum long, entries array<struct<chunk_id:{kind},tf:int,dl:int>>, part int",
+        "terms": "term string, df long, n_rows long, first_part int, last_part int",
+        "dead": f"_seg int, chunk_id {kind}",
+        "idents": f"ident string, path string, chunk_id {kind}",
+    }.get(name, f"chunk_id {kind}, v array<double>")
+
+
+@dataclass(frozen=True)
+class Segment:
+    number: int
+    folder: str
+    n_chunks: int
+    n_tokens: int
+    n_postings: int
+    n_terms: int
+    n_dead: int
+    n_docs: int
+    buckets: int
+    #: Of its chunks, as JSON; and of its docs, if it has any.
+    schema: str
+    docs_schema: str = ""
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        if name == "docs":
+            return spark.read.schema(T.StructType.fromJson(json.loads(self.docs_schema))).parquet(f"{self.folder}/docs")
+        return spark.read.schema(_schema(name, self.schema)).parquet(f"{self.folder}/{name}")
 
 
 @dataclass
 class EvidenceIndex:
-    """An index as read: its tables, and what its manifest says."""
+    """A version as read: its segments, and the sums over them."""
 
     spark: SparkSession
-    folder: str
+    root: str
+    seq: int
     fingerprint: str
     n_chunks: int
-    avgdl: float
-    #: How texts and questions become terms.
+    n_tokens: int
+    segments: list[Segment]
+    #: How texts and questions become terms, and whether a chunk's path is searched, too.
     tokenize: Callable[[Column], Column] = field(default=tokens)
+    with_path: bool = False
+    #: The last batch of each stream that is in it.
+    batches: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def folder(self) -> str:
+        """The newest segment's folder."""
+        return self.segments[-1].folder
+
+    @property
+    def avgdl(self) -> float:
+        return self.n_tokens / self.n_chunks if self.n_tokens else 1.0
+
+    def _union(self, name: str, narrow: Callable[[DataFrame, Segment], DataFrame] = lambda df, _: df) -> DataFrame:
+        parts = [narrow(s.read(self.spark, name), s).withColumn("_seg", F.lit(s.number)) for s in self.segments]
+        return reduce(DataFrame.unionByName, parts)
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Without the rows (_seg, chunk_id, ...) of chunks that a later segment replaced. Spark broadcasts the list only
+        where its size allows."""
+        lists = [s.read(self.spark, "dead") for s in self.segments if s.n_dead]
+        return rows.join(reduce(DataFrame.unionByName, lists).select("_seg", "chunk_id"), ["_seg", "chunk_id"], "left_anti").select(*rows.columns) if lists else rows
 
     @property
     def chunks(self) -> DataFrame:
-        return self.table("chunks")
+        return self._live(self._union("chunks")).drop("_seg", "_bucket")
+
+    @property
+    def postings(self) -> DataFrame:
+        """term, chunk_id, tf, dl."""
+        rows = self._union("postings").select("_seg", "term", F.explode("entries").alias("e")).select("_seg", "term", "e.chunk_id", "e.tf", "e.dl")
+        return self._live(rows).drop("_seg")
 
-    def get(self, chunk_ids: list[int]) -> DataFrame:
+    @property
+    def terms(self) -> DataFrame:
+        """term, df over all segments."""
+        return self._union("terms").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+
+    @property
+    def docs(self) -> DataFrame:
+        """The files that were given with the chunks, those without any text too."""
+        parts = [s.read(self.spark, "docs") for s in self.segments if s.docs_schema]
+        if not parts:
+            raise IndexUnusable(f"the index in {self.root} was built without files")
+        return reduce(DataFrame.unionByName, parts)
+
+    def get(self, chunk_ids: list) -> DataFrame:
         """Chunks by id."""
-        return self.chunks.filter(F.col("chunk_id").isin(chunk_ids))
+        kind = T.StructType.fromJson(json.loads(self.segments[0].schema))["chunk_id"].dataType
+        return self.texts_of(self.spark.createDataFrame([(c,) for c in chunk_ids], T.StructType([T.StructField("chunk_id", kind)])))
+
+    def texts_of(self, ids: DataFrame) -> DataFrame:
+        """The chunks of ids (chunk_id), from those folders that can hold them."""
+        wanted = ids.select("chunk_id").distinct()
+
+        def narrow(df: DataFrame, s: Segment) -> DataFrame:
+            found = [r[0] for r in wanted.select(_bucket(s.buckets)).distinct().collect()] if s.buckets > 1 else []  # at most a number a folder
+            return df.filter(F.col("_bucket").isin(found)) if s.buckets > 1 and len(found) < s.buckets else df
+
+        return self._live(self._union("chunks", narrow).join(wanted, "chunk_id", "left_semi")).drop("_seg", "_bucket")
 
     def summary(self) -> DataFrame:
         """One row: files, files with chunks (indexed), and chunks."""
         path = F.col("path") if "path" in self.chunks.columns else F.col("chunk_id")
         return self.chunks.agg(F.countDistinct(path).alias("files"), F.countDistinct(F.when(F.col("text").rlike(r"\S"), path)).alias("indexed"), F.count("*").alias("chunks"))
 
+    # ------------------------------------------------------------ lexical search
+
+    def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """query_id, term and idf of the questions' terms; the postings of these terms; and how many rows that are."""
+        asked = materialize(queries.select("query_id", F.explode(F.array_distinct(self.tokenize(F.col("text")))).alias("term")), "asked")
+        wanted = materialize(asked.select("term").distinct(), "wanted")
+        known = materialize(self._union("terms").join(wanted, "term"), "known")
+        idf = F.log(1 + (F.lit(self.n_chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weighed = known.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0").select("term", idf.alias("idf"))
+        # Written, so that Spark sees its size and broadcasts it only where that allows.
+        weighed = materialize(asked.join(weighed, "term").select("query_id", "term", "idf"), "weighed")
+        size = known.agg(F.sum("n_rows")).head()[0] or 0
+        read = lambda df, s: df
+        if wanted.count() <= MOST_TERMS:
+            parts: dict[int, list[int]] = {}
+            for r in known.filter("first_part IS NOT NULL").select("_seg", F.explode(F.sequence("first_part", "last_part")).alias("part")).distinct().collect():  # at most a row a folder
+                parts.setdefault(r["_seg"], []).append(r["part"])
+            read = lambda df, s: df.filter(F.col("part").isin(sorted(parts.get(s.number, []))))
+        return weighed, self._union("postings", read), size
+
+    def _part(self, tf: Column, dl: Column, k1: float, b: float) -> Column:
+        return F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(self.avgdl)))
+
+    def _scores(self, blocks: DataFrame, weighed: DataFrame, k1: float, b: float) -> DataFrame:
+        """query_id, chunk_id, score > 0 from blocks of postings; ``weighed`` may name the blocks (_seg, block), too."""
+        met = blocks.join(weighed, [c for c in ("_seg", "block", "term") if c in weighed.columns])
+        rows = met.select("_seg", "query_id", "idf", F.explode("entries").alias("e")).select("_seg", "query_id", "e.chunk_id", self._part(F.col("e.tf"), F.col("e.dl"), k1, b).alias("part"))
+        return self._live(rows).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")).filter("score > 0")
+
     def bm25(self, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
         """query_id, chunk_id, score > 0 for all queries, from the postings of their terms."""
-        asked = queries.select("query_id", F.explode(F.array_distinct(self.tokenize(F.col("text")))).alias("term"))
-        wanted = asked.select("term").distinct()
-        few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-        known = self.table("terms").join(F.broadcast(wanted) if few else wanted, "term")
-        idf = F.log(1 + (F.lit(self.n_chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weighed = asked.join(known.select("term", idf.alias("idf")), "term")
-        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(self.avgdl)))
-        found = self.table("postings").join(F.broadcast(weighed) if few else weighed, "term")
-        return found.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
+        weighed, blocks, _ = self._asked(queries)
+        return self._scores(blocks, weighed, k1, b)
+
+    def search(self, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75, out: str = "rank", prune: bool | None = None) -> DataFrame:
+        """The best k chunks of each query, exactly.
+
+        With ``prune`` (by default where there are many postings) no block is opened that can't hold one of them: its
+        bound is the sum over the question's terms of what the largest tf and least dl in the block would give. The
+        blocks with the largest bounds are scored first; the k-th best score found is what the others' bounds must
+        reach. A chunk is in one block only, so its score is whole there.
+        """
+        weighed, blocks, size = self._asked(queries)
+        if not (size > PRUNE_ABOVE if prune is None else prune):
+            return top_k(self._scores(blocks, weighed, k1, b), k, out=out)
+        bound = self._part(F.col("tf_max"), F.col("dl_min"), k1, b)
+        bounds = blocks.select("_seg", "term", "block", "tf_max", "dl_min").join(weighed, "term").groupBy("query_id", "_seg", "block").agg(F.sum(bound).alias("bound"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "_seg", "block"))
+        bounds = materialize(bounds.withColumn("place", place), "bounds")
+        opened = lambda some: self._scores(blocks, some.select("query_id", "_seg", "block").join(weighed, "query_id"), k1, b)
+        first = materialize(top_k(opened(bounds.filter(F.col("place") <= FIRST_BLOCKS)), k), "first")
+        least = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        rest = bounds.filter(F.col("place") > FIRST_BLOCKS).join(least, "query_id", "left").filter(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-8)
+        return top_k(first.drop("rank").unionByName(opened(rest)), k, out=out)
+
+    def files(self, queries: DataFrame, *, k: int = 10, per_file: int = 3, penalty: float = 0.4) -> DataFrame:
+        """File-corpus search over chunks with path and superseded: over-fetch 6 k, demote superseded, cap each file."""
+        raw = self.search(queries, 6 * k, k1=1.4, out="raw_rank")
+        return capped(raw.join(self.chunks.select("chunk_id", "path", "superseded"), "chunk_id"), k, per_file, penalty)
 
-    def search(self, queries: DataFrame, k: int = 10, **how) -> DataFrame:
-        return top_k(self.bm25(queries, **how), k)
+    # ------------------------------------------------------------ identifiers
+
+    @property
+    def identifiers(self) -> DataFrame:
+        """ident, path, chunk_id."""
+        return self._live(self._union("idents")).drop("_seg")
+
+    def identifier_files(self, idents: DataFrame | None = None, most: int = 12) -> DataFrame:
+        """ident, path and n_files of the identifiers (of ``idents``) that are in at most ``most`` files."""
+        rows = self.identifiers if idents is None else self.identifiers.join(idents.select("ident").distinct(), "ident", "left_semi")
+        pairs = rows.select("ident", "path").distinct()
+        return pairs.join(pairs.groupBy("ident").agg(F.count("*").alias("n_files")).filter(F.col("n_files") <= most), "ident")
+
+    def expand(self, queries: DataFrame, *, k: int = 10, looked_at: int = 5, most: int = 6) -> DataFrame:
+        """query_id, chunk_id, path, hop (1 or 2) and rank: the first hits, then what the rarest identifiers of the first
+        few bring that the question doesn't hold; at most k + 6 of both. No text is read: identifiers of hits come
+        from their table, both searches from postings."""
+        first = materialize(self.files(queries, k=k).select("query_id", "chunk_id", "path", "rank"), "hits")
+        asked = queries.select("query_id", grader_form(F.col("text")).alias("asked"), F.col("text").alias("question"))
+        seen = first.filter(F.col("rank") <= looked_at).select("query_id", "chunk_id")
+        named = materialize(self.identifiers.select("chunk_id", "ident").join(seen, "chunk_id").select("query_id", "ident").distinct().join(asked, "query_id").filter(~F.contains(F.col("asked"), F.col("ident"))), "named")
+        counts = self.identifier_files(named).select("ident", "n_files").distinct()
+        rare = named.join(counts, "ident").withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("n_files", "ident"))).filter(F.col("_n") <= most)
+        words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "ident"))), lambda x: x["ident"]), " ")
+        again = rare.groupBy("query_id").agg(words.alias("w"), F.first("question").alias("q")).select("query_id", F.concat_ws(" ", "w", "q").alias("text"))
+        second = self.files(again, k=k).select("query_id", "chunk_id", "path", "rank").join(first.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+        both = first.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2)))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "rank"))
+        return both.withColumn("rank", place).filter(F.col("rank") <= k + 6)
+
+    def file_texts(self, paths: DataFrame) -> DataFrame:
+        """path and text: the chunks of some files, joined by lines in order of chunk_id; from the folders that can hold
+        them."""
+        ids = materialize(self.chunks.select("chunk_id", "path").join(paths.select("path").distinct(), "path", "left_semi").select("chunk_id"), "ids")
+        listed = F.array_sort(F.collect_list(F.struct("chunk_id", "text")))  # a file's chunks
+        return self.texts_of(ids).groupBy("path").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("text"))
+
+    # ------------------------------------------------------------ vectors
 
     def vectors(self, kind: str = "md5") -> DataFrame:
-        """Hashed vectors of the chunks, made when first asked for and kept with the index."""
+        """Hashed vectors of the chunks, made for each segment when first asked for and kept with it."""
         name = f"vectors-{kind}"
-        try:
-            return self.table(name)
-        except AnalysisException:
-            trigram_vectors(self.chunks.select("chunk_id", "text"), "chunk_id", kind=kind).write.parquet(f"{self.folder}/{name}")
-            return self.table(name)
+        for s in self.segments:
+            try:
+                s.read(self.spark, name)
+            except AnalysisException:
+                trigram_vectors(s.read(self.spark, "chunks").select("chunk_id", "text"), "chunk_id", kind=kind).write.mode("ignore").parquet(f"{s.folder}/{name}")
+        return self._live(self._union(name)).drop("_seg")
 
     def hybrid(self, queries: DataFrame, k: int = 8, kind: str = "md5") -> DataFrame:
         """The best k of fused lexical and dense rankings, each over-fetched twice."""
@@ -87,12 +290,6 @@ class EvidenceIndex:
         dense = dense_top_k(self.vectors(kind), trigram_vectors(queries, "query_id", kind=kind), 2 * k, n_vectors=self.n_chunks)
         return reciprocal_rank_fusion(lexical, dense).filter(F.col("fused_rank") <= k).withColumn("fused_score", F.round("fused_score", 6))
 
-    def files(self, queries: DataFrame, *, k: int = 10, per_file: int = 3, penalty: float = 0.4) -> DataFrame:
-        """File-corpus search over chunks with path and superseded: over-fetch 6 k, demote superseded, cap each file."""
-        raw = top_k(self.bm25(queries, k1=1.4), 6 * k, out="raw_rank")
-        named = raw.join(self.chunks.select("chunk_id", "path", "superseded"), "chunk_id")
-        return capped(named, k, per_file, penalty)
-
 
 def fingerprint_of(spark: SparkSession, path: str) -> str:
     """Of a table's files: their names and sizes. Only the listing is read."""
@@ -103,76 +300,224 @@ def fingerprint_of(spark: SparkSession, path: str) -> str:
     return f"{row['n']}:{row['s']}"
 
 
-def _postings(chunks: DataFrame, tokenize: Callable[[Column], Column], with_path: bool) -> DataFrame:
-    """term, chunk_id, tf, dl: counted and measured in one pass over the texts."""
-    text = F.concat_ws("\n", "path", "text") if with_path else F.coalesce("text", F.lit(""))
-    words = chunks.select("chunk_id", tokenize(text).alias("w")).select("chunk_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
-    return words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).select("term", "chunk_id", "tf", "dl")
-
+# ---------------------------------------------------------------- segments
 
-def save(chunks: DataFrame, root: str, fingerprint: str, *, tokenize: Callable[[Column], Column] = tokens, with_path: bool = False) -> EvidenceIndex:
-    """Builds an index over chunks (chunk_id, text, and path where it is searched too) and keeps it in ``root``."""
-    spark = chunks.sparkSession
-    folder = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
-    chunks.write.parquet(f"{folder}/chunks")
-    return _finish(spark, root, folder, fingerprint, tokenize, with_path)
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int").alias("_bucket")
 
-def _finish(spark: SparkSession, root: str, folder: str, fingerprint: str, tokenize: Callable[[Column], Column], with_path: bool) -> EvidenceIndex:
-    chunks = spark.read.parquet(f"{folder}/chunks")
-    _postings(chunks, tokenize, with_path).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    postings = spark.read.parquet(f"{folder}/postings")
-    postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
-    n, total = chunks.count(), postings.agg(F.sum("tf")).head()[0] or 0
-    seq = (_manifests(spark, root).agg(F.max("seq")).head()[0] or 0) + 1
-    row = (seq, VERSION, fingerprint, folder, n, postings.count(), spark.read.parquet(f"{folder}/terms").count(), total / n if total else 1.0)
-    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/manifest")
-    return EvidenceIndex(spark, folder, fingerprint, n, row[-1], tokenize)
 
-
-def _manifests(spark: SparkSession, root: str) -> DataFrame:
+def _words(chunks: DataFrame, tokenize: Callable[[Column], Column], with_path: bool) -> DataFrame:
+    """chunk_id, dl and term, repeats kept."""
+    text = F.concat_ws("\n", "path", "text") if with_path else F.coalesce("text", F.lit(""))
+    return chunks.select("chunk_id", tokenize(text).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+
+
+def _postings(words: DataFrame, n_chunks: int) -> DataFrame:
+    """Rows of postings: a term's chunks of one block, in ranges of terms; a term that many chunks hold has many rows."""
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n_chunks // BLOCK_CHUNKS)))).cast("int")
+    counted = words.groupBy("chunk_id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    rows = counted.groupBy("term", block.alias("block")).agg(  # about BLOCK_CHUNKS chunks at most
+        F.count("*").alias("n"), F.max("tf").alias("tf_max"), F.min("dl").alias("dl_min"), F.sum("tf").alias("tf_sum"), F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("entries")
+    )
+    dealt = rows.repartitionByRange(max(1, -(-n_chunks // PART_CHUNKS)), "term", "block").sortWithinPartitions("term", "block")
+    return dealt.withColumn("part", F.spark_partition_id())
+
+
+def _idents(chunks: DataFrame) -> DataFrame:
+    found = chunks.select(F.explode(identifiers(F.coalesce("text", F.lit("")))).alias("ident"), "path", "chunk_id").distinct()
+    return found.repartitionByRange("ident", "path").sortWithinPartitions("ident", "path")
+
+
+def _write_segment(chunks: DataFrame, root: str, number: int, tokenize: Callable[[Column], Column], with_path: bool, old: EvidenceIndex | None = None, key: str | None = None, docs: DataFrame | None = None) -> Segment:
+    """Writes a segment. With an old version, its chunks of the same documents (``key``) are put on the list of dead ones,
+    and their terms are taken out of the sums."""
+    spark, folder = chunks.sparkSession, f"{root}/v-{uuid.uuid4().hex}"
+    n = chunks.count()
+    buckets = max(1, -(-n // BUCKET_CHUNKS))
+    made = Segment(number, folder, n, 0, 0, 0, 0, 0, buckets, chunks.schema.json(), "" if docs is None else docs.schema.json())
+    if docs is not None:
+        docs.write.parquet(f"{folder}/docs")
+    placed = chunks.withColumn("_bucket", _bucket(buckets))
+    (placed.repartition(buckets, "_bucket") if buckets > 1 else placed).write.partitionBy("_bucket").parquet(f"{folder}/chunks")
+    stored = made.read(spark, "chunks")
+    _postings(_words(stored, tokenize, with_path), n).write.partitionBy("part").parquet(f"{folder}/postings")
+    postings = made.read(spark, "postings")
+    if with_path:
+        _idents(stored).write.parquet(f"{folder}/idents")
+    terms = postings.groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("n_rows"), F.min("part").alias("first_part"), F.max("part").alias("last_part"))
+    n_dead = lost_tokens = 0
+    if old is not None:
+        gone = old._live(old._union("chunks").select("_seg", "chunk_id", key)).join(stored.select(key).distinct(), key, "left_semi").select("_seg", "chunk_id")
+        gone.write.parquet(f"{folder}/dead")
+        dead = made.read(spark, "dead")
+        n_dead = dead.count()
+        if n_dead:
+            lost = materialize(_words(old.texts_of(dead), tokenize, with_path).groupBy("chunk_id", "term").agg(F.count("*").alias("tf")), "lost")
+            lost_tokens = lost.agg(F.sum("tf")).head()[0] or 0
+            less = lost.groupBy("term").agg((-F.count("*")).alias("df")).withColumns({"n_rows": F.lit(0).cast("long"), "first_part": F.lit(None).cast("int"), "last_part": F.lit(None).cast("int")})
+            terms = terms.unionByName(less).groupBy("term").agg(F.sum("df").alias("df"), F.sum("n_rows").alias("n_rows"), F.min("first_part").alias("first_part"), F.max("last_part").alias("last_part"))
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+    total, rows = postings.agg(F.sum("tf_sum"), F.count("*")).head()
+    return replace(made, n_chunks=n - n_dead, n_tokens=(total or 0) - lost_tokens, n_postings=rows, n_terms=made.read(spark, "terms").count(), n_dead=n_dead, n_docs=made.read(spark, "docs").count() if docs is not None else 0)
+
+
+# ---------------------------------------------------------------- versions
+
+
+def _name(tokenize: Callable[[Column], Column]) -> str:
+    return getattr(tokenize, "__qualname__", repr(tokenize))
+
+
+def _commits(spark: SparkSession, root: str) -> DataFrame:
     try:
-        return spark.read.schema(MANIFEST).parquet(f"{root.rstrip('/')}/manifest")
-    except AnalysisException:
-        return spark.createDataFrame([], MANIFEST)
-
-
-def load(spark: SparkSession, root: str, *, tokenize: Callable[[Column], Column] = tokens, with_path: bool = False) -> EvidenceIndex:
-    """The newest index of ``root``; IndexUnusable without one of this layout. Postings that are missing, damaged or
-    out of step with the chunks are built again from the chunks."""
-    rows = _manifests(spark, root).orderBy(F.desc("seq")).limit(1).collect()
-    if not rows or rows[0]["version"] != VERSION:
+        return spark.read.schema(COMMIT).json(f"{root}/commits").filter("seq IS NOT NULL")
+    except AnalysisException:  # no folder: no version yet
+        return spark.createDataFrame([], COMMIT)
+
+
+def _newest(spark: SparkSession, root: str) -> int:
+    return _commits(spark, root).agg(F.max("seq")).head()[0] or 0
+
+
+def _commit(spark: SparkSession, root: str, seq: int, fingerprint: str, segments: list[Segment], tokenize: Callable[[Column], Column], with_path: bool, batches: dict[str, int]) -> EvidenceIndex | None:
+    """The new version, or None where there is one of that number."""
+    n, total = sum(s.n_chunks for s in segments), sum(s.n_tokens for s in segments)
+    row = {"seq": seq, "layout": VERSION, "fingerprint": fingerprint, "tokenizer": _name(tokenize), "with_path": with_path, "n_chunks": n, "n_tokens": total, "batches": batches, "segments": [vars(s) for s in segments]}
+    if not put_new(spark, f"{root}/commits/{seq:012d}.json", json.dumps(row)):
+        return None
+    return EvidenceIndex(spark, root, seq, fingerprint, n, total, segments, tokenize, with_path, batches)
+
+
+def _tried(spark: SparkSession, root: str, make: Callable[[], EvidenceIndex | None]) -> EvidenceIndex:
+    for _ in range(TRIES):
+        made = make()
+        if made is not None:
+            return made
+    raise IndexBusy(f"other writers were faster {TRIES} times in {root}")
+
+
+def save(chunks: DataFrame, root: str, fingerprint: str, *, tokenize: Callable[[Column], Column] = tokens, with_path: bool = False, docs: DataFrame | None = None) -> EvidenceIndex:
+    """Builds an index over chunks (chunk_id, text, and path where it is searched too) and keeps it in ``root``, as a
+    version of one segment; ``docs`` (path, ...), the files, are kept beside it."""
+    spark, root = chunks.sparkSession, root.rstrip("/")
+    made = _write_segment(chunks, root, 1, tokenize, with_path, docs=docs)
+    return _tried(spark, root, lambda: _commit(spark, root, _newest(spark, root) + 1, fingerprint, [made], tokenize, with_path, {}))
+
+
+def _whole(index: EvidenceIndex) -> bool:
+    """Whether all tables are there and as long as the version says. A read that fails is tried once more, so that a
+    passing fault isn't taken for damage."""
+    # A segment's chunks are as many as it has now and as it took from older ones.
+    sizes = [(s, name, n) for s in index.segments for name, n in (("chunks", s.n_chunks + s.n_dead), ("postings", s.n_postings), ("terms", s.n_terms))]
+    for last in (False, True):
+        try:  # counts come from the files' footers, so this reads no rows at any size
+            counts = [s.read(index.spark, name).agg(F.lit(k).alias("k"), F.count("*").alias("n")) for k, (s, name, _) in enumerate(sizes)]
+            got = {r["k"]: r["n"] for r in reduce(DataFrame.unionByName, counts).collect()}
+            return all(got[k] == n for k, (_, _, n) in enumerate(sizes))
+        except AnalysisException:
+            return False
+        except (PySparkException, Py4JJavaError):
+            if last:
+                return False
+    return False
+
+
+def load(spark: SparkSession, root: str, *, tokenize: Callable[[Column], Column] = tokens, with_path: bool = False, seq: int | None = None) -> EvidenceIndex:
+    """The newest version of ``root``, or that of a number; IndexUnusable without one of this layout and of these terms.
+    Where postings or terms are missing, damaged or out of step with the chunks, they are built again from the chunks,
+    as a new version: readers of the old one keep what they have."""
+    root = root.rstrip("/")
+    commits = _commits(spark, root)
+    rows = (commits.orderBy(F.desc("seq")) if seq is None else commits.filter(F.col("seq") == seq)).limit(1).collect()
+    if not rows or rows[0]["layout"] != VERSION:
         raise IndexUnusable(f"no index of version {VERSION} in {root}")
     found = rows[0]
-    sizes = {"chunks": found["n_chunks"], "postings": found["n_postings"], "terms": found["n_terms"]}
-    try:  # counts come from the files' footers, so this reads no rows at any size
-        same = all(spark.read.parquet(f"{found['folder']}/{name}").count() == n for name, n in sizes.items())
-    except Exception:  # whatever is wrong with derived tables, the chunks can give them again
-        same = False
-    if not same:
-        return _finish(spark, root, found["folder"], found["fingerprint"], tokenize, with_path)
-    return EvidenceIndex(spark, found["folder"], found["fingerprint"], found["n_chunks"], found["avgdl"], tokenize)
-
-
-def load_or_build(spark: SparkSession, root: str, fingerprint: str, chunks: Callable[[EvidenceIndex | None], DataFrame], *, tokenize: Callable[[Column], Column] = tokens, with_path: bool = False) -> EvidenceIndex:
+    if (found["tokenizer"], found["with_path"]) != (_name(tokenize), with_path):
+        raise IndexUnusable(f"the index in {root} has terms of {found['tokenizer']}, paths {'searched' if found['with_path'] else 'left out'}")
+    segments = [Segment(**s.asDict()) for s in found["segments"]]
+    index = EvidenceIndex(spark, root, found["seq"], found["fingerprint"], found["n_chunks"], found["n_tokens"], segments, tokenize, with_path, dict(found["batches"] or {}))
+    return index if seq is not None or _whole(index) else compact(index)
+
+
+def compact(index: EvidenceIndex) -> EvidenceIndex:
+    """One segment of all chunks that are left, as a new version; IndexBusy where another writer is faster."""
+    docs = index.docs if any(s.docs_schema for s in index.segments) else None
+    made = _write_segment(index.chunks, index.root, index.seq + 1, index.tokenize, index.with_path, docs=docs)
+    new = _commit(index.spark, index.root, index.seq + 1, index.fingerprint, [made], index.tokenize, index.with_path, index.batches)
+    if new is None:
+        raise IndexBusy(f"another writer was faster in {index.root}")
+    return new
+
+
+def prune(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
+    """Takes away all but the newest ``keep`` versions and the segments that only they name; gives the numbers kept.
+    Readers of older versions must be done."""
+    root = root.rstrip("/")
+    rows = _commits(spark, root).select("seq", F.transform("segments", lambda s: s["folder"]).alias("folders")).orderBy(F.desc("seq")).collect()  # a short row a version
+    kept = {f for r in rows[:keep] for f in r["folders"]}
+    for r in rows[keep:]:
+        remove(spark, f"{root}/commits/{r['seq']:012d}.json")
+    for folder in {f for r in rows[keep:] for f in r["folders"]} - kept:
+        remove(spark, folder)
+    return sorted(r["seq"] for r in rows[:keep])
+
+
+def load_or_build(spark: SparkSession, root: str, fingerprint: str, chunks: Callable[[EvidenceIndex | None], DataFrame | tuple[DataFrame, DataFrame]], *, tokenize: Callable[[Column], Column] = tokens, with_path: bool = False) -> EvidenceIndex:
     """The index of ``root`` if its fingerprint is this one; else a new one over ``chunks(old)``, which gets the old
-    index, or None, so that what is dear to make (transcripts) can be taken from it."""
+    index, or None, so that what is dear to make (transcripts) can be taken from it, and gives chunks, or chunks and
+    docs."""
     try:
         old = load(spark, root, tokenize=tokenize, with_path=with_path)
     except IndexUnusable:
         old = None
     if old is not None and old.fingerprint == fingerprint:
         return old
-    return save(chunks(old), root, fingerprint, tokenize=tokenize, with_path=with_path)
+    made = chunks(old)
+    rows, docs = made if isinstance(made, tuple) else (made, None)
+    return save(rows, root, fingerprint, tokenize=tokenize, with_path=with_path, docs=docs)
 
 
-def ingest(spark: SparkSession, root: str, new: DataFrame, *, key: str = "document_id", tokenize: Callable[[Column], Column] = tokens, with_path: bool = False) -> EvidenceIndex:
-    """Adds chunks (chunk_id, ``key``, text, ...) to the index of ``root``; documents that are there already are
-    replaced, chunks and postings alike. Documents without chunks change nothing."""
-    try:
-        old = load(spark, root, tokenize=tokenize, with_path=with_path)
-        kept = old.chunks.join(new.select(key).distinct(), key, "left_anti").select(*old.chunks.columns)
-        every, before = kept.unionByName(new.select(*old.chunks.columns)), old.fingerprint
-    except IndexUnusable:
-        every, before = new, ""
-    return save(every, root, f"{before}+{uuid.uuid4().hex[:8]}", tokenize=tokenize, with_path=with_path)
+def ingest(spark: SparkSession, root: str, new: DataFrame, *, key: str = "document_id", tokenize: Callable[[Column], Column] = tokens, with_path: bool = False, batch: tuple[str, int] | None = None) -> EvidenceIndex:
+    """Adds chunks (chunk_id, ``key``, text, ...) to the index of ``root`` as a segment; documents that are there already
+    are replaced, chunks and postings alike. What is written and read grows with the new chunks and those that they
+    replace (of older segments, the ids and keys are read); older segments' files stay as they are. Documents without
+    chunks change nothing. A ``batch`` (stream and number) that is in already isn't taken twice."""
+    root = root.rstrip("/")
+
+    def once() -> EvidenceIndex | None:
+        try:
+            old = load(spark, root, tokenize=tokenize, with_path=with_path)
+        except IndexUnusable:
+            if _newest(spark, root):
+                raise
+            old = None
+        if old is not None and batch is not None and old.batches.get(batch[0], -1) >= batch[1]:
+            return old
+        if old is not None and new.isEmpty():
+            return old
+        seq = (old.seq if old else 0) + 1
+        before = [] if old is None else old.segments
+        rows = new if not before else new.select(*T.StructType.fromJson(json.loads(before[0].schema)).names)
+        made = _write_segment(rows, root, seq, tokenize, with_path, old, key)
+        batches = {**(old.batches if old else {}), **({batch[0]: batch[1]} if batch else {})}
+        done = _commit(spark, root, seq, f"{old.fingerprint if old else ''}+{uuid.uuid4().hex[:8]}"[-200:], [*before, made], tokenize, with_path, batches)
+        return compact(done) if done is not None and len(done.segments) > MOST_SEGMENTS else done
+
+    return _tried(spark, root, once)
+
+
+def follow(stream: DataFrame, root: str, name: str, *, key: str = "document_id", tokenize: Callable[[Column], Column] = tokens, with_path: bool = False) -> DataStreamWriter:
+    """A writer that ingests each batch of a stream of chunks once: the version that holds a batch names its number, so
+    that a batch which is sent again after a failure changes nothing. The caller sets the checkpoint and the trigger."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        ingest(batch.sparkSession, root, batch, key=key, tokenize=tokenize, with_path=with_path, batch=(name, number))
+
+    return stream.writeStream.foreachBatch(write)
+
+
+def dead_share(index: EvidenceIndex) -> float:
+    """Share of the chunks on record that were replaced, by which a caller may choose to compact."""
+    dead = sum(s.n_dead for s in index.segments)
+    return dead / max(1, index.n_chunks + dead)

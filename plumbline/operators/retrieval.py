@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -66,25 +67,38 @@ def salts_of(n: int) -> int:
     return max(LEAST_SALTS, -(-n // BLOCK_VECTORS))
 
 
+def _ranked(queries: DataFrame, vectors: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double, rank int"
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 2048, n_vectors: int | None = None) -> DataFrame:
     """query_id, chunk_id, score (cosine, > 0), rank: exact, in blocks of queries against blocks of vectors.
 
     Both have id and v (array<double>); a block pair is one matrix product, of which only the best k a query leave.
     One block of queries is broadcast, and vectors stream past it in batches, without a shuffle. More queries are dealt
     into blocks that meet blocks of vectors, whose number follows that of the vectors.
-    n_vectors: number of vectors, at least, where it is known without working them out.
+    n_vectors: number of vectors, at least, where it is known without working them out. Rows without an id, and vectors
+    that are null, hold nulls or have another length than the query's drop out, as a cosine of 0 does.
     """
+    lengths_ = [r["n"] for r in queries.select(F.size("v").alias("n")).filter("n > 0").distinct().collect()]  # as many as kinds of vectors
+    if len(lengths_) != 1:
+        # Vectors of different lengths have no cosine, so each length is searched by itself.
+        found = [dense_top_k(vectors, queries.filter(F.size("v") == n), k, block=block, n_vectors=n_vectors) for n in lengths_]
+        return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], _ranked(queries, vectors))
+    whole = lambda df, key: df.filter(F.col(key).isNotNull() & (F.size("v") == lengths_[0]) & ~F.exists("v", lambda x: x.isNull()))
+    vectors, queries = whole(vectors, "chunk_id"), whole(queries, "query_id")
     asked = queries.limit(block + 1).count()
-    spark = vectors.sparkSession
+    spark, told = vectors.sparkSession, _ranked(queries, vectors).removesuffix(", rank int")
 
     def best(ids: np.ndarray, m: np.ndarray, names: np.ndarray, a: np.ndarray) -> list[pd.DataFrame]:
+        places = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
         unit = lambda x: x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)
         scores, out = unit(a) @ unit(m).T, []
         for query, row in zip(names, scores, strict=True):
             take = np.flatnonzero(row > 0)
             if len(take) > 4 * k:  # the order is only worked out among the best by value, ties included
                 take = take[row[take] >= np.partition(row[take], len(take) - k)[len(take) - k] - 2e-9]
-            take = take[np.lexsort((ids[take], -row[take].round(9)))[:k]]
+            take = take[np.lexsort((places[take], -row[take].round(9)))[:k]]
             out.append(pd.DataFrame({"query_id": query, "chunk_id": ids[take], "score": row[take]}))
         return out
 
@@ -99,7 +113,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, block: int =
                     part = pdf.iloc[i : i + BLOCK_VECTORS]
                     yield pd.concat(best(part["chunk_id"].to_numpy(), np.stack(part["xv"].to_list()), names, a), ignore_index=True)
 
-        found = vectors.select("chunk_id", F.col("v").alias("xv")).mapInPandas(stream, "query_id long, chunk_id long, score double")
+        found = vectors.select("chunk_id", F.col("v").alias("xv")).mapInPandas(stream, told)
         return top_k(found, k)
     salts = salts_of(vectors.count() if n_vectors is None else n_vectors)
     blocks = max(1, -(-queries.count() // block))
@@ -111,7 +125,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, block: int =
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
         return pd.concat(best(right["chunk_id"].to_numpy(), np.stack(right["xv"].to_list()), left["query_id"].to_numpy(), np.stack(left["qv"].to_list())), ignore_index=True)
 
-    found = q.groupBy("qb", "s").cogroup(x.groupBy("qb", "s")).applyInPandas(pair, "query_id long, chunk_id long, score double")
+    found = q.groupBy("qb", "s").cogroup(x.groupBy("qb", "s")).applyInPandas(pair, told)
     return top_k(found, k)
 
 
@@ -127,7 +141,7 @@ def _bucket(gram: str, dim: int, kind: str) -> int:
 
 
 def trigram_vectors(rows: DataFrame, key: str, dim: int = 256, kind: str = "blake2b") -> DataFrame:
-    """Signed hashing of character trigrams: key (long), v (array<double>, unit length). A text shorter than three is
+    """Signed hashing of character trigrams: key, v (array<double>, unit length). A text shorter than three is
     one gram. Row by row, without a shuffle; ``kind`` md5 instead of blake2b is what SQL can work out as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +160,8 @@ def trigram_vectors(rows: DataFrame, key: str, dim: int = 256, kind: str = "blak
             ends = pa.array(np.arange(0, out.size + 1, dim), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], names=[key, "v"])
 
-    small = rows.select(F.col(key).cast("long").alias(key), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    return small.mapInArrow(run, f"{key} long, v array<double>")
+    small = rows.select(key, F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    return small.mapInArrow(run, f"{key} {small.schema[key].dataType.simpleString()}, v array<double>")
 
 
 def reciprocal_rank_fusion(lexical: DataFrame, dense: DataFrame, k: int = 60) -> DataFrame:

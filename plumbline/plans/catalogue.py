@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.engine import ContractEngine
 from plumbline.functions import paths as P
 from plumbline.functions import text as X
 from plumbline.operators import answering, chunking, corpus, evaluation, grounding, index, retrieval, verification
@@ -301,7 +302,7 @@ def index_roundtrip(spark, sf_dir):
     """The whole index (chunks, postings with lengths, terms, manifest) built anew, read back and counted."""
     root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     index.save(chunks_of(spark, sf_dir), root, index.fingerprint_of(spark, f"{sf_dir}/documents.parquet"))
-    return index.load(spark, root).table("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index.load(spark, root).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query
@@ -317,7 +318,7 @@ def ingest_replaces(spark, sf_dir):
     index.ingest(spark, root, docs)
     again = docs.filter(F.col("document_id") % 7 == 0).withColumn("text", F.concat(F.lit("replaced "), F.regexp_replace("text", "[aeiou]", "")))
     found = index.ingest(spark, root, again)
-    return found.table("terms").select("term", "df")
+    return found.terms.select("term", "df")
 
 
 # ---------------------------------------------------------------- verification and evaluation
@@ -384,26 +385,52 @@ def _stock(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return chunks, asked, parts
 
 
+def _stock_index(spark, sf_dir) -> tuple[index.EvidenceIndex, DataFrame, DataFrame]:
+    """The stock files' kept index, the questions and the parts."""
+    chunks, asked, parts = _stock(spark, sf_dir)
+    at = f"{sf_dir}/part.parquet"
+    root = f"{shared_dir(spark)}/kept-stock-{hashlib.md5(at.encode()).hexdigest()[:12]}"
+    docs = chunks.groupBy("path").agg(F.max("superseded").alias("superseded")).withColumn("indexed", F.lit(True))
+    return index.load_or_build(spark, root, index.fingerprint_of(spark, at), lambda _: (chunks, docs), tokenize=X.file_tokens, with_path=True), asked, parts
+
+
 @query
 def identifier_expand(spark, sf_dir):
-    chunks, asked, _ = _stock(spark, sf_dir)
-    return grounding.expand_with_identifiers(chunks, asked, corpus.identifier_files(chunks))
+    kept, asked, _ = _stock_index(spark, sf_dir)
+    return kept.expand(asked)
 
 
-@query
-def verify_and_cite(spark, sf_dir):
-    """Replies with the right price, a wrong one or none, citing the stock list and the brand's file."""
-    chunks, asked, parts = _stock(spark, sf_dir)
-    idents = corpus.identifier_files(chunks)
-    hits = grounding.expand_with_identifiers(chunks, asked, idents).join(chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "rank", "path", "text")
-    hits = materialize(hits, "hits")
+def _stock_answers(parts: DataFrame) -> tuple[F.Column, F.Column]:
+    """Answers and sources of replies: the right price, a wrong one or none; the stock list and the brand's file."""
     price = F.col("p_retailprice").cast("decimal(20,2)").cast("string")
     answer = F.when(F.col("p_partkey") % 150 == 0, F.lit("0.01")).when(F.col("p_partkey") % 200 == 0, F.lit("")).otherwise(price)
     stock = F.concat(F.lit("/app/corpus/stock/"), (F.col("p_partkey") % 97).cast("string"), F.lit(".txt"))
-    replies = parts.filter(F.col("p_partkey") % 50 == 0).select(F.col("p_partkey").alias("query_id"), answer.alias("answer"), F.array(stock, F.concat(F.lit("parts/"), "p_brand", F.lit("_r"), (F.col("p_partkey") % 2 + 1).cast("string"), F.lit(".csv"))).alias("sources"))
-    files = chunks.groupBy("path", "superseded").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    found = grounding.verify_and_cite(replies, asked, hits, files, idents.select("ident", F.explode("files").alias("path")))
-    return found.withColumn("citations", F.array_join("citations", ","))
+    return answer, F.array(stock, F.concat(F.lit("parts/"), "p_brand", F.lit("_r"), (F.col("p_partkey") % 2 + 1).cast("string"), F.lit(".csv")))
+
+
+@query
+def verify_and_cite(spark, sf_dir):
+    """Replies with the right price, a wrong one or none, citing the stock list and the brand's file."""
+    kept, asked, parts = _stock_index(spark, sf_dir)
+    found = materialize(kept.expand(asked), "found")
+    hits = materialize(found.join(kept.texts_of(found).select("chunk_id", "text"), "chunk_id").select("query_id", "rank", "path", "text"), "hits")
+    answer, sources = _stock_answers(parts)
+    replies = parts.filter(F.col("p_partkey") % 50 == 0).select(F.col("p_partkey").alias("query_id"), answer.alias("answer"), sources.alias("sources"))
+    told = grounding.verify_and_cite(replies, asked, hits, kept.docs.select("path", "superseded"), kept.identifier_files().select("ident", "path"), kept.file_texts(hits))
+    return told.withColumn("citations", F.array_join("citations", ","))
+
+
+@query
+def contract_answers(spark, sf_dir):
+    """From questions and raw replies to outputs, by the engine over the kept stock files: replies with thoughts, without
+    an object, that decline, with the right price, a wrong one or none."""
+    kept, asked, parts = _stock_index(spark, sf_dir)
+    answer, sources = _stock_answers(parts)
+    k = F.col("p_partkey")
+    told = F.to_json(F.struct(F.lit("r").alias("reasoning"), (k % 450 != 0).alias("answerable"), answer.alias("answer"), sources.alias("sources")))
+    raw = F.when(k % 350 == 0, F.lit("I can't say.")).otherwise(F.concat(F.lit("<think>{}</think>\n```json\n"), told, F.lit("\n```")))
+    replies = parts.filter(k % 50 == 0).select(k.alias("query_id"), raw.alias("raw"))
+    return ContractEngine(spark, kept.root).answer(asked, replies).withColumn("citations", F.array_join("citations", ","))
 
 
 def _cases(spark, sf_dir) -> DataFrame:

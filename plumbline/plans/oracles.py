@@ -150,7 +150,74 @@ adj AS (SELECT query_id, chunk_id, source AS path, r, CASE WHEN source IN ('src0
 cap AS (SELECT * FROM adj QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY round(score, 9) DESC, r) <= 3),
 hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, r) AS rank, chunk_id, path FROM cap QUALIFY rank <= 10)"""
 
+def _hop(name: str, asked: str) -> str:
+    """File-corpus search of the questions in ``asked``: its hits are ``{name}``."""
+    return f"""
+{name}_q AS (SELECT query_id, unnest(list_distinct({FILE_TOKENS.format("text")})) AS term FROM {asked}),
+{name}_s AS (
+  SELECT query_id, tf.chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (1 - 0.75 + 0.75 * len(ts) / avgdl))) AS score
+  FROM {name}_q JOIN tf USING (term) JOIN df USING (term) JOIN tok ON tok.chunk_id = tf.chunk_id CROSS JOIN st GROUP BY ALL),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM {name}_s QUALIFY r <= 60),
+{name}_a AS (SELECT query_id, chunk_id, path, r, CASE WHEN superseded THEN score * 0.4 ELSE score END AS score FROM {name}_r JOIN cs USING (chunk_id)),
+{name}_c AS (SELECT * FROM {name}_a QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY round(score, 9) DESC, r) <= 3),
+{name} AS MATERIALIZED (SELECT query_id, chunk_id, path, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, r) AS rank FROM {name}_c QUALIFY rank <= 10)"""
+
+
+PRICE = "CAST(CAST(p_retailprice AS DECIMAL(20, 2)) AS VARCHAR)"
+EXPANDED = f"""
+cs AS MATERIALIZED (
+  SELECT *, contains(path, '_r1.') AS superseded FROM (
+    SELECT p_partkey * 2 AS chunk_id, concat_ws(' ', p_name, p_type, 'slot' || p_partkey, 'PN-' || p_partkey) AS text, 'parts/' || lower(p_brand) || '_r' || (p_partkey % 2 + 1) || '.csv' AS path FROM part
+    UNION ALL SELECT p_partkey * 2 + 1, concat_ws(' ', 'PN-' || p_partkey, 'retail price', {PRICE}), 'stock/' || (p_partkey % 97) || '.txt' FROM part)),
+asked AS (SELECT p_partkey AS query_id, 'what is the retail price of ' || p_name || ' in slot' || p_partkey AS text FROM part WHERE p_partkey % 50 = 0),
+tok AS MATERIALIZED (SELECT chunk_id, {FILE_TOKENS.format("path || chr(10) || text")} AS ts FROM cs),
+tf AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM tok) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),{_hop("h1", "asked")},
+ids AS MATERIALIZED (SELECT chunk_id, path, unnest({IDENTIFIERS.format("text")}) AS ident FROM cs),
+few AS (SELECT ident, count(DISTINCT path) AS n_files FROM ids GROUP BY ident HAVING count(DISTINCT path) <= 12),
+named AS (SELECT DISTINCT query_id, ident FROM h1 JOIN ids USING (chunk_id) JOIN asked USING (query_id) WHERE rank <= 5 AND NOT contains({GRADED.format("asked.text")}, ident)),
+rare AS (SELECT query_id, ident, row_number() OVER (PARTITION BY query_id ORDER BY n_files, ident) AS k FROM named JOIN few USING (ident) QUALIFY k <= 6),
+again AS (SELECT query_id, string_agg(ident, ' ' ORDER BY k) || ' ' || any_value(text) AS text FROM rare JOIN asked USING (query_id) GROUP BY query_id),{_hop("h2", "again")},
+hops AS (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2 ANTI JOIN h1 USING (query_id, chunk_id)),
+expanded AS MATERIALIZED (SELECT query_id, chunk_id, path, hop, row_number() OVER (PARTITION BY query_id ORDER BY hop, rank) AS rank FROM hops QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, rank) <= 16)"""
+FILE_TERMS = f"list_distinct(list_filter({FILE_TOKENS}, lambda t: length(t) > 1 AND t NOT IN ({_list(FILE_STOPWORDS)})))"
+HOLDS = lambda text, value: f"({GRADED.format(value)} <> '' AND contains({GRADED.format(text)}, {GRADED.format(value)}))"
+VERIFIED = f"""{EXPANDED},
+replied AS MATERIALIZED (
+  SELECT p_partkey AS query_id, asked.text AS question, {FILE_TERMS.format("asked.text")} AS terms, CASE WHEN p_partkey % 150 = 0 THEN '0.01' WHEN p_partkey % 200 = 0 THEN '' ELSE {PRICE} END AS answer,
+    'stock/' || (p_partkey % 97) || '.txt' AS one, 'parts/' || lower(p_brand) || '_r' || (p_partkey % 2 + 1) || '.csv' AS two
+  FROM part JOIN asked ON query_id = p_partkey),
+fits AS (SELECT r.query_id, e.path, e.rank FROM expanded e JOIN replied r USING (query_id) JOIN cs USING (chunk_id) WHERE answer <> '' AND {HOLDS("cs.text", "answer")} AND len(list_intersect(terms, {FILE_TERMS.format("cs.text")})) >= CASE WHEN len(terms) <= 3 THEN 1 ELSE 2 END),
+shown AS (SELECT query_id, path, min(rank) AS rank, true AS shown FROM fits GROUP BY ALL),
+texts AS MATERIALIZED (SELECT path, bool_or(superseded) AS superseded, string_agg(text, chr(10) ORDER BY chunk_id) AS text FROM cs GROUP BY path),
+retrieved AS (SELECT query_id, path, min(rank) AS rank FROM expanded ANTI JOIN shown USING (query_id) GROUP BY ALL),
+whole AS (SELECT query_id, path, rank, false AS shown FROM retrieved JOIN texts USING (path) JOIN replied USING (query_id) WHERE answer <> '' AND {HOLDS("texts.text", "answer")} AND len(list_intersect(terms, {FILE_TERMS.format("texts.text")})) >= CASE WHEN len(terms) <= 3 THEN 1 ELSE 2 END),
+cited AS (SELECT query_id, one AS path, 0 AS pos FROM replied UNION ALL SELECT query_id, two, 1 FROM replied),
+held AS (
+  SELECT s.*, pos, superseded, bool_or(pos IS NOT NULL) OVER (PARTITION BY query_id) AS any_cited, min(rank) OVER (PARTITION BY query_id) AS first
+  FROM (SELECT * FROM shown UNION ALL SELECT * FROM whole) s LEFT JOIN cited USING (query_id, path) JOIN texts USING (path)),
+picked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, path) AS k FROM held WHERE CASE WHEN any_cited THEN pos IS NOT NULL ELSE rank = first END),
+value AS MATERIALIZED (SELECT * FROM (SELECT query_id, path, coalesce(pos, 0) AS pos, superseded, shown, bool_or(NOT superseded) OVER (PARTITION BY query_id) AS current FROM picked WHERE any_cited OR k = 1) WHERE NOT current OR NOT superseded),
+pairs AS (SELECT DISTINCT ident, path FROM ids JOIN few USING (ident)),
+keys AS (SELECT DISTINCT query_id, ident FROM value JOIN pairs USING (path) JOIN replied USING (query_id) WHERE NOT contains({GRADED.format("question")}, ident)),
+links AS (SELECT DISTINCT c.query_id, c.path, c.pos FROM cited c ANTI JOIN value v USING (query_id, path) JOIN texts USING (path) JOIN pairs USING (path) SEMI JOIN keys USING (query_id, ident) WHERE NOT superseded),
+grounds AS (
+  SELECT query_id, string_agg(path, ',' ORDER BY part, pos, path) AS citations, bool_or(superseded) AS old, bool_or(shown) AS shown
+  FROM (SELECT query_id, path, pos, superseded, shown, 0 AS part FROM value UNION ALL SELECT query_id, path, pos, false, NULL, 1 FROM links) GROUP BY query_id),
+judged AS (
+  SELECT *, CASE WHEN answer = '' THEN 'empty answer' WHEN citations IS NULL THEN 'answer not found in any retrieved file' WHEN NOT shown AND {HOLDS("question", "answer")} THEN 'answer only echoes the question' ELSE 'grounded' END AS reason
+  FROM replied LEFT JOIN grounds USING (query_id))"""
+
 ORACLES: dict[str, str] = {
+    "identifier_expand": f"WITH {EXPANDED} SELECT * FROM expanded",
+    "contract_answers": f"""WITH {VERIFIED},
+told AS (SELECT *, CASE WHEN query_id % 350 = 0 THEN 'no usable reply' WHEN query_id % 450 = 0 OR answer = '' THEN 'not answerable' ELSE reason END AS why FROM judged)
+SELECT query_id, CASE WHEN why = 'grounded' THEN answer ELSE '' END AS answer, CASE WHEN why = 'grounded' THEN citations ELSE '' END AS citations,
+  CASE WHEN why = 'grounded' THEN round(CASE WHEN shown THEN 0.9::DOUBLE ELSE 0.7 END - CASE WHEN old THEN 0.2 ELSE 0 END, 3) ELSE 0 END AS confidence, why AS reason FROM told""",
+    "verify_and_cite": f"""WITH {VERIFIED}
+SELECT query_id, CASE WHEN reason = 'grounded' THEN answer ELSE '' END AS answer, CASE WHEN reason = 'grounded' THEN citations ELSE '' END AS citations,
+  CASE WHEN reason = 'grounded' THEN round(CASE WHEN shown THEN 0.9::DOUBLE ELSE 0.7 END - CASE WHEN old THEN 0.2 ELSE 0 END, 3) ELSE 0 END AS confidence, reason FROM judged""",
     "service_context": f"""WITH {_bm25(TOKENS, 'text', 1.5)},
 top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 3),
 c AS (SELECT query_id, string_agg('[' || chunk_id || '] (' || source || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN documents ON doc_id = chunk_id GROUP BY query_id)

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,3 +50,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, as the cluster's Hadoop configuration knows them."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Puts a small file in place whole; False, and nothing changed, where there is one of that name.
+
+    It is written under another name and renamed without overwriting, as streaming checkpoints are.
+    """
+    target, fs = _path(spark, path)
+    folder, name = path.rsplit("/", 1)
+    temp, _ = _path(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
+    out = fs.create(temp, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(temp), fs.makeQualified(target), spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Py4JJavaError as e:
+        fs.delete(temp, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    found, fs = _path(spark, path)
+    fs.delete(found, True)
