@@ -16,7 +16,7 @@ from plumbline.functions.paths import walk_key
 from plumbline.functions.text import citation_label, file_tokens
 from plumbline.operators import answering, chunking, corpus, index, retrieval, verification
 from plumbline.session import materialize
-from plumbline.sources import files as sources
+from plumbline.sources import folder as source
 
 
 @dataclass(frozen=True)
@@ -125,19 +125,13 @@ class ContractEngine:
         transcripts: path and text of images, for those that were read; what an older index has of an image is taken
         from there. Files without text stay in ``docs``, with the reason.
         """
-        found = sources.read_folder(self.spark, folder)
-        line = F.concat_ws(":", "path", F.col("size").cast("string"))
-        more = [] if transcripts is None else [transcripts.select(F.concat_ws(":", F.lit("read"), "path", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("line"))]
-        lines = found.select(line.alias("line"))
-        for part in more:
-            lines = lines.unionByName(part)
-        row = lines.agg(F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("s")).head()
-        kept = index.load_or_build(self.spark, self.root, f"{row['n']}:{row['s']}", lambda old: self._tables(found, transcripts, old), tokenize=file_tokens, with_path=True)
+        told = "" if transcripts is None else str(transcripts.agg(F.count("*"), F.sum(F.xxhash64("path", "text").cast("decimal(38,0)"))).head()[:])
+        kept = index.load_or_build(self.spark, self.root, f"{source.fingerprint(folder)}{told}", lambda old: self._tables(folder, transcripts, old), tokenize=file_tokens, with_path=True)
         return kept.docs.agg(F.count("*").alias("files"), F.count_if("indexed").alias("indexed")).withColumn("chunks", F.lit(kept.n_chunks))
 
-    def _tables(self, found: DataFrame, transcripts: DataFrame | None, old: index.EvidenceIndex | None) -> tuple[DataFrame, DataFrame]:
+    def _tables(self, folder: str, transcripts: DataFrame | None, old: index.EvidenceIndex | None) -> tuple[DataFrame, DataFrame]:
         """The folder's chunks and docs."""
-        parsed = materialize(sources.parse_files(found), "parsed")
+        parsed = materialize(source.scan(self.spark, folder), "parsed")
         images = parsed.filter("kind = 'image'").select("path")
         told = images.join(transcripts.select("path", "text"), "path", "left") if transcripts is not None else images.withColumn("text", F.lit(None).cast("string"))
         if old is not None:
@@ -146,7 +140,7 @@ class ContractEngine:
         read = materialize(told.filter(F.col("text").rlike(r"\S")).groupBy("path").agg(F.max("text").alias("text")), "read")
 
         seen = parsed.join(read.select("path", F.lit(True).alias("_read")), "path", "left").withColumn("indexed", (F.size("segments") > 0) | F.col("_read").isNotNull())
-        reason = F.when(~F.col("indexed"), F.when(F.col("kind") == "image", F.lit("no transcript")).otherwise(F.col("skipped")))
+        reason = F.when(~F.col("indexed"), F.col("skipped"))
         docs = seen.select("path", "kind", "indexed", "withdrawn", reason.alias("reason"))
         docs = materialize(corpus.mark_superseded(corpus.with_revisions(docs)).select("path", "kind", "family", F.transform("revision", lambda x: x.cast("string")).alias("revision"), "withdrawn", "superseded_by", "superseded", "indexed", "reason"), "docs")
 

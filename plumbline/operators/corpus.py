@@ -86,6 +86,19 @@ def folder_fingerprints(files: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, "folder string, fingerprint string, n_files long")
 
 
+def corpus_fingerprint(files: DataFrame, digits: int = 3) -> DataFrame:
+    """One row, fingerprint and n_files, of all files (path, size), in two levels: files are dealt by the first digits of
+    their paths' hash, SHA-1 over ``path:size`` lines in walk order is each share's digest, and SHA-1 over the shares'
+    digests in order the whole's. A share holds one in 16^digits of the files, whatever folder they are in."""
+    line = F.concat("path", F.lit(":"), F.coalesce(F.col("size"), F.lit(-1)).cast("string"), F.lit("\n"))
+    kept = files.filter(walked(F.col("path"))).select(F.substring(F.md5(F.col("path").cast("binary")), 1, digits).alias("share"), F.struct(walk_key(F.col("path")).alias("k"), line.alias("line")).alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "")
+    shares = kept.groupBy("share").agg(F.sha1(joined.cast("binary")).alias("digest"), F.count("*").alias("n"))
+    # A short row a share: their number doesn't grow.
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("share", "digest"))), lambda x: x["digest"]), "")
+    return shares.agg(F.sha1(whole.cast("binary")).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
+
+
 def reuse_transcripts(images: DataFrame, previous: DataFrame) -> DataFrame:
     """Images with their earlier non-empty transcript where there is one, else the new one."""
     old = previous.filter(F.trim("text") != "").select("path", F.col("text").alias("_old"))

@@ -164,6 +164,12 @@ def folder_fingerprints(spark, sf_dir):
     return corpus.folder_fingerprints(pages)
 
 
+@query
+def corpus_fingerprint(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.length("html").alias("size")).groupBy("path").agg(F.max("size").alias("size"))
+    return corpus.corpus_fingerprint(pages)
+
+
 @query
 def detect_kind(spark, sf_dir):
     bare = F.regexp_replace("url", "[?#].*$", "")

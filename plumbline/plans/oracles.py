@@ -267,6 +267,9 @@ newest AS (SELECT family, path AS newest, revision AS r FROM keyed WHERE indexed
 SELECT path, indexed, CASE WHEN indexed AND path <> newest AND (withdrawn OR revision < r) THEN newest END AS superseded_by, withdrawn OR coalesce(indexed AND path <> newest AND (withdrawn OR revision < r), false) AS superseded FROM keyed LEFT JOIN newest USING (family)""",
     "walk_order": f"SELECT page_id, {WALK_KEY.format('p')} AS walk_key, len(list_intersect(string_split(p, '/'), [{_list(IGNORED)}])) = 0 AS walked FROM (SELECT page_id, {NO_SCHEME} AS p FROM pages)",
     "folder_fingerprints": f"SELECT regexp_extract(path, '^([^/]*)/', 1) AS folder, sha1(string_agg(path || ':' || size || chr(10), '' ORDER BY {WALK_KEY.format('path')})) AS fingerprint, count(*) AS n_files FROM (SELECT {NO_SCHEME} AS path, max(length(html)) AS size FROM pages GROUP BY 1) WHERE len(list_intersect(string_split(path, '/'), [{_list(IGNORED)}])) = 0 GROUP BY 1",
+    "corpus_fingerprint": f"""WITH f AS (SELECT {NO_SCHEME} AS path, max(length(html)) AS size FROM pages GROUP BY 1),
+s AS (SELECT substring(md5(path), 1, 3) AS share, sha1(string_agg(path || ':' || size || chr(10), '' ORDER BY {WALK_KEY.format('path')})) AS digest, count(*) AS n FROM f WHERE len(list_intersect(string_split(path, '/'), [{_list(IGNORED)}])) = 0 GROUP BY 1)
+SELECT sha1(string_agg(digest, '' ORDER BY share)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n_files FROM s""",
     "detect_kind": f"SELECT page_id, CASE {_kind()} WHEN html LIKE '\\%PDF-%' ESCAPE '\\' THEN 'pdf' END AS kind FROM (SELECT page_id, html, regexp_replace(url, '[?#].*$', '') AS bare FROM pages)",
     "withdrawn_flag": r"SELECT doc_id, regexp_matches(substring(CASE WHEN doc_id % 5 = 0 THEN 'Do not use! ' ELSE '' END || text, 1, 2000), '(?i)\b(withdrawn|superseded|obsolete|do not use)\b') AS withdrawn FROM documents",
     "row_segments": " UNION ALL ".join([_row("part", "p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]), _row("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]), _row("customer", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])]),

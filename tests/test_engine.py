@@ -95,7 +95,7 @@ def test_a_folder_is_indexed_asked_and_answered(spark, tmp_path, folder):
         engine.hits(questions)
     assert tuple(engine.index(str(folder)).head()) == (7, 5, 9)
     docs = {r["path"]: r for r in engine.kept.docs.collect()}
-    assert docs["spec/pump_r1.txt"]["superseded_by"] == "spec/pump_r2.txt" and docs["label.png"]["reason"] == "no transcript" and docs["blob.bin"]["reason"] == "unknown file type"
+    assert docs["spec/pump_r1.txt"]["superseded_by"] == "spec/pump_r2.txt" and docs["label.png"]["reason"] == "image (needs the vision model)" and docs["blob.bin"]["reason"] == "unknown file type"
 
     seen = spark.createDataFrame([("label.png", "Board label: serial SN-77A1")], "path string, text string")
     assert tuple(engine.index(str(folder), seen).head()) == (7, 6, 10)

@@ -176,7 +176,7 @@ def test_a_folder_of_files_is_parsed_without_raising(spark, tmp_path):
     assert got["u.txt"]["segments"][0]["text"] == "weiß"
     assert [s["text"] for s in got["t.csv"]["segments"]] == ["t header | name | size", "t | name: fan | size: 3", "t | name: pump | size: 4"]
     assert got["empty.md"]["skipped"] == "empty file" and got["x.dat"]["skipped"] == "unknown file type"
-    assert got["bad.xlsx"]["skipped"].startswith("BadZipFile")
+    assert got["bad.xlsx"]["skipped"].startswith("xlsx: BadZipFile")
     assert got["sub/d.docx"]["segments"][0]["text"] == "# Top\nBody"
 
 
