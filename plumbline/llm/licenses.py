@@ -1,14 +1,16 @@
 """License scan with a positional rare-token index. Built-in expressions only.
 
 The index: for each template, its words in order of inverse document frequency (counted over all documents), each
-with its place. A file looks up, for every template, the rarest of the template's words that it holds; each place of
-such a word proposes where the template would start. There the other indexed words are checked at their relative
-places (the postings' intersection), and the template's mandatory key phrases must stand in full. A phrase label is
-a template of its own whose words are all mandatory, so all its places are found from its rarest word.
+with its place. A file looks up, for every template, the rarest word of its mandatory key phrases; each place of that
+word proposes where the template would start. Since these phrases must stand in full, no start is missed. There the
+other indexed words are checked at their relative places (the postings' intersection), and the phrases are verified. A
+phrase label is a template of its own whose words are all mandatory.
 
 Everything but the frequency count stays inside the row; that count is one short row for each word of the templates.
 
-Defined cases: a null text is empty; a text without a word has n_words 0, no labels and score 0; rows are judged one
+Defined cases: a null text is empty; a text without a word has n_words 0, no labels and score 0; very long texts are
+read whole, in time that grows with their words and the places of the looked-up words; of equally rare words the first by
+name is looked up, and equal labels of several places are told once; rows are judged one
 by one, so repeated ids and rows don't matter; an empty table gives no rows; other columns pass through, clashing
 names are replaced.
 """
@@ -67,9 +69,8 @@ TEMPLATES = {
     "cc-by-nc/line": ("licensed under cc by nc 4 0", ["cc by nc"]),
     "bsd/line": ("licensed under the bsd 3 clause license", ["bsd 3 clause"]),
 }
-#: Rarest words of a template that are checked at a proposed place, and how many of a file's are looked up.
+#: Rarest words of a template that are checked at a proposed place.
 INDEXED = 12
-LOOKED_UP = 3
 #: Share of the indexed words that must stand at their places.
 MIN_SHARE = 0.6
 
@@ -95,20 +96,15 @@ def build_index(df: dict[str, int], n: int, templates: dict, phrases: dict) -> l
         first = {w: i for i, w in reversed(list(enumerate(words)))}
         rare = sorted(first, key=lambda w: (-idf(w), w))[: len(words) if base else INDEXED]
         placed = [(k.split(), next(i for i in range(len(words)) if words[i : i + len(k.split())] == k.split())) for k in keys]
-        index.append({"label": label.partition("/")[0], "base": base, "rare": [(w, first[w]) for w in rare], "keys": placed})
+        # The rarest mandatory word, and its distance from the start.
+        anchor = min((-idf(w), w, place + j) for key, place in placed for j, w in enumerate(key))
+        index.append({"label": label.partition("/")[0], "base": base, "rare": [(w, first[w]) for w in rare], "keys": placed, "anchor": anchor[1:]})
     return index
 
 
 def _matches(words: Column, t: dict) -> Column:
-    """Starts of ``t`` in ``words`` as array<struct<start, share>>: places of the rarest words that the file holds."""
-    rare, looked = t["rare"], 1 if t["base"] else LOOKED_UP
-    names = F.array(*[F.lit(w) for w, _ in rare])
-    spots = F.create_map(*[x for w, i in rare for x in (F.lit(w), F.lit(i))])
-    # names is in order of rarity, and array_intersect keeps the first argument's order
-    chosen = F.slice(F.array_intersect(names, words), 1, looked)
-
-    def starts(ws: Column, ch: Column) -> Column:
-        return F.array_distinct(F.filter(F.transform(ws, lambda w, i: F.when(F.array_contains(ch, w), i - F.element_at(spots, w))), lambda s: s.isNotNull()))
+    """Starts of ``t`` in ``words`` as array<struct<start, share>>: proposed by the places of its rarest mandatory word."""
+    rare, (word, at) = t["rare"], t["anchor"]
 
     def share(s: Column) -> Column:
         at = [F.when(F.get(words, s + i) == w, 1.0).otherwise(0.0) for w, i in rare]
@@ -121,8 +117,7 @@ def _matches(words: Column, t: dict) -> Column:
                 ok = ok & F.coalesce(F.get(words, s + (place + j)) == w, F.lit(False))
         return ok
 
-    # The choice is bound once in a one-element array, not worked out anew for each word.
-    proposed = F.flatten(F.transform(F.array(chosen), lambda ch: starts(words, ch)))
+    proposed = F.filter(F.transform(words, lambda w, i: F.when(w == word, i - at)), lambda s: s.isNotNull())
     kept = F.filter(proposed, lambda s: (s >= 0) & stands(s)) if t["base"] else F.filter(proposed, stands)
     return F.filter(F.transform(kept, lambda s: F.struct(s.alias("start"), share(s).alias("share"))), lambda x: x["share"] >= (1.0 if t["base"] else MIN_SHARE))
 
