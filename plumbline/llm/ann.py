@@ -16,7 +16,9 @@ lists' true neighbours. The best k of each task meet in a window; ties go to the
 
 Defined cases: rows with a null vec_id, and null, zero or otherwise unusable vectors (null, NaN or infinite components) take part neither as
 queries nor as candidates, nor do vectors of another length than the most common one (the shorter of equally common
-ones); rows that repeat a vec_id are candidates each for itself, except to a query with that id; an empty table
+ones); rows that repeat a vec_id are candidates each for itself, except to a query with that id; rows that repeat a query's id and
+vector are one query, and those with its id and another vector are queries of their own; vectors so large that their
+squares would overflow are searched in a smaller unit, and their distances are told in the first one; an empty table
 gives no rows; a query finds fewer than k only where there are fewer candidates; other columns are ignored, clashing
 names too (there are no texts here).
 """
@@ -123,19 +125,30 @@ class Index:
         return int(np.quantile(place[np.arange(len(q))[:, None], own[true]], target, method="higher")) + 1
 
 
-def fit(vectors: DataFrame, n: int, *, max_fit: int = MAX_FIT, max_lists: int = MAX_LISTS, sub_spaces: int = SUB_SPACES, codes: int = CODES) -> tuple[Index, np.ndarray]:
+def distances(x: np.ndarray, q: np.ndarray, unit: float) -> np.ndarray:
+    """Euclidean distances in double precision; in ``unit`` where squares overflow."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = np.sqrt(((x - q) ** 2).sum(1))
+        far = ~np.isfinite(d)
+        d[far] = np.sqrt(((x[far] * unit - q * unit) ** 2).sum(1)) / unit
+    return d
+
+
+def fit(vectors: DataFrame, n: int, *, unit: float = 1.0, max_fit: int = MAX_FIT, max_lists: int = MAX_LISTS, sub_spaces: int = SUB_SPACES, codes: int = CODES) -> tuple[Index, np.ndarray]:
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(max_fit).select("v").toPandas()
-    x = np.stack(sample["v"].to_list())
+    x = np.stack(sample["v"].to_list()) * unit
     return Index(x, max(1, min(max_lists, round(math.sqrt(n) / 2))), sub_spaces, codes), x
 
 
 def search(vectors: DataFrame, is_query, *, k: int = 10, probes: int | None = None, **how) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found to each row where ``is_query`` holds."""
     fine = usable(vectors)
-    n = fine.count()
+    n, largest = fine.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))))).head()
     if not n:
         return fine.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    fitted, sample = fit(fine, n, **how)
+    # A power of two, so that nothing is rounded; 1 unless squares could overflow.
+    unit = 2.0 ** -math.frexp(largest)[1] if largest > 1e100 else 1.0
+    fitted, sample = fit(fine, n, unit=unit, **how)
     probes = probes or fitted.probes(sample, k)
     shared = fine.sparkSession.sparkContext.broadcast(fitted)  # bounded by MAX_LISTS and CODES
 
@@ -143,7 +156,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, probes: int | None = No
         index = shared.value
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["v"].to_list())
+                x = np.stack(pdf["v"].to_list()) * unit
                 own = index.nearest(x, 1)[:, 0]
                 codes = index.encode(x, own)
                 yield pdf.assign(l=own, code=[c.tobytes() for c in codes], error=index.errors(x, own, codes))
@@ -152,24 +165,24 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, probes: int | None = No
     sizes = indexed.groupBy("l").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))  # at most MAX_LISTS rows
 
     def scan(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        index, none = shared.value, pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        index, none = shared.value, pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []})
         if not len(queries) or not len(rows):
             return none
         rows = rows.sort_values("vec_id", kind="stable")
         ids, x = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_list())
         codes = np.stack([np.frombuffer(c, np.uint8) for c in rows["code"]])
         places, error, out = np.arange(codes.shape[1]), rows["error"].to_numpy() + 1e-9, []
-        for q, v in zip(queries["vec_id"], queries["v"], strict=True):
-            table_of = index.tables(np.asarray(v), int(key[0]))
+        for q, own, v in zip(queries["vec_id"], queries["q"], queries["v"], strict=True):
+            table_of = index.tables(np.asarray(v) * unit, int(key[0]))
             near = np.sqrt(table_of[places[None, :], codes].sum(1))
             others = ids != q
             upper = np.sort((near + error)[others])
             if not len(upper):
                 continue
             take = np.flatnonzero(others & (near - error <= upper[min(k, len(upper)) - 1]))
-            exact = np.sqrt(((x[take] - np.asarray(v)) ** 2).sum(1))
+            exact = distances(x[take], np.asarray(v), unit)
             best = np.lexsort((ids[take], exact))[:k]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[take][best], "score": exact[best]}))
+            out.append(pd.DataFrame({"query_id": q, "q": own, "vec_id": ids[take][best], "score": exact[best]}))
         return pd.concat(out, ignore_index=True) if out else none
 
     def visited(asked: DataFrame, lists: int) -> DataFrame:
@@ -179,26 +192,27 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, probes: int | None = No
             index = shared.value
             for pdf in batches:
                 if len(pdf):
-                    yield pdf.assign(lists=list(index.nearest(np.stack(pdf["v"].to_list()), lists)))
+                    yield pdf.assign(lists=list(index.nearest(np.stack(pdf["v"].to_list()) * unit, lists)))
 
-        sent = materialize(asked.mapInPandas(visit, "vec_id long, v array<double>, lists array<int>").select("vec_id", "v", F.explode("lists").alias("l")), "asked")
+        sent = materialize(asked.mapInPandas(visit, "vec_id long, v array<double>, q long, lists array<int>").select("vec_id", "v", "q", F.explode("lists").alias("l")), "asked")
         plan = sent.groupBy("l").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks")).join(sizes, "l")  # at most MAX_LISTS rows
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         part = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-        queries = sent.join(F.broadcast(plan), "l").withColumn("b", part("blocks")).withColumn("s", spread("salts")).select("l", "s", "b", "vec_id", "v")
+        queries = sent.join(F.broadcast(plan), "l").withColumn("b", part("blocks")).withColumn("s", spread("salts")).select("l", "s", "b", "vec_id", "v", "q")
         rows = indexed.join(F.broadcast(plan), "l").withColumn("s", part("salts")).withColumn("b", spread("blocks")).select("l", "s", "b", "vec_id", "v", "code", "error")
-        found = queries.groupBy("l", "s", "b").cogroup(rows.groupBy("l", "s", "b")).applyInPandas(scan, "query_id long, vec_id long, score double")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-        return materialize(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
+        found = queries.groupBy("l", "s", "b").cogroup(rows.groupBy("l", "s", "b")).applyInPandas(scan, "query_id long, q long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy("score", "vec_id"))
+        return materialize(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "q", "rank", "vec_id", "score"), "found")
 
-    asked = fine.filter(is_query)
+    # The hash of its vector tells queries of one id apart.
+    asked = fine.filter(is_query).withColumn("q", F.xxhash64("v")).dropDuplicates(["vec_id", "q"])
     best = visited(asked, probes)
     if probes < len(fitted.coarse):
-        full = best.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
-        short = asked.join(full, "vec_id", "left_anti")
+        full = best.groupBy("query_id", "q").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "q")
+        short = asked.join(full, ["vec_id", "q"], "left_anti")
         if not short.isEmpty():
-            best = best.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(visited(short, len(fitted.coarse)))
-    return best
+            best = best.join(full.withColumnRenamed("vec_id", "query_id"), ["query_id", "q"], "left_semi").unionByName(visited(short, len(fitted.coarse)))
+    return best.drop("q")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
