@@ -2,29 +2,29 @@
 
 The pieces come from a given model file, which is never trained here; a piece's log probability follows from its
 rank by Zipf's law (the file's own scores are ranks). The encoder reads characters in order and keeps, for a window
-bounded by the longest piece, the best score of each boundary. Where all surviving paths run through one boundary,
-the ids up to it are committed and the window is emptied. Such boundaries lie at least at each start of a word,
-since no piece holds a word mark after another character; between two of them the result depends on the characters
-alone. So the stretches between commits that a slice of texts has and that were not seen before are solved together,
-one step of the Viterbi recursion for all of them at a time, and remembered; stretches longer than ``TOGETHER``
-characters go through the streaming encoder one by one. A character that no piece covers becomes its UTF-8 bytes' ids.
+of boundaries, the best score of each and the piece that gave it. A piece is at most as long as the longest one, so
+only the last boundaries of that number can still be gone on from. Their paths are walked back from time to time: where
+all of them run through one boundary, the ids up to it are committed and the window begins there. All texts go this way,
+whatever their length: those of a slice are one stream, with a mark between them that no piece holds.
+
+Which pieces begin at each place is looked up for a block of characters at a time, by hashes that grow character by
+character as long as some piece goes on that way. A character that no piece covers becomes its UTF-8 bytes' ids.
 
 A space becomes a word mark and one mark is put in front; decoding takes both back, so that decode(encode(text)) is
-the text, byte for byte, except that word marks in the text itself come back as spaces. No piece and no byte sequence
-reaches over a commit, so a text goes round if each of its stretches does, which is checked once a stretch.
+the text, byte for byte, except that word marks in the text itself come back as spaces. Each text's ids are turned back
+to see whether it goes round; a false match of a hash would show there, and such a text is encoded again with every
+match compared.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; a very long text, or a very long run
-without a word's start, is encoded whole in a bounded window; of equal sums the path whose last piece is longest wins;
-rows are encoded one by one, so repeated ids and rows don't matter; an empty table gives no rows; other columns pass
-through, clashing names are replaced.
+without a word's start, is encoded whole in a window that is cut wherever paths meet; of equal sums the path whose last
+piece is longest wins; rows are encoded one by one, so repeated ids and rows don't matter; an empty table gives no rows;
+other columns pass through, clashing names are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -40,37 +40,35 @@ MARK = "▁"
 BYTE_SCORE = -20 * 2**20
 #: Scores are kept in whole steps of this part of a nat.
 SCALE = 2**20
-#: Words whose ids a worker remembers at a time.
-REMEMBERED = 200_000
-#: Longest stretch that is solved together with others; widths to which stretches are filled up for that.
-TOGETHER = 64
-WIDTHS = (6, 8, 10, 12, 16, 24, TOGETHER)
-#: Stretches that are solved at a time (what a cache holds), and the score of what no piece reaches.
-GROUP, NONE = 1024, -(2**50)
-#: Slots of the table of pieces, as a power of two, and the base and factor of its hashes.
-SLOT_BITS = 18
+#: Characters whose pieces are looked up at a time, and of the texts of one stream, about.
+BLOCK, STREAM = 8192, 200_000
+#: Paths are walked back after this many times the longest piece, and the score of what has none.
+STEP, NONE = 4, -(2**48)
+#: Lanes of a stream, at most, and the longest way between two boundaries that lanes may begin at.
+LANES, LONG = 512, 2048
+#: Between texts: no character, so in no piece. Its id in a stream; ids below it are uncovered characters.
+END, END_ID = 0x110000, -1
+#: Base and factor of hashes.
 BASE, FACTOR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Pieces:
-    """The vocabulary: by string the piece's id and score (None: only a prefix of pieces), bytes by id, ids of bytes.
+    """The vocabulary: by string the piece's id and score (None: only a prefix of pieces), strings and bytes by id, ids of
+    bytes.
 
     Scores are whole numbers, so that equal sums are equal wherever the sum began."""
 
     def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: dict[int, int]):
         self.entries: dict[str, tuple[int, int] | None] = {p[:k]: None for _, p, _ in pieces for k in range(1, len(p))}
         self.entries |= {p: (i, round(s * SCALE)) for i, p, s in pieces}
+        self.strings = {i: p for i, p, _ in pieces}
         own = {i: p.encode() for i, p, _ in pieces} | {i: bytes([b]) for b, i in byte_ids.items()}
         self.text = [own.get(i, b"") for i in range(max(own, default=-1) + 1)]
         self.byte_ids = byte_ids
-        #: What the pieces are: a worker's memory belongs to it.
-        self.key = hashlib.sha256(repr((pieces, sorted(byte_ids.items()))).encode("utf-8", "replace")).hexdigest()
-        self.table = PieceTable(self.entries)
         self.longest = max((len(p) for _, p, _ in pieces), default=1)
-        # No piece has a mark after another character; none has a line's end beside another character.
-        inside = [p for _, p, _ in pieces if set(p) != {MARK}]
-        self.words = not any(MARK in p[1:] for p in inside)
-        self.lines = not any("\n" in p and len(p) > 1 for p in inside)
+        # Whether a boundary before a word's mark is one that no piece reaches over.
+        self.words = not any(MARK in p.lstrip(MARK) for _, p, _ in pieces)
+        self.table = PieceTable(self.entries)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -91,59 +89,49 @@ class Pieces:
 
 
 class PieceTable:
-    """Pieces by a 64-bit hash of their characters, in one array of slots: id, score and length at once for many
-    substrings. A false match would show in the round trip of its stretch, which is then solved by itself."""
+    """Pieces and their prefixes by a 64-bit hash of their characters, in one array of slots whose number follows theirs:
+    id (-1 for what is only a prefix) and score at once for many strings."""
 
     def __init__(self, entries: dict[str, tuple[int, int] | None]):
-        found = [(p, *e) for p, e in entries.items() if e is not None]
-        mask = 2**SLOT_BITS - 1
-        # One slot more, for what isn't found.
-        self.keys, self.ids, self.scores = np.zeros(2**SLOT_BITS, np.uint64), np.zeros(2**SLOT_BITS + 1, np.int32), np.full(2**SLOT_BITS + 1, NONE)
-        self.chars = np.zeros((max((i for _, i, _ in found), default=0) + 1, max((len(p) for p, _, _ in found), default=1)), np.uint32)
-        for p, i, _ in found:
-            self.chars[i, : len(p)] = list(map(ord, p))
-        if found:
-            prefixes = self.hashes(self.chars[[i for _, i, _ in found]])
-            keys = prefixes[np.arange(len(found)), [len(p) for p, _, _ in found]]
-            for slot, key, (_, i, score) in zip(self.slots(keys).tolist(), keys, found, strict=True):
+        self.bits = max(10, (4 * len(entries)).bit_length())
+        size = 2**self.bits
+        self.keys, self.ids, self.scores = np.zeros(size, np.uint64), np.full(size, -1, np.int32), np.zeros(size, np.int64)
+        by_length: dict[int, list[str]] = {}
+        for p in entries:
+            by_length.setdefault(len(p), []).append(p)
+        for n, own in by_length.items():
+            chars = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(len(own), n)
+            keys = np.zeros(len(own), np.uint64)
+            for j in range(n):
+                keys = grown(keys, chars[:, j])
+            for p, key, slot in zip(own, keys, self.first(keys).tolist(), strict=True):
                 while self.keys[slot]:
-                    slot = (slot + 1) & mask
-                self.keys[slot], self.ids[slot], self.scores[slot] = key, i, score
+                    slot = (slot + 1) % size
+                self.keys[slot] = key
+                if entries[p] is not None:
+                    self.ids[slot], self.scores[slot] = entries[p]
 
-    @staticmethod
-    def hashes(chars: np.ndarray) -> np.ndarray:
-        """Hashes of all prefixes, the empty one first."""
-        out = np.zeros((len(chars), chars.shape[1] + 1), np.uint64)
-        for j in range(chars.shape[1]):
-            out[:, j + 1] = out[:, j] * BASE + chars[:, j] + np.uint64(1)
-        return out
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * FACTOR) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    @staticmethod
-    def slots(keys: np.ndarray) -> np.ndarray:
-        return ((keys * FACTOR) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, or the last one."""
-        slot = self.slots(keys)
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each key, and whether it is there."""
+        slot = self.first(keys)
         held = self.keys[slot]
-        missed = held != keys
-        other = np.nonzero(missed & (held != 0))
-        slot[missed] = -1
-        if len(other[0]):
-            wanted = keys[other]
-            at = self.slots(wanted)
-            while len(wanted):
-                at = (at + 1) & (2**SLOT_BITS - 1)
-                held = self.keys[at]
-                hit = held == wanted
-                slot[tuple(x[hit] for x in other)] = at[hit]
-                going = ~hit & (held != 0)
-                other, wanted, at = tuple(x[going] for x in other), wanted[going], at[going]
-        return slot
-
-
-#: A worker's ids of stretches seen, and those that don't go round; kept from task to task, for one vocabulary at a time.
-_SEEN: dict[str, tuple[dict[str, bytes], set[str]]] = {}
+        found = held == keys
+        at = np.flatnonzero(~found & (held != 0))
+        while len(at):
+            slot[at] = (slot[at] + 1) % len(self.keys)
+            held = self.keys[slot[at]]
+            hit = held == keys[at]
+            found[at[hit]] = True
+            at = at[~hit & (held != 0)]
+        return slot, found
+
+
+def grown(keys: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one character longer."""
+    return keys * BASE + chars.astype(np.uint64) + np.uint64(1)
 
 
 class StreamingEncoder:
@@ -151,146 +139,223 @@ class StreamingEncoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        if pieces.key not in _SEEN:
-            _SEEN.clear()
-            _SEEN[pieces.key] = ({}, set())
-        self.known, self.broken = _SEEN[pieces.key]
-        cut = "\n" if pieces.lines else ""
-        self.splits = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + ("|\n+" if cut else "")) if pieces.words else None
-
-    def together(self, words: list[str]) -> list[bytes | None]:
-        """int32 ids of stretches of at most TOGETHER characters; None where one has a character without a piece, or
-        where its pieces don't give it back."""
-        lookup, longest, out = self.pieces.table, self.pieces.longest, [None] * len(words)
-        lengths = np.array(list(map(len, words)))
-        bands = [(np.flatnonzero((lengths > low) & (lengths <= width)), width) for low, width in zip((0, *WIDTHS), WIDTHS, strict=False)]
-        for own, width in ((band[i : i + GROUP], width) for band, width in bands for i in range(0, len(band), GROUP)):
-            n = lengths[own]
-            chars = np.frombuffer("".join([words[i].ljust(width, "\0") for i in own]).encode("utf-32-le"), np.uint32).reshape(len(own), width)
-            prefix = lookup.hashes(chars)
-            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(longest, BASE)]))
-            best = np.full((len(own), width + 1), NONE)
-            best[:, 0] = 0
-            last, ids = np.zeros((len(own), width + 1), np.int16), np.zeros((len(own), width + 1), np.int32)
-            rows = np.arange(len(own))
-            for end in range(1, width + 1):
-                first = max(0, end - longest)  # the longest piece first, which wins ties
-                slot = lookup.find(prefix[:, end, None] - prefix[:, first:end] * power[end - np.arange(first, end)])
-                sums = best[:, first:end] + lookup.scores[slot]
-                pick = sums.argmax(1)
-                best[:, end], last[:, end], ids[:, end] = sums[rows, pick], end - first - pick, lookup.ids[slot[rows, pick]]
-            fine = best[rows, n] > NONE // 2
-            at, parts = np.where(fine, n, 0), []
-            while (going := np.flatnonzero(at)).size:
-                end, length = at[going], last[going, at[going]]
-                own_ids = ids[going, end]
-                # The piece's characters against the stretch's own: a hash alone is no proof.
-                spots = (end - length)[:, None] + np.arange(longest)
-                same = (chars[going[:, None], np.minimum(spots, width - 1)] == lookup.chars[own_ids]) | (np.arange(longest) >= length[:, None])
-                fine[going] &= same.all(1)
-                column = np.full(len(own), -1, np.int32)
-                column[going] = own_ids
-                parts.append(column)
-                at[going] -= length
-            if parts:
-                found = np.array(parts[::-1], np.int32).T
-                used = found >= 0
-                ends = np.cumsum(used.sum(1)) * 4
-                flat, begin = found[used].tobytes(), 0
-                for i, end, ok in zip(own.tolist(), ends.tolist(), fine.tolist(), strict=True):
-                    if ok:
-                        out[i] = flat[begin:end]
-                    begin = end
-        return out
-
-    def viterbi(self, chars: str) -> list[int]:
-        """Ids of ``chars``. Of equal sums the path whose last piece is longest wins."""
-        get, byte_ids, longest = self.pieces.entries.get, self.pieces.byte_ids, self.pieces.longest
-        n, ids, step = len(chars), [], 4 * self.pieces.longest
-        limit = step  # doubled where paths stay apart, so that looking for their meeting stays in proportion
-        base, far = 0, 0  # the last commit; the farthest boundary that any piece has reached
-        best: list = [0]
-        back: list = [None]
-        for start in range(n):
-            if start - base >= limit:
-                # Paths of all boundaries that pieces still start from or end at, walked back until they meet.
-                live = {start, *(k for k in range(start, far + 1) if back[k - base])}
-                while len(live) > 1:
-                    last = max(live)
-                    live.remove(last)
-                    live.add(back[last - base][0])
-                meet = live.pop()
+        #: Uncovered characters: their places in ``bytes_of``, and the ids of their bytes.
+        self.uncovered: dict[int, int] = {}
+        self.bytes_of: list[tuple[int, ...]] = []
+        #: Ids that were committed, and the widest window so far.
+        self.committed = self.widest = 0
+
+    def _uncovered(self, code: int) -> int:
+        if code not in self.uncovered:
+            self.uncovered[code] = len(self.bytes_of)
+            self.bytes_of.append(tuple(self.pieces.byte_ids[b] for b in chr(code).encode("utf-8", "replace") if b in self.pieces.byte_ids))
+        return self.uncovered[code]
+
+    def _matches(self, chars: np.ndarray, exact: bool) -> tuple[np.ndarray, ...]:
+        """start, end, score and id of all pieces in ``chars``, by end and then start, so the longest comes first."""
+        table, n = self.pieces.table, len(chars)
+        at, keys, covered, found = np.arange(n), np.zeros(n, np.uint64), np.zeros(n, bool), []
+        for length in range(1, self.pieces.longest + 1):
+            if len(at) and at[-1] + length > n:
+                inside = at + length <= n
+                at, keys = at[inside], keys[inside]
+            if not len(at):
+                break
+            keys = grown(keys, chars[at + length - 1])
+            slot, goes_on = table.find(keys)
+            at, keys, slot = at[goes_on], keys[goes_on], slot[goes_on]
+            ids = table.ids[slot]
+            own = ids >= 0
+            if exact:
+                own &= np.array([i < 0 or self.pieces.strings[i] == "".join(map(chr, chars[k : k + length])) for k, i in zip(at.tolist(), ids.tolist(), strict=True)], bool)
+            found.append((at[own], at[own] + length, table.scores[slot[own]], ids[own].astype(np.int64)))
+            if length == 1:
+                covered[at[own]] = True
+        bare = np.flatnonzero(~covered)
+        codes, which = np.unique(chars[bare], return_inverse=True)
+        own = [None if c == END else self._uncovered(c) for c in codes.tolist()]
+        scores = np.array([0 if k is None else BYTE_SCORE * max(1, len(self.bytes_of[k])) for k in own], np.int64)
+        names = np.array([END_ID if k is None else END_ID - 1 - k for k in own], np.int64)
+        found.append((bare, bare + 1, scores[which], names[which]))
+        start, end, score, name = map(np.concatenate, zip(*found, strict=True))
+        order = np.lexsort((start, end))
+        return start[order], end[order], score[order], name[order]
+
+    def stream(self, chars: np.ndarray, exact: bool = False) -> list[int]:
+        """Ids of a stream of characters (uint32) that ends with END."""
+        longest, ids, step = self.pieces.longest, [], STEP * self.pieces.longest
+        # The window: of its boundaries, from ``origin`` on, the best score, where the best path's last piece begins and
+        # its id. Up to ``base``, counted from there, ids are committed; paths are walked back at ``check``.
+        best, froms, names, origin, base, check = [0], [0], [0], 0, 0, step
+        for low in range(0, len(chars), BLOCK):
+            high = min(len(chars), low + BLOCK)
+            first = max(0, low - longest + 1)
+            start, end, score, name = (x.tolist() for x in self._after(self._matches(chars[first:high], exact), first, low, origin))
+            cuts = [*range(low - origin + step, high - origin, step), high - origin]
+            done = 0
+            for at, until in zip(cuts, np.searchsorted(end, cuts, side="right").tolist(), strict=True):
+                last, top = len(best), NONE
+                for s, e, x, i in zip(start[done:until], end[done:until], score[done:until], name[done:until], strict=True):
+                    if e != last:  # the boundary before is done
+                        best.append(top)
+                        froms.append(come)
+                        names.append(own)
+                        last, top = e, best[s] + x
+                        come, own = s, i
+                    else:
+                        here = best[s] + x
+                        if here > top:
+                            top, come, own = here, s, i
+                best.append(top)
+                froms.append(come)
+                names.append(own)
+                done = until
+                if at + origin < check and at + origin < len(chars):
+                    continue
+                self.widest = max(self.widest, at - base + 1)
+                meet = self._meeting(froms, at if at + origin == len(chars) else max(base, at - longest + 1), at)
                 if meet > base:
-                    ids += self._path(back, base, meet)
-                    best, back, base = best[meet - base :], back[meet - base :], meet
-                limit = max(step, 2 * (start - base))
-            here = best[start - base]
-            for end in range(start + 1, min(start + longest, n) + 1):
-                found = get(chars[start:end], 0)
-                if found == 0:
+                    path, back = [], meet
+                    while back > base:
+                        path.append(names[back])
+                        back = froms[back]
+                    ids.extend(reversed(path))
+                    self.committed += len(path)
+                    base = meet
+                # Doubled where paths stay apart, so that walking them back stays in proportion.
+                check = origin + at + max(step, at - base)
+            best, froms, names = best[base:], [k - base for k in froms[base:]], names[base:]
+            origin, base = origin + base, 0
+        return ids
+
+    @staticmethod
+    def _after(found: tuple[np.ndarray, ...], first: int, low: int, origin: int) -> tuple[np.ndarray, ...]:
+        """Matches that end after ``low``, with their places counted from ``origin``."""
+        start, end, score, name = found
+        kept = end > low - first
+        return start[kept] + (first - origin), end[kept] + (first - origin), score[kept], name[kept]
+
+    @staticmethod
+    def _meeting(froms: list[int], low: int, high: int) -> int:
+        """The last boundary that the paths of all boundaries from low to high run through."""
+        live = set(range(low, high + 1))
+        while len(live) > 1:
+            if high in live:
+                live.remove(high)
+                live.add(froms[high])
+            high -= 1
+        return live.pop()
+
+    def lanes(self, chars: np.ndarray, offsets: np.ndarray, exact: bool = False) -> np.ndarray:
+        """Ids of a stream that is taken up at ``offsets``, none of whose boundaries a piece reaches over, side by side."""
+        longest, width, n = self.pieces.longest, len(offsets), len(chars)
+        lengths = np.diff(np.append(offsets, n))
+        steps, lane = int(lengths.max()), np.arange(width)
+        start, end, score, name = self._matches(chars, exact)
+        own = np.searchsorted(offsets, start, side="right") - 1
+        fits = end <= offsets[own] + lengths[own]
+        start, end, score, name, own = start[fits], end[fits], score[fits], name[fits], own[fits]
+        # By step, place of the piece's beginning in the window (the longest first), and lane.
+        scores, names = np.full((steps + 1, longest, width), NONE), np.zeros((steps + 1, longest, width), np.int32)
+        spot = (end - offsets[own], longest - (end - start), own)
+        scores[spot], names[spot] = score, name
+        best, length = np.full((steps + 1 + longest, width), NONE), np.zeros((steps + 1, width), np.int32)
+        best[longest] = 0
+        base, out = np.zeros(width, np.int64), []
+        check = STEP * longest
+        for at in range(1, steps + 1):
+            sums = best[at : at + longest] + scores[at]
+            pick = sums.argmax(0)
+            best[at + longest] = np.maximum(sums[pick, lane], NONE)
+            length[at] = longest - pick
+            if at % check and at < steps:
+                continue
+            here = np.minimum(at, lengths)
+            self.widest = max(self.widest, int((here - base).max()) + 1)
+            # Boundaries that a piece can still start from (at a lane's end only that), walked back until one is left.
+            live = np.maximum(here - np.where(here < lengths, np.arange(longest)[:, None], 0), base)
+            while True:
+                last = live.min(0)
+                moves = live > last
+                if not moves.any():
                     break
-                if found is not None:
-                    while far < end:
-                        best.append(None)
-                        back.append(None)
-                        far += 1
-                    score = here + found[1]
-                    if best[end - base] is None or score > best[end - base]:
-                        best[end - base] = score
-                        back[end - base] = (start, found[0])
-            if get(chars[start]) is None:
-                one = tuple(byte_ids[b] for b in chars[start].encode("utf-8", "replace") if b in byte_ids)
-                score = here + BYTE_SCORE * max(1, len(one))
-                if far < start + 1:
-                    best.append(None)
-                    back.append(None)
-                    far = start + 1
-                if best[start + 1 - base] is None or score > best[start + 1 - base]:
-                    best[start + 1 - base] = score
-                    back[start + 1 - base] = (start, one)
-        return ids + self._path(back, base, n)
+                live -= np.where(moves, length[live, lane], 0)
+            meet = live[0]
+            back, going = meet.copy(), np.flatnonzero(meet > base)
+            while len(going):
+                ends, n_chars = back[going], length[back[going], going]
+                out.append((offsets[going] + ends, names[ends, longest - n_chars, going]))
+                back[going] -= n_chars
+                going = going[back[going] > base[going]]
+            base = meet
+        ends, ids = map(np.concatenate, zip(*out, strict=True))
+        self.committed += len(ids)
+        return ids[np.argsort(ends, kind="stable")]
+
+    def ids_of(self, chars: np.ndarray, exact: bool = False) -> np.ndarray:
+        """Ids of a stream that ends with END: lanes where it can be taken up often enough, else one after another."""
+        begins = chars[:-1] == END
+        if self.pieces.words:
+            begins |= (chars[1:] == ord(MARK)) & (chars[:-1] != ord(MARK))
+        free = np.concatenate([[0], np.flatnonzero(begins) + 1, [len(chars)]])
+        far = np.flatnonzero(np.diff(free) > LONG)
+        out: list[np.ndarray] = []
+        done = 0
+        for k in (*far.tolist(), len(free) - 1):
+            # What lies before the next long way, a stream's worth at a time; then that way by itself.
+            for low, high in self._shares(free[done : k + 1]):
+                inside = free[(free >= low) & (free < high)]
+                aims = low + np.arange(LANES) * max(1, (high - low) // LANES)
+                offsets = np.unique(inside[np.minimum(np.searchsorted(inside, aims), len(inside) - 1)])
+                offsets[0] = low
+                out.append(self.lanes(chars[low:high], offsets - low, exact))
+            if k < len(free) - 1:
+                out.append(np.array(self.stream(chars[free[k] : free[k + 1]], exact), np.int32))
+            done = k + 1
+        return np.concatenate(out)
 
     @staticmethod
-    def _path(back: list, base: int, end: int) -> list[int]:
-        out: list[int] = []
-        while end > base:
-            start, own = back[end - base]
-            if isinstance(own, tuple):
-                out.extend(reversed(own))
-            else:
-                out.append(own)
-            end = start
-        out.reverse()
+    def _shares(free: np.ndarray) -> list[tuple[int, int]]:
+        """Parts of about STREAM characters between boundaries."""
+        if len(free) < 2:
+            return []
+        at = np.unique(free[np.searchsorted(free, np.arange(free[0], free[-1], STREAM))])
+        at = at[at < free[-1]].tolist()
+        return list(zip(at, [*at[1:], int(free[-1])], strict=True))
+
+    def _solved(self, texts: list[str], exact: bool = False) -> list[np.ndarray]:
+        """int32 ids of texts with marks, as one stream."""
+        chars = np.concatenate([x for t in texts for x in (np.frombuffer(t.encode("utf-32-le"), np.uint32), np.array([END], np.uint32))])
+        found = self.ids_of(chars, exact).astype(np.int32)
+        out = [x[:-1] for x in np.split(found, np.flatnonzero(found == END_ID) + 1)[:-1]]
+        for k in {int(x) for x in np.searchsorted(np.flatnonzero(found == END_ID), np.flatnonzero(found < END_ID))}:
+            out[k] = np.array([i for x in out[k].tolist() for i in ((x,) if x >= 0 else self.bytes_of[END_ID - 1 - x])], np.int32)
         return out
 
-    def learn(self, stretches: Iterable[str]) -> None:
-        """Remembers the ids of stretches, and which of them don't go round."""
-        words = list(stretches)
-        short = [w for w in words if len(w) <= TOGETHER]
-        solved = dict(zip(short, self.together(short), strict=True))
-        for w in words:
-            ids = solved.get(w)
-            if ids is None:
-                ids = np.array(self.viterbi(w), np.int32).tobytes()
-                if b"".join(map(self.pieces.text.__getitem__, np.frombuffer(ids, np.int32).tolist())).decode("utf-8", "replace") != w:
-                    self.broken.add(w)
-            self.known[w] = ids
+    def viterbi(self, chars: str) -> list[int]:
+        """Ids of ``chars``, marks and all."""
+        return self._solved([chars])[0].tolist()
 
     def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
         """int32 ids of each text as bytes, and whether they decode to it."""
-        split = self.splits.findall if self.splits is not None else lambda t: [t]
-        words = [split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.broken.clear()
-        new = set().union(*words) - self.known.keys()
-        self.learn(new)
-        get = self.known.__getitem__
-        out = [(b"".join(map(get, w)), not self.broken or self.broken.isdisjoint(w)) for w in words]
-        for w in new:
-            if len(w) > TOGETHER:  # too large to keep
-                del self.known[w]
-                self.broken.discard(w)
+        out: list[tuple[bytes, bool]] = [(b"", True)] * len(texts)
+        held: list[int] = []
+        marked: list[str] = []
+        size = 0
+        fits = lambda own, text: b"".join(map(self.pieces.text.__getitem__, own.tolist())) == text.encode()
+        for k, t in enumerate(texts):
+            if t:
+                held.append(k)
+                marked.append(MARK + t.replace(" ", MARK))
+                size += len(t)
+            if held and (size >= STREAM or k == len(texts) - 1):
+                for i, text, own in zip(held, marked, self._solved(marked), strict=True):
+                    goes_round = fits(own, text)
+                    if not goes_round:
+                        own = self._solved([text], exact=True)[0]
+                        goes_round = fits(own, text)
+                    out[i] = (own.tobytes(), goes_round)
+                held, marked, size = [], [], 0
         return out
 
     def encode(self, text: str | None) -> np.ndarray:

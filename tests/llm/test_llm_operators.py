@@ -244,6 +244,41 @@ def test_streaming_viterbi_equals_the_whole_one_and_goes_round(text):
     assert pieces.decode_ids(ids, vocab) == text
 
 
+def test_ids_come_from_commits_of_a_bounded_window(monkeypatch):
+    """Random texts over few characters, with small blocks, lanes and streams: all ways give the whole Viterbi's ids."""
+    vocab, rng = pieces.Pieces.load(pieces.MODEL), random.Random(2)
+    texts = ["".join(rng.choice("ab cde\nth 🙂日in") for _ in range(rng.choice([1, 7, 60, 400]))) for _ in range(60)]
+    texts += ["theinthein" * 60, "ab " * 200, " " * 90, "x" * 700 + " end"]
+    want = [full_viterbi(vocab, pieces.MARK + t.replace(" ", pieces.MARK)) for t in texts]
+    for block, stream, lanes, long in ((8192, 200_000, 512, 2048), (16, 500, 7, 40), (33, 90, 3, 0), (64, 10**6, 1, 300)):
+        for name, value in (("BLOCK", block), ("STREAM", stream), ("LANES", lanes), ("LONG", long)):
+            monkeypatch.setattr(pieces, name, value)
+        encoder = pieces.StreamingEncoder(vocab)
+        got = encoder.encode_all(texts)
+        assert [np.frombuffer(x, np.int32).tolist() for x, _ in got] == want and all(ok for _, ok in got)
+        # Every id and every text's end came from a commit; a character's bytes are one.
+        bare = sum(len(t.encode("utf-8")) - len(t) for t in "".join(texts) if vocab.entries.get(t) is None)
+        assert encoder.committed == sum(map(len, want)) - bare + len(texts)
+        assert encoder.widest < 1024
+
+
+def test_a_false_match_of_a_hash_is_found_and_mended(monkeypatch):
+    vocab = pieces.Pieces.load(pieces.MODEL)
+    want = pieces.StreamingEncoder(vocab).encode("the quick fox").tolist()
+    slot, found = vocab.table.find(np.array([0], np.uint64))
+    ids = vocab.table.ids.copy()
+    own = np.flatnonzero(np.isin(ids, want))
+    monkeypatch.setattr(vocab.table, "ids", np.where(np.isin(np.arange(len(ids)), own), np.roll(ids[ids >= 0], 5)[0], ids))
+    (got, ok), = pieces.StreamingEncoder(vocab).encode_all(["the quick fox"])
+    assert ok and pieces.decode_ids(np.frombuffer(got, np.int32), vocab) == "the quick fox"
+
+
+def test_tables_follow_the_vocabulary():
+    many = pieces.Pieces([(k, f"p{k}", -1.0 - k) for k in range(300_000)], {})
+    slot, found = many.table.find(pieces.grown(np.zeros(1, np.uint64), np.array([ord("p")], np.uint32)))
+    assert found[0] and many.table.ids[slot[0]] == -1 and len(many.table.keys) > 4 * 300_000
+
+
 def test_encode_and_decode_tables(spark, odd):
     back = pieces.decode(pieces.encode(odd)).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in back)
