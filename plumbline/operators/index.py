@@ -2,11 +2,10 @@
 
 A segment is what one ``save`` or ``ingest`` brought, and isn't written again:
 
-``chunks``    all columns given, in folders by the hash of chunk_id, so that some chunks' texts are read without the rest
+``chunks``    all columns given; of a few chunks, only the files are read that hold them
 ``postings``  a row for each term and block of chunks, with all its chunks and the largest tf and least dl among them;
-              in folders by ranges of terms, so that a search reads the ranges of its terms
-``terms``     term, df, rows of postings, and the first and last of their folders; df is negative for what a segment
-              takes out of older ones
+              in folders by the term's hash, so that a search reads the folders of its terms, and sorted by term
+``terms``     term, df, rows of postings, largest tf and least dl; df is negative for what a segment takes out of older ones
 ``dead``      chunks of older segments that were replaced
 ``idents``    ident, path and chunk_id of identifiers, where files are indexed
 ``docs``      the files that the chunks are of, if they are given
@@ -21,11 +20,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,15 +41,20 @@ from plumbline.session import materialize, put_new, remove
 
 #: Of the tables' layout; indexes of another one are not read.
 VERSION = 2
-_SEGMENT = "number int, folder string, n_chunks long, n_tokens long, n_postings long, n_terms long, n_dead long, n_docs long, buckets int, schema string, docs_schema string"
+_SEGMENT = "number int, folder string, n_chunks long, n_tokens long, n_postings long, n_terms long, n_dead long, n_docs long, parts int, schema string, docs_schema string"
 COMMIT = f"seq long, layout int, fingerprint string, tokenizer string, with_path boolean, n_chunks long, n_tokens long, batches map<string,long>, segments array<struct<{_SEGMENT.replace(' ', ':').replace(',:', ',')}>>"
 
-#: Chunks of a block of postings, of a folder of chunks, and of a folder of postings, about.
-BLOCK_CHUNKS, BUCKET_CHUNKS, PART_CHUNKS = 128, 8192, 20_000
-#: Terms of a batch of questions up to which only the folders of their ranges are read; more are in most of them.
+#: Chunks of a block of postings, at most, and of a folder of postings, about.
+BLOCK_CHUNKS, PART_CHUNKS = 4096, 20_000
+#: Terms of a batch of questions up to which only their folders are read; more are in most of them.
 MOST_TERMS = 10_000
-#: Rows of postings above which a search works out bounds first; and the blocks whose scores it begins with.
-PRUNE_ABOVE, FIRST_BLOCKS = 200_000, 16
+#: Files of chunks up to which only those that hold some chunks are read.
+MOST_FILES = 10_000
+#: Rows of postings above which a search works out bounds first; terms of a short question, on average (the bounds of
+#: many terms together close few blocks); the blocks and the rarest terms whose scores it begins with.
+PRUNE_ABOVE, SHORT, FIRST_BLOCKS, RAREST = 200_000, 6, 16, 3
+#: What a bound may miss by rounding.
+SLACK = 1e-8
 #: Segments of a version, from which an ingest makes one of them all.
 MOST_SEGMENTS = 8
 #: Times that a writer starts over after another one's commit.
@@ -61,15 +69,19 @@ class IndexBusy(RuntimeError):
     """Other writers were faster, each time."""
 
 
+def _postings_ddl(kind: str) -> str:
+    return f"term string, block long, n long, tf_max int, dl_min int, tf_sum long, ids array<{kind}>, tfs array<int>, dls array<int>"
+
+
 def _schema(name: str, chunks: str) -> T.StructType | str:
     """Of a segment's table; told, not read from its files, since there may be none."""
     own = T.StructType.fromJson(json.loads(chunks))
     if name == "chunks":
-        return T.StructType([*own.fields, T.StructField("_bucket", T.IntegerType())])
+        return own
     kind = own["chunk_id"].dataType.simpleString()
     return {
-        "postings": f"term string, block int, n long, tf_max int, dl_min int, tf_sum long, entries array<struct<chunk_id:{kind},tf:int,dl:int>>, part int",
-        "terms": "term string, df long, n_rows long, first_part int, last_part int",
+        "postings": f"{_postings_ddl(kind)}, part int",
+        "terms": "term string, df long, n_rows long, tf_max int, dl_min int",
         "dead": f"_seg int, chunk_id {kind}",
         "idents": f"ident string, path string, chunk_id {kind}",
     }.get(name, f"chunk_id {kind}, v array<double>")
@@ -85,7 +97,8 @@ class Segment:
     n_terms: int
     n_dead: int
     n_docs: int
-    buckets: int
+    #: Folders of postings.
+    parts: int
     #: Of its chunks, as JSON; and of its docs, if it has any.
     schema: str
     docs_schema: str = ""
@@ -134,12 +147,12 @@ class EvidenceIndex:
 
     @property
     def chunks(self) -> DataFrame:
-        return self._live(self._union("chunks")).drop("_seg", "_bucket")
+        return self._live(self._union("chunks")).drop("_seg")
 
     @property
     def postings(self) -> DataFrame:
         """term, chunk_id, tf, dl."""
-        rows = self._union("postings").select("_seg", "term", F.explode("entries").alias("e")).select("_seg", "term", "e.chunk_id", "e.tf", "e.dl")
+        rows = self._union("postings").select("_seg", "term", _entries().alias("e")).select("_seg", "term", F.col("e.ids").alias("chunk_id"), F.col("e.tfs").alias("tf"), F.col("e.dls").alias("dl"))
         return self._live(rows).drop("_seg")
 
     @property
@@ -161,14 +174,15 @@ class EvidenceIndex:
         return self.texts_of(self.spark.createDataFrame([(c,) for c in chunk_ids], T.StructType([T.StructField("chunk_id", kind)])))
 
     def texts_of(self, ids: DataFrame) -> DataFrame:
-        """The chunks of ids (chunk_id), from those folders that can hold them."""
-        wanted = ids.select("chunk_id").distinct()
-
-        def narrow(df: DataFrame, s: Segment) -> DataFrame:
-            found = [r[0] for r in wanted.select(_bucket(s.buckets)).distinct().collect()] if s.buckets > 1 else []  # at most a number a folder
-            return df.filter(F.col("_bucket").isin(found)) if s.buckets > 1 and len(found) < s.buckets else df
-
-        return self._live(self._union("chunks", narrow).join(wanted, "chunk_id", "left_semi")).drop("_seg", "_bucket")
+        """The chunks of ids (chunk_id). Which files hold them is looked up by the ids alone; then only those are read."""
+        wanted = materialize(ids.select("chunk_id").distinct(), "ids")
+        parts = []
+        for s in self.segments:
+            held = s.read(self.spark, "chunks").select("chunk_id", F.col("_metadata.file_path").alias("_file")).join(wanted, "chunk_id", "left_semi")
+            files = [r["_file"] for r in held.select("_file").distinct().limit(MOST_FILES + 1).collect()]
+            some = self.spark.read.schema(_schema("chunks", s.schema)).parquet(*files) if 0 < len(files) <= MOST_FILES else s.read(self.spark, "chunks")
+            parts.append((some if files else some.limit(0)).withColumn("_seg", F.lit(s.number)))
+        return self._live(reduce(DataFrame.unionByName, parts).join(wanted, "chunk_id", "left_semi")).drop("_seg")
 
     def summary(self) -> DataFrame:
         """One row: files, files with chunks (indexed), and chunks."""
@@ -177,58 +191,96 @@ class EvidenceIndex:
 
     # ------------------------------------------------------------ lexical search
 
-    def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-        """query_id, term and idf of the questions' terms; the postings of these terms; and how many rows that are."""
+    def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, str | None]:
+        """query_id, term, idf, df, most_tf and least_dl of the questions' terms; the postings of these terms; and which
+        bounds would help: none, those of blocks for short questions, or those of terms."""
         asked = materialize(queries.select("query_id", F.explode(F.array_distinct(self.tokenize(F.col("text")))).alias("term")), "asked")
         wanted = materialize(asked.select("term").distinct(), "wanted")
         known = materialize(self._union("terms").join(wanted, "term"), "known")
         idf = F.log(1 + (F.lit(self.n_chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weighed = known.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0").select("term", idf.alias("idf"))
+        summed = known.groupBy("term").agg(F.sum("df").alias("df"), F.max("tf_max").alias("most_tf"), F.min("dl_min").alias("least_dl")).filter("df > 0")
         # Written, so that Spark sees its size and broadcasts it only where that allows.
-        weighed = materialize(asked.join(weighed, "term").select("query_id", "term", "idf"), "weighed")
-        size = known.agg(F.sum("n_rows")).head()[0] or 0
+        weighed = materialize(asked.join(summed.withColumn("idf", idf), "term").select("query_id", "term", "idf", "df", "most_tf", "least_dl"), "weighed")
+        rows = known.agg(F.sum("n_rows")).head()[0] or 0
+        short = weighed.count() <= SHORT * asked.select("query_id").distinct().count()
         read = lambda df, s: df
         if wanted.count() <= MOST_TERMS:
             parts: dict[int, list[int]] = {}
-            for r in known.filter("first_part IS NOT NULL").select("_seg", F.explode(F.sequence("first_part", "last_part")).alias("part")).distinct().collect():  # at most a row a folder
+            folders = {s.number: s.parts for s in self.segments}
+            of = F.create_map(*(F.lit(x) for pair in folders.items() for x in pair))[F.col("_seg")]
+            for r in known.filter("n_rows > 0").select("_seg", _part_of(of).alias("part")).distinct().collect():  # at most a row a folder
                 parts.setdefault(r["_seg"], []).append(r["part"])
             read = lambda df, s: df.filter(F.col("part").isin(sorted(parts.get(s.number, []))))
-        return weighed, self._union("postings", read), size
+        return weighed, self._union("postings", read), None if rows <= PRUNE_ABOVE else "blocks" if short else "terms"
 
     def _part(self, tf: Column, dl: Column, k1: float, b: float) -> Column:
         return F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(self.avgdl)))
 
-    def _scores(self, blocks: DataFrame, weighed: DataFrame, k1: float, b: float) -> DataFrame:
-        """query_id, chunk_id, score > 0 from blocks of postings; ``weighed`` may name the blocks (_seg, block), too."""
+    def _parts(self, blocks: DataFrame, weighed: DataFrame, k1: float, b: float) -> DataFrame:
+        """query_id, chunk_id and part of a score, term by term; ``weighed`` (query_id, term, idf) may name the blocks
+        (_seg, block), too."""
         met = blocks.join(weighed, [c for c in ("_seg", "block", "term") if c in weighed.columns])
-        rows = met.select("_seg", "query_id", "idf", F.explode("entries").alias("e")).select("_seg", "query_id", "e.chunk_id", self._part(F.col("e.tf"), F.col("e.dl"), k1, b).alias("part"))
-        return self._live(rows).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")).filter("score > 0")
+        rows = met.select("_seg", "query_id", "idf", _entries().alias("e")).select("_seg", "query_id", F.col("e.ids").alias("chunk_id"), self._part(F.col("e.tfs"), F.col("e.dls"), k1, b).alias("part"))
+        return self._live(rows).select("query_id", "chunk_id", "part")
+
+    def _scores(self, blocks: DataFrame, weighed: DataFrame, k1: float, b: float) -> DataFrame:
+        """query_id, chunk_id, score > 0."""
+        return self._parts(blocks, weighed, k1, b).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")).filter("score > 0")
 
     def bm25(self, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
         """query_id, chunk_id, score > 0 for all queries, from the postings of their terms."""
         weighed, blocks, _ = self._asked(queries)
-        return self._scores(blocks, weighed, k1, b)
-
-    def search(self, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75, out: str = "rank", prune: bool | None = None) -> DataFrame:
-        """The best k chunks of each query, exactly.
-
-        With ``prune`` (by default where there are many postings) no block is opened that can't hold one of them: its
-        bound is the sum over the question's terms of what the largest tf and least dl in the block would give. The
+        return self._scores(blocks, weighed.select("query_id", "term", "idf"), k1, b)
+
+    def search(self, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75, out: str = "rank", prune: str | None = None) -> DataFrame:
+        """The best k chunks of each query, exactly. ``prune``: none, blocks or terms; by itself where there are many
+        postings, blocks for short questions and terms for longer ones."""
+        weighed, blocks, helps = self._asked(queries)
+        how = {"k": k, "k1": k1, "b": b}
+        prune = prune or helps
+        if prune == "blocks":
+            return top_k(self._by_blocks(blocks, weighed.select("query_id", "term", "idf"), **how), k, out=out)
+        if prune == "terms":
+            return top_k(self._by_terms(blocks, weighed, **how), k, out=out)
+        return top_k(self._scores(blocks, weighed.select("query_id", "term", "idf"), k1, b), k, out=out)
+
+    def _by_blocks(self, blocks: DataFrame, weighed: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+        """Scores of all chunks that can be among the best k: no block is opened that can't hold one of them.
+
+        A block's bound is the sum over the question's terms of what the largest tf and least dl in it would give. The
         blocks with the largest bounds are scored first; the k-th best score found is what the others' bounds must
         reach. A chunk is in one block only, so its score is whole there.
         """
-        weighed, blocks, size = self._asked(queries)
-        if not (size > PRUNE_ABOVE if prune is None else prune):
-            return top_k(self._scores(blocks, weighed, k1, b), k, out=out)
         bound = self._part(F.col("tf_max"), F.col("dl_min"), k1, b)
         bounds = blocks.select("_seg", "term", "block", "tf_max", "dl_min").join(weighed, "term").groupBy("query_id", "_seg", "block").agg(F.sum(bound).alias("bound"))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "_seg", "block"))
         bounds = materialize(bounds.withColumn("place", place), "bounds")
-        opened = lambda some: self._scores(blocks, some.select("query_id", "_seg", "block").join(weighed, "query_id"), k1, b)
+        opened = lambda some: self._scores(blocks, materialize(some.select("query_id", "_seg", "block").join(weighed, "query_id"), "opened"), k1, b)
         first = materialize(top_k(opened(bounds.filter(F.col("place") <= FIRST_BLOCKS)), k), "first")
         least = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        rest = bounds.filter(F.col("place") > FIRST_BLOCKS).join(least, "query_id", "left").filter(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-8)
-        return top_k(first.drop("rank").unionByName(opened(rest)), k, out=out)
+        rest = bounds.filter(F.col("place") > FIRST_BLOCKS).join(least, "query_id", "left").filter(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK)
+        return first.drop("rank").unionByName(opened(rest))
+
+    def _by_terms(self, blocks: DataFrame, weighed: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+        """Scores of all chunks that can be among the best k: those with frequent terms alone are never gathered.
+
+        The question's rarest terms give a first k-th best score. The terms that could not reach it together are left
+        out; a chunk must have one of the others, and with them enough that the ones left out could make up the rest.
+        Only for such chunks are the frequent terms added, where their postings lie.
+        """
+        bound = self._part(F.col("most_tf"), F.col("least_dl"), k1, b)
+        own = Window.partitionBy("query_id")  # a question's terms
+        terms = materialize(weighed.select("query_id", "term", "idf", bound.alias("bound"), F.row_number().over(own.orderBy("df", "term")).alias("place")), "terms")
+        rough = top_k(self._scores(blocks, terms.filter(F.col("place") <= RAREST).select("query_id", "term", "idf"), k1, b), k)
+        least = rough.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        below = F.sum("bound").over(own.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+        split = materialize(terms.join(least, "query_id", "left").withColumn("needed", F.coalesce(below >= F.col("least") - SLACK, F.lit(True))), "split")
+        rest = split.filter("NOT needed").groupBy("query_id").agg(F.sum("bound").alias("rest"), F.max("least").alias("least"))
+        found = self._scores(blocks, split.filter("needed").select("query_id", "term", "idf"), k1, b)
+        enough = F.coalesce(F.col("score") + F.col("rest") >= F.col("least") - SLACK, F.lit(True))
+        able = materialize(found.join(rest, "query_id", "left").filter(enough).select("query_id", "chunk_id", "score"), "able")
+        more = self._parts(blocks, split.filter("NOT needed").select("query_id", "term", "idf"), k1, b).join(able.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+        return able.unionByName(more.withColumnRenamed("part", "score")).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
 
     def files(self, queries: DataFrame, *, k: int = 10, per_file: int = 3, penalty: float = 0.4) -> DataFrame:
         """File-corpus search over chunks with path and superseded: over-fetch 6 k, demote superseded, cap each file."""
@@ -303,25 +355,56 @@ def fingerprint_of(spark: SparkSession, path: str) -> str:
 # ---------------------------------------------------------------- segments
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int").alias("_bucket")
+def _entries() -> Column:
+    """A row of postings, chunk by chunk."""
+    return F.explode(F.arrays_zip("ids", "tfs", "dls"))
 
 
-def _words(chunks: DataFrame, tokenize: Callable[[Column], Column], with_path: bool) -> DataFrame:
-    """chunk_id, dl and term, repeats kept."""
-    text = F.concat_ws("\n", "path", "text") if with_path else F.coalesce("text", F.lit(""))
-    return chunks.select("chunk_id", tokenize(text).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+def _part_of(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("term"), parts).cast("int")
 
 
-def _postings(words: DataFrame, n_chunks: int) -> DataFrame:
-    """Rows of postings: a term's chunks of one block, in ranges of terms; a term that many chunks hold has many rows."""
-    block = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n_chunks // BLOCK_CHUNKS)))).cast("int")
-    counted = words.groupBy("chunk_id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
-    rows = counted.groupBy("term", block.alias("block")).agg(  # about BLOCK_CHUNKS chunks at most
-        F.count("*").alias("n"), F.max("tf").alias("tf_max"), F.min("dl").alias("dl_min"), F.sum("tf").alias("tf_sum"), F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("entries")
-    )
-    dealt = rows.repartitionByRange(max(1, -(-n_chunks // PART_CHUNKS)), "term", "block").sortWithinPartitions("term", "block")
-    return dealt.withColumn("part", F.spark_partition_id())
+def _words(chunks: DataFrame, tokenize: Callable[[Column], Column], with_path: bool) -> DataFrame:
+    """chunk_id and its words, w, repeats kept."""
+    text = F.concat_ws("\n", "path", "text") if with_path else F.coalesce("text", F.lit(""))
+    return chunks.select("chunk_id", tokenize(text).alias("w"))
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of postings of blocks of chunks as they come: a chunk is in one block, and a block in one task, which counts
+    it. Blocks are numbered by task; the stored chunks come the same way whenever a task runs again."""
+    task, count = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, BLOCK_CHUNKS):
+            part = batch.slice(i, BLOCK_CHUNKS)
+            words = part.column("w")
+            dl = np.asarray(pc.fill_null(pc.list_value_length(words), 0)).astype(np.int32)
+            coded = words.flatten().dictionary_encode()
+            key = np.asarray(coded.indices).astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl)
+            count += 1
+            if not len(key):
+                continue
+            pairs, tf = np.unique(key, return_counts=True)
+            code, row = np.divmod(pairs, len(dl))
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            ends = pa.array([*first, len(pairs)], pa.int32())
+            listed = lambda values: pa.ListArray.from_arrays(ends, values)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [
+                    coded.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), (task << 32) + count)), pa.array(np.diff(np.append(first, len(pairs)))),
+                    pa.array(np.maximum.reduceat(tf, first).astype(np.int32)), pa.array(np.minimum.reduceat(dl[row], first)), pa.array(np.add.reduceat(tf, first)),
+                    listed(part.column("chunk_id").take(pa.array(row))), listed(pa.array(tf.astype(np.int32))), listed(pa.array(dl[row])),
+                ],
+                names=["term", "block", "n", "tf_max", "dl_min", "tf_sum", "ids", "tfs", "dls"],
+            )
+
+
+def _postings(words: DataFrame, parts: int) -> DataFrame:
+    """Rows of postings, dealt by the term's hash; a term that many chunks hold has many rows, whose folder Spark splits
+    among tasks as it grows."""
+    kind = words.schema["chunk_id"].dataType.simpleString()
+    rows = words.mapInArrow(_in_blocks, _postings_ddl(kind)).withColumn("part", _part_of(F.lit(parts)))
+    return rows.hint("rebalance", "part").sortWithinPartitions("part", "term", "block")
 
 
 def _idents(chunks: DataFrame) -> DataFrame:
@@ -333,19 +416,18 @@ def _write_segment(chunks: DataFrame, root: str, number: int, tokenize: Callable
     """Writes a segment. With an old version, its chunks of the same documents (``key``) are put on the list of dead ones,
     and their terms are taken out of the sums."""
     spark, folder = chunks.sparkSession, f"{root}/v-{uuid.uuid4().hex}"
-    n = chunks.count()
-    buckets = max(1, -(-n // BUCKET_CHUNKS))
-    made = Segment(number, folder, n, 0, 0, 0, 0, 0, buckets, chunks.schema.json(), "" if docs is None else docs.schema.json())
+    chunks.write.parquet(f"{folder}/chunks")
+    made = Segment(number, folder, 0, 0, 0, 0, 0, 0, 1, chunks.schema.json(), "" if docs is None else docs.schema.json())
+    stored = made.read(spark, "chunks")
+    n = stored.count()
+    made = replace(made, n_chunks=n, parts=max(1, -(-n // PART_CHUNKS)))
     if docs is not None:
         docs.write.parquet(f"{folder}/docs")
-    placed = chunks.withColumn("_bucket", _bucket(buckets))
-    (placed.repartition(buckets, "_bucket") if buckets > 1 else placed).write.partitionBy("_bucket").parquet(f"{folder}/chunks")
-    stored = made.read(spark, "chunks")
-    _postings(_words(stored, tokenize, with_path), n).write.partitionBy("part").parquet(f"{folder}/postings")
+    _postings(_words(stored, tokenize, with_path), made.parts).write.partitionBy("part").parquet(f"{folder}/postings")
     postings = made.read(spark, "postings")
     if with_path:
         _idents(stored).write.parquet(f"{folder}/idents")
-    terms = postings.groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("n_rows"), F.min("part").alias("first_part"), F.max("part").alias("last_part"))
+    terms = postings.groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("n_rows"), F.max("tf_max").alias("tf_max"), F.min("dl_min").alias("dl_min"))
     n_dead = lost_tokens = 0
     if old is not None:
         gone = old._live(old._union("chunks").select("_seg", "chunk_id", key)).join(stored.select(key).distinct(), key, "left_semi").select("_seg", "chunk_id")
@@ -353,10 +435,10 @@ def _write_segment(chunks: DataFrame, root: str, number: int, tokenize: Callable
         dead = made.read(spark, "dead")
         n_dead = dead.count()
         if n_dead:
-            lost = materialize(_words(old.texts_of(dead), tokenize, with_path).groupBy("chunk_id", "term").agg(F.count("*").alias("tf")), "lost")
-            lost_tokens = lost.agg(F.sum("tf")).head()[0] or 0
-            less = lost.groupBy("term").agg((-F.count("*")).alias("df")).withColumns({"n_rows": F.lit(0).cast("long"), "first_part": F.lit(None).cast("int"), "last_part": F.lit(None).cast("int")})
-            terms = terms.unionByName(less).groupBy("term").agg(F.sum("df").alias("df"), F.sum("n_rows").alias("n_rows"), F.min("first_part").alias("first_part"), F.max("last_part").alias("last_part"))
+            lost = materialize(_words(old.texts_of(dead), tokenize, with_path).groupBy("chunk_id").agg(F.first("w").alias("w")), "lost")
+            lost_tokens = lost.agg(F.sum(F.size("w"))).head()[0] or 0
+            less = lost.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg((-F.count("*")).alias("df")).withColumns({"n_rows": F.lit(0).cast("long"), "tf_max": F.lit(None).cast("int"), "dl_min": F.lit(None).cast("int")})
+            terms = terms.unionByName(less).groupBy("term").agg(F.sum("df").alias("df"), F.sum("n_rows").alias("n_rows"), F.max("tf_max").alias("tf_max"), F.min("dl_min").alias("dl_min"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
     total, rows = postings.agg(F.sum("tf_sum"), F.count("*")).head()
     return replace(made, n_chunks=n - n_dead, n_tokens=(total or 0) - lost_tokens, n_postings=rows, n_terms=made.read(spark, "terms").count(), n_dead=n_dead, n_docs=made.read(spark, "docs").count() if docs is not None else 0)

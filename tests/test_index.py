@@ -36,7 +36,7 @@ def asked(spark):
 @pytest.fixture
 def small(monkeypatch):
     """Many blocks, folders and bounds from few rows."""
-    for name, value in (("BLOCK_CHUNKS", 3), ("BUCKET_CHUNKS", 20), ("PART_CHUNKS", 10), ("FIRST_BLOCKS", 2)):
+    for name, value in (("BLOCK_CHUNKS", 3), ("PART_CHUNKS", 10), ("FIRST_BLOCKS", 2)):
         monkeypatch.setattr(index, name, value)
 
 
@@ -77,8 +77,8 @@ def test_a_pruned_search_is_the_whole_search(spark, tmp_path, asked, small):
     kept = index.ingest(spark, root, frame(made(5, 0, 40)))
     for k in (1, 3, 10):
         want = rows(retrieval.top_k(kept.bm25(asked), k))
-        assert rows(kept.search(asked, k, prune=True)) == want == rows(kept.search(asked, k, prune=False))
-    assert rows(kept.search(asked, 4, k1=1.4, b=0.3, prune=True)) == rows(retrieval.top_k(kept.bm25(asked, k1=1.4, b=0.3), 4))
+        assert all(rows(kept.search(asked, k, prune=how)) == want for how in ("blocks", "terms", "none"))
+    assert rows(kept.search(asked, 4, k1=1.4, b=0.3, prune="terms")) == rows(kept.search(asked, 4, k1=1.4, b=0.3, prune="blocks")) == rows(retrieval.top_k(kept.bm25(asked, k1=1.4, b=0.3), 4))
 
 
 def test_bounds_close_most_blocks_where_a_rare_term_decides(spark, tmp_path, small, monkeypatch):
@@ -94,10 +94,28 @@ def test_bounds_close_most_blocks_where_a_rare_term_decides(spark, tmp_path, sma
         return scores(self, blocks, weighed, k1, b)
 
     monkeypatch.setattr(index.EvidenceIndex, "_scores", counted)
-    assert {r["chunk_id"] % 50 for r in kept.search(query, 2, prune=True).collect()} == {0}
+    assert {r["chunk_id"] % 50 for r in kept.search(query, 2, prune="blocks").collect()} == {0}
     assert opened[0] == 2 and sum(opened) < 20 < 300 // index.BLOCK_CHUNKS
 
 
+def test_frequent_terms_alone_are_not_gathered(spark, tmp_path, small, monkeypatch):
+    data = [(k, f"d{k}", f"d{k}", False, "common usual " * (1 + k % 3) + ("rare odd seldom" if k % 50 == 0 else f"other{k}")) for k in range(300)]
+    kept = index.save(spark.createDataFrame(data, CHUNKS), str(tmp_path / "ix"), "x")
+    query = spark.createDataFrame([(1, "common usual rare odd seldom"), (2, "common"), (3, "other7 rare common")], "query_id long, text string")
+    gathered = []
+    parts = index.EvidenceIndex._parts
+
+    def counted(self, blocks, weighed, k1, b):
+        gathered.append(rows(weighed.select("query_id", "term")))
+        return parts(self, blocks, weighed, k1, b)
+
+    want = rows(kept.search(query, 4, prune="none"))
+    monkeypatch.setattr(index.EvidenceIndex, "_parts", counted)
+    assert rows(kept.search(query, 4, prune="terms")) == want
+    rough, needed, left_out = gathered
+    assert (1, "common") not in rough + needed and {(1, "common"), (1, "usual")} <= set(left_out) and (2, "common") in needed
+
+
 def test_folders_of_other_terms_and_chunks_are_not_read(spark, tmp_path, small):
     data = [(k, f"d{k}", f"d{k}", False, f"{'abcdefghijklmnopqrstuvwxyz'[k % 26] * 3} tail{k}") for k in range(200)]
     kept = index.save(spark.createDataFrame(data, CHUNKS), str(tmp_path / "ix"), "x")
@@ -111,12 +129,15 @@ def test_folders_of_other_terms_and_chunks_are_not_read(spark, tmp_path, small):
         if int(folder.name[5:]) not in parts:
             for p in folder.glob("*.parquet"):
                 p.write_bytes(b"garbage")
-    assert rows(kept.search(query, 5, prune=False)) == rows(kept.search(query, 5, prune=True)) == want
-    own = spark.read.parquet(f"{kept.folder}/chunks").filter("chunk_id = 7").head()["_bucket"]
-    for folder in Path(kept.folder, "chunks").glob("_bucket=*"):
-        if folder.name != f"_bucket={own}":
-            for p in folder.glob("*.parquet"):
-                p.write_bytes(b"garbage")
+    assert rows(kept.search(query, 5, prune="none")) == rows(kept.search(query, 5, prune="blocks")) == want
+    held = spark.read.parquet(f"{kept.folder}/chunks").select("chunk_id", F.col("_metadata.file_name").alias("f")).filter("chunk_id = 7").head()["f"]
+    others = [p for p in Path(kept.folder, "chunks").glob("*.parquet") if p.name != held]
+    assert others
+    for p in others:  # only ids are read of other files
+        bare = spark.read.parquet(str(p)).select("chunk_id").toPandas()
+        p.with_name(f".{p.name}.crc").unlink(missing_ok=True)
+        bare.to_parquet(p)
+    
     assert [r["text"] for r in kept.get([7]).collect()] == ["hhh tail7"]
 
 
