@@ -41,7 +41,7 @@ BYTE_SCORE = -20 * 2**20
 #: Scores are kept in whole steps of this part of a nat.
 SCALE = 2**20
 #: Characters whose pieces are looked up at a time, and of the texts of one stream, about.
-BLOCK, STREAM = 8192, 200_000
+BLOCK, STREAM = 8192, 120_000
 #: Paths are walked back after this many times the longest piece, and the score of what has none.
 STEP, NONE = 4, -(2**48)
 #: Lanes of a stream, at most, and the longest way between two boundaries that lanes may begin at.
@@ -152,7 +152,7 @@ class StreamingEncoder:
         return self.uncovered[code]
 
     def _matches(self, chars: np.ndarray, exact: bool) -> tuple[np.ndarray, ...]:
-        """start, end, score and id of all pieces in ``chars``, by end and then start, so the longest comes first."""
+        """start, end, score and id of all pieces in ``chars``."""
         table, n = self.pieces.table, len(chars)
         at, keys, covered, found = np.arange(n), np.zeros(n, np.uint64), np.zeros(n, bool), []
         for length in range(1, self.pieces.longest + 1):
@@ -177,9 +177,7 @@ class StreamingEncoder:
         scores = np.array([0 if k is None else BYTE_SCORE * max(1, len(self.bytes_of[k])) for k in own], np.int64)
         names = np.array([END_ID if k is None else END_ID - 1 - k for k in own], np.int64)
         found.append((bare, bare + 1, scores[which], names[which]))
-        start, end, score, name = map(np.concatenate, zip(*found, strict=True))
-        order = np.lexsort((start, end))
-        return start[order], end[order], score[order], name[order]
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
 
     def stream(self, chars: np.ndarray, exact: bool = False) -> list[int]:
         """Ids of a stream of characters (uint32) that ends with END."""
@@ -230,9 +228,10 @@ class StreamingEncoder:
 
     @staticmethod
     def _after(found: tuple[np.ndarray, ...], first: int, low: int, origin: int) -> tuple[np.ndarray, ...]:
-        """Matches that end after ``low``, with their places counted from ``origin``."""
+        """Matches that end after ``low``, by end and then start, so the longest comes first; places from ``origin`` on."""
         start, end, score, name = found
-        kept = end > low - first
+        kept = np.lexsort((start, end))
+        kept = kept[end[kept] > low - first]
         return start[kept] + (first - origin), end[kept] + (first - origin), score[kept], name[kept]
 
     @staticmethod
@@ -252,13 +251,12 @@ class StreamingEncoder:
         lengths = np.diff(np.append(offsets, n))
         steps, lane = int(lengths.max()), np.arange(width)
         start, end, score, name = self._matches(chars, exact)
-        own = np.searchsorted(offsets, start, side="right") - 1
-        fits = end <= offsets[own] + lengths[own]
-        start, end, score, name, own = start[fits], end[fits], score[fits], name[fits], own[fits]
-        # By step, place of the piece's beginning in the window (the longest first), and lane.
-        scores, names = np.full((steps + 1, longest, width), NONE), np.zeros((steps + 1, longest, width), np.int32)
-        spot = (end - offsets[own], longest - (end - start), own)
+        # By step, place of the piece's beginning in the window (the longest first), and lane; no piece leaves its lane.
+        own = np.repeat(lane, lengths)[start]
+        spot = ((end - offsets[own]) * longest + longest - (end - start)) * width + own
+        scores, names = np.full((steps + 1) * longest * width, NONE), np.zeros((steps + 1) * longest * width, np.int32)
         scores[spot], names[spot] = score, name
+        scores, names = scores.reshape(steps + 1, longest, width), names.reshape(steps + 1, longest, width)
         best, length = np.full((steps + 1 + longest, width), NONE), np.zeros((steps + 1, width), np.int32)
         best[longest] = 0
         base, out = np.zeros(width, np.int64), []
