@@ -18,15 +18,17 @@ BARE = r"(?m)^(#{1,6})[^\S\n]*\n\s*(\S.*)$"
 
 def split_sections(docs: DataFrame) -> DataFrame:
     """doc_id, section_no, heading, body: markdown sections in order; empty bodies dropped, text before the first
-    heading has an empty one, and a text without headings is one section as it stands."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", BARE, "$1 $2"), "\n")).alias("pos", "line"))
-    flagged = lines.withColumn("head", F.col("line").rlike(HEADING).cast("int"))
-    numbered = flagged.withColumn("no", F.sum("head").over(Window.partitionBy("doc_id").orderBy("pos")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    sections = numbered.groupBy("doc_id", F.col("no").alias("section_no")).agg(
-        F.coalesce(F.max(F.when(F.col("head") == 1, F.trim(F.regexp_extract("line", HEADING, 2)))), F.lit("")).alias("heading"), body.alias("body")
-    )
-    return sections.withColumn("body", F.regexp_replace("body", r"^\s+|\s+$", "")).filter(F.col("body") != "")
+    heading has an empty one, and a text without headings is one section as it stands. Each row by itself, without a
+    shuffle: the places of headings cut its lines into slices."""
+    lines = docs.select("doc_id", F.split(F.regexp_replace("text", BARE, "$1 $2"), "\n").alias("lines"))
+    heads = F.filter(F.transform("lines", lambda line, i: F.when(line.rlike(HEADING), i)), lambda i: i.isNotNull())
+    cut = lines.withColumn("heads", heads)
+    begins, ends = F.concat(F.array(F.lit(-1)), "heads"), F.concat("heads", F.array(F.size("lines")))
+    parts = F.zip_with(begins, ends, lambda b, e: F.struct(F.get("lines", b).alias("head"), F.array_join(F.slice("lines", b + 2, e - b - 1), "\n").alias("body")))
+    sections = cut.select("doc_id", F.posexplode(parts).alias("no", "s"))
+    return sections.select(
+        "doc_id", F.col("no").cast("long").alias("section_no"), F.when(F.col("no") > 0, F.trim(F.regexp_extract("s.head", HEADING, 2))).otherwise(F.lit("")).alias("heading"), F.regexp_replace("s.body", r"^\s+|\s+$", "").alias("body"),
+    ).filter(F.col("body") != "")
 
 
 def pack_paragraphs(body: str, target: int, overlap: int) -> list[str]:

@@ -290,6 +290,17 @@ n AS (SELECT *, sum(head::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS no F
 s AS (SELECT doc_id, CAST(no AS BIGINT) AS section_no, coalesce(max(trim(regexp_extract(line, '^(#{{1,6}})\s+(.*)$', 2))) FILTER (head), '') AS heading,
   regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), ''), '^\s+|\s+$', '', 'g') AS body FROM n GROUP BY 1, 2)
 SELECT doc_id, section_no, heading, length(body) AS n_chars, md5(body) AS body_md5 FROM s WHERE body <> ''""",
+    "line_chunks": r"""WITH RECURSIVE l AS (SELECT doc_id, coalesce(source, '') AS locator, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS ls FROM documents),
+n AS (SELECT doc_id, locator, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS x FROM l),
+w AS (SELECT *, regexp_extract_all(x, '\S+') AS ws FROM n),
+p AS (SELECT doc_id, locator, line, 0 AS k, x, len(ws) AS n FROM w WHERE len(ws) <= 170
+  UNION ALL SELECT doc_id, locator, line, k, array_to_string(ws[k * 170 + 1:k * 170 + 170], ' '), len(ws[k * 170 + 1:k * 170 + 170]) FROM (SELECT *, unnest(range((len(ws) + 169) // 170)) AS k FROM w WHERE len(ws) > 170)),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) AS i FROM p),
+f AS (SELECT doc_id, i, 0 AS g, n AS size, n AS last FROM o WHERE i = 1
+  UNION ALL SELECT o.doc_id, o.i, CASE WHEN f.size + o.n > 170 THEN f.g + 1 ELSE f.g END, CASE WHEN f.size + o.n > 170 THEN f.last + o.n ELSE f.size + o.n END, o.n FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1),
+m AS (SELECT doc_id, g, i FROM f UNION ALL SELECT f.doc_id, f.g, f.i - 1 FROM f JOIN f b ON b.doc_id = f.doc_id AND b.i = f.i - 1 AND b.g = f.g - 1),
+s AS (SELECT doc_id, g, any_value(locator) AS locator, min(line) AS a, max(line) AS z, string_agg(x, chr(10) ORDER BY i) AS text FROM m JOIN o USING (doc_id, i) GROUP BY ALL)
+SELECT doc_id, CAST(g AS INTEGER) AS piece_no, CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN trim(locator || ' lines ' || a || '-' || z) ELSE locator END AS locator, text FROM s""",
     "term_freq": f"SELECT chunk_id, term, count(*) AS tf FROM (SELECT doc_id AS chunk_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL",
     "doc_freq": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY 1",
     "corpus_stats": f"SELECT count(*) AS n, round(avg(len({TOKENS.format('text')})), 6) AS avgdl FROM documents",
