@@ -89,6 +89,7 @@ def file_prompts(questions: DataFrame, hits: DataFrame, files: DataFrame) -> Dat
     return joined.join(questions.select("query_id", F.col("text").alias("question")), "query_id").select("query_id", F.concat(F.lit("Question: "), "question", F.lit("\n\nExcerpts:\n\n"), told).alias("prompt"))
 
 
+# How a model's thoughts and its fences are written.
 _THOUGHT = re.compile(r"<think>.*?</think>", re.DOTALL)
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.DOTALL | re.IGNORECASE)
 

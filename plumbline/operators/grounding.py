@@ -13,6 +13,10 @@ from plumbline.operators.verification import resolve_paths
 from plumbline.session import materialize
 
 
+# Why an answer is or isn't given.
+NO_ANSWER, NOT_FOUND, ECHO, GROUNDED = "empty answer", "answer not found in any retrieved file", "answer only echoes the question", "grounded"
+
+
 def expand_with_identifiers(chunks: DataFrame, queries: DataFrame, ident_files: DataFrame, *, k: int = 10, looked_at: int = 5, most: int = 6, tokenize: Callable[[Column], Column] = file_tokens) -> DataFrame:
     """query_id, chunk_id, path, hop (1 or 2) and rank: the first hits, then what the rarest identifiers of the first
     few bring that the question doesn't hold; at most k + 6 of both.
@@ -72,11 +76,11 @@ def verify_and_cite(replies: DataFrame, questions: DataFrame, hits: DataFrame, f
 
     out = asked.join(grounds, "query_id", "left")
     reason = (
-        F.when(F.col("answer") == "", "empty answer")
-        .when(F.col("citations").isNull(), "answer not found in any retrieved file")
-        .when(~F.col("shown") & holds(F.col("question"), F.col("answer")), "answer only echoes the question")
-        .otherwise("grounded")
+        F.when(F.col("answer") == "", NO_ANSWER)
+        .when(F.col("citations").isNull(), NOT_FOUND)
+        .when(~F.col("shown") & holds(F.col("question"), F.col("answer")), ECHO)
+        .otherwise(GROUNDED)
     )
-    fine = F.col("reason") == "grounded"
+    fine = F.col("reason") == GROUNDED
     score = F.when(F.col("shown"), 0.9).otherwise(0.7) - F.when(F.col("old"), 0.2).otherwise(0.0)
     return out.withColumn("reason", reason).select("query_id", F.when(fine, F.col("answer")).otherwise("").alias("answer"), F.when(fine, F.col("citations")).otherwise(F.array().cast("array<string>")).alias("citations"), F.when(fine, F.round(score, 3)).otherwise(0.0).alias("confidence"), "reason")

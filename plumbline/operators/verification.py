@@ -76,15 +76,32 @@ def number_mentions(texts: DataFrame) -> DataFrame:
     return placed.withColumn("ctx", F.array_distinct(near)).drop("_w")
 
 
+def meeting_mentions(mentions: DataFrame, least_shared: int = 2) -> DataFrame:
+    """Mentions of one query that may share ``least_shared`` words of their contexts, side by side.
+
+    Mentions with the same source, value and context are one, the first. A context's words are put in order of how many
+    contexts of the query hold them; two contexts that share as many words as are asked for share one that isn't among
+    the last of either, so mentions meet on the others only. A word that is in every context brings nothing together.
+    """
+    words = F.array_sort(F.array_distinct("ctx"))
+    alike = mentions.groupBy("query_id", "source", "value", words.alias("ctx")).agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
+    named = alike.select("query_id", "ord", "source", "value", "n", F.explode("ctx").alias("word"))
+    held = named.groupBy("query_id", "word").agg(F.count("*").alias("held"))
+    ranked = named.join(held, ["query_id", "word"]).groupBy("query_id", "ord", "source", "value", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "word"))), lambda x: x["word"]).alias("words"))
+    first_words = F.explode(F.slice("words", F.lit(1), F.greatest(F.lit(0), F.size("words") - (least_shared - 1))))
+    side = lambda p: ranked.select("query_id", first_words.alias("word"), *(F.col(c).alias(f"{c}_{p}") for c in ("ord", "source", "value", "n", "words")))
+    return side("a").join(side("b"), ["query_id", "word"]).filter((F.col("ord_a") < F.col("ord_b")) & (F.col("source_a") != F.col("source_b")) & (F.col("value_a") != F.col("value_b")))
+
+
 def find_conflicts(mentions: DataFrame, least_shared: int = 2) -> DataFrame:
     """Pairs of mentions of one query whose sources and values differ and whose contexts share enough words.
 
-    mentions: query_id, ord (the mention's place), source, value, ctx. Pairs meet on a shared word, not on the query
-    alone; the first pair of each unordered couple of source and value stays.
+    mentions: query_id, ord (the mention's place), source, value, ctx; n_mentions is how many are alike on both sides
+    together. The first pair of each unordered couple of source and value stays.
     """
-    side = lambda p: mentions.select("query_id", F.explode("ctx").alias("word"), *[F.col(c).alias(f"{c}_{p}") for c in ("ord", "source", "value")])
-    met = side("a").join(side("b"), ["query_id", "word"]).filter((F.col("ord_a") < F.col("ord_b")) & (F.col("source_a") != F.col("source_b")) & (F.col("value_a") != F.col("value_b")))
-    pairs = met.groupBy("query_id", "ord_a", "ord_b", "source_a", "value_a", "source_b", "value_b").agg(F.array_join(F.array_sort(F.collect_set("word")), " / ").alias("claim_text"), F.countDistinct("word").alias("n_shared")).filter(F.col("n_shared") >= least_shared)
+    # A pair that meets on several words counts where it shares the first.
+    shared = meeting_mentions(mentions, least_shared).withColumn("shared", F.array_intersect("words_a", "words_b")).filter((F.size("shared") >= least_shared) & (F.get("shared", F.lit(0)) == F.col("word")))
+    pairs = shared.select("query_id", "ord_a", "ord_b", "source_a", "value_a", "source_b", "value_b", F.array_join(F.array_sort("shared"), " / ").alias("claim_text"), F.size("shared").alias("n_shared"), (F.col("n_a") + F.col("n_b")).alias("n_mentions"))
     a, b = F.concat_ws(":", "source_a", "value_a"), F.concat_ws(":", "source_b", "value_b")
     first = Window.partitionBy("query_id", F.least(a, b), F.greatest(a, b)).orderBy("ord_a", "ord_b")
     return pairs.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")

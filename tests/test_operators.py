@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zipfile
 
@@ -89,6 +90,39 @@ def test_conflicts_need_other_sources_values_and_shared_words(spark):
     assert got == {("60", "80"), ("80", "70")}
 
 
+def conflicting(rows, least=2):
+    """Brute force over all pairs of mentions, in order of their places."""
+    found, rows = {}, sorted(rows, key=lambda r: r[1])
+    for a in rows:
+        for b in rows:
+            shared = set(a[4]) & set(b[4])
+            if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and a[3] != b[3] and len(shared) >= least:
+                couple = (a[0], *sorted((f"{a[2]}:{a[3]}", f"{b[2]}:{b[3]}")))
+                found.setdefault(couple, (a[0], a[2], a[3], b[2], b[3], " / ".join(sorted(shared))))
+    return sorted(found.values())
+
+
+def test_conflicts_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(k % 3, k, f"s{rng.randint(0, 4)}", str(rng.randint(0, 5)), [*{rng.choice("abcdefgh") for _ in range(rng.randint(0, 5))}]) for k in range(160)]
+    rows += [(1, 500 + k, "copy", "9", ["a", "b", "b"]) for k in range(10)]
+    frame = spark.createDataFrame(rows, "query_id long, ord long, source string, value string, ctx array<string>")
+    for least in (1, 2, 3):
+        got = verification.find_conflicts(frame, least).select("query_id", "source_a", "value_a", "source_b", "value_b", "claim_text").collect()
+        assert sorted(map(tuple, got)) == conflicting(rows, least)
+
+
+def test_a_word_of_every_context_brings_nothing_together(spark):
+    """One word is in every context: what meets grows with the mentions, not with their square."""
+    met = []
+    for n in (200, 400):
+        rows = [(1, k, f"s{k}", str(k), ["everywhere", f"own{k}", f"pair{k // 2}"]) for k in range(n)]
+        frame = spark.createDataFrame(rows, "query_id long, ord long, source string, value string, ctx array<string>")
+        met.append(verification.meeting_mentions(frame).count())
+        assert verification.find_conflicts(frame).count() == n // 2
+    assert met[1] == 2 * met[0]
+
+
 def test_supersession_keeps_the_newest_current_member(spark):
     rows = [("a/x_r1.pdf", True), ("a/x_r2.docx", True), ("a/x_r3_WITHDRAWN.pdf", True), ("a/y.pdf", True), ("a/x_r9.pdf", False)]
     done = corpus.mark_superseded(corpus.with_revisions(spark.createDataFrame(rows, "path string, indexed boolean")))
