@@ -220,7 +220,8 @@ def blocks(raw: bytes) -> Iterator[tuple[str, str | list[list[str]]]]:
     with Package(raw) as package:
         main = package.main("word/document.xml")
         styles = package.of_kind(main, "styles")
-        names, usual = {}, None
+        # Without a list of styles the usual one holds.
+        names, usual = {} if styles else {f"Heading{k}": f"heading {k}" for k in range(1, 10)}, None
         for style in package.root(styles).iter(f"{_W}style") if styles else []:
             name = style.find(f"{_W}name")
             if style.get(f"{_W}type") == "paragraph" and name is not None:

@@ -62,7 +62,7 @@ def book(path) -> None:
     sheet = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{sheet}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Limits" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{sheet}"><sheetData>{rows}</sheetData></worksheet>')
 
 
