@@ -252,20 +252,22 @@ class StreamingEncoder:
         steps, lane = int(lengths.max()), np.arange(width)
         start, end, score, name = self._matches(chars, exact)
         # By step, place of the piece's beginning in the window (the longest first), and lane; no piece leaves its lane.
+        # Below the score stands the length, so that the largest sum names its piece, and of equal ones the longest.
+        bits = longest.bit_length()
+        low = 2**bits - 1
         own = np.repeat(lane, lengths)[start]
         spot = ((end - offsets[own]) * longest + longest - (end - start)) * width + own
         scores, names = np.full((steps + 1) * longest * width, NONE), np.zeros((steps + 1) * longest * width, np.int32)
-        scores[spot], names[spot] = score, name
+        scores[spot], names[spot] = (score << bits) + (end - start), name
         scores, names = scores.reshape(steps + 1, longest, width), names.reshape(steps + 1, longest, width)
         best, length = np.full((steps + 1 + longest, width), NONE), np.zeros((steps + 1, width), np.int32)
         best[longest] = 0
         base, out = np.zeros(width, np.int64), []
         check = STEP * longest
         for at in range(1, steps + 1):
-            sums = best[at : at + longest] + scores[at]
-            pick = sums.argmax(0)
-            best[at + longest] = np.maximum(sums[pick, lane], NONE)
-            length[at] = longest - pick
+            top = (best[at : at + longest] + scores[at]).max(0)
+            length[at] = top & low
+            best[at + longest] = np.maximum(top - (top & low), NONE)
             if at % check and at < steps:
                 continue
             here = np.minimum(at, lengths)
