@@ -6,9 +6,10 @@ words). What they learn is not what the rules decide, since only spans outside o
 rule hits rewritten so that no rule accepts them any more (``drills``: written-out at signs, other separators, a lost
 plus, numbers run together), and secrets behind a cue word, half of them once more with the cue taken away; negatives are all
 other candidates, the overlapping ones of the drills included. A candidate that would pass a rule if it stood alone is
-left unlabelled. At most ``MAX_TRAIN`` labelled candidates of all documents are used, smallest hash first (a
-documented bound); those of a third of the texts are held out, and each kind's threshold is the least at which the
-held-out candidates reach ``PRECISION``. Accepted candidates that don't touch a rule span are added, best score first.
+left unlabelled. Trees and thresholds come from all labelled candidates of all documents: their features are cut at fixed
+places (``CUTS``), equal ones are counted in a shuffle, and each level of a tree is chosen from sums that tasks send.
+Those of a third of the texts are held out, and each kind's threshold is the least at which the held-out candidates reach
+``PRECISION``. Accepted candidates that don't touch a rule span are added, best score first.
 
 Defined cases: a null or empty text has no spans; rules and candidates take time in proportion to a very long text,
 runs without a break included; of overlapping candidates with equal scores the longer and then the first one wins;
@@ -18,7 +19,6 @@ candidate to learn from, only the rules count; other columns pass through, clash
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import zlib
@@ -27,13 +27,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.boosting import BoostedTrees
+from plumbline.llm.boosting import BoostedTrees, each_task
 from plumbline.llm.common import add_columns, table
 from plumbline.session import materialize
 
@@ -45,8 +44,14 @@ RULES = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 KINDS = [*RULES, "secret"]
-MAX_TRAIN = 20_000
 PRECISION = 0.99
+#: Where features are cut: whole numbers, then wider; entropies in fifths of a bit.
+CUTS, ENTROPY_CUTS = np.array([*range(21), 24, 28, 32, 36, 40, 48, 64, 96, 128, 256], float), np.arange(1, 32) / 5
+ENTROPY = 6
+#: Probabilities that may be a threshold.
+LEAST = np.linspace(0.5, 0.98, 25)
+#: Different candidates that a task counts before it hands them on.
+COUNTED = 50_000
 
 _DIGIT = re.compile(r"[0-9]")
 _NUMBERS = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])*")
@@ -258,23 +263,38 @@ def labelled(text: str) -> Iterator[tuple[str, tuple[int, int, int], bool]]:
                 yield made, x, x in spans
 
 
+def empty_trees() -> BoostedTrees:
+    """Trees over ``features``, not fitted yet."""
+    n = len(features("x", (4, 0, 1)))
+    return BoostedTrees(cuts=[ENTROPY_CUTS if j == ENTROPY else CUTS for j in range(n)])
+
+
 class Selector:
-    """Trees and a threshold for each kind; ``held`` marks what only sets the thresholds."""
+    """Trees and a threshold for each kind, from a table of different labelled candidates (x: bins, y, held) and their
+    numbers (n); ``held`` marks what only sets the thresholds."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, held: np.ndarray):
+    def __init__(self, rows: DataFrame):
         self.model = None
         #: By kind: held-out precision and recall at the threshold.
         self.report: dict[str, tuple[float, float]] = {}
-        if len(rows) and labels[~held].any() and not labels[~held].all():
-            self.model = BoostedTrees().fit(rows[~held], labels[~held])
-            p = self.model.predict(rows)
+        n = {(r["held"], r["y"]): r["n"] for r in rows.groupBy("held", "y").agg(F.sum("n").alias("n")).collect()}
+        no, yes = n.get((False, False), 0), n.get((False, True), 0)
+        if yes and no:
+            self.model = model = empty_trees().fit_table(rows.filter("NOT held"), yes / (yes + no))
+
+            def reached(b: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+                """By label, kind, and how many of the thresholds are reached."""
+                spot = (y * len(KINDS) + b[:, 0]) * (len(LEAST) + 1) + np.searchsorted(LEAST, model.predict_binned(b), side="right")
+                return np.bincount(spot, n, 2 * len(KINDS) * (len(LEAST) + 1)).reshape(2, len(KINDS), -1)
+
+            found = np.broadcast_to(each_task(rows.filter("held"), reached), (2, len(KINDS), len(LEAST) + 1))
+            wrong, right = found[:, :, ::-1].cumsum(-1)[:, :, ::-1]  # that reach at least so many
             self.least = []
-            for k in range(len(KINDS)):
-                own = held & (rows[:, 0] == k)
-                steps = [t for t in np.linspace(0.5, 0.98, 25) if (hit := own & (p >= t)).any() and labels[hit].mean() >= PRECISION]
-                self.least.append(min(steps, default=2.0))
-                hit = own & (p >= self.least[-1])
-                self.report[KINDS[k]] = (float(labels[hit].mean()) if hit.any() else 0.0, float(labels[hit].sum() / max(1, labels[own].sum())))
+            for k, kind in enumerate(KINDS):
+                steps = [i for i in range(1, len(LEAST) + 1) if right[k, i] + wrong[k, i] and right[k, i] >= PRECISION * (right[k, i] + wrong[k, i])]
+                self.least.append(LEAST[steps[0] - 1] if steps else 2.0)
+                hit, all_hit = (right[k, steps[0]], right[k, steps[0]] + wrong[k, steps[0]]) if steps else (0.0, 0.0)
+                self.report[kind] = (float(hit / max(1, all_hit)), float(hit / max(1, right[k, 0])))
 
     def added(self, ruled: list[tuple[int, int, int]], rows: list[tuple[int, int, int]], p: np.ndarray) -> list[tuple[int, int, int]]:
         """Accepted candidates apart from rule spans and from each other; best first, then longest, then first."""
@@ -287,28 +307,43 @@ class Selector:
         return out
 
 
-def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Selector:
-    """Learns from the bounded sample of all documents' candidates."""
+def labelled_counts(docs: DataFrame) -> DataFrame:
+    """x (bins of the features), y, held and n: the different labelled candidates of all documents, and how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, counts = empty_trees(), Counter()
+
+        def done() -> pa.RecordBatch:
+            x, y, held = zip(*counts, strict=True) if counts else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.bool_()), pa.array(held, pa.bool_()), pa.array(list(counts.values()), pa.int64())], names=["x", "y", "held", "n"])
+
+        def learn(rows: list, marks: list) -> None:
+            if rows:
+                counts.update((x.tobytes(), *mark) for x, mark in zip(trees.binned(np.array(rows, float)), marks, strict=True))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
+        for batch in batches:
+            rows, marks = [], []
+            for text in batch.column("text").to_pylist():
                 if text:
                     held = zlib.crc32(text.encode("utf-8", "replace")) % 3 == 0
                     for made, x, y in labelled(text):
-                        around = made[max(0, x[1] - 24) : x[2] + 2]
-                        digest = hashlib.blake2b(f"{x[0]}:{around}".encode("utf-8", "replace"), digest_size=8).hexdigest()
-                        rows.append((digest, [float(v) for v in features(made, x)], y, held))
-            yield pd.DataFrame(rows, columns=["h", "x", "y", "held"])
-
-    # Written once and cut at a hash first, so that no more than about the bound reaches the driver from all tasks.
-    found = materialize(docs.select("text").mapInPandas(run, "h string, x array<double>, y boolean, held boolean"), "candidates")
-    share = min(1.0, 1.5 * max_train / max(1, found.count()))
-    if share < 1:
-        found = found.filter(F.col("h") < f"{int(share * 2**64):016x}")
-    pdf = found.orderBy("h", "held", F.col("y"), F.col("x")).limit(max_train).toPandas()
-    return Selector(np.array(pdf["x"].to_list(), float), pdf["y"].to_numpy(bool), pdf["held"].to_numpy(bool))
+                        rows.append(features(made, x))
+                        marks.append((y, held))
+                        if len(rows) >= 1000:
+                            learn(rows, marks)
+                            rows, marks = [], []
+                    if len(counts) > COUNTED:
+                        yield done()
+                        counts.clear()
+            learn(rows, marks)
+        yield done()
+
+    return docs.select("text").mapInArrow(run, "x binary, y boolean, held boolean, n long").groupBy("x", "y", "held").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame) -> Selector:
+    """Learns from all documents' candidates."""
+    return Selector(materialize(labelled_counts(docs), "candidates"))
 
 
 SPANS = (

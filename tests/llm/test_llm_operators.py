@@ -421,3 +421,20 @@ def test_cleaning_in_one_pass_equals_finding_and_redacting(spark):
     one = {tuple(r) for r in pii.clean(docs, selector).collect()}
     assert one == two and (None, None) in one and (2**60 + 1, "") in one
     assert all("<EMAIL>" in t and "@" not in t for i, t in one if t)
+
+
+def test_pii_learns_from_every_candidate_however_rows_are_laid_out(spark):
+    made = lambda k, j: hashlib.md5(f"{k}:{j}".encode()).hexdigest()
+    rows = [(k, " ".join(f"{'token: ' if (k + j) % 7 == 0 else 'see '}{made(k, j)}" for j in range(40))) for k in range(700)]
+    taught = [(pii.features(t, x), y, zlib.crc32(text.encode()) % 3 == 0) for _, text in rows for t, x, y in pii.labelled(text)]
+    own = [(x, y) for x, y, held in taught if not held]
+    share = np.mean([y for _, y in own])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = pii.fit(docs).model
+    assert len(taught) > 30_000 and abs(whole.start - np.log(share / (1 - share))) < 1e-12
+    few = [(bytes(r["x"]), r["y"], r["n"]) for r in pii.labelled_counts(docs).filter("NOT held").collect()]
+    assert sum(n for *_, n in few) == len(own)
+    other = pii.empty_trees().fit_table(spark.createDataFrame(few, "x binary, y boolean, n long").repartition(5), share)
+    array = pii.empty_trees().fit(np.array([x for x, _ in own], float), np.array([y for _, y in own]))
+    for trees in (other, array):
+        assert all(np.array_equal(a, b) and np.array_equal(p, q) for (s, p), (t, q) in zip(whole.forest, trees.forest, strict=True) for a, b in zip(s, t, strict=True))
