@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ BLOCK, STREAM = 8192, 120_000
 STEP, NONE = 4, -(2**48)
 #: Lanes of a stream, at most, and the longest way between two boundaries that lanes may begin at.
 LANES, LONG = 512, 2048
+#: Cells of lanes that an encoder keeps room for from one stream to the next.
+ROOM = 6_000_000
 #: Between texts: no character, so in no piece. Its id in a stream; ids below it are uncovered characters.
 END, END_ID = 0x110000, -1
 #: Base and factor of hashes.
@@ -64,12 +67,21 @@ class Pieces:
         self.strings = {i: p for i, p, _ in pieces}
         own = {i: p.encode() for i, p, _ in pieces} | {i: bytes([b]) for b, i in byte_ids.items()}
         self.text = [own.get(i, b"") for i in range(max(own, default=-1) + 1)]
+        # The same end to end.
+        self.spelling, self.sizes = np.frombuffer(b"".join(self.text), np.uint8), np.array([*map(len, self.text)], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.byte_ids = byte_ids
         self.longest = max((len(p) for _, p, _ in pieces), default=1)
         # Whether a boundary before a word's mark is one that no piece reaches over.
         self.words = not any(MARK in p.lstrip(MARK) for _, p, _ in pieces)
         self.table = PieceTable(self.entries)
 
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids (uint8)."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.spelling[np.repeat(self.begins[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ids) else 0)]
+
     @classmethod
     def load(cls, path: str) -> Pieces:
         """From a model file: control and unused pieces are left out, byte pieces are kept apart."""
@@ -144,6 +156,7 @@ class StreamingEncoder:
         self.bytes_of: list[tuple[int, ...]] = []
         #: Ids that were committed, and the widest window so far.
         self.committed = self.widest = 0
+        self.room: tuple[np.ndarray, np.ndarray] | None = None
 
     def _uncovered(self, code: int) -> int:
         if code not in self.uncovered:
@@ -245,29 +258,52 @@ class StreamingEncoder:
             high -= 1
         return live.pop()
 
+    def _cells(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, all NONE, and ids, of any value, of cells; the same memory each time unless there are very many."""
+        if size > ROOM:
+            return np.full(size, NONE), np.empty(size, np.int32)
+        if self.room is None or len(self.room[0]) < size:
+            self.room = np.empty(size, np.int64), np.empty(size, np.int32)
+        scores, names = self.room[0][:size], self.room[1][:size]
+        scores.fill(NONE)
+        return scores, names
+
     def lanes(self, chars: np.ndarray, offsets: np.ndarray, exact: bool = False) -> np.ndarray:
         """Ids of a stream that is taken up at ``offsets``, none of whose boundaries a piece reaches over, side by side."""
         longest, width, n = self.pieces.longest, len(offsets), len(chars)
         lengths = np.diff(np.append(offsets, n))
-        steps, lane = int(lengths.max()), np.arange(width)
+        # The longest lanes first, so that those that go on at a step are the first ones.
+        order = np.argsort(-lengths, kind="stable")
+        rank = np.empty(width, np.int64)
+        rank[order] = np.arange(width)
+        own_of = np.repeat(rank, lengths)
+        offsets, lengths = offsets[order], lengths[order]
+        steps, lane = int(lengths[0]), np.arange(width)
+        going_on = np.searchsorted(-lengths, -np.arange(steps + 1), side="right")
+        going_on[0] = 0
+        cell = longest * (np.cumsum(going_on) - going_on)
         start, end, score, name = self._matches(chars, exact)
         # By step, place of the piece's beginning in the window (the longest first), and lane; no piece leaves its lane.
         # Below the score stands the length, so that the largest sum names its piece, and of equal ones the longest.
         bits = longest.bit_length()
         low = 2**bits - 1
-        own = np.repeat(lane, lengths)[start]
-        spot = ((end - offsets[own]) * longest + longest - (end - start)) * width + own
-        scores, names = np.full((steps + 1) * longest * width, NONE), np.zeros((steps + 1) * longest * width, np.int32)
-        scores[spot], names[spot] = (score << bits) + (end - start), name
-        scores, names = scores.reshape(steps + 1, longest, width), names.reshape(steps + 1, longest, width)
+        own, size = own_of[start], end - start
+        at = end - offsets[own]
+        spot = cell[at] + (longest - size) * going_on[at] + own
+        scores, names = self._cells(longest * n)
+        scores[spot], names[spot] = (score << bits) + size, name
         best, length = np.full((steps + 1 + longest, width), NONE), np.zeros((steps + 1, width), np.int32)
         best[longest] = 0
         base, out = np.zeros(width, np.int64), []
-        check = STEP * longest
+        check, spans, counts = STEP * longest, cell.tolist(), going_on.tolist()
         for at in range(1, steps + 1):
-            top = (best[at : at + longest] + scores[at]).max(0)
-            length[at] = top & low
-            best[at + longest] = np.maximum(top - (top & low), NONE)
+            k, begin = counts[at], spans[at]
+            sums = scores[begin : begin + longest * k].reshape(longest, k)  # read once, so the sums may take their place
+            sums += best[at : at + longest, :k]
+            top = sums.max(0)
+            length[at, :k] = chosen = top & low
+            top -= chosen
+            np.maximum(top, NONE, out=best[at + longest, :k])
             if at % check and at < steps:
                 continue
             here = np.minimum(at, lengths)
@@ -284,7 +320,7 @@ class StreamingEncoder:
             back, going = meet.copy(), np.flatnonzero(meet > base)
             while len(going):
                 ends, n_chars = back[going], length[back[going], going]
-                out.append((offsets[going] + ends, names[ends, longest - n_chars, going]))
+                out.append((offsets[going] + ends, names[cell[ends] + (longest - n_chars) * going_on[ends] + going]))
                 back[going] -= n_chars
                 going = going[back[going] > base[going]]
             base = meet
@@ -316,10 +352,11 @@ class StreamingEncoder:
 
     @staticmethod
     def _shares(free: np.ndarray) -> list[tuple[int, int]]:
-        """Parts of about STREAM characters between boundaries."""
+        """Parts of about STREAM characters between boundaries, alike in size."""
         if len(free) < 2:
             return []
-        at = np.unique(free[np.searchsorted(free, np.arange(free[0], free[-1], STREAM))])
+        n = max(1, round(int(free[-1] - free[0]) / STREAM))
+        at = np.unique(free[np.searchsorted(free, free[0] + np.arange(n) * int(free[-1] - free[0]) // n)])
         at = at[at < free[-1]].tolist()
         return list(zip(at, [*at[1:], int(free[-1])], strict=True))
 
@@ -327,10 +364,14 @@ class StreamingEncoder:
         """int32 ids of texts with marks, as one stream."""
         chars = np.concatenate([x for t in texts for x in (np.frombuffer(t.encode("utf-32-le"), np.uint32), np.array([END], np.uint32))])
         found = self.ids_of(chars, exact).astype(np.int32)
-        out = [x[:-1] for x in np.split(found, np.flatnonzero(found == END_ID) + 1)[:-1]]
-        for k in {int(x) for x in np.searchsorted(np.flatnonzero(found == END_ID), np.flatnonzero(found < END_ID))}:
-            out[k] = np.array([i for x in out[k].tolist() for i in ((x,) if x >= 0 else self.bytes_of[END_ID - 1 - x])], np.int32)
-        return out
+        rare = found < END_ID
+        if rare.any():
+            own = [self.bytes_of[END_ID - 1 - x] for x in found[rare].tolist()]
+            times = np.ones(len(found), np.int64)
+            times[rare] = [*map(len, own)]
+            found, rare = np.repeat(found, times), np.repeat(rare, times)
+            found[rare] = np.fromiter(chain.from_iterable(own), np.int32)
+        return [x[:-1] for x in np.split(found, np.flatnonzero(found == END_ID) + 1)[:-1]]
 
     def viterbi(self, chars: str) -> list[int]:
         """Ids of ``chars``, marks and all."""
@@ -349,8 +390,13 @@ class StreamingEncoder:
                 marked.append(MARK + t.replace(" ", MARK))
                 size += len(t)
             if held and (size >= STREAM or k == len(texts) - 1):
-                for i, text, own in zip(held, marked, self._solved(marked), strict=True):
-                    goes_round = fits(own, text)
+                found, raw = self._solved(marked), [m.encode() for m in marked]
+                # All at once: each text's bytes are as many as its ids', and the same end to end.
+                every = np.concatenate(found)
+                ends = np.cumsum(np.append(0, self.pieces.sizes[every]))[np.cumsum([*map(len, found)])]
+                alike = np.array_equal(ends, np.cumsum([*map(len, raw)])) and np.array_equal(self.pieces.spelled(every), np.frombuffer(b"".join(raw), np.uint8))
+                for i, text, own in zip(held, marked, found, strict=True):
+                    goes_round = alike or fits(own, text)
                     if not goes_round:
                         own = self._solved([text], exact=True)[0]
                         goes_round = fits(own, text)

@@ -262,6 +262,21 @@ def test_ids_come_from_commits_of_a_bounded_window(monkeypatch):
         assert encoder.widest < 1024
 
 
+def test_lanes_take_room_in_proportion_to_characters_and_parts_are_alike(monkeypatch):
+    vocab, rng = pieces.Pieces.load(pieces.MODEL), random.Random(4)
+    texts = [" ".join(rng.choice(["the", "in", "fox\n", "x" * 40]) for _ in range(2000)), "q" * 1500 + " the \u00df\U0001f642", "\u2581a \u2581"]
+    encoder = pieces.StreamingEncoder(vocab)
+    got = encoder.encode_all(texts)
+    assert [np.frombuffer(x, np.int32).tolist() for x, _ in got] == [full_viterbi(vocab, pieces.MARK + t.replace(" ", pieces.MARK)) for t in texts]
+    assert all(ok for _, ok in got)
+    # Not in proportion to the longest lane, which is 1500 long here, times the number of lanes.
+    assert len(encoder.room[0]) <= vocab.longest * (sum(map(len, texts)) + 2 * len(texts))
+    monkeypatch.setattr(pieces, "STREAM", 1000)
+    parts = encoder._shares(np.arange(0, 1101, 10))
+    assert parts[0][0] == 0 and parts[-1][1] == 1100 and all(b == c for (_, b), (c, _) in zip(parts, parts[1:], strict=False))
+    assert max(b - a for a, b in parts) <= 2 * min(b - a for a, b in parts)
+
+
 def test_a_false_match_of_a_hash_is_found_and_mended(monkeypatch):
     vocab = pieces.Pieces.load(pieces.MODEL)
     want = pieces.StreamingEncoder(vocab).encode("the quick fox").tolist()
