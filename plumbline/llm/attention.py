@@ -59,6 +59,12 @@ def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
 
 
+def _added(x: np.ndarray) -> np.ndarray:
+    """Sum over all but the last axis, as a product, which is faster."""
+    x = x.reshape(-1, x.shape[-1])
+    return np.ones(len(x), x.dtype) @ x
+
+
 def forward(p: dict[str, np.ndarray], sym: np.ndarray) -> dict[str, np.ndarray]:
     x = p["e"][sym] + p["p"]
     wide = _times(x, np.concatenate([p["wq"], p["wk"], p["wv"]], axis=1))
@@ -69,18 +75,19 @@ def forward(p: dict[str, np.ndarray], sym: np.ndarray) -> dict[str, np.ndarray]:
     np.clip(a, -40, 40, out=a)
     np.exp(a, out=a)
     a *= _SEEN
-    a /= a.sum(-1, keepdims=True)
+    a *= 1 / (a @ np.ones((WINDOW, 1), a.dtype))
     c = a @ v
     h = x + _times(c, p["wo"])
-    u = np.maximum(_times(h, p["w1"]) + p["b1"], 0)
+    u = _times(h, p["w1"])
+    u += p["b1"]
+    np.maximum(u, 0, out=u)
     return {"x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "u": u, "g": h + _times(u, p["w2"]) + p["b2"]}
 
 
 def log_class(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, g: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Natural log probability of each row's class; g: (n, WIDTH), sym: the symbols before."""
+    """Natural log probability of each row's class; g: (n, WIDTH), sym: the symbols before, offsets: with ``bc`` added."""
     z = g @ p["wc"]
-    z += p["bc"]
-    z += offsets[sym]
+    z += offsets.take(sym, axis=0)
     np.clip(z, -80, 60, out=z)
     own = z[np.arange(len(z)), cls]
     np.exp(z, out=z)
@@ -90,10 +97,10 @@ def log_class(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, g:
 def score(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, cls: np.ndarray, lengths: np.ndarray, block: int = 256) -> np.ndarray:
     """Log probability of the class at each position of sequences laid end to end."""
     at, scored, _ = windows(lengths)
-    out = np.zeros(int(lengths.sum()), np.float32)
+    out, offsets = np.zeros(int(lengths.sum()), np.float32), offsets + p["bc"]
     for i in range(0, len(at), block):
         rows, take = at[i : i + block], scored[i : i + block]
-        g = forward(p, sym[rows])["g"][take]
+        g = forward(p, sym.take(rows))["g"][take]
         spots = rows[take]
         for j in range(0, len(spots), 768):  # what a core's cache holds
             part = spots[j : j + 768]
@@ -104,41 +111,45 @@ def score(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, cls: n
 def gradients(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, cls: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the scored positions and its gradients; sym, cls, scored: (n, WINDOW)."""
     f, d = forward(p, sym), {}
-    g, y = f["g"][scored], cls[scored]
+    at = np.flatnonzero(scored)
+    before, y = sym.ravel()[at], cls.ravel()[at]
+    two = lambda m: m.reshape(-1, m.shape[-1])
+    g = two(f["g"]).take(at, axis=0)
     z = g @ p["wc"]
     z += p["bc"]
-    z += offsets[sym[scored]]
+    z += offsets.take(before, axis=0)
     np.clip(z, -80, 60, out=z)
     rows = np.arange(len(y))
     own = z[rows, y]
     np.exp(z, out=z)
     s = z @ np.ones(z.shape[1], z.dtype)
     loss = float((np.log(s) - own).mean())
-    z /= s[:, None]
-    z[rows, y] -= 1
-    z /= len(y)
-    d["wc"], d["bc"] = g.T @ z, z.sum(0)
+    z *= (1 / (s * len(y)))[:, None]
+    z[rows, y] -= z.dtype.type(1 / len(y))
+    d["wc"], d["bc"] = g.T @ z, _added(z)
     dg = np.zeros_like(f["g"])
-    dg[scored] = z @ p["wc"].T
-    two = lambda m: m.reshape(-1, m.shape[-1])
-    d["w2"], d["b2"] = two(f["u"]).T @ two(dg), two(dg).sum(0)
-    du = _times(dg, p["w2"].T) * (f["u"] > 0)
-    d["w1"], d["b1"] = two(f["h"]).T @ two(du), two(du).sum(0)
+    two(dg)[at] = z @ p["wc"].T
+    d["w2"], d["b2"] = two(f["u"]).T @ two(dg), _added(dg)
+    du = _times(dg, p["w2"].T)
+    du *= f["u"] > 0
+    d["w1"], d["b1"] = two(f["h"]).T @ two(du), _added(du)
     dh = dg + _times(du, p["w1"].T)
     d["wo"] = two(f["c"]).T @ two(dh)
     dc = _times(dh, p["wo"].T)
     da, dv = dc @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dc
-    ds = f["a"] * (da - (da * f["a"]).sum(-1, keepdims=True)) * np.float32(1 / np.sqrt(WIDTH))
-    dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-    for k, grad in (("wq", dq), ("wk", dk), ("wv", dv)):
-        d[k] = two(f["x"]).T @ two(grad)
-    dx = dh + _times(dq, p["wq"].T) + _times(dk, p["wk"].T) + _times(dv, p["wv"].T)
+    # A row's sum of da * a is dc times c, since c is a times v.
+    da -= np.einsum("bij,bij->bi", dc, f["c"])[..., None]
+    da *= f["a"]
+    da *= np.float32(1 / np.sqrt(WIDTH))
+    both = np.concatenate([da @ f["k"], da.transpose(0, 2, 1) @ f["q"], dv], axis=-1)
+    d["wq"], d["wk"], d["wv"] = np.split(two(f["x"]).T @ two(both), 3, axis=1)
+    dx = dh + _times(both, np.concatenate([p["wq"], p["wk"], p["wv"]], axis=1).T)
     d["p"] = dx.sum(0)
     # Rows of one symbol are added up as runs of the sorted symbols; "e" is sparse: symbols and their rows.
     order = np.argsort(sym, axis=None, kind="stable")
     held = sym.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    d["e"] = (held[first], np.add.reduceat(two(dx)[order], first, axis=0))
+    d["e"] = (held[first], np.add.reduceat(two(dx).take(order, axis=0), first, axis=0))
     return loss, d
 
 
@@ -163,11 +174,12 @@ class Trainer:
             now = np.float32(self.rate * min(1.0, self.t / 50) / np.sqrt(1 + self.t / 400))
             one, two = np.float32(1 - 0.9**self.t), np.float32(1 - 0.99**self.t)
             for k, g in d.items():
-                spot, g = g if k == "e" else (slice(None), g)
-                m, v = self.m[k][spot], self.v[k][spot]
+                spot, g = g if k == "e" else (None, g)
+                m, v, p = (x[k] if spot is None else x[k].take(spot, axis=0) for x in (self.m, self.v, self.p))
                 m += np.float32(0.1) * (g - m)
                 v += np.float32(0.01) * (g * g - v)
-                self.m[k][spot], self.v[k][spot] = m, v
-                self.p[k][spot] -= now * (m / one) / (np.sqrt(v / two) + np.float32(1e-8))
+                p -= now * (m / one) / (np.sqrt(v / two) + np.float32(1e-8))
+                if spot is not None:  # these are copies
+                    self.m[k][spot], self.v[k][spot], self.p[k][spot] = m, v, p
         self.seen += int(lengths.sum())
         return float(np.mean(losses)) if losses else 0.0

@@ -21,6 +21,7 @@ alone and the model knows no id; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import base64
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -107,14 +108,18 @@ class Subwords:
                 import tiktoken
 
                 self.encoder = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-            found = np.array(self.encoder.encode_ordinary(" " + word.decode("utf-8", "replace")), np.int32).tobytes()
+            found = array("i", self.encoder.encode_ordinary(" " + word.decode("utf-8", "replace"))).tobytes()
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             self.known[word] = found
         return found
 
     def sequence(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.ids, words)) + np.int32(self.end).tobytes(), np.int32)
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [self.ids(w) if x is None else x for w, x in zip(words, found, strict=True)]
+        found.append(np.int32(self.end).tobytes())
+        return np.frombuffer(b"".join(found), np.int32)
 
 
 class Classes:
@@ -154,16 +159,17 @@ class Classes:
         self.offsets = np.log(np.where(total > 0, np.maximum(mixed, 1e-12), prior)).astype(np.float32)
 
     def inside(self, sym: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Log share of each id in its class, after the symbol before it."""
+        """Log share of each id in its class, after the symbol before it; worked out once for equal pairs."""
+        key, back = np.unique(self.key(sym, ids), return_inverse=True)
+        sym, ids = np.divmod(key, len(self.cls))
         own = self.share[ids]
         if len(self.pairs):
-            key = self.key(sym, ids)
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             taken = np.where(self.pairs[at] == key, self.taken[at], 0)
             cell = (sym, self.cls[ids])
             n = self.n[cell]
             own = np.where(n > 0, (taken + self.left[cell] * own) / np.maximum(n, 1), own)
-        return np.log(np.maximum(own, 1e-30))
+        return np.log(np.maximum(own, 1e-30))[back]
 
     def inputs(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbols before each id, classes, ids, lengths; sequences laid end to end."""

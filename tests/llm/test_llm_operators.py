@@ -453,3 +453,22 @@ def test_pii_learns_from_every_candidate_however_rows_are_laid_out(spark):
     array = pii.empty_trees().fit(np.array([x for x, _ in own], float), np.array([y for _, y in own]))
     for trees in (other, array):
         assert all(np.array_equal(a, b) and np.array_equal(p, q) for (s, p), (t, q) in zip(whole.forest, trees.forest, strict=True) for a, b in zip(s, t, strict=True))
+
+
+def test_lm_works_out_equal_pairs_once_and_asks_for_new_words_only(monkeypatch):
+    known = lm_scoring.Classes(np.arange(5000, 0, -1).astype(float))
+    rng = np.random.default_rng(3)
+    sym, ids = rng.integers(0, 40, 20_000).astype(np.int32), rng.integers(0, 50, 20_000).astype(np.int32)
+    pairs, n = np.unique(known.key(sym, ids), return_counts=True)
+    at, of = np.divmod(pairs, 5000)
+    cells, back = np.unique(at * len(known.priors) + known.cls[of], return_inverse=True)
+    known.learn_pairs(pairs[::2], n[::2], cells, np.bincount(back, n), np.bincount(back), np.bincount(back, np.where(np.arange(len(n)) % 2 == 0, n - lm_scoring.DISCOUNT, 0)))
+    one = np.concatenate([known.inside(sym[k : k + 1], ids[k : k + 1]) for k in range(300)])
+    seen, search = [], np.searchsorted
+    monkeypatch.setattr(lm_scoring.np, "searchsorted", lambda a, v, **how: seen.append(len(v)) or search(a, v, **how))
+    assert np.array_equal(known.inside(sym, ids)[:300], one) and seen == [len(pairs)]
+    sub, asked = lm_scoring.Subwords.load(lm_scoring.VOCABULARY), []
+    monkeypatch.setattr(sub, "ids", lambda w, ids=sub.ids: asked.append(w) or ids(w))
+    words = lm_scoring.words_of("one two three")
+    first = sub.sequence(words).tolist()
+    assert sub.sequence(words).tolist() == first and asked == words and first[-1] == sub.end
