@@ -6,6 +6,8 @@ one in ``HEAD`` of all tokens, so at most ``HEAD`` of them) are broadcast, the o
 word can skew since each has less than that share. Subword counts follow from the word counts. Pairs of neighbouring
 ids are counted over all training texts as well; the attention model starts from the classes that follow a symbol, and
 an id's share of its class comes from the pairs that are at least one in ``PAIRS`` of all, and from the id alone.
+Ids are made once, written, and read by pairs, training and scoring; rare words are joined before that, so that what
+they shuffle and the ids never lie on disk together.
 
 Training: all training texts, whole, are dealt by the hash of their text into shards of about ``SHARD_WORDS`` words;
 every shard starts from one model, fitted on ``WARM`` texts, and improves it on each of its texts, in the order of
@@ -29,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,6 +94,7 @@ class Subwords:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.end, self.encoder, self.known = ranks, max(ranks.values()) + 1, None, {}
+        self.kind = np.dtype(np.uint16 if self.end < 2**16 else np.int32)  # of packed ids
 
     @classmethod
     def load(cls, path: str) -> Subwords:
@@ -98,28 +102,35 @@ class Subwords:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
     def __getstate__(self):
-        return {"ranks": self.ranks, "end": self.end, "encoder": None, "known": {}}
+        return self.__dict__ | {"encoder": None, "known": {}}
 
     def ids(self, word: bytes) -> bytes:
-        """int32 ids of a space and the word."""
+        """Packed ids of a space and the word."""
         found = self.known.get(word)
         if found is None:
             if self.encoder is None:
                 import tiktoken
 
                 self.encoder = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-            found = array("i", self.encoder.encode_ordinary(" " + word.decode("utf-8", "replace"))).tobytes()
+            found = array(self.kind.char, self.encoder.encode_ordinary(" " + word.decode("utf-8", "replace"))).tobytes()
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             self.known[word] = found
         return found
 
-    def sequence(self, words: list[bytes]) -> np.ndarray:
+    def packed(self, words: list[bytes]) -> bytes:
+        """Packed ids of the words and the end."""
         found = list(map(self.known.get, words))
         if None in found:
             found = [self.ids(w) if x is None else x for w, x in zip(words, found, strict=True)]
-        found.append(np.int32(self.end).tobytes())
-        return np.frombuffer(b"".join(found), np.int32)
+        found.append(self.kind.type(self.end).tobytes())
+        return b"".join(found)
+
+    def unpacked(self, ids: bytes) -> np.ndarray:
+        return np.frombuffer(ids, self.kind).astype(np.int32)
+
+    def sequence(self, words: list[bytes]) -> np.ndarray:
+        return self.unpacked(self.packed(words))
 
 
 class Classes:
@@ -189,7 +200,7 @@ def fit_classes(counts: DataFrame, subwords: Subwords) -> Classes:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sub, total = shared.value, np.zeros(size)
         for pdf in batches:
-            parts = [np.frombuffer(sub.ids(w), np.int32) if w else np.array([sub.end], np.int32) for w in map(bytes, pdf["word"])]
+            parts = [sub.unpacked(sub.ids(w)) if w else np.array([sub.end], np.int32) for w in map(bytes, pdf["word"])]
             if parts:
                 total += np.bincount(np.concatenate(parts), np.repeat(pdf["c"].to_numpy(float), [len(p) for p in parts]), size)
         used = np.flatnonzero(total)
@@ -214,19 +225,35 @@ def grouped(sequences: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
         yield group
 
 
+def encode(docs: DataFrame, subwords: Subwords) -> DataFrame:
+    """``docs`` with packed ids in place of the text, and ``fit``, the hash of the text by which training deals; as it
+    is where it has ids."""
+    if "ids" in docs.columns:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(subwords)
+
+    def worker():
+        sub = shared.value
+        return lambda part: [[sub.packed(words_of(text)) for text in part.column("text").to_pylist()]]
+
+    hashed = docs.withColumn("fit", F.xxhash64(F.coalesce("text", F.lit("")), F.lit("fit")))
+    return add_columns(hashed, {"ids": (T.BinaryType(), pa.binary())}, worker, BATCH).drop("text")
+
+
 def fit_pairs(train: DataFrame, subwords: Subwords, classes: Classes) -> None:
-    """Counts pairs of a symbol and the id after it over all training texts. What comes back is bounded: the frequent
-    pairs, and one row for each symbol and class."""
+    """Counts pairs of a symbol and the id after it over all training texts (text, or ids). What comes back is
+    bounded: the frequent pairs, and one row for each symbol and class."""
+    train = encode(train, subwords)
     shared = train.sparkSession.sparkContext.broadcast((subwords, classes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sub, known = shared.value
-        for group in grouped(sub.sequence(words_of(t)) for pdf in batches for t in pdf["text"]):
+        for group in grouped(sub.unpacked(x) for pdf in batches for x in pdf["ids"]):
             sym, _, ids, _ = known.inputs(group)
             keys, n = np.unique(known.key(sym, ids), return_counts=True)
             yield pd.DataFrame({"k": keys, "c": known.cls[keys % len(known.cls)], "n": n})
 
-    counts = materialize(train.select("text").mapInPandas(run, "k long, c int, n long").groupBy("k", "c").agg(F.sum("n").alias("n")), "pairs")
+    counts = materialize(train.select("ids").mapInPandas(run, "k long, c int, n long").groupBy("k", "c").agg(F.sum("n").alias("n")), "pairs")
     total = counts.agg(F.sum("n")).head()[0]
     if total is None:
         return
@@ -239,16 +266,16 @@ def fit_pairs(train: DataFrame, subwords: Subwords, classes: Classes) -> None:
 
 
 def fit_attention(train: DataFrame, n_words: int, subwords: Subwords, classes: Classes) -> dict[str, np.ndarray]:
-    """The averaged model; empty training data leave the fresh one."""
+    """The averaged model of ``train`` (text, or ids and fit); empty training data leave the fresh one."""
     spark = train.sparkSession
     model = attention.start(classes.begin + 1, len(classes.priors))
     shards = max(1, round(n_words / SHARD_WORDS))
-    dealt = train.select("text", F.xxhash64(F.coalesce("text", F.lit("")), F.lit("fit")).alias("h")).withColumn("shard", F.pmod("h", F.lit(shards)))
-    warm = dealt.orderBy("h", "text").limit(WARM).select("text").collect()
+    dealt = encode(train, subwords).select("ids", F.col("fit").alias("h")).withColumn("shard", F.pmod("h", F.lit(shards)))
+    warm = dealt.orderBy("h", "ids").limit(WARM).select("ids").collect()
     if not warm:
         return model
     own = attention.Trainer(model, classes.offsets, rate=RATE)
-    for group in grouped(subwords.sequence(words_of(r["text"])) for r in warm):
+    for group in grouped(subwords.unpacked(r["ids"]) for r in warm):
         sym, cls, _, lengths = classes.inputs(group)
         own.fit(sym, cls, lengths)
     shared = spark.sparkContext.broadcast((subwords, classes, own.p))
@@ -270,12 +297,12 @@ def fit_attention(train: DataFrame, n_words: int, subwords: Subwords, classes: C
             return pd.DataFrame({"part": range(CHUNKS), "shard": at, "w": float(trainer.seen), "x": [q.tobytes() for q in parts]})
 
         for pdf in batches:
-            for shard, text in zip(pdf["shard"].to_list(), pdf["text"], strict=True):
+            for shard, ids in zip(pdf["shard"].to_list(), pdf["ids"], strict=True):
                 if shard != at:
                     if trainer is not None:
                         yield done()
                     trainer, at = attention.Trainer(begun, known.offsets, rate=RATE / 2), shard
-                held.append(sub.sequence(words_of(text)))
+                held.append(sub.unpacked(ids))
                 size += len(held[-1])
                 if size > GROUP_IDS:
                     learn()
@@ -289,7 +316,8 @@ def fit_attention(train: DataFrame, n_words: int, subwords: Subwords, classes: C
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "shard": pdf["shard"].min(), "w": pdf["w"].sum(), "x": [total.tobytes()]})
 
     schema = "part long, shard long, w double, x binary"
-    models = dealt.repartition(max(shards, spark.sparkContext.defaultParallelism) if shards > 1 else 1, "shard").sortWithinPartitions("shard", "h", "text").select("shard", "text").mapInPandas(improve, schema)
+    models = dealt.repartition(max(shards, spark.sparkContext.defaultParallelism) if shards > 1 else 1, "shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids").mapInPandas(improve, schema)
+    models = materialize(models, "models")  # what was shuffled for training goes
     some = models.withColumn("g", F.floor(F.col("shard") / TOGETHER)).groupBy("part", "g").applyInPandas(add, schema)
     rows = sorted(some.groupBy("part").applyInPandas(add, schema).collect(), key=lambda r: r["part"])  # one model's size
     return attention.unflat(np.concatenate([np.frombuffer(r["x"]) / r["w"] for r in rows]), model)
@@ -303,68 +331,105 @@ def base_scores(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     return train, counts, n, v
 
 
-def score(docs: DataFrame, *, vocabulary: str = VOCABULARY, attended: bool = True) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs (doc_id, text).
-    Not ``attended``: the word counts alone, score is 0."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
-    train, counts, n, v = base_scores(docs)
-    below = n + 0.1 * (v + 1)
-    head = {bytes(r["word"]): r["c"] for r in counts.filter(F.col("c") * HEAD >= n).collect()}  # at most HEAD rows
-    model = None
-    if attended:
-        subwords = Subwords.load(vocabulary)
-        classes = fit_classes(counts, subwords)
-        fit_pairs(train, subwords, classes)
-        model = (subwords, classes, fit_attention(train, n, subwords, classes))
-    shared = spark.sparkContext.broadcast((head, model))
+def text_hash(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "replace")) - 2**63
+
+
+def rare_words(docs: DataFrame, counts: DataFrame, head: Broadcast, n: int, below: float) -> DataFrame:
+    """doc_id, h (hash of the text), and what words that aren't in ``head`` add to seen and base."""
 
     def worker():
-        frequent, fitted = shared.value
+        frequent = head.value
+
+        def step(part: pa.RecordBatch) -> list:
+            hashes, tails, times = [], [], []
+            for text in part.column("text").to_pylist():
+                tail = {w: k for w, k in Counter(words_of(text)).items() if w not in frequent}
+                hashes.append(text_hash(text))
+                tails.append(list(tail))
+                times.append(list(tail.values()))
+            return [hashes, tails, times]
+
+        return step
+
+    fields = {"h": (T.LongType(), pa.int64()), "tail": (T.ArrayType(T.BinaryType()), pa.list_(pa.binary())), "times": (T.ArrayType(T.LongType()), pa.list_(pa.int64()))}
+    found = add_columns(docs, fields, worker, BATCH).select("doc_id", "h", F.explode(F.arrays_zip("tail", "times")).alias("t"))
+    rare = found.select("doc_id", "h", F.col("t.tail").alias("word"), F.col("t.times").alias("k"))
+    return rare.join(counts.filter(F.col("c") * HEAD < n), "word", "left").groupBy("doc_id", "h").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(F.lit(0))).alias("seen"),
+        F.sum(F.col("k") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / F.lit(below))).alias("base"),
+    )
+
+
+def frequent_words(docs: DataFrame, head: Broadcast, subwords: Subwords | None, below: float) -> DataFrame:
+    """doc_id, held_out, h, n_tokens, and what the words in ``head`` add to seen and base; with ``subwords`` also ids
+    and fit."""
+    packing = docs.sparkSession.sparkContext.broadcast(subwords)
+
+    def worker():
+        frequent, sub = head.value, packing.value
         logs = {w: np.log10((c + 0.1) / below) for w, c in frequent.items()}
         rare_end = np.log10(0.1 / below)
 
         def step(part: pa.RecordBatch) -> list:
-            out, sequences = [], []
+            out = []
             for text in part.column("text").to_pylist():
                 words = words_of(text)
-                base, seen, tail, times = logs.get(END, rare_end), int(END in logs), [], []
+                base, seen = logs.get(END, rare_end), int(END in logs)
                 for w, k in Counter(words).items():
                     one = logs.get(w)
-                    if one is None:
-                        tail.append(w)
-                        times.append(k)
-                    else:
+                    if one is not None:
                         base += k * one
                         seen += k
-                if fitted:
-                    sequences.append(fitted[0].sequence(words))
-                out.append((xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "replace")) - 2**63, len(words) + 1, seen, float(base), tail, times))
-            scores = [] if fitted else [0.0] * len(out)
-            for group in grouped(sequences):
-                sub, known, weights = fitted
-                sym, cls, ids, lengths = known.inputs(group)
-                log = attention.score(weights, known.offsets, sym, cls, lengths) + known.inside(sym, ids)
-                scores += (np.add.reduceat(log.astype(np.float64), np.cumsum(lengths) - lengths) / np.log(10)).tolist()
-            return [*(list(c) for c in zip(*out, strict=True)), scores]
+                out.append((text_hash(text), len(words) + 1, seen, float(base), sub.packed(words) if sub else None))
+            return [list(c) for c in zip(*out, strict=True)][: len(fields)]
 
         return step
 
-    fields = {
-        "h": (T.LongType(), pa.int64()), "n_tokens": (T.LongType(), pa.int64()), "seen": (T.LongType(), pa.int64()), "base": (T.DoubleType(), pa.float64()),
-        "tail": (T.ArrayType(T.BinaryType()), pa.list_(pa.binary())), "times": (T.ArrayType(T.LongType()), pa.list_(pa.int64())), "score": (T.DoubleType(), pa.float64()),
-    }
-    scored = add_columns(docs, fields, worker, BATCH).drop("text")
-    scored = materialize(scored, "scored")
-    rare = scored.select("doc_id", "h", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("doc_id", "h", F.col("t.tail").alias("word"), F.col("t.times").alias("k"))
-    known = rare.join(counts.filter(F.col("c") * HEAD < n), "word", "left").groupBy("doc_id", "h").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(F.lit(0))).alias("seen"),
-        F.sum(F.col("k") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / F.lit(below))).alias("base"),
-    )
+    fields = {"h": (T.LongType(), pa.int64()), "n_tokens": (T.LongType(), pa.int64()), "seen": (T.LongType(), pa.int64()), "base": (T.DoubleType(), pa.float64())}
+    if subwords:
+        fields["ids"] = (T.BinaryType(), pa.binary())
+        docs = docs.withColumn("fit", F.xxhash64(F.coalesce("text", F.lit("")), F.lit("fit")))
+    return add_columns(docs, fields, worker, BATCH).drop("text")
+
+
+def score(docs: DataFrame, *, vocabulary: str = VOCABULARY, attended: bool = True) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs (doc_id, text).
+    Not ``attended``: the word counts alone, score is 0."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
+    train, counts, n, v = base_scores(docs)
+    below = n + 0.1 * (v + 1)
+    head = {bytes(r["word"]): r["c"] for r in counts.filter(F.col("c") * HEAD >= n).collect()}  # at most HEAD rows
+    shared = spark.sparkContext.broadcast(head)
+    rare = materialize(rare_words(docs.drop("held_out"), counts, shared, n, below), "rare")
+    subwords = Subwords.load(vocabulary) if attended else None
+    known = materialize(frequent_words(docs, shared, subwords, below), "known")
+    scored = known.withColumn("score", F.lit(0.0))
+    if attended:
+        classes = fit_classes(counts, subwords)
+        train = known.filter(~F.col("held_out")).select("ids", "fit")
+        fit_pairs(train, subwords, classes)
+        model = spark.sparkContext.broadcast((subwords, classes, fit_attention(train, n, subwords, classes)))
+
+        def worker():
+            sub, fitted, weights = model.value
+
+            def step(part: pa.RecordBatch) -> list:
+                scores = []
+                for group in grouped(map(sub.unpacked, part.column("ids").to_pylist())):
+                    sym, cls, ids, lengths = fitted.inputs(group)
+                    log = attention.score(weights, fitted.offsets, sym, cls, lengths) + fitted.inside(sym, ids)
+                    scores += (np.add.reduceat(log.astype(np.float64), np.cumsum(lengths) - lengths) / np.log(10)).tolist()
+                return [scores]
+
+            return step
+
+        scored = materialize(add_columns(known, {"score": (T.DoubleType(), pa.float64())}, worker, BATCH).drop("ids", "fit"), "scored")
     # Rows with the same id and text meet in one group; their sums are as many times one row's.
     empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
     both = scored.select("doc_id", "h", F.lit(1).alias("rows"), "held_out", "n_tokens", "seen", "base", "score").unionByName(
-        known.select("doc_id", "h", F.lit(0).alias("rows"), empty("held_out", "boolean"), empty("n_tokens", "long"), "seen", "base", empty("score", "double"))
+        rare.select("doc_id", "h", F.lit(0).alias("rows"), empty("held_out", "boolean"), empty("n_tokens", "long"), "seen", "base", empty("score", "double"))
     )
     met = both.groupBy("doc_id", "h").agg(
         F.sum("rows").cast("int").alias("rows"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),

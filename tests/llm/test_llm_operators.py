@@ -472,3 +472,21 @@ def test_lm_works_out_equal_pairs_once_and_asks_for_new_words_only(monkeypatch):
     words = lm_scoring.words_of("one two three")
     first = sub.sequence(words).tolist()
     assert sub.sequence(words).tolist() == first and asked == words and first[-1] == sub.end
+
+
+def test_lm_makes_ids_once_and_shuffles_no_text(spark, monkeypatch):
+    plans, write = {}, lm_scoring.materialize
+    monkeypatch.setattr(lm_scoring, "materialize", lambda df, name: (plans.__setitem__(name, df._jdf.queryExecution().toString()), write(df, name))[1])
+    texts = ["the red fox", "the red hen and the red fox", "", None, "a hen " * 400, "the red fox"]
+    rows = [(i // 2 if i == 5 else i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(3)
+    got = lm_scoring.score(docs).collect()
+    assert len(got) == 7 and len({r["score"] for r in got if r["doc_id"] == 0}) == 1
+    assert list(plans) == ["words", "rare", "known", "pairs", "models", "scored"]
+    # Rare words' shuffle is over before ids are written; what reads ids reads no text.
+    assert all("text#" not in plans[name] and "ids#" in plans[name] for name in ("pairs", "models", "scored"))
+    # Ids are packed in as few bytes as the vocabulary allows, and come back whole.
+    wide = lm_scoring.Subwords({bytes([i]): i for i in range(256)} | {b" the": 70_000})
+    sub = lm_scoring.Subwords.load(lm_scoring.VOCABULARY)
+    assert wide.sequence([b"the", b"a"]).tolist() == [70_000, 32, 97, 70_001]
+    assert (sub.kind.itemsize, wide.kind.itemsize) == (2, 4) and len(sub.packed([b"the"])) == 4
