@@ -65,92 +65,146 @@ def _added(x: np.ndarray) -> np.ndarray:
     return np.ones(len(x), x.dtype) @ x
 
 
-def forward(p: dict[str, np.ndarray], sym: np.ndarray) -> dict[str, np.ndarray]:
-    x = p["e"][sym] + p["p"]
-    wide = _times(x, np.concatenate([p["wq"], p["wk"], p["wv"]], axis=1))
+def _inputs_weights(p: dict[str, np.ndarray]) -> np.ndarray:
+    """wq, wk and wv side by side; wq has the scale of the products in it."""
+    return np.concatenate([p["wq"] * p["wq"].dtype.type(WIDTH**-0.5), p["wk"], p["wv"]], axis=1)
+
+
+def forward(p: dict[str, np.ndarray], w: np.ndarray, sym: np.ndarray) -> dict[str, np.ndarray]:
+    """What the model makes of symbols (n, WINDOW); w: ``_inputs_weights``. ``a`` isn't divided by its rows' sums; ``r``
+    is one over them."""
+    x = p["e"].take(sym, axis=0)
+    x += p["p"]
+    wide = _times(x, w)
     q, k, v = wide[..., :WIDTH], wide[..., WIDTH : 2 * WIDTH], wide[..., 2 * WIDTH :]
     # Clipping instead of subtracting a maximum keeps the exponentials finite.
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(1 / np.sqrt(WIDTH))
+    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
     np.clip(a, -40, 40, out=a)
     np.exp(a, out=a)
     a *= _SEEN
-    a *= 1 / (a @ np.ones((WINDOW, 1), a.dtype))
+    r = 1 / _times(a, np.ones((WINDOW, 1), a.dtype))
     c = a @ v
-    h = x + _times(c, p["wo"])
+    c *= r
+    h = _times(c, p["wo"])
+    h += x
     u = _times(h, p["w1"])
     u += p["b1"]
     np.maximum(u, 0, out=u)
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "u": u, "g": h + _times(u, p["w2"]) + p["b2"]}
+    # A last column of ones, so that products with ``g`` have the bias in them.
+    g = np.empty((sym.size, WIDTH + 1), x.dtype)
+    g[:, WIDTH] = 1
+    own = _times(u, p["w2"])
+    own += h
+    own += p["b2"]
+    g[:, :WIDTH] = own.reshape(-1, WIDTH)
+    return {"x": x, "q": q, "k": k, "v": v, "a": a, "r": r, "c": c, "h": h, "u": u, "g": g}
+
+
+#: Windows that are worked on at a time, and rows whose class logits are: those stay in a core's cache.
+TOGETHER, ROWS = 64, 512
+
 
+class Logits:
+    """Class logits of some rows at a time, in memory that is used again."""
 
-def log_class(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, g: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Natural log probability of each row's class; g: (n, WIDTH), sym: the symbols before, offsets: with ``bc`` added."""
-    z = g @ p["wc"]
-    z += offsets.take(sym, axis=0)
-    np.clip(z, -80, 60, out=z)
-    own = z[np.arange(len(z)), cls]
-    np.exp(z, out=z)
-    return own - np.log(z @ np.ones(z.shape[1], np.float32))
+    def __init__(self, offsets: np.ndarray):
+        self.offsets, self.range = offsets, (offsets.min(initial=0), offsets.max(initial=0))
+        self.out, self.picked = np.empty((2, ROWS, offsets.shape[1]), offsets.dtype)
+        self.ones = np.ones(offsets.shape[1], offsets.dtype)
 
+    def weigh(self, p: dict[str, np.ndarray]) -> None:
+        self.w = np.concatenate([p["wc"], p["bc"][None]])
+        self.norm = np.sqrt((self.w * self.w).sum(0).max())
 
-def score(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, cls: np.ndarray, lengths: np.ndarray, block: int = 256) -> np.ndarray:
-    """Log probability of the class at each position of sequences laid end to end."""
+    def of(self, g: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """g: rows of ``forward``, sym: the symbols before. Clipped where the vectors' lengths don't rule out that a
+        logit is below -80 or above 60."""
+        z = np.matmul(g, self.w, out=self.out[: len(g)])
+        z += self.offsets.take(sym, axis=0, out=self.picked[: len(g)], mode="clip")
+        bound = self.norm * np.sqrt(_times(g * g, np.ones((g.shape[1], 1), g.dtype)).max(initial=0))
+        if not (bound - self.range[0] < 80 and bound + self.range[1] < 60):
+            np.clip(z, -80, 60, out=z)
+        return z
+
+
+def score(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, cls: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Natural log probability of the class at each position of sequences laid end to end."""
     at, scored, _ = windows(lengths)
-    out, offsets = np.zeros(int(lengths.sum()), np.float32), offsets + p["bc"]
-    for i in range(0, len(at), block):
-        rows, take = at[i : i + block], scored[i : i + block]
-        g = forward(p, sym.take(rows))["g"][take]
-        spots = rows[take]
-        for j in range(0, len(spots), 768):  # what a core's cache holds
-            part = spots[j : j + 768]
-            out[part] = log_class(p, offsets, sym[part], g[j : j + 768], cls[part])
+    out, logits, w = np.zeros(int(lengths.sum()), np.float32), Logits(offsets), _inputs_weights(p)
+    logits.weigh(p)
+    for i in range(0, len(at), TOGETHER):
+        rows, take = at[i : i + TOGETHER], np.flatnonzero(scored[i : i + TOGETHER])
+        spots, g = rows.ravel().take(take), forward(p, w, sym.take(rows))["g"].take(take, axis=0)
+        for j in range(0, len(spots), ROWS):
+            part = spots[j : j + ROWS]
+            z = logits.of(g[j : j + ROWS], sym.take(part))
+            own = z[np.arange(len(z)), cls.take(part)]
+            np.exp(z, out=z)
+            out[part] = own - np.log(z @ logits.ones)
     return out
 
 
-def gradients(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, cls: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the scored positions and its gradients; sym, cls, scored: (n, WINDOW)."""
-    f, d = forward(p, sym), {}
-    at = np.flatnonzero(scored)
-    before, y = sym.ravel()[at], cls.ravel()[at]
-    two = lambda m: m.reshape(-1, m.shape[-1])
-    g = two(f["g"]).take(at, axis=0)
-    z = g @ p["wc"]
-    z += p["bc"]
-    z += offsets.take(before, axis=0)
-    np.clip(z, -80, 60, out=z)
-    rows = np.arange(len(y))
-    own = z[rows, y]
-    np.exp(z, out=z)
-    s = z @ np.ones(z.shape[1], z.dtype)
-    loss = float((np.log(s) - own).mean())
-    z *= (1 / (s * len(y)))[:, None]
-    z[rows, y] -= z.dtype.type(1 / len(y))
-    d["wc"], d["bc"] = g.T @ z, _added(z)
-    dg = np.zeros_like(f["g"])
-    two(dg)[at] = z @ p["wc"].T
-    d["w2"], d["b2"] = two(f["u"]).T @ two(dg), _added(dg)
-    du = _times(dg, p["w2"].T)
-    du *= f["u"] > 0
-    d["w1"], d["b1"] = two(f["h"]).T @ two(du), _added(du)
-    dh = dg + _times(du, p["w1"].T)
-    d["wo"] = two(f["c"]).T @ two(dh)
-    dc = _times(dh, p["wo"].T)
-    da, dv = dc @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dc
+def _backward(p: dict[str, np.ndarray], w: np.ndarray, logits: Logits, sym: np.ndarray, cls: np.ndarray, scored: np.ndarray, n: float) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """Of up to TOGETHER windows: the sum of losses, gradients of their share of a mean over ``n``, those by the inputs."""
+    f, d, y, weight = forward(p, w, sym), {}, cls.ravel(), scored.ravel().astype(w.dtype)
+    before, dg, wide, back, loss = sym.ravel(), np.empty((sym.size, WIDTH), w.dtype), 0, p["wc"].T, 0.0
+    for i in range(0, sym.size, ROWS):
+        rows = slice(i, i + ROWS)
+        z = logits.of(f["g"][rows], before[rows])
+        spot = np.arange(len(z)), y[rows]
+        own = z[spot]
+        np.exp(z, out=z)
+        s = z @ logits.ones
+        loss += float(weight[rows] @ (np.log(s) - own))
+        # A row's gradient by its logits is z less s at its own class, times weight / (s n); that goes to the narrow side.
+        z[spot] -= s
+        part = (weight[rows] / (s * n))[:, None]
+        wide += (f["g"][rows] * part).T @ z
+        np.multiply(z @ back, part, out=dg[rows])
+    d["wc"], d["bc"] = wide[:-1], wide[-1]
+    u, h, c = f["u"].reshape(-1, HIDDEN), f["h"].reshape(-1, WIDTH), f["c"]
+    d["w2"], d["b2"] = u.T @ dg, _added(dg)
+    du = dg @ p["w2"].T
+    du *= u > 0
+    d["w1"], d["b1"] = (du.T @ h).T, _added(du)
+    dh = du @ p["w1"].T
+    dh += dg
+    d["wo"] = c.reshape(-1, WIDTH).T @ dh
+    dc = (dh @ p["wo"].T).reshape(c.shape)
+    dc *= f["r"]
     # A row's sum of da * a is dc times c, since c is a times v.
-    da -= np.einsum("bij,bij->bi", dc, f["c"])[..., None]
+    da = dc @ np.ascontiguousarray(f["v"].transpose(0, 2, 1))
+    da -= _times(dc * c, np.ones((WIDTH, 1), c.dtype))
     da *= f["a"]
-    da *= np.float32(1 / np.sqrt(WIDTH))
-    both = np.concatenate([da @ f["k"], da.transpose(0, 2, 1) @ f["q"], dv], axis=-1)
-    d["wq"], d["wk"], d["wv"] = np.split(two(f["x"]).T @ two(both), 3, axis=1)
-    dx = dh + _times(both, np.concatenate([p["wq"], p["wk"], p["wv"]], axis=1).T)
-    d["p"] = dx.sum(0)
+    both = np.empty((*sym.shape, 3 * WIDTH), c.dtype)
+    np.matmul(da, f["k"], out=both[..., :WIDTH])
+    np.matmul(da.transpose(0, 2, 1), f["q"], out=both[..., WIDTH : 2 * WIDTH])
+    np.matmul(f["a"].transpose(0, 2, 1), dc, out=both[..., 2 * WIDTH :])
+    both = both.reshape(-1, 3 * WIDTH)
+    wide = (both.T @ f["x"].reshape(-1, WIDTH)).reshape(3, WIDTH, WIDTH)
+    d["wq"], d["wk"], d["wv"] = (wide[0] * w.dtype.type(WIDTH**-0.5)).T, wide[1].T, wide[2].T
+    dx = both @ w.T
+    dx += dh
+    d["p"] = np.ones(len(sym), w.dtype) @ dx.reshape(len(sym), -1)
+    return loss, d, dx
+
+
+def gradients(p: dict[str, np.ndarray], offsets: np.ndarray, sym: np.ndarray, cls: np.ndarray, scored: np.ndarray, logits: Logits | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the scored positions and its gradients; sym, cls, scored: (n, WINDOW)."""
+    w, logits, n = _inputs_weights(p), logits or Logits(offsets), float(np.count_nonzero(scored))
+    logits.weigh(p)
+    found = [_backward(p, w, logits, *(x[i : i + TOGETHER] for x in (sym, cls, scored)), n) for i in range(0, len(sym), TOGETHER)]
+    names = sorted(found[0][1])
+    total = sum(np.concatenate([d[k].ravel() for k in names]) for _, d, _ in found)
+    at = np.cumsum([0, *(p[k].size for k in names)])
+    d = {k: total[i:j].reshape(p[k].shape) for k, i, j in zip(names, at[:-1], at[1:], strict=True)}
     # Rows of one symbol are added up as runs of the sorted symbols; "e" is sparse: symbols and their rows.
-    order = np.argsort(sym, axis=None, kind="stable")
-    held = sym.ravel()[order]
+    flat, dx = sym.ravel(), np.concatenate([x for *_, x in found])
+    order = np.argsort(flat.astype(np.uint16) if len(offsets) <= 2**16 else flat, kind="stable")  # short keys: radix sort
+    held = flat[order]
     first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    d["e"] = (held[first], np.add.reduceat(two(dx).take(order, axis=0), first, axis=0))
-    return loss, d
+    d["e"] = (held[first], np.add.reduceat(dx.take(order, axis=0), first, axis=0))
+    return sum(x for x, *_ in found) / n, d
 
 
 class Trainer:
@@ -159,8 +213,22 @@ class Trainer:
 
     def __init__(self, p: dict[str, np.ndarray], offsets: np.ndarray, *, rate: float, batch: int = 64, seed: int = 7):
         self.p, self.offsets, self.rate, self.batch = {k: v.copy() for k, v in p.items()}, offsets, rate, batch
-        self.m, self.v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-        self.rng, self.t, self.seen = np.random.default_rng(seed), 0, 0
+        # All weights but the symbols' lie in one array, of which ``p`` has views, so that a step is a few operations.
+        self.dense = [k for k in sorted(p) if k != "e"]
+        self.w = np.concatenate([p[k].ravel() for k in self.dense])
+        at = np.cumsum([0, *(p[k].size for k in self.dense)])
+        self.p |= {k: self.w[i:j].reshape(p[k].shape) for k, i, j in zip(self.dense, at[:-1], at[1:], strict=True)}
+        self.m, self.v = np.zeros_like(self.w), np.zeros_like(self.w)
+        self.me, self.ve = np.zeros_like(p["e"]), np.zeros_like(p["e"])
+        self.rng, self.t, self.seen, self.logits = np.random.default_rng(seed), 0, 0, Logits(offsets)
+
+    def step(self, m: np.ndarray, v: np.ndarray, p: np.ndarray, g: np.ndarray) -> None:
+        """Moves ``p``, and its moments, in place."""
+        now = np.float32(self.rate * min(1.0, self.t / 50) / np.sqrt(1 + self.t / 400))
+        one, two = np.float32(1 - 0.9**self.t), np.float32(1 - 0.99**self.t)
+        m += np.float32(0.1) * (g - m)
+        v += np.float32(0.01) * (g * g - v)
+        p -= now * (m / one) / (np.sqrt(v / two) + np.float32(1e-8))
 
     def fit(self, sym: np.ndarray, cls: np.ndarray, lengths: np.ndarray) -> float:
         """One pass over sequences laid end to end, in windows side by side; the mean loss."""
@@ -168,18 +236,14 @@ class Trainer:
         order, losses = self.rng.permutation(len(at)), []
         for i in range(0, len(at), self.batch):
             own = order[i : i + self.batch]
-            loss, d = gradients(self.p, self.offsets, sym[at[own]], cls[at[own]], scored[own])
+            rows = at.take(own, axis=0)
+            loss, d = gradients(self.p, self.offsets, sym.take(rows), cls.take(rows), scored.take(own, axis=0), self.logits)
             losses.append(loss)
             self.t += 1
-            now = np.float32(self.rate * min(1.0, self.t / 50) / np.sqrt(1 + self.t / 400))
-            one, two = np.float32(1 - 0.9**self.t), np.float32(1 - 0.99**self.t)
-            for k, g in d.items():
-                spot, g = g if k == "e" else (None, g)
-                m, v, p = (x[k] if spot is None else x[k].take(spot, axis=0) for x in (self.m, self.v, self.p))
-                m += np.float32(0.1) * (g - m)
-                v += np.float32(0.01) * (g * g - v)
-                p -= now * (m / one) / (np.sqrt(v / two) + np.float32(1e-8))
-                if spot is not None:  # these are copies
-                    self.m[k][spot], self.v[k][spot], self.p[k][spot] = m, v, p
+            self.step(self.m, self.v, self.w, np.concatenate([d[k].ravel() for k in self.dense]))
+            spot, g = d["e"]
+            m, v, e = (x.take(spot, axis=0) for x in (self.me, self.ve, self.p["e"]))
+            self.step(m, v, e, g)
+            self.me[spot], self.ve[spot], self.p["e"][spot] = m, v, e  # these were copies
         self.seen += int(lengths.sum())
         return float(np.mean(losses)) if losses else 0.0

@@ -23,6 +23,7 @@ alone and the model knows no id; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -42,6 +43,8 @@ from plumbline.session import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+#: White space that Python, and so any other reader, knows, but for the space.
+ODD_SPACE = re.compile(r"[^\S ]")
 #: The end of a text among words: no word is empty.
 END = b""
 HEAD = 50_000
@@ -56,6 +59,8 @@ PAIRS, DISCOUNT = 1_000_000, 0.75
 SHARD_WORDS = 500_000
 #: Words whose ids a worker remembers at a time, and types that a task counts before it hands them on.
 REMEMBERED = 200_000
+#: Characters of whole texts, about, whose new words a worker encodes together, and ids whose pairs it counts together.
+ENCODED, COUNTED = 1_000_000, 1_000_000
 #: Shards whose weights meet in the first step of averaging, and parts into which weights are cut.
 TOGETHER, CHUNKS = 256, 16
 #: Rows that a worker scores before it hands them on, and ids of whole texts that it learns from or scores at a time.
@@ -94,6 +99,7 @@ class Subwords:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.end, self.encoder, self.known = ranks, max(ranks.values()) + 1, None, {}
+        self.before = {}  # words remembered before the last ones
         self.kind = np.dtype(np.uint16 if self.end < 2**16 else np.int32)  # of packed ids
 
     @classmethod
@@ -102,16 +108,41 @@ class Subwords:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
     def __getstate__(self):
-        return self.__dict__ | {"encoder": None, "known": {}}
+        return self.__dict__ | {"encoder": None, "known": {}, "before": {}}
+
+    def build(self) -> None:
+        import tiktoken
+
+        self.encoder = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        self.begins = np.zeros(self.end, bool)  # ids that begin with a space
+        self.begins[[i for token, i in self.ranks.items() if token[:1] == b" "]] = True
+
+    def remember(self, words: Iterable[bytes]) -> None:
+        """Works out the ids of those words that are new together, as one text: each space in it begins a piece, and of
+        a word's ids the first alone begins with a space. Words with other white space in them are left to ``ids``."""
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.before = {}, self.known
+        new = [w for w in words if w not in self.known]
+        self.known.update((w, self.before[w]) for w in new if w in self.before)
+        new = [w for w in new if w not in self.before]
+        if self.encoder is None:
+            self.build()
+        text = b" ".join(new).decode("utf-8", "replace")
+        if ODD_SPACE.search(text):
+            new = [w for w in new if not ODD_SPACE.search(w.decode("utf-8", "replace"))]
+            text = b" ".join(new).decode("utf-8", "replace")
+        if new:
+            ids = np.array(self.encoder.encode_ordinary(" " + text), self.kind)
+            at = [*(np.flatnonzero(self.begins[ids]) * self.kind.itemsize).tolist(), ids.nbytes]
+            packed = ids.tobytes()
+            self.known.update((w, packed[i:j]) for w, i, j in zip(new, at[:-1], at[1:], strict=True))
 
     def ids(self, word: bytes) -> bytes:
         """Packed ids of a space and the word."""
         found = self.known.get(word)
         if found is None:
             if self.encoder is None:
-                import tiktoken
-
-                self.encoder = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+                self.build()
             found = array(self.kind.char, self.encoder.encode_ordinary(" " + word.decode("utf-8", "replace"))).tobytes()
             if len(self.known) > REMEMBERED:
                 self.known.clear()
@@ -193,13 +224,18 @@ class Classes:
 
 
 def fit_classes(counts: DataFrame, subwords: Subwords) -> Classes:
-    """Id counts from the word counts; at most one row an id comes back."""
+    """Id counts from the word counts, or from texts' packed ids where those are made; at most one row an id and task
+    is shuffled, one row an id comes back."""
     shared = counts.sparkSession.sparkContext.broadcast(subwords)
     size = subwords.end + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sub, total = shared.value, np.zeros(size)
         for pdf in batches:
+            if "ids" in pdf:
+                for group in grouped(map(sub.unpacked, pdf["ids"])):
+                    total += np.bincount(np.concatenate(group), minlength=size)
+                continue
             parts = [sub.unpacked(sub.ids(w)) if w else np.array([sub.end], np.int32) for w in map(bytes, pdf["word"])]
             if parts:
                 total += np.bincount(np.concatenate(parts), np.repeat(pdf["c"].to_numpy(float), [len(p) for p in parts]), size)
@@ -212,13 +248,15 @@ def fit_classes(counts: DataFrame, subwords: Subwords) -> Classes:
     return Classes(out)
 
 
-def grouped(sequences: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """All sequences, whole, in groups of some hundred thousand ids, so that many or long texts stay small in memory."""
+def grouped(sequences: Iterable, most: int | None = None) -> Iterator[list]:
+    """All sequences, whole, in groups of some hundred thousand ids, or ``most``, so that many or long texts stay small
+    in memory."""
+    most = most or GROUP_IDS
     group, size = [], 0
     for s in sequences:
         group.append(s)
         size += len(s)
-        if size > GROUP_IDS:
+        if size > most:
             yield group
             group, size = [], 0
     if group:
@@ -248,7 +286,7 @@ def fit_pairs(train: DataFrame, subwords: Subwords, classes: Classes) -> None:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sub, known = shared.value
-        for group in grouped(sub.unpacked(x) for pdf in batches for x in pdf["ids"]):
+        for group in grouped((sub.unpacked(x) for pdf in batches for x in pdf["ids"]), COUNTED):
             sym, _, ids, _ = known.inputs(group)
             keys, n = np.unique(known.key(sym, ids), return_counts=True)
             yield pd.DataFrame({"k": keys, "c": known.cls[keys % len(known.cls)], "n": n})
@@ -355,7 +393,8 @@ def rare_words(docs: DataFrame, counts: DataFrame, head: Broadcast, n: int, belo
     fields = {"h": (T.LongType(), pa.int64()), "tail": (T.ArrayType(T.BinaryType()), pa.list_(pa.binary())), "times": (T.ArrayType(T.LongType()), pa.list_(pa.int64()))}
     found = add_columns(docs, fields, worker, BATCH).select("doc_id", "h", F.explode(F.arrays_zip("tail", "times")).alias("t"))
     rare = found.select("doc_id", "h", F.col("t.tail").alias("word"), F.col("t.times").alias("k"))
-    return rare.join(counts.filter(F.col("c") * HEAD < n), "word", "left").groupBy("doc_id", "h").agg(
+    few = counts.filter(F.col("c") * HEAD < n).hint("shuffle_hash")  # a part of them is small; nothing has to be sorted
+    return rare.join(few, "word", "left").groupBy("doc_id", "h").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(F.lit(0))).alias("seen"),
         F.sum(F.col("k") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / F.lit(below))).alias("base"),
     )
@@ -373,15 +412,19 @@ def frequent_words(docs: DataFrame, head: Broadcast, subwords: Subwords | None,
 
         def step(part: pa.RecordBatch) -> list:
             out = []
-            for text in part.column("text").to_pylist():
-                words = words_of(text)
-                base, seen = logs.get(END, rare_end), int(END in logs)
-                for w, k in Counter(words).items():
-                    one = logs.get(w)
-                    if one is not None:
-                        base += k * one
-                        seen += k
-                out.append((text_hash(text), len(words) + 1, seen, float(base), sub.packed(words) if sub else None))
+            for texts in grouped((text or "" for text in part.column("text").to_pylist()), ENCODED):
+                split = [words_of(text) for text in texts]
+                counters = [Counter(words) for words in split]
+                if sub:
+                    sub.remember(set().union(*counters))
+                for text, words, counter in zip(texts, split, counters, strict=True):
+                    base, seen = logs.get(END, rare_end), int(END in logs)
+                    for w, k in counter.items():
+                        one = logs.get(w)
+                        if one is not None:
+                            base += k * one
+                            seen += k
+                    out.append((text_hash(text), len(words) + 1, seen, float(base), sub.packed(words) if sub else None))
             return [list(c) for c in zip(*out, strict=True)][: len(fields)]
 
         return step
@@ -407,8 +450,8 @@ def score(docs: DataFrame, *, vocabulary: str = VOCABULARY, attended: bool = Tru
     known = materialize(frequent_words(docs, shared, subwords, below), "known")
     scored = known.withColumn("score", F.lit(0.0))
     if attended:
-        classes = fit_classes(counts, subwords)
         train = known.filter(~F.col("held_out")).select("ids", "fit")
+        classes = fit_classes(train.select("ids"), subwords)
         fit_pairs(train, subwords, classes)
         model = spark.sparkContext.broadcast((subwords, classes, fit_attention(train, n, subwords, classes)))
 

@@ -490,3 +490,51 @@ def test_lm_makes_ids_once_and_shuffles_no_text(spark, monkeypatch):
     sub = lm_scoring.Subwords.load(lm_scoring.VOCABULARY)
     assert wide.sequence([b"the", b"a"]).tolist() == [70_000, 32, 97, 70_001]
     assert (sub.kind.itemsize, wide.kind.itemsize) == (2, 4) and len(sub.packed([b"the"])) == 4
+
+
+def test_attention_works_in_cached_parts_with_the_same_result(monkeypatch):
+    rng = np.random.default_rng(4)
+    p = attention.start(60, 9)
+    p["wc"], p["bc"] = rng.normal(size=p["wc"].shape).astype(np.float32), rng.normal(size=9).astype(np.float32)
+    offsets, lengths = rng.normal(size=(60, 9)).astype(np.float32), np.array([1, 40, 3000, 77])
+    sym, cls = rng.integers(0, 60, lengths.sum()).astype(np.int32), rng.integers(0, 9, lengths.sum()).astype(np.int32)
+    at, scored, _ = attention.windows(lengths, 0)
+    whole, d = attention.gradients(p, offsets, sym[at], cls[at], scored)
+    scores = attention.score(p, offsets, sym, cls, lengths)
+    shapes, product = [], np.matmul
+    monkeypatch.setattr(attention.np, "matmul", lambda a, b, **how: shapes.append(len(a)) or product(a, b, **how))
+    monkeypatch.setattr(attention, "TOGETHER", 5)
+    monkeypatch.setattr(attention, "ROWS", 70)
+    loss, parts = attention.gradients(p, offsets, sym[at], cls[at], scored)
+    assert max(shapes) <= 70 and loss == pytest.approx(whole, abs=1e-5)
+    assert np.array_equal(parts["e"][0], d["e"][0]) and np.allclose(parts["e"][1], d["e"][1], atol=1e-5)
+    assert all(np.allclose(parts[k], d[k], atol=1e-5) for k in p if k != "e")
+    assert np.allclose(attention.score(p, offsets, sym, cls, lengths), scores, atol=1e-4)
+    # Logits out of range are clipped still, by rows and by columns of any length.
+    p["wc"] *= 1000
+    assert np.isfinite(attention.score(p, offsets, sym, cls, lengths)).all() and np.isfinite(attention.gradients(p, offsets, sym[at], cls[at], scored)[0])
+
+
+def test_a_step_of_training_moves_weights_that_the_model_reads():
+    rng = np.random.default_rng(4)
+    trainer = attention.Trainer(attention.start(60, 9), np.zeros((60, 9), np.float32), rate=0.01)
+    begun, sym = {k: v.copy() for k, v in trainer.p.items()}, rng.integers(0, 50, 500).astype(np.int32)
+    losses = [trainer.fit(sym, (sym % 9).astype(np.int32), np.array([500])) for _ in range(60)]
+    assert losses[-1] < losses[0] / 2 and all(np.shares_memory(trainer.p[k], trainer.w) for k in trainer.dense)
+    assert all(not np.array_equal(begun[k], v) for k, v in trainer.p.items()) and np.array_equal(begun["e"][50:], trainer.p["e"][50:])
+
+
+def test_lm_encodes_new_words_together_as_one_by_one(spark, monkeypatch):
+    texts = ["caf\u00e9 au\u00a0lait  x\u3000 \x85 \x1c y\x1fz \u2028q", "", "x", "\x00 a", "don't stop's -- 3.14 ??!a1b2 \U0001f600", "l'\u00a0 a \u00a0"]
+    sub, plain, calls = lm_scoring.Subwords.load(lm_scoring.VOCABULARY), lm_scoring.Subwords.load(lm_scoring.VOCABULARY), []
+    monkeypatch.setattr(sub, "ids", lambda w, ids=sub.ids: calls.append(w) or ids(w))
+    monkeypatch.setattr(lm_scoring, "REMEMBERED", 8)
+    for _ in range(3):  # what is forgotten in between is worked out again
+        for text in texts:
+            words = lm_scoring.words_of(text)
+            sub.remember(set(words))
+            assert sub.packed(words) == b"".join([*map(plain.ids, words), plain.kind.type(plain.end).tobytes()])
+    assert calls and all(lm_scoring.ODD_SPACE.search(w.decode()) for w in calls)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_ids, by_words = (lm_scoring.fit_classes(d, plain) for d in (lm_scoring.encode(docs, plain).select("ids"), lm_scoring.count_words(docs)))
+    assert np.array_equal(by_ids.share, by_words.share) and np.array_equal(by_ids.symbol, by_words.symbol)
