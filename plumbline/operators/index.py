@@ -53,6 +53,9 @@ MOST_FILES = 10_000
 #: Rows of postings above which a search works out bounds first; terms of a short question, on average (the bounds of
 #: many terms together close few blocks); the blocks and the rarest terms whose scores it begins with.
 PRUNE_ABOVE, SHORT, FIRST_BLOCKS, RAREST = 200_000, 6, 16, 3
+#: Entries of postings that a batch of questions has to meet, from which questions share what they have in common; chunks
+#: up to which a term is a question's own.
+MOST_ENTRIES, SELDOM = 2_000_000, 100
 #: What a bound may miss by rounding.
 SLACK = 1e-8
 #: Segments of a version, from which an ingest makes one of them all.
@@ -192,8 +195,8 @@ class EvidenceIndex:
     # ------------------------------------------------------------ lexical search
 
     def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, str | None]:
-        """query_id, term, idf, df, most_tf and least_dl of the questions' terms; the postings of these terms; and which
-        bounds would help: none, those of blocks for short questions, or those of terms."""
+        """query_id, term, idf, df, most_tf and least_dl of the questions' terms; the postings of these terms; and what
+        would help: nothing, bounds of blocks for short questions, those of terms, or sets of terms that questions share."""
         asked = materialize(queries.select("query_id", F.explode(F.array_distinct(self.tokenize(F.col("text")))).alias("term")), "asked")
         wanted = materialize(asked.select("term").distinct(), "wanted")
         known = materialize(self._union("terms").join(wanted, "term"), "known")
@@ -211,7 +214,11 @@ class EvidenceIndex:
             for r in known.filter("n_rows > 0").select("_seg", _part_of(of).alias("part")).distinct().collect():  # at most a row a folder
                 parts.setdefault(r["_seg"], []).append(r["part"])
             read = lambda df, s: df.filter(F.col("part").isin(sorted(parts.get(s.number, []))))
-        return weighed, self._union("postings", read), None if rows <= PRUNE_ABOVE else "blocks" if short else "terms"
+        helps = None if rows <= PRUNE_ABOVE else "blocks" if short else "terms"
+        if (weighed.agg(F.sum("df")).head()[0] or 0) > MOST_ENTRIES:
+            n, different = _sets(weighed).agg(F.count("*"), F.countDistinct("terms")).head()
+            helps = "sets" if 2 * different <= n else helps
+        return weighed, self._union("postings", read), helps
 
     def _part(self, tf: Column, dl: Column, k1: float, b: float) -> Column:
         return F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(self.avgdl)))
@@ -233,8 +240,8 @@ class EvidenceIndex:
         return self._scores(blocks, weighed.select("query_id", "term", "idf"), k1, b)
 
     def search(self, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75, out: str = "rank", prune: str | None = None) -> DataFrame:
-        """The best k chunks of each query, exactly. ``prune``: none, blocks or terms; by itself where there are many
-        postings, blocks for short questions and terms for longer ones."""
+        """The best k chunks of each query, exactly. ``prune``: none, blocks, terms or sets; by itself where there are many
+        postings, blocks for short questions and terms for longer ones, and sets where questions differ in rare terms only."""
         weighed, blocks, helps = self._asked(queries)
         how = {"k": k, "k1": k1, "b": b}
         prune = prune or helps
@@ -242,6 +249,8 @@ class EvidenceIndex:
             return top_k(self._by_blocks(blocks, weighed.select("query_id", "term", "idf"), **how), k, out=out)
         if prune == "terms":
             return top_k(self._by_terms(blocks, weighed, **how), k, out=out)
+        if prune == "sets":
+            return top_k(self._by_sets(blocks, weighed, **how), k, out=out)
         return top_k(self._scores(blocks, weighed.select("query_id", "term", "idf"), k1, b), k, out=out)
 
     def _by_blocks(self, blocks: DataFrame, weighed: DataFrame, k: int, k1: float, b: float) -> DataFrame:
@@ -282,6 +291,30 @@ class EvidenceIndex:
         more = self._parts(blocks, split.filter("NOT needed").select("query_id", "term", "idf"), k1, b).join(able.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
         return able.unionByName(more.withColumnRenamed("part", "score")).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
 
+    def _by_sets(self, blocks: DataFrame, weighed: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+        """Scores of all chunks that can be among the best k, where many questions have the same frequent terms.
+
+        What a set of frequent terms gives is worked out once, for all questions that have it. Chunks that hold the same
+        frequent terms to the same parts of a score rank by id for any set, so only the first k of them matter. A chunk
+        without a rare term of the question is among its best only if it is among the best k of its set; those with one
+        are few, and get the set's part from what the chunk holds.
+        """
+        often, seldom = weighed.filter(F.col("df") > SELDOM), weighed.filter(F.col("df") <= SELDOM)
+        named = Window.partitionBy("terms")
+        sets = materialize(_sets(weighed).withColumn("_set", F.min("query_id").over(named)), "sets")
+        entries = self._live(blocks.join(often.select("term", "idf").distinct(), "term").select("_seg", "term", "idf", _entries().alias("e")).select("_seg", "term", F.col("e.ids").alias("chunk_id"), self._part(F.col("e.tfs"), F.col("e.dls"), k1, b).alias("part")))
+        held = materialize(entries.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", "part"))).alias("held")), "held")
+        alike = held.withColumn("_n", F.row_number().over(Window.partitionBy("held").orderBy("chunk_id"))).filter(F.col("_n") <= k)
+        words = sets.filter(F.col("query_id") == F.col("_set")).select("_set", F.explode("terms").alias("term"))
+        scored = alike.select("chunk_id", F.explode("held").alias("h")).select("chunk_id", "h.term", "h.part").join(words, "term").groupBy(F.col("_set").alias("query_id"), "chunk_id").agg(F.sum("part").alias("score"))
+        best = materialize(top_k(scored, k).select(F.col("query_id").alias("_set"), "chunk_id", "score"), "best")
+
+        own = materialize(self._scores(blocks, seldom.select("query_id", "term", "idf"), k1, b), "own")
+        shared = F.aggregate(F.filter("held", lambda h: F.array_contains("terms", h["term"])), F.lit(0.0), lambda s, h: s + h["part"])
+        whole = own.join(sets, "query_id", "left").join(held, "chunk_id", "left").select("query_id", "chunk_id", (F.col("score") + F.coalesce(shared, F.lit(0.0))).alias("score"))
+        others = sets.select("query_id", "_set").join(best, "_set").select("query_id", "chunk_id", "score").join(own, ["query_id", "chunk_id"], "left_anti")
+        return whole.unionByName(others)
+
     def files(self, queries: DataFrame, *, k: int = 10, per_file: int = 3, penalty: float = 0.4) -> DataFrame:
         """File-corpus search over chunks with path and superseded: over-fetch 6 k, demote superseded, cap each file."""
         raw = self.search(queries, 6 * k, k1=1.4, out="raw_rank")
@@ -355,6 +388,11 @@ def fingerprint_of(spark: SparkSession, path: str) -> str:
 # ---------------------------------------------------------------- segments
 
 
+def _sets(weighed: DataFrame) -> DataFrame:
+    """query_id and its frequent terms, in order."""
+    return weighed.filter(F.col("df") > SELDOM).groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+
+
 def _entries() -> Column:
     """A row of postings, chunk by chunk."""
     return F.explode(F.arrays_zip("ids", "tfs", "dls"))

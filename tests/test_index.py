@@ -116,6 +116,30 @@ def test_frequent_terms_alone_are_not_gathered(spark, tmp_path, small, monkeypat
     assert (1, "common") not in rough + needed and {(1, "common"), (1, "usual")} <= set(left_out) and (2, "common") in needed
 
 
+def test_questions_share_what_their_frequent_terms_bring(spark, tmp_path, small, monkeypatch):
+    """Questions that differ in rare terms only: the frequent terms' postings are met once, not once a question."""
+    monkeypatch.setattr(index, "SELDOM", 6)
+    monkeypatch.setattr(index, "MOST_ENTRIES", 2000)
+    data = [(k, f"d{k}", f"d{k}", False, f"common {'usual' if k % 3 else 'plain plain'} slot{k} pair{k // 2}") for k in range(300)]
+    root = str(tmp_path / "ix")
+    index.ingest(spark, root, spark.createDataFrame(data, CHUNKS))
+    again = [(k, f"d{k}", f"d{k}", False, f"common usual slot{k} slot{k + 1} new") for k in range(0, 300, 50)]
+    kept = index.ingest(spark, root, spark.createDataFrame(again, CHUNKS))
+    texts = [(k, f"common {'usual' if k % 2 else 'plain'} slot{k * 7} pair{k}") for k in range(40)] + [(70, "slot3 pair4"), (71, "nothing"), (72, None), (73, "new common"), (74, "common usual")]
+    query = spark.createDataFrame(texts, "query_id long, text string")
+    want = {k: rows(retrieval.top_k(kept.bm25(query), k)) for k in (1, 4, 400)}
+    met = []
+    parts = index.EvidenceIndex._parts
+
+    def counted(self, blocks, weighed, k1, b):
+        met.append({r["term"] for r in weighed.select("term").distinct().collect()})
+        return parts(self, blocks, weighed, k1, b)
+
+    monkeypatch.setattr(index.EvidenceIndex, "_parts", counted)
+    assert all(rows(kept.search(query, k)) == found for k, found in want.items())
+    assert len(met) == 3 and not set().union(*met) & {"common", "usual", "plain"}
+
+
 def test_folders_of_other_terms_and_chunks_are_not_read(spark, tmp_path, small):
     data = [(k, f"d{k}", f"d{k}", False, f"{'abcdefghijklmnopqrstuvwxyz'[k % 26] * 3} tail{k}") for k in range(200)]
     kept = index.save(spark.createDataFrame(data, CHUNKS), str(tmp_path / "ix"), "x")
