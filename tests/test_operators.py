@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.functions.paths import walk_key
-from plumbline.operators import chunking, corpus, evaluation, retrieval, verification
+from plumbline.operators import chunking, corpus, evaluation, grounding, retrieval, verification
 from plumbline.sources import files
 
 CHUNKS = [(1, "the red fox runs"), (2, "the blue fox sleeps sleeps"), (3, ""), (4, "a kettle boils")]
@@ -237,6 +237,48 @@ def test_answers_are_grounded_in_exact_files(spark):
     assert got[4]["citations"] == ["spec_r1.txt"] and got[5]["confidence"] == pytest.approx(0.7)
 
 
+def test_many_values_are_found_in_one_text():
+    rng = random.Random(3)
+    text = "".join(rng.choice("AB1") for _ in range(400)) + "A" * 50
+    values = list({text[i : i + n] for i in range(0, 400, 9) for n in (3, 5, 40)} | {"ZZZ", "B1" * 30, "A" * 33, "A" * 51, "A" * 49 + "B"})
+    want = [v for v in values if v in text]
+    assert grounding.held_values(text, values) == want and len(want) not in (0, len(values))
+    assert grounding.held_values(text, ["ZZ", text[7:90]]) == [text[7:90]] and grounding.held_values("", values) == []
+
+
+def test_a_file_is_gone_over_once_for_all_questions(spark, monkeypatch):
+    """The value is in whole files only: their texts must not be worked through for each question."""
+    files_ = spark.createDataFrame([(f"f{k}.txt", " ".join(f"pump limit row {n} is {n * 7 + 1000 + k}-{k}X" for n in range(100)), k == 2) for k in range(3)], "path string, text string, superseded boolean")
+    questions = spark.createDataFrame([(q, "what is the pump limit") for q in range(40)], "query_id long, text string")
+    hits = questions.select("query_id").crossJoin(spark.createDataFrame([(k + 1, f"f{k}.txt", "pump limit") for k in range(3)], "rank int, path string, text string"))
+    replies = spark.createDataFrame([(q, f"{(q * 7) + 1000 + q % 3}" if q % 5 else "77 77 77", ["f2.txt"]) for q in range(40)], "query_id long, answer string, sources array<string>")
+    idents = spark.createDataFrame([], "ident string, path string")
+    passed, form = spark.sparkContext.accumulator(0), lambda t: re.sub(r"[\s\-._]+", "", t or "").upper()
+
+    def graded(t):
+        passed.add(len(t or ""))
+        return form(t)
+
+    monkeypatch.setattr(grounding, "grader_form", lambda c: F.udf(graded)(c))
+    monkeypatch.setattr(grounding, "holds", lambda a, b: F.udf(lambda t, v: form(v) != "" and form(v) in graded(t), "boolean")(a, b))
+    got = {r["query_id"]: (r["citations"], r["reason"]) for r in grounding.verify_and_cite(replies, questions, hits, files_, idents).collect()}
+    texts = {r["path"]: form(r["text"]) for r in files_.collect()}
+    for q, (citations, reason) in got.items():
+        value = form(f"{(q * 7) + 1000 + q % 3}" if q % 5 else "77 77 77")
+        inside = [p for p in texts if value in texts[p]]
+        assert citations == (["f2.txt"] if "f2.txt" in inside else inside[:1]) and (reason == grounding.GROUNDED) == bool(inside)
+    assert sum(map(len, texts.values())) < passed.value < 4 * sum(map(len, texts.values()))
+
+
+def test_links_are_those_that_the_question_does_not_hold(spark, monkeypatch):
+    monkeypatch.setattr(grounding, "FIRST_LINKS", 2)
+    idents = spark.createDataFrame([(f"ID{k}", p) for k in range(5) for p in ("a", "b")] + [("ID0", "c"), ("ID9", "c"), ("ID9", "d")], "ident string, path string")
+    cited = spark.createDataFrame([(q, p) for q in range(4) for p in ("b", "c")], "query_id long, path string")
+    value = spark.createDataFrame([(q, "a") for q in range(3)] + [(1, "d")], "query_id long, path string")
+    asked = spark.createDataFrame([(0, "ABOUT"), (1, "ID0ID1"), (2, "ID0ID1ID2ID3ID4"), (3, "")], "query_id long, asked string")
+    assert sorted(map(tuple, grounding.linked(cited, value, asked, idents).collect())) == [(0, "b"), (0, "c"), (1, "b"), (1, "c")]
+
+
 def test_second_hop_finds_the_file_behind_an_identifier(spark):
     from plumbline.operators import grounding
 
