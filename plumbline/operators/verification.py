@@ -82,15 +82,17 @@ def meeting_mentions(mentions: DataFrame, least_shared: int = 2) -> DataFrame:
     Mentions with the same source, value and context are one, the first. A context's words are put in order of how many
     contexts of the query hold them; two contexts that share as many words as are asked for share one that isn't among
     the last of either, so mentions meet on the others only. A word that is in every context brings nothing together.
+    What mentions are spread out to is many times what Spark guesses from the size of their table, so both joins say that
+    they are merged: by that guess it would send all of it through the driver.
     """
     words = F.array_sort(F.array_distinct("ctx"))
     alike = mentions.groupBy("query_id", "source", "value", words.alias("ctx")).agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
     named = alike.select("query_id", "ord", "source", "value", "n", F.explode("ctx").alias("word"))
     held = named.groupBy("query_id", "word").agg(F.count("*").alias("held"))
-    ranked = named.join(held, ["query_id", "word"]).groupBy("query_id", "ord", "source", "value", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "word"))), lambda x: x["word"]).alias("words"))
+    ranked = named.join(held.hint("merge"), ["query_id", "word"]).groupBy("query_id", "ord", "source", "value", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "word"))), lambda x: x["word"]).alias("words"))
     first_words = F.explode(F.slice("words", F.lit(1), F.greatest(F.lit(0), F.size("words") - (least_shared - 1))))
     side = lambda p: ranked.select("query_id", first_words.alias("word"), *(F.col(c).alias(f"{c}_{p}") for c in ("ord", "source", "value", "n", "words")))
-    return side("a").join(side("b"), ["query_id", "word"]).filter((F.col("ord_a") < F.col("ord_b")) & (F.col("source_a") != F.col("source_b")) & (F.col("value_a") != F.col("value_b")))
+    return side("a").join(side("b").hint("merge"), ["query_id", "word"]).filter((F.col("ord_a") < F.col("ord_b")) & (F.col("source_a") != F.col("source_b")) & (F.col("value_a") != F.col("value_b")))
 
 
 def find_conflicts(mentions: DataFrame, least_shared: int = 2) -> DataFrame:

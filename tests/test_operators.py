@@ -123,6 +123,15 @@ def test_a_word_of_every_context_brings_nothing_together(spark):
     assert met[1] == 2 * met[0]
 
 
+def test_mentions_meet_without_the_driver(spark, tmp_path):
+    """The table looks small enough to be broadcast; what its mentions are spread out to is not."""
+    rows = [(k // 40, k, f"s{k % 5}", str(k % 9), [f"w{k % 3}", f"w{k % 4}", "all"]) for k in range(400)]
+    spark.createDataFrame(rows, "query_id long, ord long, source string, value string, ctx array<string>").write.parquet(str(tmp_path / "m"))
+    found = verification.find_conflicts(spark.read.parquet(str(tmp_path / "m")))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_supersession_keeps_the_newest_current_member(spark):
     rows = [("a/x_r1.pdf", True), ("a/x_r2.docx", True), ("a/x_r3_WITHDRAWN.pdf", True), ("a/y.pdf", True), ("a/x_r9.pdf", False)]
     done = corpus.mark_superseded(corpus.with_revisions(spark.createDataFrame(rows, "path string, indexed boolean")))
