@@ -151,9 +151,9 @@ class ContractEngine:
         name = F.concat_ws("\u0001", walk_key(F.col("path")), F.format_string("%06d.%06d", "segment", "piece_no"))
         return pieces.select(name.alias("chunk_id"), "path", "locator", "text", "superseded"), docs
 
-    def hits(self, questions: DataFrame) -> DataFrame:
+    def hits(self, questions: DataFrame, kept: index.EvidenceIndex | None = None) -> DataFrame:
         """query_id, rank, hop, chunk_id, path, locator and text of both hops; only hits' texts are read."""
-        kept = self.kept
+        kept = kept or self.kept
         found = materialize(kept.expand(questions, k=self.settings.file_top_k), "found")
         texts = kept.texts_of(found)
         locator = F.col("locator") if "locator" in texts.columns else F.lit("")
@@ -161,7 +161,8 @@ class ContractEngine:
 
     def prompts(self, questions: DataFrame) -> DataFrame:
         """query_id and prompt of the questions that have a hit; the others aren't worth asking."""
-        return answering.file_prompts(questions, self.hits(questions), self.kept.docs)
+        kept = self.kept
+        return answering.file_prompts(questions, self.hits(questions, kept), kept.docs)
 
     def answer(self, questions: DataFrame, replies: DataFrame, out: str | None = None) -> DataFrame:
         """query_id, answer, citations, confidence and reason for every question, written to ``out`` as well if given.
@@ -169,7 +170,7 @@ class ContractEngine:
         replies: query_id and raw, the model's text; a question without a usable one is refused, as is one without hits.
         """
         kept = self.kept
-        hits = materialize(self.hits(questions), "hits")
+        hits = materialize(self.hits(questions, kept), "hits")
         files = kept.docs.filter("indexed").select("path", "superseded")
         texts = kept.file_texts(hits.select("path"))
         told = materialize(answering.file_outcomes(questions, hits, replies, files, kept.identifier_files().select("ident", "path"), texts), "outcomes")

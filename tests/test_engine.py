@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.engine import ContractEngine, Engine, Settings
-from plumbline.operators import answering
+from plumbline.functions import text as X
+from plumbline.operators import answering, index
 
 HANDBOOK = """# Pumps
 
@@ -123,6 +124,25 @@ def test_a_folder_is_indexed_asked_and_answered(spark, tmp_path, folder):
     assert {"q1_output", "q2_output", "q3_output", "q_6_output"} < set(written) and written["q1_output"] == "94"
 
 
+def test_questions_that_share_terms_are_answered_from_one_version(spark, tmp_path, monkeypatch):
+    """Many alike questions, with shared terms worked out once, and an index that is looked up once a batch."""
+    monkeypatch.setattr(index, "SELDOM", 3)
+    monkeypatch.setattr(index, "MOST_ENTRIES", 100)
+    chunks = [(2 * k, f"steel ring slot{k} PN-{k}Z", f"parts{k % 2}.csv", False) for k in range(30)] + [(2 * k + 1, f"PN-{k}Z retail price {k + 100}.50", f"stock{k % 3}.txt", False) for k in range(30)]
+    frame = spark.createDataFrame(chunks, "chunk_id long, text string, path string, superseded boolean")
+    docs = frame.select("path", "superseded").distinct().withColumn("indexed", F.lit(True))
+    index.save(frame, str(tmp_path / "ix"), "x", tokenize=X.file_tokens, with_path=True, docs=docs)
+    loads, load = [], index.load
+    monkeypatch.setattr(index, "load", lambda *a, **b: loads.append(a) or load(*a, **b))
+    questions = spark.createDataFrame([(k, f"what is the retail price of steel ring in slot{k}") for k in range(12)], "query_id long, text string")
+    replies = spark.createDataFrame([(k, value(f"{k + 100}.50", f"stock{k % 3}.txt", f"parts{k % 2}.csv")) for k in range(12)], "query_id long, raw string")
+    searched, by_sets = [], index.EvidenceIndex._by_sets
+    monkeypatch.setattr(index.EvidenceIndex, "_by_sets", lambda *a, **b: searched.append(1) or by_sets(*a, **b))
+    got = ContractEngine(spark, str(tmp_path / "ix")).answer(questions, replies)
+    assert {r["query_id"]: (r["answer"], r["citations"]) for r in got.collect()} == {k: (f"{k + 100}.50", [f"stock{k % 3}.txt", f"parts{k % 2}.csv"]) for k in range(12)}
+    assert len(loads) == 1 and len(searched) == 2
+
+
 def test_outputs_of_other_batches_and_ids_stay(spark, tmp_path):
     out = str(tmp_path / "out")
     frame = lambda rows: spark.createDataFrame([(q, a, ["f"], 0.9) for q, a in rows], "query_id string, answer string, citations array<string>, confidence double")
