@@ -310,6 +310,27 @@ def test_url_rules_and_odd_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_trees_learn_from_every_labelled_url(spark, monkeypatch):
+    """More labelled urls than a sample would take, in several tasks: the learner gets each of them, and all its cuts."""
+    n = 21_000
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 50, F.lit(".com/"), F.when(F.col("id") % 3 == 0, "de").otherwise("fr"), F.lit("/x"), "id").alias("url"))
+    monkeypatch.setattr(url_filter, "TASK_ROWS", 8000, raising=False)
+    got, learner = [], url_filter.GBTClassifier
+
+    def fitting(**how):
+        trees = learner(**how)
+        fit = trees.fit
+        trees.fit = lambda rows: (got.append((rows.count(), how["maxBins"], rows.rdd.getNumPartitions())), fit(rows))[1]
+        return trees
+
+    monkeypatch.setattr(url_filter, "GBTClassifier", fitting)
+    ruled = url_filter.with_rule(url_filter.with_parts(pages), url_filter.RULES).withColumn("_fold", url_filter.fold())
+    url_filter.train(ruled, url_filter.statistics_of(ruled, n))
+    rows, bins, tasks = got[0]
+    assert rows == ruled.filter("_fold <> 0").count() and rows > 16_000 and tasks > 1
+    assert bins**2 >= rows  # below that Spark's learner takes its splits from some of the rows
+
+
 def test_attention_learns_from_every_training_text_whole(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "WARM", 2)
     lengths, fit_ = [], attention.Trainer.fit
