@@ -33,11 +33,12 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import DataStreamWriter
 
 from plumbline.functions.text import grader_form, identifiers, tokens
 from plumbline.operators.retrieval import capped, dense_top_k, reciprocal_rank_fusion, top_k, trigram_vectors
-from plumbline.session import materialize, put_new, remove
+from plumbline.session import materialize, put_new, remove, shuffles_dropped
 
 #: Of the tables' layout; indexes of another one are not read.
 VERSION = 2
@@ -53,9 +54,11 @@ MOST_FILES = 10_000
 #: Rows of postings above which a search works out bounds first; terms of a short question, on average (the bounds of
 #: many terms together close few blocks); the blocks and the rarest terms whose scores it begins with.
 PRUNE_ABOVE, SHORT, FIRST_BLOCKS, RAREST = 200_000, 6, 16, 3
-#: Entries of postings that a batch of questions has to meet, from which questions share what they have in common; chunks
-#: up to which a term is a question's own.
+#: Entries of postings that a batch of questions has to meet, from which questions share what they have in common; or blocks
+#: are scored in tasks; chunks up to which a term is a question's own.
 MOST_ENTRIES, SELDOM = 2_000_000, 100
+#: Terms of all questions of a batch, up to which each task gets them.
+MOST_ASKED = 50_000
 #: What a bound may miss by rounding.
 SLACK = 1e-8
 #: Segments of a version, from which an ingest makes one of them all.
@@ -196,7 +199,7 @@ class EvidenceIndex:
 
     def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, str | None]:
         """query_id, term, idf, df, most_tf and least_dl of the questions' terms; the postings of these terms; and what
-        would help: nothing, bounds of blocks for short questions, those of terms, or sets of terms that questions share."""
+        would help: nothing, bounds of blocks for short questions, those of terms, sets of terms that questions share, or scores of whole blocks, made in tasks."""
         asked = materialize(queries.select("query_id", F.explode(F.array_distinct(self.tokenize(F.col("text")))).alias("term")), "asked")
         wanted = materialize(asked.select("term").distinct(), "wanted")
         known = materialize(self._union("terms").join(wanted, "term"), "known")
@@ -217,7 +220,8 @@ class EvidenceIndex:
         helps = None if rows <= PRUNE_ABOVE else "blocks" if short else "terms"
         if (weighed.agg(F.sum("df")).head()[0] or 0) > MOST_ENTRIES:
             n, different = _sets(weighed).agg(F.count("*"), F.countDistinct("terms")).head()
-            helps = "sets" if 2 * different <= n else helps
+            whole = weighed.count() <= MOST_ASKED and not any(s.n_dead for s in self.segments)
+            helps = "sets" if 2 * different <= n else "tasks" if whole else helps
         return weighed, self._union("postings", read), helps
 
     def _part(self, tf: Column, dl: Column, k1: float, b: float) -> Column:
@@ -240,8 +244,9 @@ class EvidenceIndex:
         return self._scores(blocks, weighed.select("query_id", "term", "idf"), k1, b)
 
     def search(self, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75, out: str = "rank", prune: str | None = None) -> DataFrame:
-        """The best k chunks of each query, exactly. ``prune``: none, blocks, terms or sets; by itself where there are many
-        postings, blocks for short questions and terms for longer ones, and sets where questions differ in rare terms only."""
+        """The best k chunks of each query, exactly. ``prune``: none, blocks, terms, sets or tasks; by itself where there are
+        many postings, sets where questions differ in rare terms only, tasks for a batch of some thousand terms in all over
+        chunks none of which was replaced, else blocks for short questions and terms for longer ones."""
         weighed, blocks, helps = self._asked(queries)
         how = {"k": k, "k1": k1, "b": b}
         prune = prune or helps
@@ -249,6 +254,8 @@ class EvidenceIndex:
             return top_k(self._by_blocks(blocks, weighed.select("query_id", "term", "idf"), **how), k, out=out)
         if prune == "terms":
             return top_k(self._by_terms(blocks, weighed, **how), k, out=out)
+        if prune == "tasks":
+            return top_k(self._in_tasks(blocks, weighed, **how), k, out=out)
         if prune == "sets":
             return top_k(self._by_sets(blocks, weighed, **how), k, out=out)
         return top_k(self._scores(blocks, weighed.select("query_id", "term", "idf"), k1, b), k, out=out)
@@ -315,6 +322,50 @@ class EvidenceIndex:
         others = sets.select("query_id", "_set").join(best, "_set").select("query_id", "chunk_id", "score").join(own, ["query_id", "chunk_id"], "left_anti")
         return whole.unionByName(others)
 
+    def _in_tasks(self, blocks: DataFrame, weighed: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+        """The best k chunks of each block for each query. A chunk is in one block only, so a task that has the block's
+        rows of postings has all of its score: these rows are shuffled once for all queries, and no score is. For a batch
+        with few terms, and without dead chunks."""
+        asked = weighed.select("query_id", "term", "idf").orderBy("query_id", "term").collect()  # MOST_ASKED short rows at most
+        idfs, terms = {r["term"]: r["idf"] for r in asked}, {}
+        for r in asked:
+            terms.setdefault(r["query_id"], []).append(r["term"])
+        shared, avgdl = self.spark.sparkContext.broadcast((idfs, list(terms.items()))), self.avgdl
+        names = T.StructType.fromJson(json.loads(self.segments[0].schema))["chunk_id"].dataType
+
+        def best(table: pa.Table) -> pa.Table:
+            idf_of, queries = shared.value
+            table = table.combine_chunks()
+            ids, tf, dl = (table.column(c).combine_chunks().flatten() for c in ("ids", "tfs", "dls"))
+            tf, dl = np.asarray(tf).astype(float), np.asarray(dl).astype(float)
+            ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(table.column("ids"))))])
+            rows = {t: slice(ends[i], ends[i + 1]) for i, t in enumerate(table.column("term").to_pylist())}
+            idf = np.repeat([idf_of[t] for t in rows], np.diff(ends))
+            part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+            coded = ids.dictionary_encode()
+            own, at = coded.dictionary, np.asarray(coded.indices)
+            places = np.argsort(np.asarray(pc.sort_indices(own)))
+            found = []
+            for query, wanted in queries:
+                held = [rows[t] for t in wanted if t in rows]
+                if not held:
+                    continue
+                score = np.bincount(np.concatenate([at[s] for s in held]), np.concatenate([part[s] for s in held]), len(own))
+                take = np.flatnonzero(score > 0)
+                if len(take) > 4 * k:
+                    take = take[score[take] >= np.partition(score[take], len(take) - k)[len(take) - k] - 2e-9]
+                take = take[np.lexsort((places[take], -score[take].round(9)))[:k]]
+                found.append((query, take, score[take]))
+            takes = np.concatenate([t for _, t, _ in found]) if found else np.zeros(0, np.int64)
+            return pa.table({
+                "query_id": pa.array([q for q, t, _ in found for _ in t], told.field("query_id").type), "chunk_id": own.take(pa.array(takes)),
+                "score": pa.array(np.concatenate([s for _, _, s in found]) if found else np.zeros(0)),
+            })
+
+        wanted = blocks.join(weighed.select("term").distinct(), "term", "left_semi").select("_seg", "block", "term", "ids", "tfs", "dls")
+        told = to_arrow_schema(T.StructType([weighed.schema["query_id"], T.StructField("chunk_id", names), T.StructField("score", T.DoubleType())]))
+        return wanted.groupBy("_seg", "block").applyInArrow(best, f"query_id {weighed.schema['query_id'].dataType.simpleString()}, chunk_id {names.simpleString()}, score double")
+
     def files(self, queries: DataFrame, *, k: int = 10, per_file: int = 3, penalty: float = 0.4) -> DataFrame:
         """File-corpus search over chunks with path and superseded: over-fetch 6 k, demote superseded, cap each file."""
         raw = self.search(queries, 6 * k, k1=1.4, out="raw_rank")
@@ -461,10 +512,12 @@ def _write_segment(chunks: DataFrame, root: str, number: int, tokenize: Callable
     made = replace(made, n_chunks=n, parts=max(1, -(-n // PART_CHUNKS)))
     if docs is not None:
         docs.write.parquet(f"{folder}/docs")
-    _postings(_words(stored, tokenize, with_path), made.parts).write.partitionBy("part").parquet(f"{folder}/postings")
+    with shuffles_dropped(spark):
+        _postings(_words(stored, tokenize, with_path), made.parts).write.partitionBy("part").parquet(f"{folder}/postings")
     postings = made.read(spark, "postings")
     if with_path:
-        _idents(stored).write.parquet(f"{folder}/idents")
+        with shuffles_dropped(spark):
+            _idents(stored).write.parquet(f"{folder}/idents")
     terms = postings.groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("n_rows"), F.max("tf_max").alias("tf_max"), F.min("dl_min").alias("dl_min"))
     n_dead = lost_tokens = 0
     if old is not None:
@@ -477,7 +530,8 @@ def _write_segment(chunks: DataFrame, root: str, number: int, tokenize: Callable
             lost_tokens = lost.agg(F.sum(F.size("w"))).head()[0] or 0
             less = lost.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg((-F.count("*")).alias("df")).withColumns({"n_rows": F.lit(0).cast("long"), "tf_max": F.lit(None).cast("int"), "dl_min": F.lit(None).cast("int")})
             terms = terms.unionByName(less).groupBy("term").agg(F.sum("df").alias("df"), F.sum("n_rows").alias("n_rows"), F.max("tf_max").alias("tf_max"), F.min("dl_min").alias("dl_min"))
-    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+    with shuffles_dropped(spark):
+        terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
     total, rows = postings.agg(F.sum("tf_sum"), F.count("*")).head()
     return replace(made, n_chunks=n - n_dead, n_tokens=(total or 0) - lost_tokens, n_postings=rows, n_terms=made.read(spark, "terms").count(), n_dead=n_dead, n_docs=made.read(spark, "docs").count() if docs is not None else 0)
 

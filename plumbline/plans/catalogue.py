@@ -493,14 +493,17 @@ def outcome_counters(spark, sf_dir):
 
 @query
 def service_context(spark, sf_dir):
-    hits = kept_index(spark, sf_dir).search(questions(spark, sf_dir), 3).join(chunks_of(spark, sf_dir), "chunk_id").withColumnRenamed("source", "label")
+    kept = kept_index(spark, sf_dir)
+    found = materialize(kept.search(questions(spark, sf_dir), 3), "found")
+    hits = found.join(kept.texts_of(found).select("chunk_id", "text", F.col("source").alias("label")), "chunk_id")
     return answering.format_context(hits).select("query_id", F.length("context").cast("long").alias("n_chars"), _md5(F.col("context")).alias("context_md5"))
 
 
 @query
 def file_prompts(spark, sf_dir):
     kept, asked = kept_index(spark, sf_dir, "files"), questions(spark, sf_dir)
-    hits = kept.files(asked).select("query_id", "rank", "chunk_id", "path").join(kept.chunks.select("chunk_id", "text"), "chunk_id").withColumn("locator", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("doc "), F.col("chunk_id").cast("string"))))
+    found = materialize(kept.files(asked).select("query_id", "rank", "chunk_id", "path"), "found")
+    hits = found.join(kept.texts_of(found).select("chunk_id", "text"), "chunk_id").withColumn("locator", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("doc "), F.col("chunk_id").cast("string"))))
     files = kept.chunks.select("path", "superseded").distinct().withColumn("superseded_by", F.when(F.col("path") == "src3", F.lit("src4")))
     return answering.file_prompts(asked, hits, files).select("query_id", F.length("prompt").cast("long").alias("n_chars"), _md5(F.col("prompt")).alias("prompt_md5"))
 

@@ -140,6 +140,23 @@ def test_questions_share_what_their_frequent_terms_bring(spark, tmp_path, small,
     assert len(met) == 3 and not set().union(*met) & {"common", "usual", "plain"}
 
 
+def test_blocks_are_scored_in_tasks_and_no_score_is_shuffled(spark, tmp_path, small, monkeypatch):
+    """Long questions over many postings: what is shuffled are rows of postings, and the best of each block."""
+    root = str(tmp_path / "ix")
+    index.ingest(spark, root, spark.createDataFrame(made(6, 0, 150), CHUNKS))
+    kept = index.ingest(spark, root, spark.createDataFrame(made(7, 200, 90, "e"), CHUNKS))
+    query = spark.createDataFrame([(k, f"common W{k} w{k + 7} w{k} zebra") for k in range(12)] + [(50, "nothing here"), (51, None), (2**60 + 1, "w3")], "query_id long, text string")
+    want = {k: rows(retrieval.top_k(kept.bm25(query), k)) for k in (1, 5, 400)}
+    assert all(rows(kept.search(query, k, prune="tasks")) == found for k, found in want.items())
+    monkeypatch.setattr(index, "MOST_ENTRIES", 10)
+    monkeypatch.setattr(index, "SELDOM", 0)
+    monkeypatch.setattr(index.EvidenceIndex, "_parts", lambda *a, **b: pytest.fail("scores of single terms"))
+    assert rows(kept.search(query, 5)) == want[5]
+    named = index.save(spark.createDataFrame([(f"é{r[0]}", *r[1:]) for r in made(6, 0, 60)], CHUNKS.replace("chunk_id long", "chunk_id string")), str(tmp_path / "named"), "x")
+    texts = query.select(F.col("query_id").cast("string").alias("query_id"), "text")
+    assert {type(r["chunk_id"]) for r in named.search(texts, 3).collect()} == {str}
+
+
 def test_folders_of_other_terms_and_chunks_are_not_read(spark, tmp_path, small):
     data = [(k, f"d{k}", f"d{k}", False, f"{'abcdefghijklmnopqrstuvwxyz'[k % 26] * 3} tail{k}") for k in range(200)]
     kept = index.save(spark.createDataFrame(data, CHUNKS), str(tmp_path / "ix"), "x")
