@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators import corpus, grounding, index, retrieval
+from plumbline.plans import catalogue
 
 CHUNKS = "chunk_id long, document_id string, path string, superseded boolean, text string"
 WORDS = [f"w{k}" for k in range(60)] + ["common"] * 40
@@ -157,6 +158,15 @@ def test_blocks_are_scored_in_tasks_and_no_score_is_shuffled(spark, tmp_path, sm
     assert {type(r["chunk_id"]) for r in named.search(texts, 3).collect()} == {str}
 
 
+@pytest.mark.parametrize("name", ["file_prompts", "service_context"])
+def test_only_texts_of_hits_are_read(spark, monkeypatch, name):
+    """No join of all texts: hits ask the index for theirs."""
+    asked, texts_of = [], index.EvidenceIndex.texts_of
+    monkeypatch.setattr(index.EvidenceIndex, "texts_of", lambda self, ids: asked.append(ids.count()) or texts_of(self, ids))
+    got = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 40 and len(asked) == 1 and 40 <= asked[0] <= 400
+
+
 def test_folders_of_other_terms_and_chunks_are_not_read(spark, tmp_path, small):
     data = [(k, f"d{k}", f"d{k}", False, f"{'abcdefghijklmnopqrstuvwxyz'[k % 26] * 3} tail{k}") for k in range(200)]
     kept = index.save(spark.createDataFrame(data, CHUNKS), str(tmp_path / "ix"), "x")
